@@ -15,8 +15,9 @@ from scorewright.scale import lookup_join, materialize
 SEVERITY = {"FATAL": 5, "ERROR": 4, "WARNING": 3, "INFO": 2, "DEBUG": 1}
 LEVEL_ALIASES = {"WARN": "WARNING"}
 ERROR_LEVELS = ("ERROR", "FATAL")
-LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d{1,6})?) ([A-Z]+)\s+(?:\[([^\]]+)\]\s)?(.*)$"
+LINE = r"(?s)\A(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d{1,6})?) ([A-Z]+)\s+(?:\[([^\]]+)\]\s)?(.*)\z"
 CONTINUATION = r"^\s*(at |Stack trace:)"
+SEPARATOR = "\x01"
 EVENTS_PER_PART = 1_000
 
 
@@ -25,24 +26,26 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 
     A line of another shape keeps its row with ``parsed`` false and NULL fields.
     """
-    text = F.col(line)
-    level = F.regexp_extract(text, LINE, 2)
+    # One pass of the pattern folds its groups into one string; unmatched lines stay as they are.
+    folded = F.regexp_replace(F.col(line), LINE, f"$1{SEPARATOR}$2{SEPARATOR}$3{SEPARATOR}$4")
+    split = lines.withColumn("_folded", folded).withColumn(
+        "_parts", F.when(F.col("_folded") != F.col(line), F.split("_folded", SEPARATOR, 4))
+    )
+    level = F.get("_parts", 1)
     for alias, name in LEVEL_ALIASES.items():
         level = F.when(level == alias, F.lit(name)).otherwise(level)
-    component = F.regexp_extract(text, LINE, 3)
-    message = F.regexp_extract(text, LINE, 4)
-    ts = F.regexp_extract(text, LINE, 1).try_cast("timestamp_ntz")
-    parsed = F.coalesce(F.rlike(text, F.lit(LINE)), F.lit(False)) & ts.isNotNull()
-    return lines.withColumns(
+    timed = split.withColumn("ts", F.get("_parts", 0).try_cast("timestamp_ntz"))
+    parsed = F.col("ts").isNotNull()
+    message = F.get("_parts", 3)
+    return timed.withColumns(
         {
             "parsed": parsed,
-            "ts": F.when(parsed, ts),
             "level": F.when(parsed, level),
-            "component": F.when(parsed & (component != ""), component),
+            "component": F.when(parsed, F.nullif(F.get("_parts", 2), F.lit(""))),
             "message": F.when(parsed, T.strip(message)),
             "is_continuation": F.when(parsed, F.rlike(message, F.lit(CONTINUATION))),
         }
-    )
+    ).drop("_folded", "_parts")
 
 
 def is_error(level: Column) -> Column:

@@ -19,18 +19,21 @@ ENTITY_PATTERNS = {
     "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
     "organisation": r"(?:[A-Z][A-Za-z&]+ )+(?:Ltd|Inc|LLC|PLC|GmbH|Corp)\b",
 }
+# What a text must hold for a slow pattern to be worth running.
+ENTITY_HINTS = {"date": r"\d{4}", "email": "@"}
 # Patterns of HTML headings, paragraphs and tags.
 HTML_HEADING = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>"
 HTML_PARAGRAPH = r"(?is)</h1>.*?<p(?:\s[^>]*)?>(.*?)(?:</p>|<p[\s>]|<h[1-6]|</article>|\z)"
 HTML_TAG = r"(?s)<[^>]*>"
 MAX_HEADING_CHARS = 80
+# Passages looked at per wanted one in the first retrieval round; any value gives the same result.
+SEED_PASSAGES = 30
 
 
 def word_frequency(docs: DataFrame, text: str) -> DataFrame:
     """Occurrences of each lower-cased word; counted per task before the shuffle."""
-    return docs.select(F.explode(T.words(F.col(text))).alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    parts = docs.select(F.explode(F.split(F.lower(text), T.NON_WORD)).alias("word"))
+    return parts.where(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def extractive_summary(docs: DataFrame, doc_id: str, text: str, *, k: int = 3) -> DataFrame:
@@ -39,10 +42,12 @@ def extractive_summary(docs: DataFrame, doc_id: str, text: str, *, k: int = 3) -
     Ties go to the earlier sentence; the summary keeps document order. Documents are placed by id
     once; every later grouping is by id and something else and finds its rows already together.
     """
-    placed = docs.select(doc_id, T.sentences(F.col(text)).alias("_sentences")).repartition(doc_id)
-    tokens = placed.select(doc_id, F.posexplode("_sentences").alias("_pos", "_sentence")).select(
-        doc_id, "_pos", F.explode(T.words(F.col("_sentence"))).alias("_word")
-    )
+    placed = docs.select(doc_id, text).repartition(doc_id)
+    placed = placed.select(doc_id, T.sentences(F.col(text)).alias("_sentences"))
+    # The outer form keeps Catalyst from adding a test that would split every text a second time.
+    tokens = placed.select(doc_id, F.posexplode_outer("_sentences").alias("_pos", "_sentence")).select(
+        doc_id, "_pos", F.explode(F.split(F.lower("_sentence"), T.NON_WORD)).alias("_word")
+    ).where(F.col("_word") != "")
     per_word = tokens.groupBy(doc_id, "_word").agg(F.collect_list("_pos").alias("_places"))
     weighted = per_word.select(
         doc_id, F.size("_places").cast("bigint").alias("_tf"), F.explode("_places").alias("_pos")
@@ -114,18 +119,21 @@ def entity_lists(
     Types come from patterns. People are found only from the caller's ``names``: there is no
     pattern for them.
     """
-    found = [
-        F.transform(
-            F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))),
-            lambda entity, kind=kind: F.struct(F.lit(kind).alias("entity_type"), entity.alias("entity")),
+
+    def typed(kind: str, values: Column) -> Column:
+        return F.transform(
+            F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("entity"))
         )
-        for kind, pattern in patterns.items()
-    ]
+
+    def matches(kind: str, pattern: str) -> Column:
+        every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        hint = ENTITY_HINTS.get(kind)
+        return F.when(F.rlike(F.col(text), F.lit(hint)), every).otherwise(F.array().cast("array<string>")) if hint else every
+
+    found = [typed(kind, matches(kind, pattern)) for kind, pattern in patterns.items()]
     if names:
-        known = F.filter(F.array(*[F.lit(n) for n in names]), lambda name: F.contains(F.col(text), name))
-        found.append(
-            F.transform(known, lambda n: F.struct(F.lit("person").alias("entity_type"), n.alias("entity")))
-        )
+        listed = F.array(*[F.lit(name) for name in names])
+        found.append(typed("person", F.filter(listed, lambda name: F.contains(F.col(text), name))))
     return docs.select(doc_id, F.inline(F.concat(*found)))
 
 
@@ -140,8 +148,8 @@ def retrieve_passages(
     """The ``k`` passages that share most distinct words with each question; ties by passage id.
 
     Exact, without pairing every question with every passage. A passage that shares at least s of a
-    question's m words holds one of its m - s + 1 rarest words. A first round over the rarest words
-    that reach ``k`` passages gives s, the ``k``-th best score found so far; the second round looks
+    question's m words holds one of its m - s + 1 rarest words. A first round over its rarest words
+    gives s, the ``k``-th best score found so far; the second round looks
     only behind the m - s + 1 rarest words, so that the common words, found in most passages, are
     read for the score but never used to form pairs.
     """
@@ -180,7 +188,7 @@ def retrieve_passages(
         order = Window.partitionBy(question_id).orderBy(F.desc("n_shared"), passage_id)
         return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
-    first = best(ranked.where(F.col("_reached") < k))
+    first = best(ranked.where(F.col("_reached") < SEED_PASSAGES * k))
     bound = first.groupBy(question_id).agg(
         F.when(F.count(F.lit(1)) >= k, F.min("n_shared")).otherwise(F.lit(1)).alias("_at_least")
     )
@@ -194,11 +202,12 @@ def classify(docs: DataFrame, text: str, labels: Mapping[str, Sequence[str]]) ->
     Votes are counted inside each row, so nothing is shuffled.
     """
     names = sorted(labels)
+
+    def votes(label: str) -> Column:
+        return F.size(F.filter("_words", lambda word: word.isin(*labels[label])))
+
     counted = docs.withColumn("_words", T.words(F.col(text))).withColumns(
-        {
-            f"_votes_{i}": F.size(F.filter("_words", lambda word, n=name: word.isin(*labels[n])))
-            for i, name in enumerate(names)
-        }
+        {f"_votes_{i}": votes(name) for i, name in enumerate(names)}
     )
     most = F.greatest(*[F.col(f"_votes_{i}") for i in range(len(names))]) if len(names) > 1 else F.col("_votes_0")
     predicted = F.when(F.coalesce(most, F.lit(0)) <= 0, F.lit("unknown"))

@@ -24,7 +24,7 @@ STOP_WORDS = {
 )
 def word_frequency(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of each word."""
-    return ops.word_frequency(Tables(spark, folder).documents, "text")
+    return ops.word_frequency(Tables(spark, folder).spread("documents", "doc_id"), "text")
 
 
 @query(
@@ -59,7 +59,7 @@ def extractive_summary(spark: SparkSession, folder: str) -> DataFrame:
 )
 def outline(spark: SparkSession, folder: str) -> DataFrame:
     """Heading and first sentence of each page."""
-    return ops.outline_html(Tables(spark, folder).pages, "html").select("page_id", "heading", "lead")
+    return ops.outline_html(Tables(spark, folder).spread("pages", "page_id"), "html").select("page_id", "heading", "lead")
 
 
 @query(
@@ -81,7 +81,7 @@ def outline(spark: SparkSession, folder: str) -> DataFrame:
 def document_outline(spark: SparkSession, folder: str) -> DataFrame:
     """Sections of each document, set apart by blank lines after sentences."""
     spaced = F.concat(F.lit("Part "), F.col("lang"), F.lit("\n"), F.replace("text", F.lit(". "), F.lit(".\n\n")))
-    docs = Tables(spark, folder).documents.select("doc_id", spaced.alias("text"))
+    docs = Tables(spark, folder).spread("documents", "doc_id").select("doc_id", spaced.alias("text"))
     return ops.outline_text(docs, "doc_id", "text")
 
 
@@ -96,13 +96,13 @@ def _sql_entities() -> str:
 @query("entity_lists", _sql_entities())
 def entity_lists(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct dates, amounts, addresses and organisations of each document."""
-    return ops.entity_lists(Tables(spark, folder).documents, "doc_id", "text")
+    return ops.entity_lists(Tables(spark, folder).spread("documents", "doc_id"), "doc_id", "text")
 
 
 @query("entity_counts", f"SELECT entity_type, entity, count(*) AS n_docs FROM ({_sql_entities()}) GROUP BY ALL")
 def entity_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents per entity."""
-    return ops.count_entities(ops.entity_lists(Tables(spark, folder).documents, "doc_id", "text"))
+    return ops.count_entities(ops.entity_lists(Tables(spark, folder).spread("documents", "doc_id"), "doc_id", "text"))
 
 
 @query(
@@ -118,7 +118,7 @@ def passage_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     """Three documents per question, by shared words."""
     t = Tables(spark, folder)
     found = ops.retrieve_passages(
-        t.benchmark, "item_id", t.documents.select("doc_id", "text"), "doc_id", "text", k=3
+        t.benchmark, "item_id", t.spread("documents", "doc_id").select("doc_id", "text"), "doc_id", "text", k=3
     )
     return found.select("item_id", "doc_id", "n_shared", "rank")
 
@@ -140,5 +140,5 @@ def _sql_votes() -> str:
 @query("classify_documents", _sql_votes())
 def classify_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Language by function words against the true language."""
-    docs = Tables(spark, folder).documents.select("lang", "text")
+    docs = Tables(spark, folder).spread("documents", "doc_id").select("lang", "text")
     return ops.confusion(ops.classify(docs, "text", STOP_WORDS), "lang")

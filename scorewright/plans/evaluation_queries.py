@@ -18,7 +18,7 @@ from scorewright.operators import accounting, cascade, inference, report, routin
 from scorewright.operators import text as documents_ops
 from scorewright.plans import sql
 from scorewright.plans.registry import Tables, query
-from scorewright.scale import scratch_path
+from scorewright.scale import materialize, scratch_path
 from scorewright.sources import files, history, tasks
 
 TAU = 0.10
@@ -304,7 +304,7 @@ def parse_structured_output(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("event_type") == "error", F.concat(F.lit("[{"), F.col("props")))
         .otherwise(array)
     )
-    answers = Tables(spark, folder).events.select("event_type", raw.alias("raw"))
+    answers = Tables(spark, folder).spread("events", "event_id").select("event_type", raw.alias("raw"))
     parsed = inference.parse_items(answers, "raw", "ARRAY<STRUCT<k: BIGINT>>")
     items = parsed.select("event_type", "valid", F.size("items").alias("n"), F.aggregate(
         F.transform("items", lambda i: i["k"]), F.lit(0).cast("bigint"), lambda a, b: a + b
@@ -336,7 +336,7 @@ def extract_code_blocks(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.lit(""))
     )
     raw = F.concat(F.lit("Here it is:\n```"), tag, F.lit("\n"), F.col("text"), F.lit("\n```\nThat is all."))
-    answers = Tables(spark, folder).documents.select("doc_id", raw.alias("raw"))
+    answers = Tables(spark, folder).spread("documents", "doc_id").select("doc_id", raw.alias("raw"))
     return documents_ops.extract_code(answers, "raw").select(
         "doc_id", "tag", F.md5("code").alias("code_md5"), F.length("code").cast("bigint").alias("n_chars")
     )
@@ -353,7 +353,7 @@ def extract_code_blocks(spark: SparkSession, folder: str) -> DataFrame:
 def normalise_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Typographic quotes made plain; all but English documents are put in such quotes first."""
     raw = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat(F.lit("“"), F.col("text"), F.lit("”")))
-    answers = Tables(spark, folder).documents.select("doc_id", raw.alias("raw"))
+    answers = Tables(spark, folder).spread("documents", "doc_id").select("doc_id", raw.alias("raw"))
     return documents_ops.normalise_quotes(answers, "raw").select("doc_id", "changed", F.md5("plain").alias("plain_md5"))
 
 
@@ -370,7 +370,7 @@ def code_syntax_gate(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("lang") == "de", F.concat(F.lit("def answer(\n    return "), literal))
         .otherwise(F.concat(F.lit("answer = "), literal))
     )
-    docs = Tables(spark, folder).documents
+    docs = Tables(spark, folder).spread("documents", "doc_id")
     checked = inference.code_gate(docs.select(F.col("lang"), code.alias("code")), "lang", "code")
     return checked.groupBy("lang", "passed").agg(F.count(F.lit(1)).alias("n_docs"))
 
@@ -441,7 +441,7 @@ _SQL_METHOD = (
 def heuristic_score(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword rule per document."""
     keywords = scoring.term_list(F.col("lang"), KEYWORDS)
-    return scoring.heuristic_score(Tables(spark, folder).documents, "text", keywords).select(
+    return scoring.heuristic_score(Tables(spark, folder).spread("documents", "doc_id"), "text", keywords).select(
         "doc_id", "passed", "score_method"
     )
 
@@ -525,7 +525,7 @@ def token_f1(spark: SparkSession, folder: str) -> DataFrame:
 def criteria_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Share of the language's required terms found in each document."""
     terms = scoring.term_list(F.col("lang"), TERMS)
-    covered = scoring.coverage(Tables(spark, folder).documents, "text", terms)
+    covered = scoring.coverage(Tables(spark, folder).spread("documents", "doc_id"), "text", terms)
     return covered.select("doc_id", "n_terms", "n_present", "coverage")
 
 
@@ -545,11 +545,14 @@ def escalation_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _both_tiers(t: Tables) -> DataFrame:
-    """User turns with reply, fallback and the scores of both, from one pass over the words."""
+    """User turns with reply, fallback and the scores of both, from one pass over the words.
+
+    Stored, since both tiers of the cascade read it.
+    """
     turns = t.conversations
     asked = cascade.last_reply(tasks.pair_turns(turns), turns)
     scores = scoring.token_f1(asked, ["conv_id", "turn"], {"first": "reply", "second": "fallback"}, "question")
-    return asked.join(scores, ["conv_id", "turn"])
+    return materialize(asked.join(scores, ["conv_id", "turn"]), "tiers")
 
 
 _SQL_TIERS = f"""

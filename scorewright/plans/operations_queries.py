@@ -40,7 +40,7 @@ def _log_lines(t: Tables) -> DataFrame:
     line = F.when(F.col("event_type") == "click", F.concat(F.lit("no time "), message)).otherwise(
         F.concat(stamp, F.lit(" "), _level(), F.lit("  "), component, message)
     )
-    return t.events.select("event_id", line.alias("value"))
+    return t.spread("events", "event_id").select("event_id", line.alias("value"))
 
 
 @query(
@@ -143,7 +143,7 @@ def evidence_lookback(spark: SparkSession, folder: str) -> DataFrame:
     WITH med AS (SELECT event_type, median(value) AS m FROM events GROUP BY 1),
     dev AS (SELECT e.*, m, abs(value - m) AS d FROM events e JOIN med USING (event_type)),
     mad AS (SELECT event_type, median(d) AS mad FROM dev GROUP BY 1)
-    SELECT event_id, event_type AS metric, value, round(m, 4) AS median, round(0.6745 * d / mad, 4) AS z
+    SELECT event_id, event_type AS metric, value, round(m, 4) AS median, round(0.6745 * d / mad, 6) AS z
     FROM dev JOIN mad USING (event_type) WHERE mad > 0 AND 0.6745 * d / mad > 3.5
     """,
 )
@@ -152,7 +152,7 @@ def metric_outliers(spark: SparkSession, folder: str) -> DataFrame:
     samples = Tables(spark, folder).events.select("event_id", F.col("event_type").alias("metric"), "value")
     flagged = metrics.outliers(samples, "metric", "value", spread=["event_id"])
     return flagged.select(
-        "event_id", "metric", "value", F.round("median", 4).alias("median"), F.round("z", 4).alias("z")
+        "event_id", "metric", "value", F.round("median", 4).alias("median"), F.round("z", 6).alias("z")
     )
 
 
@@ -244,9 +244,7 @@ stages AS (
 def stage_quality_gate(spark: SparkSession, folder: str) -> DataFrame:
     """The sales job with a broken customer key against a good run; the fault is ``enrich``."""
     t = Tables(spark, folder)
-    orders = _orders(t).withColumn(
-        "customer_id", F.when(F.col("urgent"), F.lit(None)).otherwise(F.col("customer_id"))
-    ) if "urgent" in _orders(t).columns else t.orders.select(
+    orders = t.orders.select(
         F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey")).alias("customer_id"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
     )
