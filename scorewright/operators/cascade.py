@@ -86,7 +86,7 @@ def last_reply(asked: DataFrame, conversations: DataFrame) -> DataFrame:
         .groupBy("conv_id")
         .agg(F.max_by("text", "turn").alias("_last_text"), F.max("turn").alias("_last_turn"))
     )
-    joined = lookup_join(asked, last, ["conv_id"], spread=["turn"])
+    joined = lookup_join(asked, last, ["conv_id"], spread=["turn"], may_broadcast=False)
     later = F.col("_last_turn") > F.col("turn")
     return joined.withColumn("fallback", F.when(later, F.col("_last_text"))).drop("_last_text", "_last_turn")
 

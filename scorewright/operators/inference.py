@@ -17,18 +17,21 @@ from scorewright.scale import lookup_join
 ModelCall = Callable[[str, str], tuple[str, int]]
 
 
-def replay(prompts: DataFrame, responses: DataFrame, *, spread: list[str]) -> DataFrame:
-    """Attach recorded responses by ``prompt_sha``; a prompt without one gets empty output.
+def replay(
+    prompts: DataFrame, responses: DataFrame, *, spread: list[str], keys: tuple[str, ...] = ("prompt_sha",)
+) -> DataFrame:
+    """Attach recorded responses by their ``keys``; a prompt without one gets empty output.
 
     The same prompt may stand behind any share of the rows, so the join spreads hot keys.
     """
-    unique = responses.dropDuplicates(["prompt_sha"]).select("prompt_sha", "output", "tokens", "error")
-    joined = lookup_join(prompts, unique, ["prompt_sha"], spread=spread)
+    unique = responses.dropDuplicates(list(keys)).select(*keys, "output", "tokens", "latency_s", "error")
+    joined = lookup_join(prompts, unique, keys, spread=spread, may_broadcast=False)
     missing = F.col("output").isNull()
     return joined.withColumns(
         {
             "output": F.coalesce("output", F.lit("")),
             "tokens": F.coalesce("tokens", F.lit(0).cast("bigint")),
+            "latency_s": F.coalesce("latency_s", F.lit(0.0)),
             "error": F.when(missing & F.col("error").isNull(), F.lit("no recorded response")).otherwise(F.col("error")),
         }
     )
@@ -38,14 +41,15 @@ def call_model(prompts: DataFrame, model_call: ModelCall, path: str, *, parallel
     """Answer each distinct prompt that ``path`` does not hold yet, and return the stored responses.
 
     ``model_call(prompt, model)`` returns (output, tokens). A call that raises yields empty output
-    and the error text. Responses are written, keyed by ``prompt_sha``, before anyone reads them: a
-    second run calls only for what is missing. ``parallel_calls`` tasks call at the same time.
+    and the error text. Responses are written, keyed by prompt and model, before anyone reads them:
+    a second run calls only for what is missing. ``parallel_calls`` tasks call at the same time.
     """
     spark = prompts.sparkSession
-    distinct = prompts.select("prompt_sha", "model", "prompt").dropDuplicates(["prompt_sha"])
+    keys = ["prompt_sha", "model"]
+    distinct = prompts.select(*keys, "prompt").dropDuplicates(keys)
     try:
         known = spark.read.schema(schemas.RESPONSE).parquet(path)
-        distinct = distinct.join(known.select("prompt_sha"), "prompt_sha", "left_anti")
+        distinct = distinct.join(known.select(*keys), keys, "left_anti")
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -67,7 +71,7 @@ def call_model(prompts: DataFrame, model_call: ModelCall, path: str, *, parallel
 
     answered = distinct.repartition(parallel_calls, "prompt_sha").mapInPandas(answer, schemas.RESPONSE)
     answered.write.mode("append").parquet(path)
-    return spark.read.schema(schemas.RESPONSE).parquet(path).dropDuplicates(["prompt_sha"])
+    return spark.read.schema(schemas.RESPONSE).parquet(path).dropDuplicates(keys)
 
 
 def _syntax_verdict(code: str | None) -> tuple[bool, str]:

@@ -162,7 +162,7 @@ def retrieve_passages(
     words = materialize(
         lookup_join(words, vocabulary, ["_word"], spread=[passage_id], how="left_semi"), "words"
     )
-    held = words.groupBy(passage_id).agg(F.collect_list("_word").alias("_held"))
+    held = materialize(words.groupBy(passage_id).agg(F.collect_list("_word").alias("_held")), "held")
 
     frequency = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
     by_rarity = Window.partitionBy(question_id).orderBy("_df", "_word")
@@ -180,8 +180,10 @@ def retrieve_passages(
         pairs = lookup_join(
             words, prefix.select("_word", question_id), ["_word"], spread=[passage_id], how="inner"
         ).select(question_id, passage_id).distinct()
+        pairs = materialize(pairs, "pairs")
+        with_held = lookup_join(pairs, held, [passage_id], spread=[question_id], how="inner", stored=True)
         scored = lookup_join(
-            pairs.join(held, passage_id), asked, [question_id], spread=[passage_id], how="inner", stored=True
+            with_held, asked, [question_id], spread=[passage_id], how="inner", stored=True
         ).select(
             question_id, passage_id, F.size(F.array_intersect("_asked", "_held")).cast("bigint").alias("n_shared")
         )

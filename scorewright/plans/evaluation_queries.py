@@ -256,6 +256,7 @@ def replay_responses(spark: SparkSession, folder: str) -> DataFrame:
             "prompt_sha",
             "output",
             F.size(T.words(F.col("output"))).cast("bigint").alias("tokens"),
+            F.lit(0.0).alias("latency_s"),
             F.lit(None).cast("string").alias("error"),
         )
     )

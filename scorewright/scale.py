@@ -89,16 +89,19 @@ def lookup_join(
     stored: bool = False,
     may_broadcast: bool = True,
 ) -> DataFrame:
-    """Join many facts to a table that holds at most one row per key.
+    """Join many facts to a table with one row, or few rows, per key.
 
     The table is written first, so its rows and bytes are known. Below both broadcast bounds it is
     broadcast and the facts do not move. Beyond, both sides are shuffled on the key, and a key that
     holds more than one ``HOT_SHARE``-th of the facts is spread over ``SALTS`` tasks by a salt taken
-    from the ``spread`` columns, its table row being repeated once per salt. There can be at most
-    ``HOT_SHARE`` such keys, whatever the size of the facts. Pass ``stored=True`` for a table that
-    already lies in files, ``may_broadcast=False`` to go the shuffled way at once.
+    from the ``spread`` columns, its table rows being repeated once per salt. There can be at most
+    ``HOT_SHARE`` such keys, whatever the size of the facts.
+
+    Pass ``stored=True`` for a table that already lies in files, and ``may_broadcast=False`` for one
+    that is wide (texts): it is then not written and not broadcast. The shuffled way reads the key
+    columns of the facts twice, so facts that are costly to compute should be stored before.
     """
-    kept = table if stored else materialize(table, "lookup")
+    kept = table if stored or not may_broadcast else materialize(table, "lookup")
     renamed = kept.withColumnsRenamed({key: f"_key_{key}" for key in on})
 
     def same(left: str, right: str):
@@ -109,7 +112,7 @@ def lookup_join(
         return facts.join(F.broadcast(renamed), matches, how).drop(*[f"_key_{key}" for key in on])
 
     uses = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_uses"))
-    total = facts.agg(F.count(F.lit(1)).alias("_total"))
+    total = uses.agg(F.sum("_uses").alias("_total"))
     hot = uses.where(F.col("_uses") * F.lit(HOT_SHARE) > total.scalar())
     hot = materialize(hot.select(*[F.col(key).alias(f"_hot_{key}") for key in on], F.lit(True).alias("_is_hot")), "hot")
     salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))

@@ -82,8 +82,11 @@ def append_results(tagged: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """History table written by :func:`append_results`; prunes on ``run_date``."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+    """History table written by :func:`append_results`; prunes on ``run_date``.
+
+    The fixed schema also fits runs written before a column was added, which read as NULL there.
+    """
+    return spark.read.schema(f"{schemas.RESULT}, run_date DATE").parquet(path)
 
 
 def export_csv(tagged: DataFrame, path: str) -> None:

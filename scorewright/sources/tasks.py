@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright import schemas
 from scorewright.scale import lookup_join
 
 REFS_PER_PART = 10_000
+# Mark of a skipped task, line above each input file, gap between two of them.
 SKIP_MARK = "[SKIPPED]"
+FILE_LINE = ("=== FILE: ", " ===\n")
+BLOCK_GAP = "\n\n"
+
+
+def labelled(name: Column, text: Column) -> Column:
+    """A text under the line that names it."""
+    return F.concat(F.lit(FILE_LINE[0]), name, F.lit(FILE_LINE[1]), text)
 
 
 def read_tasks(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
@@ -37,7 +45,7 @@ def concat_labelled(
     several rows (``part`` 0, 1, ...) to be read one after the other, so that no single row has to
     hold a group without bound; nothing is left out.
     """
-    block = F.concat(F.lit("=== FILE: "), F.col(label), F.lit(" ===\n"), F.col(text))
+    block = labelled(F.col(label), F.col(text))
     parts = pieces.select(
         group,
         F.floor(F.col(position) / F.lit(per_part)).alias("part"),
@@ -46,7 +54,7 @@ def concat_labelled(
     ordered = F.array_sort(F.collect_list("piece"))
     return parts.groupBy(group, "part").agg(
         F.count(F.lit(1)).alias("n_pieces"),
-        F.array_join(F.transform(ordered, lambda piece: piece["block"]), "\n\n").alias("text"),
+        F.array_join(F.transform(ordered, lambda piece: piece["block"]), BLOCK_GAP).alias("text"),
     )
 
 
@@ -58,23 +66,20 @@ def resolve_inputs(tasks: DataFrame, files: DataFrame) -> DataFrame:
     ``missing_ref`` names the first file that is absent.
     """
     wanted = tasks.select("task_id", F.posexplode("input_refs").alias("pos", "ref"))
-    found = lookup_join(wanted, files.select("ref", "text"), ["ref"], spread=["task_id", "pos"])
+    found = lookup_join(
+        wanted, files.select("ref", "text"), ["ref"], spread=["task_id", "pos"], may_broadcast=False
+    )
     per_task = found.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("n_refs"),
         F.count("text").alias("n_found"),
         F.min_by("ref", F.when(F.col("text").isNull(), F.col("pos"))).alias("missing_ref"),
         F.array_sort(F.collect_list(F.struct("pos", "ref", "text"))).alias("pieces"),
     )
-    labelled = F.array_join(
-        F.transform(
-            "pieces", lambda p: F.concat(F.lit("=== FILE: "), p["ref"], F.lit(" ===\n"), p["text"])
-        ),
-        "\n\n",
-    )
+    combined = F.array_join(F.transform("pieces", lambda p: labelled(p["ref"], p["text"])), BLOCK_GAP)
     is_multi = F.col("input_type") == "multi"
     text = F.when(F.coalesce(F.size("input_refs"), F.lit(0)) <= 0, F.col("inline_input")).when(
         F.col("n_found") == F.col("n_refs"),
-        F.when(is_multi, labelled).otherwise(F.get("pieces", 0)["text"]),
+        F.when(is_multi, combined).otherwise(F.get("pieces", 0)["text"]),
     )
     joined = tasks.join(per_task, "task_id", "left")
     has_refs = F.coalesce(F.size("input_refs"), F.lit(0)) > 0
