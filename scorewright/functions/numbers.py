@@ -30,10 +30,14 @@ def half_up(value: Column, places: int) -> Column:
     return F.round(value, places)
 
 
+def size_kb(n_bytes: Column) -> Column:
+    """A number of bytes in units of 1,024 with three places, as DECIMAL."""
+    return F.round(n_bytes.cast("decimal(18,0)") / F.lit(Decimal(1024)), 3).cast("decimal(18,3)")
+
+
 def payload_kb(text: Column) -> Column:
-    """UTF-8 size in units of 1,024 bytes with three places, as DECIMAL."""
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("decimal(18,0)")
-    return F.round(size / F.lit(Decimal(1024)), 3).cast("decimal(18,3)")
+    """UTF-8 size of a text in units of 1,024 bytes with three places; NULL counts as empty."""
+    return size_kb(F.coalesce(F.octet_length(text), F.lit(0)))
 
 
 def blended_price(prices: Mapping[str, tuple[Decimal, Decimal]], model: str) -> Decimal:

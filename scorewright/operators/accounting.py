@@ -40,3 +40,9 @@ def accumulate_calls(calls: DataFrame, by: list[str]) -> DataFrame:
         F.sum("cost_usd").alias("cost_usd"),
         F.sum("data_kb").alias("data_kb"),
     )
+
+
+def overhead(calls: DataFrame, by: list[str], *, model: str) -> DataFrame:
+    """Cost of planning and summarising a run, apart from its tasks: priced once on all its tokens."""
+    totals = calls.groupBy(*by).agg(F.count(F.lit(1)).alias("n_calls"), F.sum("tokens").alias("tokens"))
+    return totals.withColumn("cost_usd", N.call_cost(F.coalesce("tokens", F.lit(0)), F.lit(model)))

@@ -98,7 +98,8 @@ def top_events(events: DataFrame, source: str, order: Sequence[str], *, k: int =
     cut to its ``k`` earliest events, which Spark does before the shuffle, and joined with the
     counts only then; a source with a large share of all events is never sorted as a whole.
     """
-    shaped = events.withColumns({"_form": T.signature(F.col("message")), "_severity": severity(F.col("level"))})
+    form = F.coalesce(T.signature(F.col("message")), F.lit(""))
+    shaped = events.withColumns({"_form": form, "_severity": severity(F.col("level"))})
     group = [source, "_severity", "_form"]
     counts = shaped.groupBy(*group).agg(F.count(F.lit(1)).alias("frequency"))
     earliest = (

@@ -42,25 +42,27 @@ def extractive_summary(docs: DataFrame, doc_id: str, text: str, *, k: int = 3) -
     Ties go to the earlier sentence; the summary keeps document order. Documents are placed by id
     once; every later grouping is by id and something else and finds its rows already together.
     """
-    placed = docs.select(doc_id, text).repartition(doc_id)
-    placed = placed.select(doc_id, T.sentences(F.col(text)).alias("_sentences"))
+    # A struct is never NULL: the join needs no NULL test of its own below the exchange, so both of
+    # its sides share the one exchange of the texts.
+    placed = docs.select(F.struct(doc_id).alias("_doc"), text).repartition("_doc")
+    placed = placed.select("_doc", T.sentences(F.col(text)).alias("_sentences"))
     # The outer form keeps Catalyst from adding a test that would split every text a second time.
-    tokens = placed.select(doc_id, F.posexplode_outer("_sentences").alias("_pos", "_sentence")).select(
-        doc_id, "_pos", F.explode(F.split(F.lower("_sentence"), T.NON_WORD)).alias("_word")
+    tokens = placed.select("_doc", F.posexplode_outer("_sentences").alias("_pos", "_sentence")).select(
+        "_doc", "_pos", F.explode(F.split(F.lower("_sentence"), T.NON_WORD)).alias("_word")
     ).where(F.col("_word") != "")
-    per_word = tokens.groupBy(doc_id, "_word").agg(F.collect_list("_pos").alias("_places"))
+    per_word = tokens.groupBy("_doc", "_word").agg(F.collect_list("_pos").alias("_places"))
     weighted = per_word.select(
-        doc_id, F.size("_places").cast("bigint").alias("_tf"), F.explode("_places").alias("_pos")
+        "_doc", F.size("_places").cast("bigint").alias("_tf"), F.explode("_places").alias("_pos")
     )
-    scored = weighted.groupBy(doc_id, "_pos").agg(
+    scored = weighted.groupBy("_doc", "_pos").agg(
         (F.sum("_tf").cast("double") / F.count(F.lit(1))).alias("_score")
     )
-    best = scored.groupBy(doc_id).agg(
+    best = scored.groupBy("_doc").agg(
         F.slice(F.array_sort(F.collect_list(F.struct(-F.col("_score"), F.col("_pos").alias("at")))), 1, k).alias("_best")
     )
     places = F.array_sort(F.transform("_best", lambda b: b["at"]))
-    return placed.join(best, doc_id, "left").select(
-        doc_id,
+    return placed.join(best, "_doc", "left").select(
+        F.col("_doc")[doc_id].alias(doc_id),
         F.size("_sentences").cast("bigint").alias("n_sentences"),
         F.coalesce(F.size("_best"), F.lit(0)).cast("bigint").alias("n_chosen"),
         F.coalesce(
@@ -153,14 +155,22 @@ def retrieve_passages(
     only behind the m - s + 1 rarest words, so that the common words, found in most passages, are
     read for the score but never used to form pairs.
     """
-    asked = questions.select(question_id, F.array_distinct(T.words(F.col(text))).alias("_asked"))
-    asked = materialize(asked.where(F.size("_asked") > 0), "asked")
-    asked_words = asked.select(question_id, F.size("_asked").alias("_m"), F.explode("_asked").alias("_word"))
-    vocabulary = asked_words.select("_word").distinct()
+    asked_text = questions.select(
+        question_id, F.explode(F.array_distinct(T.words(F.col(text)))).alias("_text")
+    )
+    vocabulary = materialize(
+        asked_text.select("_text").distinct().withColumn("_word", F.monotonically_increasing_id()), "vocabulary"
+    )
+    asked_words = materialize(
+        lookup_join(asked_text, vocabulary, ["_text"], spread=[question_id], how="inner", stored=True).drop("_text"),
+        "asked-words",
+    )
+    asked = materialize(asked_words.groupBy(question_id).agg(F.collect_list("_word").alias("_asked")), "asked")
 
-    words = passages.select(passage_id, F.explode(F.array_distinct(T.words(F.col(text)))).alias("_word"))
+    passage_words = passages.select(passage_id, F.explode(F.array_distinct(T.words(F.col(text)))).alias("_text"))
     words = materialize(
-        lookup_join(words, vocabulary, ["_word"], spread=[passage_id], how="left_semi"), "words"
+        lookup_join(passage_words, vocabulary, ["_text"], spread=[passage_id], how="inner", stored=True).drop("_text"),
+        "words",
     )
     held = materialize(words.groupBy(passage_id).agg(F.collect_list("_word").alias("_held")), "held")
 
@@ -168,7 +178,6 @@ def retrieve_passages(
     by_rarity = Window.partitionBy(question_id).orderBy("_df", "_word")
     ranked = asked_words.join(frequency, "_word").select(
         question_id,
-        "_m",
         "_word",
         F.row_number().over(by_rarity).alias("_nth"),
         F.coalesce(F.sum("_df").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_reached"),

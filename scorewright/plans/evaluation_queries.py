@@ -685,6 +685,43 @@ def run_summary_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return report.run_summary(_results(Tables(spark, folder)), ["source"])
 
 
+@query(
+    "judge_reasons",
+    f"""
+    SELECT doc_id, CASE WHEN lang <> 'es' THEN round(CASE WHEN {sql.strip('text')} = '' THEN 0.0 ELSE {_SQL_RAW} END, 3) END AS score,
+      CASE WHEN lang = 'es' THEN 'no criteria' WHEN {sql.strip('text')} = '' THEN 'no output'
+        ELSE 'quality ' || l.quality END AS judge_reason
+    FROM documents d LEFT JOIN labels l USING (doc_id)
+    WHERE lang = 'es' OR {sql.strip('text')} = '' OR l.quality IS NOT NULL
+    """,
+)
+def judge_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Results that carry a judge's reason."""
+    gated = scoring.judge_gate(
+        _judged_documents(Tables(spark, folder)), output=F.col("text"),
+        criteria=F.when(F.col("lang") != "es", F.lit("is it good")), raw_score=F.col("judged"),
+        reason=F.concat(F.lit("quality "), F.col("quality").cast("string")),
+    )
+    return report.judge_reasons(gated, ["doc_id"])
+
+
+@query(
+    "orchestration_overhead",
+    f"""
+    WITH calls AS (SELECT role, CAST(len({sql.words('text')}) AS BIGINT) AS tokens FROM conversations WHERE role <> 'assistant')
+    SELECT role, count(*) AS n_calls, CAST(sum(tokens) AS BIGINT) AS tokens,
+      CAST((sum(tokens) * 33 + 50) // 100 AS DOUBLE) / 1000000 AS cost_usd
+    FROM calls GROUP BY role
+    """,
+)
+def orchestration_overhead(spark: SparkSession, folder: str) -> DataFrame:
+    """Cost of the calls around the tasks; system and user turns stand in for them."""
+    turns = Tables(spark, folder).conversations.where(F.col("role") != "assistant")
+    calls = turns.select("role", F.size(T.words(F.col("text"))).cast("bigint").alias("tokens"))
+    totals = accounting.overhead(calls, ["role"], model="gpt-4o-mini")
+    return totals.withColumn("cost_usd", F.col("cost_usd").cast("double"))
+
+
 @query(
     "run_comparison",
     f"""

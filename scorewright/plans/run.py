@@ -64,7 +64,7 @@ def evaluate(
         {
             "first_calls": in_cloud.cast("int"),
             "first_cost": F.when(in_cloud, N.call_cost(F.col("tokens"), F.col("model"))).otherwise(F.lit(0)).cast("decimal(18,6)"),
-            "first_kb": F.when(in_cloud, N.payload_kb(F.col("input_text"))).otherwise(F.lit(0)).cast("decimal(18,3)"),
+            "first_kb": F.when(in_cloud, N.size_kb(F.coalesce("input_bytes", F.lit(0)))).otherwise(F.lit(0)).cast("decimal(18,3)"),
         }
     )
     if mode == "hybrid" and escalate is not None:
@@ -188,7 +188,7 @@ def _cascaded(
             "local_output": F.when(got, F.col("output")),
             "second_calls": got.cast("int"),
             "second_cost": F.when(got, N.call_cost(F.col("_tokens2"), F.lit(second_model))).otherwise(F.lit(0)).cast("decimal(18,6)"),
-            "second_kb": F.when(got, N.payload_kb(F.col("input_text"))).otherwise(F.lit(0)).cast("decimal(18,3)"),
+            "second_kb": F.when(got, N.size_kb(F.coalesce("input_bytes", F.lit(0)))).otherwise(F.lit(0)).cast("decimal(18,3)"),
             "error": F.when(weak & ~got, F.coalesce("error", F.lit("no second-tier answer"))).otherwise(F.col("error")),
         }
     )

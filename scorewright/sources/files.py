@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_FILE_BYTES = 256 * 1024 * 1024
+# File extensions read as images.
+IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp")
 
 
 def _plain_path(path: Column) -> Column:
@@ -58,6 +60,19 @@ def binary_manifest(
     return small.unionByName(large)
 
 
+def read_inputs(spark: SparkSession, folder: str, *, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Task inputs below ``folder``: ``ref, text, n_bytes``, images as data URLs.
+
+    ``n_bytes`` is the size of the file itself, which is what sending an image is counted as.
+    """
+    is_image = F.rlike(F.lower("path"), F.lit(r"\.(" + "|".join(IMAGE_EXTENSIONS) + r")$"))
+    texts = read_whole_texts(spark, folder, max_bytes=max_bytes).where(~is_image)
+    images = binary_manifest(spark, folder, max_bytes=max_bytes).where(is_image)
+    url = F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.col("base64"))
+    loaded = texts.unionByName(images.select(_plain_path(F.col("path")).alias("path"), "n_bytes", url.alias("text")))
+    return loaded.select(relative_ref(F.col("path"), folder).alias("ref"), "text", "n_bytes")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header and a fixed schema; rows that do not fit go to ``_corrupt``, not lost."""
     return spark.read.csv(

@@ -61,18 +61,20 @@ def concat_labelled(
 def resolve_inputs(tasks: DataFrame, files: DataFrame) -> DataFrame:
     """Give each task its input text; one missing file leaves the whole task without input.
 
-    ``files`` has one row per ``ref`` with its ``text`` (NULL when it could not be read). Inline
-    tasks keep ``inline_input``. ``input_found`` is false for tasks to be skipped, whose
+    ``files`` has one row per ``ref`` with its ``text`` (NULL when it could not be read) and
+    ``n_bytes``. Inline tasks keep ``inline_input``. ``input_bytes`` is the UTF-8 size of the text,
+    for images that of the file. ``input_found`` is false for tasks to be skipped, whose
     ``missing_ref`` names the first file that is absent.
     """
     wanted = tasks.select("task_id", F.posexplode("input_refs").alias("pos", "ref"))
     found = lookup_join(
-        wanted, files.select("ref", "text"), ["ref"], spread=["task_id", "pos"], may_broadcast=False
+        wanted, files.select("ref", "text", "n_bytes"), ["ref"], spread=["task_id", "pos"], may_broadcast=False
     )
     per_task = found.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("n_refs"),
         F.count("text").alias("n_found"),
         F.min_by("ref", F.when(F.col("text").isNull(), F.col("pos"))).alias("missing_ref"),
+        F.sum("n_bytes").alias("file_bytes"),
         F.array_sort(F.collect_list(F.struct("pos", "ref", "text"))).alias("pieces"),
     )
     combined = F.array_join(F.transform("pieces", lambda p: labelled(p["ref"], p["text"])), BLOCK_GAP)
@@ -87,6 +89,10 @@ def resolve_inputs(tasks: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select(
         *tasks.columns,
         text.alias("input_text"),
+        F.when(F.col("input_type") == "image", F.col("file_bytes"))
+        .otherwise(F.octet_length(text))
+        .cast("bigint")
+        .alias("input_bytes"),
         F.coalesce(complete, F.lit(False)).alias("input_found"),
         F.when(has_refs, F.col("missing_ref")).alias("missing_ref"),
     )

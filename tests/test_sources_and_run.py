@@ -41,13 +41,15 @@ def folder(tmp_path):
 
 
 def found_files(spark, folder):
-    texts = files.read_whole_texts(spark, folder)
-    return texts.withColumn("ref", files.relative_ref(F.col("path"), folder)).select("ref", "text")
+    return files.read_inputs(spark, folder)
 
 
 def test_whole_texts_and_size_limit(spark, folder):
-    got = {r["ref"]: r["text"] for r in found_files(spark, folder).collect()}
-    assert got == {"logs/a.log": "relay refused\nrelay refused\n", "logs/b.log": "ok\n", "img/x.png": "png"}
+    got = {r["ref"]: (r["text"], r["n_bytes"]) for r in found_files(spark, folder).collect()}
+    assert got == {
+        "logs/a.log": ("relay refused\nrelay refused\n", 28), "logs/b.log": ("ok\n", 3),
+        "img/x.png": ("data:image/png;base64,cG5n", 3),
+    }
     limited = {r["path"][-5:]: (r["n_bytes"], r["text"]) for r in files.read_whole_texts(spark, folder, max_bytes=10).collect()}
     assert limited["a.log"] == (28, None) and limited["b.log"] == (3, "ok\n")
 
@@ -76,6 +78,7 @@ def test_inputs(spark, folder):
     assert got["T2"]["input_text"] == "=== FILE: logs/a.log ===\nrelay refused\nrelay refused\n\n\n=== FILE: logs/b.log ===\nok\n"
     assert not got["T3"]["input_found"] and got["T3"]["missing_ref"] == "logs/none.log" and got["T3"]["input_text"] is None
     assert got["T4"]["input_found"] and got["T4"]["input_text"] == "" and got["T6"]["input_text"] == "two floors"
+    assert got["T7"]["input_text"].startswith("data:image/png") and got["T7"]["input_bytes"] == 3
 
 
 def test_concat_in_parts(spark):
