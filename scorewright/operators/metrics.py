@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions.time import MINUTE, SECOND, floor_to
 from scorewright.operators.ordered import exact_quantiles, with_previous
-from scorewright.scale import lookup_join
+from scorewright.scale import lookup_join, materialize
 
 # Scale of the modified z-score and its usual limit.
 Z_SCALE = 0.6745
@@ -27,14 +27,20 @@ def outliers(samples: DataFrame, metric: str, value: str, *, spread: Sequence[st
 
     z = 0.6745 * abs(value - median) / MAD. A metric whose MAD is 0 flags nothing.
     """
-    medians = exact_quantiles(samples, [metric], value, {"median": 0.5}).drop("n_values")
-    centred = lookup_join(samples, medians, [metric], spread=spread, how="inner").withColumn(
-        "_deviation", F.abs(F.col(value) - F.col("median"))
+    # Both statistics come from counts per distinct value; the samples are read twice in all, once
+    # to count them and once to flag them.
+    counts = materialize(samples.groupBy(metric, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    medians = materialize(
+        exact_quantiles(counts, [metric], value, {"median": 0.5}, weight="_n").drop("n_values"), "medians"
     )
-    mads = exact_quantiles(centred, [metric], "_deviation", {"mad": 0.5}).drop("n_values")
-    scored = lookup_join(centred, mads, [metric], spread=spread, how="inner")
-    z = F.when(F.col("mad") > 0, F.lit(Z_SCALE) * F.col("_deviation") / F.col("mad"))
-    return scored.withColumn("z", z).where(F.col("z") > F.lit(limit)).drop("_deviation")
+    deviation = F.abs(F.col(value) - F.col("median"))
+    deviations = lookup_join(counts, medians, [metric], spread=[value], how="inner", stored=True)
+    mads = exact_quantiles(
+        deviations.select(metric, deviation.alias("_deviation"), "_n"), [metric], "_deviation", {"mad": 0.5}, weight="_n"
+    ).drop("n_values")
+    scored = lookup_join(samples, medians.join(mads, metric), [metric], spread=spread, how="inner")
+    z = F.when(F.col("mad") > 0, F.lit(Z_SCALE) * deviation / F.col("mad"))
+    return scored.withColumn("z", z).where(F.col("z") > F.lit(limit))
 
 
 def error_windows(

@@ -50,7 +50,12 @@ def running_totals(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, str]
 ) -> DataFrame:
     """Add inclusive running sums per key: ``totals`` maps new column -> summed column."""
-    sliced = slice_by_range(df, keys, order)
+    return _totals_of_slices(slice_by_range(df, keys, order), keys, order, totals)
+
+
+def _totals_of_slices(
+    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, str]
+) -> DataFrame:
     sums = sliced.groupBy(SLICE, *keys).agg(*[F.sum(src).alias(f"_c_{new}") for new, src in totals.items()])
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(SLICE, *keys, *[F.sum(f"_c_{new}").over(before).alias(f"_c_{new}") for new in totals])
@@ -58,7 +63,7 @@ def running_totals(
     local = sliced.select("*", *[F.sum(src).over(upto).alias(f"_l_{new}") for new, src in totals.items()])
     both = _add_carry(local, carry, keys)
     return both.select(
-        *df.columns,
+        *[c for c in sliced.columns if c != SLICE],
         *[(F.col(f"_l_{new}") + F.coalesce(F.col(f"_c_{new}"), F.lit(0))).alias(new) for new in totals],
     )
 
@@ -81,18 +86,19 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: str, name: str, *,
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, weight: str | None = None
 ) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per key; ``probs`` maps output column -> share.
 
     Counts per distinct value are formed first (with map-side combining), then ranked in slices;
-    only the one or two values next to each wanted rank are kept.
+    only the one or two values next to each wanted rank are kept. ``weight`` names a column that
+    says how often a row counts.
     """
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = materialize(running_totals(counts, keys, [value], {"_upto": "_n"}), "ranked")
-    sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("_size"))
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("_n"))
+    sliced = slice_by_range(counts, keys, [value])
+    sizes = sliced.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    ranked = _totals_of_slices(sliced, keys, [value], {"_upto": "_n"})
     with_size = lookup_join(ranked, sizes, keys, spread=[value], how="inner", null_safe=True)
     picks: list[Column] = []
     for name, share in probs.items():
