@@ -48,9 +48,13 @@ DUCK_NAMES = {
 }
 
 
+SCHEMAS = {}
+
+
 def compare(spark, name, build, sql, folder):
     """None when equal, else a text that says what differs."""
     df = build(spark, folder)
+    SCHEMAS[name] = df.schema.simpleString()
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     relation = duck(folder).sql(sql)
     want = rows_of(relation.columns, relation.fetchall())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from compare import TABLES, compare
+from compare import SCHEMAS, TABLES, compare
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -36,7 +36,7 @@ def test_matches_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty_folder, name):
-    full = QUERIES[name](spark, SMALL)
+    schema = SCHEMAS.get(name) or QUERIES[name](spark, SMALL).schema.simpleString()
     empty = QUERIES[name](spark, empty_folder)
-    assert empty.schema.simpleString() == full.schema.simpleString()
+    assert empty.schema.simpleString() == schema
     empty.collect()
