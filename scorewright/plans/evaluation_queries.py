@@ -247,7 +247,7 @@ def render_prompts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def replay_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded replies attached to prompts by prompt hash."""
-    prompts = _prompted(Tables(spark, folder))
+    prompts = materialize(_prompted(Tables(spark, folder)).select("conv_id", "turn", "reply", "prompt_sha"), "prompts")
     recorded = (
         prompts.where(F.col("reply").isNotNull())
         .groupBy("prompt_sha")

@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_BYTES = 64 * 1024 * 1024
 LITERAL_ROWS = 1_000
 HOT_SHARE = 10_000
 SALTS = 64
@@ -69,13 +70,27 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
     return F.broadcast(spark.range(1, numPartitions=1).select(F.inline(F.array(*structs))))
 
 
+def _value_bytes(schema: T.StructType) -> Column:
+    """About the size of a row in memory; nested values count as their JSON text."""
+    size = F.lit(16 * len(schema.fields)).cast("bigint")
+    for field in schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+    return size
+
+
 def fits_broadcast(stored: DataFrame) -> bool:
-    """Is a table read from files below both broadcast bounds? Counts rows and file bytes."""
-    per_file = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.max("_metadata.file_size").alias("size"), F.count(F.lit(1)).alias("n")
-    )
-    found = per_file.agg(F.sum("size").alias("size"), F.sum("n").alias("n")).first()
-    return (found["n"] or 0) <= BROADCAST_ROWS and (found["size"] or 0) <= BROADCAST_BYTES
+    """Is a stored table below both broadcast bounds? Counts its rows and their bytes in memory.
+
+    The size of its files would not do: repeated values take next to nothing there.
+    """
+    found = stored.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_value_bytes(stored.schema)), F.lit(0)).alias("size")
+    ).first()
+    return found["n"] <= BROADCAST_ROWS and found["size"] <= BROADCAST_BYTES
 
 
 def lookup_join(

@@ -83,6 +83,15 @@ def test_broadcast_bound(spark, monkeypatch):
     assert not scale.fits_broadcast(stored)
 
 
+def test_broadcast_bound_counts_repeated_values(spark, monkeypatch):
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), F.lit(10_000)).alias("s"), F.array(F.lit("y" * 100)).alias("a"))
+    stored = scale.materialize(wide, "wide")
+    assert scale.fits_broadcast(stored)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 1_000_000)
+    assert not scale.fits_broadcast(stored)
+    assert scale.fits_broadcast(scale.materialize(wide.limit(0), "none"))
+
+
 def test_literal_table_is_bounded(spark):
     with pytest.raises(ValueError):
         scale.literal_table(spark, [(i,) for i in range(scale.LITERAL_ROWS + 1)], "a INT")
