@@ -385,7 +385,10 @@ def config_breach(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _signed(t: Tables) -> tuple[DataFrame, DataFrame, Column]:
-    """Reports: errors. Logs: everything else. Alike when value (to the unit) and props agree."""
+    """Reports: errors. Logs: everything else. Alike when value (to the unit) and props agree.
+
+    Both are spelled in letters, since a signature masks digits; the event number is masked.
+    """
     events = t.events.select("event_id", "event_type", "value", "props")
     is_error = F.col("event_type") == "error"
     tail = F.concat(

@@ -85,6 +85,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", os.environ.get("COALESCE", "true"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

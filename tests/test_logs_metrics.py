@@ -78,6 +78,15 @@ def test_top_events(spark):
     assert [r["frequency"] for r in top] == [2, 2, 1]
 
 
+@pytest.fixture
+def many_slices(spark):
+    """Keep Spark from merging few rows into one partition, so that slices carry over."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 @pytest.fixture(scope="module")
 def chatter():
     """Events of five components, one of which has most; some at the same time."""
@@ -89,7 +98,7 @@ def chatter():
     return rows
 
 
-def test_evidence_against_brute_force(spark, chatter):
+def test_evidence_against_brute_force(spark, chatter, many_slices):
     events = spark.createDataFrame(chatter, "id BIGINT, comp STRING, at BIGINT, level STRING")
     got = logs.evidence_before(
         events, "comp", "at", "level", ["INFO", "WARNING", "ERROR"], F.col("level") == "ERROR", lookback=100
@@ -106,7 +115,7 @@ def test_evidence_against_brute_force(spark, chatter):
 
 
 @pytest.mark.parametrize("within", [5, 60, 5_000])
-def test_coverage_against_brute_force(spark, chatter, within):
+def test_coverage_against_brute_force(spark, chatter, within, many_slices):
     errors = spark.createDataFrame([(c, at) for _, c, at, level in chatter if level == "ERROR"], "s STRING, at BIGINT")
     got = correlate.downstream_coverage(errors, "s", "at", within=within)
     found = {(r["s"], r["origin_at"]): r["n_downstream"] for r in got.collect()}
@@ -246,3 +255,25 @@ def test_stream_equals_batch(spark, tmp_path):
     assert run("complete") == want
     closed = run("append")
     assert closed.items() <= want.items() and len(closed) < len(want)
+
+
+def test_stream_drops_rows_behind_the_watermark(spark, tmp_path):
+    from scorewright.streaming import alerts as streaming
+
+    base = datetime(2025, 5, 1)
+    folder, schema = str(tmp_path / "events"), "ts TIMESTAMP_NTZ, failed BOOLEAN"
+    batches = [
+        [(base + timedelta(minutes=m), False) for m in range(60)],
+        [(base + timedelta(minutes=61), True)],
+        [(base + timedelta(minutes=2), True), (base + timedelta(minutes=52), True)],
+        [(base + timedelta(minutes=3), True), (base + timedelta(minutes=120), True)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    stream = reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = streaming.windowed_errors(stream, F.col("failed"), width="5 minutes", delay="10 minutes")
+    got = {r["window_start"]: (r["n_events"], r["n_errors"]) for r in streaming.run_to_end(windows, "late", mode="append").collect()}
+    assert got[base] == (5, 0)
+    assert got[base + timedelta(minutes=50)] == (6, 1)
+    assert base + timedelta(minutes=120) not in got

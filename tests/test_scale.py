@@ -23,10 +23,27 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id BIGINT, k STRING, at BIGINT, v BIGINT").repartition(8).cache()
 
 
+@pytest.fixture(autouse=True)
+def many_slices(spark):
+    """Keep Spark from merging these few rows into one partition, so that there are carries."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 def same(left, right):
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
+def test_slices_cut_the_hot_key(skewed):
+    sliced = ordered.slice_by_range(skewed, ["k"], ["at", "id"])
+    spans = sliced.where("k = 'hot'").groupBy("_slice").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("_slice")
+    found = spans.collect()
+    assert len(found) >= 4
+    assert all(a["hi"] <= b["lo"] for a, b in zip(found, found[1:]))
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_running_totals(skewed, keys):
     got = ordered.running_totals(skewed, keys, ["at", "id"], {"upto": "v"})
