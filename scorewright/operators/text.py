@@ -151,60 +151,78 @@ def retrieve_passages(
 
     Exact, without pairing every question with every passage. A passage that shares at least s of a
     question's m words holds one of its m - s + 1 rarest words. A first round over its rarest words
-    gives s, the ``k``-th best score found so far; the second round looks
-    only behind the m - s + 1 rarest words, so that the common words, found in most passages, are
-    read for the score but never used to form pairs.
+    gives s, the ``k``-th best score found so far; the second round looks only behind the m - s + 1
+    rarest words. Common words, found in most passages, count for the score but form no pairs.
+
+    Copies are worked on once: questions with the same words are one, and so are passages that agree
+    in all words any question asks for, of which the ``k`` lowest ids are kept, the only ones that
+    can be among the best ``k``.
     """
-    asked_text = questions.select(
-        question_id, F.explode(F.array_distinct(T.words(F.col(text)))).alias("_text")
+    listed = questions.select(
+        question_id, F.array_sort(F.array_distinct(T.words(F.col(text)))).alias("_texts")
+    ).where(F.size("_texts") > 0)
+    asked_sets = materialize(
+        listed.select("_texts").distinct().withColumn("_question", F.monotonically_increasing_id()), "asked-sets"
     )
+    asked_text = asked_sets.select("_question", F.explode("_texts").alias("_text"))
     vocabulary = materialize(
         asked_text.select("_text").distinct().withColumn("_word", F.monotonically_increasing_id()), "vocabulary"
     )
     asked_words = materialize(
-        lookup_join(asked_text, vocabulary, ["_text"], spread=[question_id], how="inner", stored=True).drop("_text"),
+        lookup_join(asked_text, vocabulary, ["_text"], spread=["_question"], how="inner", stored=True).drop("_text"),
         "asked-words",
     )
-    asked = materialize(asked_words.groupBy(question_id).agg(F.collect_list("_word").alias("_asked")), "asked")
+    asked = materialize(asked_words.groupBy("_question").agg(F.collect_list("_word").alias("_asked")), "asked")
 
     passage_words = passages.select(passage_id, F.explode(F.array_distinct(T.words(F.col(text)))).alias("_text"))
-    words = materialize(
-        lookup_join(passage_words, vocabulary, ["_text"], spread=[passage_id], how="inner", stored=True).drop("_text"),
-        "words",
+    known_words = lookup_join(
+        passage_words, vocabulary, ["_text"], spread=[passage_id], how="inner", stored=True
+    ).select(passage_id, "_word")
+    holding = known_words.groupBy(passage_id).agg(F.array_sort(F.collect_list("_word")).alias("_held"))
+    by_id = Window.partitionBy("_held").orderBy(passage_id)
+    lowest = holding.withColumn("_nth", F.row_number().over(by_id)).where(F.col("_nth") <= k)
+    held = materialize(
+        lowest.groupBy("_held")
+        .agg(F.array_sort(F.collect_list(passage_id)).alias("_ids"))
+        .withColumn("_passage", F.monotonically_increasing_id()),
+        "held",
     )
-    held = materialize(words.groupBy(passage_id).agg(F.collect_list("_word").alias("_held")), "held")
+    words = materialize(held.select("_passage", F.explode("_held").alias("_word")), "words")
 
     frequency = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
-    by_rarity = Window.partitionBy(question_id).orderBy("_df", "_word")
-    ranked = asked_words.join(frequency, "_word").select(
-        question_id,
+    by_rarity = Window.partitionBy("_question").orderBy("_df", "_word")
+    ranked = lookup_join(asked_words, frequency, ["_word"], spread=["_question"], how="inner").select(
+        "_question",
         "_word",
         F.row_number().over(by_rarity).alias("_nth"),
         F.coalesce(F.sum("_df").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_reached"),
-        F.count(F.lit(1)).over(Window.partitionBy(question_id)).alias("_known"),
+        F.count(F.lit(1)).over(Window.partitionBy("_question")).alias("_known"),
     )
     ranked = materialize(ranked, "rarity")
 
     def best(prefix: DataFrame) -> DataFrame:
-        pairs = lookup_join(
-            words, prefix.select("_word", question_id), ["_word"], spread=[passage_id], how="inner"
-        ).select(question_id, passage_id).distinct()
-        pairs = materialize(pairs, "pairs")
-        with_held = lookup_join(pairs, held, [passage_id], spread=[question_id], how="inner", stored=True)
-        scored = lookup_join(
-            with_held, asked, [question_id], spread=[passage_id], how="inner", stored=True
-        ).select(
-            question_id, passage_id, F.size(F.array_intersect("_asked", "_held")).cast("bigint").alias("n_shared")
+        found = lookup_join(words, prefix.select("_word", "_question"), ["_word"], spread=["_passage"], how="inner")
+        pairs = materialize(found.select("_question", "_passage").distinct(), "pairs")
+        with_held = lookup_join(pairs, held, ["_passage"], spread=["_question"], how="inner", stored=True)
+        both = lookup_join(with_held, asked, ["_question"], spread=["_passage"], how="inner", stored=True)
+        scored = both.select(
+            "_question",
+            F.explode("_ids").alias(passage_id),
+            F.size(F.array_intersect("_asked", "_held")).cast("bigint").alias("n_shared"),
         )
-        order = Window.partitionBy(question_id).orderBy(F.desc("n_shared"), passage_id)
+        order = Window.partitionBy("_question").orderBy(F.desc("n_shared"), passage_id)
         return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
     first = best(ranked.where(F.col("_reached") < SEED_PASSAGES * k))
-    bound = first.groupBy(question_id).agg(
+    bound = first.groupBy("_question").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("n_shared")).otherwise(F.lit(1)).alias("_at_least")
     )
-    needed = ranked.join(bound, question_id).where(F.col("_nth") <= F.col("_known") - F.col("_at_least") + 1)
-    return best(needed)
+    needed = ranked.join(bound, "_question").where(F.col("_nth") <= F.col("_known") - F.col("_at_least") + 1)
+    answers = best(needed)
+    keyed = lookup_join(listed, asked_sets, ["_texts"], spread=[question_id], how="inner", stored=True)
+    return lookup_join(
+        keyed.select(question_id, "_question"), answers, ["_question"], spread=[question_id], how="inner"
+    ).drop("_question")
 
 
 def classify(docs: DataFrame, text: str, labels: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -113,8 +113,10 @@ def test_retrieval_against_brute_force(spark, monkeypatch, k, seed):
     def text():
         return " ".join(chance.sample(common, 4) + chance.sample(rare, chance.randrange(4)))
 
-    passages = [(i, text()) for i in range(80)]
-    questions = [(i, text()) for i in range(15)] + [(15, "unseen words"), (16, ""), (17, "r1 unseen"), (18, "c0")]
+    copy, twin = text(), text()
+    passages = [(i, copy if i % 3 == 0 else text()) for i in range(80)]
+    questions = [(i, twin if i % 3 == 0 else text()) for i in range(15)]
+    questions += [(15, "unseen words"), (16, ""), (17, "r1 unseen"), (18, "c0"), (19, copy)]
     got = ops.retrieve_passages(
         spark.createDataFrame(questions, "q INT, text STRING"), "q", spark.createDataFrame(passages, "p INT, text STRING"), "p", "text", k=k
     )
