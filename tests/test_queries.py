@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 from compare import SCHEMAS, TABLES, compare
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {name: build for name, build in entry.queries().items() if name not in entry.LLM_QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name not in entry.LLM_QUERIES}
 
 
 @pytest.fixture(scope="module")
