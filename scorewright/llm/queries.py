@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import decontaminate, parity_join, token_store
+from scorewright.llm import decontaminate, mixing, parity_join, quality, token_store
 from scorewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,71 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, c
   sha256(coalesce(ids.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+
+@query
+def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed to source weights 1, 2, 3, repeating."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    mixed = mixing.mix_sources(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op5_mix_sources"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS s, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM docs GROUP BY source),
+total AS (SELECT coalesce(sum(s), 0)::BIGINT AS n FROM sources),
+caps AS (
+  SELECT source, s, w, row_number() OVER by_level AS k,
+    coalesce(sum(3 * s) OVER (by_level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS full_before,
+    sum(w) OVER (by_level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS w_left
+  FROM sources WINDOW by_level AS (ORDER BY 3 * s / w, source)),
+level AS (
+  SELECT n - full_before AS rest, w_left FROM caps, total WHERE (n - full_before) * w / w_left <= 3 * s ORDER BY k LIMIT 1),
+targets AS (
+  SELECT source, s, least((3 * s)::DOUBLE, coalesce((SELECT rest * w / w_left FROM level), (3 * s)::DOUBLE)) AS target FROM sources),
+plan AS (
+  SELECT source, s, target, CASE WHEN s > 0 THEN floor(target / s)::BIGINT ELSE 0 END AS whole FROM targets),
+placed AS (
+  SELECT d.doc_id, d.size, p.s, p.target, p.whole, p.target - p.whole * p.s AS want,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, s AS source_size, target,
+  ((whole + CASE WHEN want > 0 AND upto - size / 2 <= want THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM placed
+"""
+
+
+@query
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base measures and the verdict of all documents."""
+    return quality.assess(table(spark, folder, "documents"))
+
+
+ORACLES["op4_quality_rules"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x
+  FROM docs WHERE len(w) >= 3),
+often AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+covered AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM often) GROUP BY r),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(array_to_string(w, '')), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(lines, lambda x: x LIKE '%...')) AS n_ellipses,
+    len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[a-z]')) AS n_lower,
+    len(regexp_extract_all(t, '[^\x00-\x7F]')) AS n_other
+  FROM docs LEFT JOIN covered c USING (r)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 20 * n_words OR n_upper > n_lower OR 100 * (n_upper + n_lower + n_other) < 50 * word_chars
+    OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 100 * n_dup_lines > 60 * n_lines OR 100 * n_ellipses > 30 * n_lines) AS kept
+FROM base
+"""
