@@ -5,16 +5,18 @@ hash into it, so the number of words in which two sketches differ is at most the
 symmetric difference. Two sets of a and b shingles with Jaccard similarity of at least t differ in at
 most d = (1 - t) / (1 + t) * (a + b) shingles. So of the words that are not empty in the one set, all
 but d are the same in the other, and by the pigeonhole principle any d + 1 of them hold a common one,
-as long as both sets choose in the same order. Each set hands out its d + 1 rarest words (rarity is
-counted over all documents in a histogram of fixed size), and sets that share a word are candidates.
+as long as both sets choose in the same order. Each set hands out its d + 1 rarest words and half as many more (rarity is
+counted over all documents in a histogram of fixed size), d being that of its largest partner. Of the
+set whose last word comes first in the order, all but d of the pair are in both selections, so sets
+that share fewer words than that cannot be similar (``_needed``); the others are candidates.
 ``m`` depends on the size band, the bands' bounds being powers of eight; a set whose partners may lie
 in the next band hands out words there too. Sets leave more than d words not empty but for odds below
 1e-17 (few sets are small, and those get sketches of 2**16 or 2**32 words).
 
-Candidates are not all paired. A bucket is the list of documents that share a word. First each
-document is held against the one document that is the smallest of most of its buckets; the verified
-links are joined to components. Copies, in groups of any size, are then one component. After that
-only pairs of different components within a bucket are open, and all of those are verified, so no
+Candidates are not all paired. A bucket is the list of documents that share a word. First, and
+``STARS`` times, each document is held against one that stands for the largest component of its
+buckets; the verified links are joined to components. Copies, in groups of any size, are then one
+component. After that only pairs of different components within a bucket are open, and all of those are verified, so no
 link between components is lost. Verification is on the whole shingle sets.
 
 A word that is in very many documents is spread over several tasks by document; see ``salt_at``.
@@ -27,16 +29,17 @@ has the links of all its rows. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import map_arrow, utf8
 from scorewright.llm.components import components
 from scorewright.llm.shingles import mix, shingle_set, similar
-from scorewright.scale import materialize
+from scorewright.scale import fits_broadcast, materialize
 
 SIZE = 5
 PERCENT = 75
@@ -44,6 +47,11 @@ RARITY_BITS = 16
 KEYS_PER_GROUP = 4_000_000
 GROUPS_PER_PARTITION = 8
 SALT_AT = 4_000_000
+STARS = 2
+SETS_KEPT = 500
+
+#: Words handed out, in per cent of d + 1. More words cost more shuffle and rule out more candidates.
+EXTRA = 150
 
 BAND = 8
 WIDE = {BAND: 1 << 32, BAND**2: 1 << 16}
@@ -58,15 +66,15 @@ def sketch(hashes: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
     while top < n:
         top *= BAND
     most = 100 * n // percent
-    bands = [(top, min(most, top))] + ([(top * BAND, most)] if most > top else [])
+    bands = [top, top * BAND] if most > top else [top]
     made = []
-    for width, partner in bands:
+    for width in bands:
         m = np.uint64(WIDE.get(width, width))
         place = ((hashes >> np.uint64(32)) * m) >> np.uint64(32)  # ascending, as the hashes are
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         parity = np.bitwise_xor.reduceat(hashes, first)
         keys = mix(parity + mix(place[first] * np.uint64(BAND) + np.uint64(width)))
-        made.append((keys, (100 - percent) * (n + partner) // (100 + percent) + 1))
+        made.append((keys, EXTRA * ((100 - percent) * (n + most) // (100 + percent) + 1) // 100))
     return made
 
 
@@ -141,7 +149,10 @@ def _hand_out(size: int, percent: int, groups: int, counts, salt_at: int):
 
 
 def _bucket_rows(keys: np.ndarray, docs: np.ndarray, hot: np.ndarray) -> pa.RecordBatch | None:
-    """Documents of the keys held by more than one; keys with the same documents make one bucket."""
+    """Documents of the keys held by more than one; keys with the same documents make one bucket.
+
+    ``words`` says how many keys a bucket stands for.
+    """
     order = np.lexsort((docs, keys))
     keys, docs, hot = keys[order], docs[order], hot[order]
     new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])))
@@ -152,13 +163,20 @@ def _bucket_rows(keys: np.ndarray, docs: np.ndarray, hot: np.ndarray) -> pa.Reco
     spread = hot[starts]
     names[spread] = keys[starts][spread]
     kept = np.flatnonzero((lengths > 1) | spread)
-    _, once = np.unique(names[kept], return_index=True)
+    _, once, often = np.unique(names[kept], return_index=True, return_counts=True)
     kept = kept[once]
+    words = np.zeros(len(names), np.int64)
+    words[kept] = often
     if not len(kept):
         return None
     rows = np.repeat(starts[kept] - np.cumsum(lengths[kept]) + lengths[kept], lengths[kept]) + np.arange(lengths[kept].sum())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(names[kept], lengths[kept]).view(np.int64)), pa.array(docs[rows])], ["bucket", "doc_id"]
+        [
+            pa.array(np.repeat(names[kept], lengths[kept]).view(np.int64)),
+            pa.array(docs[rows]),
+            pa.array(np.repeat(words[kept], lengths[kept]).astype(np.int64)),
+        ],
+        ["bucket", "doc_id", "words"],
     )
 
 
@@ -186,59 +204,151 @@ def _buckets(counts, salt_at: int):
     return run
 
 
+def bit_sketch(hashes: np.ndarray) -> bytes:
+    """Parity of the shingles in each of 4 to 8 times as many cells as there are shingles."""
+    cells = max(8, 4 << (len(hashes) - 1).bit_length())
+    place = ((hashes >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Cells in which two bit sketches differ; the longer one is folded to the width of the other.
+
+    Each shingle that only one set has flips one cell, so this is at most the symmetric difference.
+    """
+    one, two = (np.unpackbits(np.frombuffer(bits, np.uint8)) for bits in (a, b))
+    if len(one) > len(two):
+        one = np.bitwise_xor.reduce(one.reshape(len(two), -1), axis=1)
+    elif len(two) > len(one):
+        two = np.bitwise_xor.reduce(two.reshape(len(one), -1), axis=1)
+    return int(np.count_nonzero(one != two))
+
+
+def _sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, size) for text in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(hashes) for hashes in sets], pa.int64()),
+                    pa.array([bit_sketch(hashes) for hashes in sets], pa.binary()),
+                ],
+                ["doc_id", "n", "bits"],
+            )
+
+    return run
+
+
+def _close(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b, bits_a, bits_b = (column.to_pylist() for column in batch.columns)
+            kept = [
+                hamming(x, y) <= (100 - percent) * (n + m) // (100 + percent)
+                for n, m, x, y in zip(n_a, n_b, bits_a, bits_b)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
+        set_of = lru_cache(SETS_KEPT)(partial(shingle_set, size=size))
         for batch in batches:
-            kept = []
-            for text_a, text_b in zip(utf8(batch.column(2)), utf8(batch.column(3))):
-                if text_a != last:
-                    last, last_set = text_a, shingle_set(text_a, size)
-                kept.append(text_a == text_b or similar(last_set, shingle_set(text_b, size), percent))
+            both = zip(utf8(batch.column(2)), utf8(batch.column(3)))
+            kept = [a == b or similar(set_of(a), set_of(b), percent) for a, b in both]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
 
+def _on_both(pairs: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+    """``pairs`` (a, b) with columns of ``table`` (doc_id, ...) for either side."""
+    sides = [
+        table.withColumnsRenamed({"doc_id": side} | {name: f"{name}_{side}" for name in names}) for side in ("a", "b")
+    ]
+    joined = pairs.join(sides[1], "b").join(sides[0], "a")
+    return joined.select("a", "b", *[f"{name}_{side}" for name in names for side in ("a", "b")])
+
+
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose shingle sets are similar; written to the shared folder."""
+    """The pairs (a, b) of document ids whose shingle sets are similar; written to the shared folder.
+
+    Pairs whose bit sketches differ in too many cells are dropped before any text is joined to them.
+    """
     pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = materialize(docs.join(needed, "doc_id", "left_semi"), "texts")
-    a, b = texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"})
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return materialize(map_arrow(both, _verify(size, percent), "a bigint, b bigint").distinct(), "verified")
+    needed = materialize(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "needed")
+    wanted = F.broadcast(needed) if fits_broadcast(needed) else needed
+    texts = materialize(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    sketches = materialize(map_arrow(texts, _sketches(size), "doc_id bigint, n bigint, bits binary"), "sketches")
+    close = map_arrow(_on_both(pairs, sketches, ["n", "bits"]), _close(percent), "a bigint, b bigint")
+    close = materialize(close.distinct(), "close")
+    same = map_arrow(_on_both(close, texts, ["text"]), _verify(size, percent), "a bigint, b bigint")
+    return materialize(same.distinct(), "verified")
 
 
-def _first_pairs(buckets: DataFrame) -> DataFrame:
-    """Each document with the one that is the smallest of most of its buckets."""
-    hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"))
-    met = buckets.join(hubs, "bucket").where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("hub")).alias("minus"))).alias("best"))
-    return best.select((-F.col("best.minus")).alias("a"), F.col("doc_id").alias("b"))
+def _needed(x: str, y: str, percent: int) -> Column:
+    """Words that two similar sets share at least, by their sizes.
 
+    A document id with several texts has its least and most shingles; the bound holds for any of them.
+    """
+    least, most = F.least(f"{x}.least", f"{y}.least"), F.col(f"{x}.most") + F.col(f"{y}.most")
+    enough = F.floor((100 - percent) * (least + F.floor(100 * least / percent)) / (100 + percent)) + 1
+    return F.floor(EXTRA * enough / 100) - F.floor((100 - percent) * most / (100 + percent))
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket that lie in different components and whose sizes allow a link.
 
-    The members outside a bucket's largest component are held against all others, so a large
-    component is not paired with itself.
-    """
+def _can_link(x: str, y: str, percent: int) -> Column:
+    """Do the sizes allow a link?"""
+    return (F.col(f"{x}.most") * 100 >= F.col(f"{y}.least") * percent) & (
+        F.col(f"{y}.most") * 100 >= F.col(f"{x}.least") * percent
+    )
+
+
+def _open_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Buckets with more than one component: bucket, words, own, label, largest (of its components)."""
+    own = F.struct("doc_id", "least", "most").alias("own")
+    if labels is None:
+        return buckets.select("bucket", "words", own, F.col("doc_id").alias("label"), F.lit(None).cast("bigint").alias("largest"))
     known = buckets.join(labels, buckets["doc_id"] == labels["node"], "left").select(
-        "bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")
+        "bucket", "words", own, F.coalesce("label", "doc_id").alias("label")
     )
     parts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("bucket").agg(
         F.max(F.struct("n", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("parts")
     )
-    mixed = materialize(
-        known.join(largest.where("parts > 1").select("bucket", "largest"), "bucket").join(sizes, "doc_id"), "open"
-    )
-    few = mixed.where("label <> largest").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    many = mixed.select("bucket", F.col("doc_id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), "largest")
-    fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
-    pairs = few.join(many, "bucket").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("largest")) | (F.col("x") < F.col("y"))) & fits)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return materialize(known.join(largest.where("parts > 1").select("bucket", "largest"), "bucket"), "open")
+
+
+def _star_pairs(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each document with one from the largest component of its buckets, that of most shared words.
+
+    One member stands for the component in a bucket, another one at every turn.
+    """
+    order = F.struct(F.xxhash64("own.doc_id", F.lit(turn)) if turn else F.col("own.doc_id"), "own")
+    inside = mixed.where("largest IS NULL OR label = largest")
+    hubs = inside.groupBy("bucket").agg(F.min(order)["own"].alias("hub"))
+    met = mixed.join(hubs, "bucket").where("own.doc_id <> hub.doc_id AND (largest IS NULL OR label <> largest)")
+    shared = met.where(_can_link("own", "hub", percent)).groupBy("own", "hub").agg(F.sum("words").alias("n"))
+    able = shared.where(F.col("n") >= _needed("own", "hub", percent))
+    best = able.groupBy(F.col("own.doc_id").alias("b")).agg(F.max(F.struct("n", (-F.col("hub.doc_id")).alias("minus"))).alias("best"))
+    return best.select((-F.col("best.minus")).alias("a"), "b")
+
+
+def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """All pairs in different components that share as many words as similar sets must.
+
+    In a bucket, the members outside its largest component are held against all others, so a large
+    component is not paired with itself.
+    """
+    few = mixed.where("label <> largest").select("bucket", "words", F.col("own").alias("x"), F.col("label").alias("lx"))
+    many = mixed.select("bucket", F.col("own").alias("y"), F.col("label").alias("ly"), "largest")
+    once = (F.col("ly") == F.col("largest")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    met = few.join(many, "bucket").where((F.col("lx") != F.col("ly")) & once & _can_link("x", "y", percent))
+    pairs = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("words").alias("n"))
+    able = pairs.where(F.col("n") >= _needed("x", "y", percent))
+    return able.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 
 def join_near(
@@ -246,7 +356,7 @@ def join_near(
 ) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, component_id), and the verified links (a, b) that join them.
 
-    Links are whole between components as they stood after the first pairs: enough to give the
+    Links are whole between components as they stood after the stars: enough to give the
     components of all links. ``salt_at``: uses of a sketch word from which on it is spread.
     """
     spark = docs.sparkSession
@@ -263,15 +373,19 @@ def join_near(
     named = texts.where("doc_id IS NOT NULL")
     handed = map_arrow(named, _hand_out(size, percent, groups, counts, salt_at), "grp bigint, keys binary, docs binary")
     grouped = handed.repartition("grp").sortWithinPartitions("grp")
-    buckets = materialize(
-        map_arrow(grouped, _buckets(counts, salt_at), "bucket bigint, doc_id bigint").distinct(), "buckets"
+    parts = map_arrow(grouped, _buckets(counts, salt_at), "bucket bigint, doc_id bigint, words bigint")
+    sizes = profile.where("cell IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("n").alias("least"), F.max("n").alias("most")
     )
-
-    first = verified(named, _first_pairs(buckets), size, percent)
-    labels = components(first)
-    sizes = profile.where("cell IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n").alias("n"))
-    more = verified(named, _open_pairs(buckets, labels, sizes, percent), size, percent)
-    links = first.unionAll(more)
+    met = parts.groupBy("bucket", "doc_id").agg(F.sum("words").alias("words"))
+    buckets = materialize(met.join(sizes, "doc_id"), "buckets")
+
+    links = labels = None
+    for turn in range(STARS):
+        found = verified(named, _star_pairs(_open_buckets(buckets, labels), turn, percent), size, percent)
+        links = found if links is None else links.unionAll(found)
+        labels = components(links)
+    links = links.unionAll(verified(named, _open_pairs(_open_buckets(buckets, labels), percent), size, percent))
     labels = components(links)
     rows = profile.where("cell IS NULL").select("doc_id", F.col("n").alias("n_shingles"))
     return (
