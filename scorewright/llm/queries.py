@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import decontaminate, mixing, parity_join, quality, token_store
+from scorewright.llm import decontaminate, language_id, mixing, parity_join, quality, secret_scan, token_store
 from scorewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 100 * n_dup_lines > 60 * n_lines OR 100 * n_ellipses > 30 * n_lines) AS kept
 FROM base
 """
+
+
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents, learned from those of three of four folds."""
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.train(docs.where(~held_out).select("lang", "text"))
+    return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+@query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.scan(table(spark, folder, "documents"))
