@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import decontaminate, language_id, mixing, parity_join, quality, secret_scan, token_store
+from scorewright.llm import decontaminate, language_id, mixing, parity_join, quality, secret_scan, token_store, toxicity
 from scorewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,12 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in all documents."""
     return secret_scan.scan(table(spark, folder, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of four of five folds."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels").where(~held_out).select("doc_id", "toxic"))
+    return model.score(docs.select("doc_id", held_out.alias("held_out"), "text"))
