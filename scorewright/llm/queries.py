@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import decontaminate, language_id, mixing, parity_join, quality, secret_scan, token_store, toxicity
+from scorewright.llm import (
+    decontaminate,
+    language_id,
+    license_scan,
+    mixing,
+    parity_join,
+    quality,
+    secret_scan,
+    token_store,
+    toxicity,
+    wrapper_html,
+)
 from scorewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +201,51 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, folder, "labels").where(~held_out).select("doc_id", "toxic"))
     return model.score(docs.select("doc_id", held_out.alias("held_out"), "text"))
+
+
+@query
+def op6_wrapper_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return wrapper_html.main_texts(table(spark, folder, "pages"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences named in all documents."""
+    found = license_scan.scan_licenses(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("licenses", ",").alias("licenses"))
+
+
+def _license_sql() -> str:
+    """The rules as a chain of columns: what is left of the sequence, and whether the rule matched."""
+
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    forms = {license_scan.normal(sentence): name for name, sentence in license_scan.SENTENCES.items()}
+    pairs = ", ".join(f"{text(form)}: {text(name)}" for form, name in forms.items())
+
+    def names(cut: str) -> str:
+        lowered = "translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        form = f"trim(regexp_replace({lowered}, '[^a-z0-9]+', ' ', 'g'))"
+        return f"list_filter(list_transform(regexp_split_to_array(t, {text(cut)}), lambda part: MAP {{{pairs}}}[{form}]), lambda x: x IS NOT NULL)"
+
+    chain, hits = [], []
+    for side in "ab":
+        chain.append(f"'|' || array_to_string(list_transform({side}, lambda x: x || '|'), '|') AS {side}0")
+        for k, (licence, part) in enumerate(license_scan.RULES):
+            rule = text("|" + "||".join(part) + "|")
+            chain.append(f"CASE WHEN contains({side}{k}, {rule}) THEN {text(licence)} END AS f{side}{k}")
+            chain.append(f"replace({side}{k}, {rule}, '|*|') AS {side}{k + 1}")
+            hits.append(f"f{side}{k}")
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+known AS (SELECT doc_id, {names(license_scan.LINES)} AS a, {names(license_scan.PARAGRAPHS)} AS b FROM docs),
+chain AS (SELECT doc_id, a, {", ".join(chain)} FROM known)
+SELECT doc_id, len(a)::BIGINT AS n_sentences,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{", ".join(hits)}], lambda x: x IS NOT NULL))), ','), '') AS licenses
+FROM chain
+"""
+
+
+ORACLES["op1_license_scan"] = _license_sql()
