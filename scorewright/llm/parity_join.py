@@ -1,17 +1,21 @@
 """Exact Jaccard self-join of shingle sets through parity sketches.
 
-A set's sketch is a row of ``m`` 64-bit words. Every shingle picks a word by its hash and XORs its
-hash into it, so the number of words in which two sketches differ is at most the size of the sets'
-symmetric difference. Two sets of a and b shingles with Jaccard similarity of at least t differ in at
-most d = (1 - t) / (1 + t) * (a + b) shingles. So of the words that are not empty in the one set, all
-but d are the same in the other, and by the pigeonhole principle any d + 1 of them hold a common one,
-as long as both sets choose in the same order. Each set hands out its d + 1 rarest words and half as many more (rarity is
-counted over all documents in a histogram of fixed size), d being that of its largest partner. Of the
-set whose last word comes first in the order, all but d of the pair are in both selections, so sets
-that share fewer words than that cannot be similar (``_needed``); the others are candidates.
-``m`` depends on the size band, the bands' bounds being powers of eight; a set whose partners may lie
-in the next band hands out words there too. Sets leave more than d words not empty but for odds below
-1e-17 (few sets are small, and those get sketches of 2**16 or 2**32 words).
+A set's sketch is a row of 2**44 words, nearly all of them empty. Every shingle picks a word by its
+hash and XORs its hash into it, so a word differs between two sketches only if a shingle that one set
+alone has fell into it. Two sets of a and b shingles whose intersection is at least t of the union
+share at least t / (1 + t) * (a + b) shingles, so at most a quarter (1 - t) of the one set's words
+differ, and by the pigeonhole principle any quarter and one more of its words hold a common one, as
+long as both sets choose in the same order. Each set hands out that many of its rarest words (rarity
+is counted over all documents in a histogram of fixed size; it is the order only, so any counts give
+whole results), and sets that share enough of them (``_needed``) are candidates. The words go by size
+band, the bands' bounds being powers of eight; a set whose partners may lie in the next band hands
+out its words there too. The odds that a shingle of the one set falls on a word of the other by chance
+are below 1e-10 a document, and that would matter at the threshold only.
+
+Candidates are held against each other by bit sketches next: the parities of the shingles in a few
+times as many cells as there are shingles. Each shingle that only one set has flips one cell, so the
+Hamming distance is at most the symmetric difference, which is at most (1 - t) / (1 + t) * (a + b) for
+similar sets. Pairs that are too far apart are dropped without their texts.
 
 Candidates are not all paired. A bucket is the list of documents that share a word. First, and
 ``STARS`` times, each document is held against one that stands for the largest component of its
@@ -33,6 +37,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,95 +48,100 @@ from scorewright.scale import fits_broadcast, materialize
 
 SIZE = 5
 PERCENT = 75
-RARITY_BITS = 16
+RARITY_BITS = 24
+RANKS_PER_DOUBLING = 6
 KEYS_PER_GROUP = 4_000_000
 GROUPS_PER_PARTITION = 8
 SALT_AT = 4_000_000
 STARS = 2
 SETS_KEPT = 500
 
-#: Words handed out, in per cent of d + 1. More words cost more shuffle and rule out more candidates.
-EXTRA = 150
-
 BAND = 8
-WIDE = {BAND: 1 << 32, BAND**2: 1 << 16}
+PLACE_BITS = 44
+SLICES = 64
 
 
-def sketch(hashes: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
-    """The words of a set that are not empty, as keys, and how many to hand out; one pair per band."""
+def sketch(hashes: np.ndarray, percent: int) -> tuple[list[np.ndarray], int]:
+    """The words of a set that are not empty, as keys for each of its bands, and how many to hand out."""
     n = len(hashes)
     if not n:
-        return []
+        return [], 0
+    place = hashes >> np.uint64(64 - PLACE_BITS)  # ascending, as the hashes are
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    words = hashes if len(first) == n else np.bitwise_xor.reduceat(hashes, first)
     top = BAND
     while top < n:
         top *= BAND
-    most = 100 * n // percent
-    bands = [top, top * BAND] if most > top else [top]
-    made = []
-    for width in bands:
-        m = np.uint64(WIDE.get(width, width))
-        place = ((hashes >> np.uint64(32)) * m) >> np.uint64(32)  # ascending, as the hashes are
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        parity = np.bitwise_xor.reduceat(hashes, first)
-        keys = mix(parity + mix(place[first] * np.uint64(BAND) + np.uint64(width)))
-        made.append((keys, EXTRA * ((100 - percent) * (n + most) // (100 + percent) + 1) // 100))
-    return made
-
-
-def _profile(size: int, percent: int):
+    bands = [top, top * BAND] if 100 * n // percent > top else [top]
+    return [mix(words + np.uint64(width)) for width in bands], (100 - percent) * n // 100 + 1
+
+
+def _profile(size: int, percent: int, bits: int):
     """Per document its set's size, and per task how often keys fall in each cell of the histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << RARITY_BITS, np.int64)
-        shift = np.uint64(64 - RARITY_BITS)
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             sizes, keys = [], []
             for text in utf8(batch.column(1)):
                 hashes = shingle_set(text, size)
                 sizes.append(len(hashes))
-                keys += [made[0] for made in sketch(hashes, percent)]
+                keys += sketch(hashes, percent)[0]
             if keys:
-                counts += np.bincount((np.concatenate(keys) >> shift).astype(np.int64), minlength=len(counts))
-            nothing = pa.nulls(len(sizes), pa.int64())
+                np.add.at(counts, np.concatenate(keys) >> np.uint64(64 - bits), np.uint32(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), nothing, nothing], ["doc_id", "n", "cell", "uses"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())],
+                ["doc_id", "n", "slice", "counts"],
             )
-        used = np.flatnonzero(counts)
-        nothing = pa.nulls(len(used), pa.int64())
+        press = zstandard.ZstdCompressor(level=1)
+        parts = [press.compress(part.tobytes()) for part in np.split(counts, SLICES)] if counts.any() else []
         yield pa.RecordBatch.from_arrays(
-            [nothing, nothing, pa.array(used, pa.int64()), pa.array(counts[used])], ["doc_id", "n", "cell", "uses"]
+            [pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
+            ["doc_id", "n", "slice", "counts"],
         )
 
     return run
 
 
-def _rank(counts: np.ndarray) -> np.ndarray:
-    """Frequencies as 16-bit ranks; about the logarithm, so any count fits."""
-    return (np.log2(counts + 1.0) * 1000).astype(np.uint64)
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the tasks' counts of each slice, as one-byte ranks: eight times the binary logarithm."""
+    sums: dict[int, np.ndarray] = {}
+    expand = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.frombuffer(expand.decompress(counts), np.uint32)
+            sums[part] = sums[part] + own if part in sums else own.astype(np.int64)
+    ranks = {part: np.minimum(np.log2(own + 1.0) * RANKS_PER_DOUBLING, 255).astype(np.uint8) for part, own in sums.items()}
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(ranks), pa.int32()), pa.array([own.tobytes() for own in ranks.values()], pa.binary())], ["slice", "ranks"]
+    )
+
+
+def _salts(ranks: np.ndarray, salt_at: int) -> np.ndarray:
+    """Tasks over which words of these ranks are spread, at least one."""
+    return np.maximum(np.exp2(ranks / RANKS_PER_DOUBLING) / salt_at, 1).astype(np.uint64)
 
 
-def _hand_out(size: int, percent: int, groups: int, counts, salt_at: int):
+def _hand_out(size: int, percent: int, groups: int, rarity, bits: int, salt_at: int):
     """Each document's rarest words, gathered by group: (grp, keys, docs), two arrays as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uses = counts.value
-        rank = _rank(uses)
-        shift, low = np.uint64(64 - RARITY_BITS), np.uint64((1 << 48) - 1)
+        rank, shift, low = rarity.value, np.uint64(64 - bits), np.uint64((1 << 56) - 1)
         for batch in batches:
             all_keys, all_docs = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                for keys, wanted in sketch(shingle_set(text, size), percent):
+                found, wanted = sketch(shingle_set(text, size), percent)
+                for keys in found:
                     if wanted < len(keys):
-                        order = (rank[keys >> shift] << np.uint64(48)) | (keys & low)
+                        order = (rank[keys >> shift].astype(np.uint64) << np.uint64(56)) | (keys & low)
                         keys = keys[np.argpartition(order, wanted - 1)[:wanted]]
                     all_keys.append(keys)
                     all_docs.append(np.full(len(keys), doc_id, np.int64))
             if not all_keys:
                 continue
             keys, docs = np.concatenate(all_keys), np.concatenate(all_docs)
-            salts = uses[keys >> shift] // salt_at
-            salt = np.where(salts > 0, mix(docs.astype(np.uint64)) % np.maximum(salts, 1).astype(np.uint64), 0)
-            grp = mix(keys + salt.astype(np.uint64)) % np.uint64(groups)
+            salt = mix(docs.astype(np.uint64)) % _salts(rank[keys >> shift], salt_at)
+            grp = mix(keys + salt) % np.uint64(groups)
             order = np.argsort(grp, kind="stable")
             grp, keys, docs = grp[order], keys[order], docs[order]
             starts = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1]))).tolist()
@@ -180,15 +190,15 @@ def _bucket_rows(keys: np.ndarray, docs: np.ndarray, hot: np.ndarray) -> pa.Reco
     )
 
 
-def _buckets(counts, salt_at: int):
+def _buckets(rarity, bits: int, salt_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uses, shift = counts.value, np.uint64(64 - RARITY_BITS)
+        rank, shift = rarity.value, np.uint64(64 - bits)
         group, keys, docs = None, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
             if keys:
                 own = np.frombuffer(b"".join(keys), np.uint64)
-                rows = _bucket_rows(own, np.frombuffer(b"".join(docs), np.int64), uses[own >> shift] >= salt_at)
+                rows = _bucket_rows(own, np.frombuffer(b"".join(docs), np.int64), _salts(rank[own >> shift], salt_at) > 1)
                 if rows is not None:
                     yield rows
 
@@ -290,13 +300,17 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
 
 
 def _needed(x: str, y: str, percent: int) -> Column:
-    """Words that two similar sets share at least, by their sizes.
+    """Words that two similar sets share at least among those handed out, by their sizes.
 
-    A document id with several texts has its least and most shingles; the bound holds for any of them.
+    Of the set whose last word comes first in the order, all but those that differ are in both
+    selections. Where a document id has texts of several sizes, one word is enough.
     """
-    least, most = F.least(f"{x}.least", f"{y}.least"), F.col(f"{x}.most") + F.col(f"{y}.most")
-    enough = F.floor((100 - percent) * (least + F.floor(100 * least / percent)) / (100 + percent)) + 1
-    return F.floor(EXTRA * enough / 100) - F.floor((100 - percent) * most / (100 + percent))
+    both = F.ceil(percent * (F.col(f"{x}.most") + F.col(f"{y}.most")) / (100 + percent))
+    least = F.least(*[
+        F.floor((100 - percent) * F.col(f"{side}.most") / 100) + 1 - F.col(f"{side}.most") + both for side in (x, y)
+    ])
+    plain = (F.col(f"{x}.least") == F.col(f"{x}.most")) & (F.col(f"{y}.least") == F.col(f"{y}.most"))
+    return F.when(plain, F.greatest(least, F.lit(1))).otherwise(F.lit(1))
 
 
 def _can_link(x: str, y: str, percent: int) -> Column:
@@ -352,29 +366,40 @@ def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
 
 
 def join_near(
-    docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, salt_at: int = SALT_AT, group_keys: int = KEYS_PER_GROUP
+    docs: DataFrame,
+    *,
+    size: int = SIZE,
+    percent: int = PERCENT,
+    rarity_bits: int = RARITY_BITS,
+    salt_at: int = SALT_AT,
+    group_keys: int = KEYS_PER_GROUP,
 ) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, component_id), and the verified links (a, b) that join them.
 
     Links are whole between components as they stood after the stars: enough to give the
-    components of all links. ``salt_at``: uses of a sketch word from which on it is spread.
+    components of all links. ``rarity_bits``: the histogram has that power of two of one-byte cells;
+    more of them tell more words apart in a larger corpus. ``salt_at``: uses of a sketch word from which on it is spread.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint"), "text")
-    profile = materialize(map_arrow(texts, _profile(size, percent), "doc_id bigint, n bigint, cell bigint, uses bigint"), "profile")
-    found = profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("uses").alias("uses")).collect()
-    uses = np.zeros(1 << RARITY_BITS, np.int64)
-    for row in found:  # at most 2**RARITY_BITS rows
-        uses[row["cell"]] = row["uses"]
-    counts = spark.sparkContext.broadcast(uses)
+    profile = map_arrow(texts, _profile(size, percent, rarity_bits), "doc_id bigint, n bigint, slice int, counts binary")
+    profile = materialize(profile, "profile")
+    parts = profile.where("slice IS NOT NULL").select("slice", "counts").repartition("slice")
+    rank = np.zeros(1 << rarity_bits, np.uint8)
+    width = len(rank) // SLICES
+    for row in map_arrow(parts, _add_up, "slice int, ranks binary").collect():  # one byte for each cell
+        rank[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["ranks"], np.uint8)
+    rarity = spark.sparkContext.broadcast(rank)
+    rows = profile.where("slice IS NULL").select("doc_id", "n")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(partitions * GROUPS_PER_PARTITION, int(uses.sum()) // group_keys + 1)
+    groups = max(partitions * GROUPS_PER_PARTITION, total // group_keys + 1)
     named = texts.where("doc_id IS NOT NULL")
-    handed = map_arrow(named, _hand_out(size, percent, groups, counts, salt_at), "grp bigint, keys binary, docs binary")
+    handed = map_arrow(named, _hand_out(size, percent, groups, rarity, rarity_bits, salt_at), "grp bigint, keys binary, docs binary")
     grouped = handed.repartition("grp").sortWithinPartitions("grp")
-    parts = map_arrow(grouped, _buckets(counts, salt_at), "bucket bigint, doc_id bigint, words bigint")
-    sizes = profile.where("cell IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+    parts = map_arrow(grouped, _buckets(rarity, rarity_bits, salt_at), "bucket bigint, doc_id bigint, words bigint")
+    sizes = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("n").alias("least"), F.max("n").alias("most")
     )
     met = parts.groupBy("bucket", "doc_id").agg(F.sum("words").alias("words"))
@@ -387,10 +412,9 @@ def join_near(
         labels = components(links)
     links = links.unionAll(verified(named, _open_pairs(_open_buckets(buckets, labels), percent), size, percent))
     labels = components(links)
-    rows = profile.where("cell IS NULL").select("doc_id", F.col("n").alias("n_shingles"))
     return (
         rows.join(labels, rows["doc_id"] == labels["node"], "left").select(
-            "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")
+            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
         ),
         links,
     )
