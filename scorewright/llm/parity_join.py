@@ -61,11 +61,14 @@ PLACE_BITS = 44
 SLICES = 64
 
 
-def sketch(hashes: np.ndarray, percent: int) -> tuple[list[np.ndarray], int]:
-    """The words of a set that are not empty, as keys for each of its bands, and how many to hand out."""
+def sketch(hashes: np.ndarray, percent: int) -> tuple[list[np.ndarray], int, int]:
+    """The words of a set that are not empty, as keys for each of its bands, and how many to hand out.
+
+    The last number is how many of those are enough towards partners that are not smaller.
+    """
     n = len(hashes)
     if not n:
-        return [], 0
+        return [], 0, 0
     place = hashes >> np.uint64(64 - PLACE_BITS)  # ascending, as the hashes are
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     words = hashes if len(first) == n else np.bitwise_xor.reduceat(hashes, first)
@@ -73,7 +76,8 @@ def sketch(hashes: np.ndarray, percent: int) -> tuple[list[np.ndarray], int]:
     while top < n:
         top *= BAND
     bands = [top, top * BAND] if 100 * n // percent > top else [top]
-    return [mix(words + np.uint64(width)) for width in bands], (100 - percent) * n // 100 + 1
+    few = (100 - percent) * n // (100 + percent) + 1
+    return [mix(words + np.uint64(width)) for width in bands], (100 - percent) * n // 100 + 1, few
 
 
 def _profile(size: int, percent: int, bits: int):
@@ -123,27 +127,31 @@ def _salts(ranks: np.ndarray, salt_at: int) -> np.ndarray:
 
 
 def _hand_out(size: int, percent: int, groups: int, rarity, bits: int, salt_at: int):
-    """Each document's rarest words, gathered by group: (grp, keys, docs), two arrays as bytes."""
+    """Each document's rarest words, gathered by group: (grp, keys, docs, rare), three arrays as bytes.
+
+    ``rare`` marks the first of them, which are enough towards partners that are not smaller.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, shift, low = rarity.value, np.uint64(64 - bits), np.uint64((1 << 56) - 1)
         for batch in batches:
-            all_keys, all_docs = [], []
+            all_keys, all_docs, all_rare = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                found, wanted = sketch(shingle_set(text, size), percent)
+                found, wanted, few = sketch(shingle_set(text, size), percent)
                 for keys in found:
-                    if wanted < len(keys):
-                        order = (rank[keys >> shift].astype(np.uint64) << np.uint64(56)) | (keys & low)
-                        keys = keys[np.argpartition(order, wanted - 1)[:wanted]]
+                    order = (rank[keys >> shift].astype(np.uint64) << np.uint64(56)) | (keys & low)
+                    chosen = np.argsort(order)[:wanted]
+                    keys = keys[chosen]
                     all_keys.append(keys)
+                    all_rare.append(np.arange(len(keys)) < few)
                     all_docs.append(np.full(len(keys), doc_id, np.int64))
             if not all_keys:
                 continue
-            keys, docs = np.concatenate(all_keys), np.concatenate(all_docs)
+            keys, docs, rare = np.concatenate(all_keys), np.concatenate(all_docs), np.concatenate(all_rare)
             salt = mix(docs.astype(np.uint64)) % _salts(rank[keys >> shift], salt_at)
             grp = mix(keys + salt) % np.uint64(groups)
             order = np.argsort(grp, kind="stable")
-            grp, keys, docs = grp[order], keys[order], docs[order]
+            grp, keys, docs, rare = grp[order], keys[order], docs[order], rare[order]
             starts = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1]))).tolist()
             ends = [*starts[1:], len(grp)]
             yield pa.RecordBatch.from_arrays(
@@ -151,64 +159,70 @@ def _hand_out(size: int, percent: int, groups: int, rarity, bits: int, salt_at:
                     pa.array(grp[starts].astype(np.int64)),
                     pa.array([keys[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                     pa.array([docs[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                    pa.array([rare[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                 ],
-                ["grp", "keys", "docs"],
+                ["grp", "keys", "docs", "rare"],
             )
 
     return run
 
 
-def _bucket_rows(keys: np.ndarray, docs: np.ndarray, hot: np.ndarray) -> pa.RecordBatch | None:
+def _bucket_rows(keys: np.ndarray, docs: np.ndarray, rare: np.ndarray, hot: np.ndarray) -> pa.RecordBatch | None:
     """Documents of the keys held by more than one; keys with the same documents make one bucket.
 
-    ``words`` says how many keys a bucket stands for.
+    ``words`` says how many keys a bucket stands for, ``rare`` whether a document has one marked so.
     """
-    order = np.lexsort((docs, keys))
-    keys, docs, hot = keys[order], docs[order], hot[order]
+    order = np.lexsort((~rare, docs, keys))
+    keys, docs, rare, hot = keys[order], docs[order], rare[order], hot[order]
     new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])))
-    keys, docs, hot = keys[new], docs[new], hot[new]
+    keys, docs, rare, hot = keys[new], docs[new], rare[new], hot[new]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, len(keys)))
     names = mix(np.add.reduceat(mix(docs.astype(np.uint64)), starts) + lengths.astype(np.uint64))
     spread = hot[starts]
     names[spread] = keys[starts][spread]
     kept = np.flatnonzero((lengths > 1) | spread)
-    _, once, often = np.unique(names[kept], return_index=True, return_counts=True)
-    kept = kept[once]
-    words = np.zeros(len(names), np.int64)
-    words[kept] = often
     if not len(kept):
         return None
+    same, once, which, often = np.unique(names[kept], return_index=True, return_inverse=True, return_counts=True)
+    # A key's documents are in order, so like buckets have theirs at the same places.
     rows = np.repeat(starts[kept] - np.cumsum(lengths[kept]) + lengths[kept], lengths[kept]) + np.arange(lengths[kept].sum())
+    sizes = lengths[kept[once]]
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(lengths[kept]) - lengths[kept], lengths[kept])
+    marked = np.zeros(sizes.sum(), bool)
+    np.logical_or.at(marked, np.repeat(begins[which], lengths[kept]) + place, rare[rows])
+    firsts = np.repeat(starts[kept[once]] - begins, sizes) + np.arange(sizes.sum())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.repeat(names[kept], lengths[kept]).view(np.int64)),
-            pa.array(docs[rows]),
-            pa.array(np.repeat(words[kept], lengths[kept]).astype(np.int64)),
+            pa.array(np.repeat(same, sizes).view(np.int64)),
+            pa.array(docs[firsts]),
+            pa.array(np.repeat(often, sizes).astype(np.int64)),
+            pa.array(marked),
         ],
-        ["bucket", "doc_id", "words"],
+        ["bucket", "doc_id", "words", "rare"],
     )
 
 
 def _buckets(rarity, bits: int, salt_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, shift = rarity.value, np.uint64(64 - bits)
-        group, keys, docs = None, [], []
+        group, held = None, ([], [], [])
 
         def done() -> Iterator[pa.RecordBatch]:
-            if keys:
-                own = np.frombuffer(b"".join(keys), np.uint64)
-                rows = _bucket_rows(own, np.frombuffer(b"".join(docs), np.int64), _salts(rank[own >> shift], salt_at) > 1)
+            if held[0]:
+                keys, docs, rare = (np.frombuffer(b"".join(parts), kind) for parts, kind in zip(held, (np.uint64, np.int64, bool)))
+                rows = _bucket_rows(keys, docs, rare, _salts(rank[keys >> shift], salt_at) > 1)
                 if rows is not None:
                     yield rows
 
         for batch in batches:
-            for grp, some_keys, some_docs in zip(*(column.to_pylist() for column in batch.columns)):
+            for grp, *parts in zip(*(column.to_pylist() for column in batch.columns)):
                 if grp != group:
                     yield from done()
-                    group, keys, docs = grp, [], []
-                keys.append(some_keys)
-                docs.append(some_docs)
+                    group, held = grp, ([], [], [])
+                for whole, part in zip(held, parts):
+                    whole.append(part)
         yield from done()
 
     return run
@@ -321,12 +335,12 @@ def _can_link(x: str, y: str, percent: int) -> Column:
 
 
 def _open_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Buckets with more than one component: bucket, words, own, label, largest (of its components)."""
+    """Buckets with more than one component: bucket, words, rare, own, label, largest (of its components)."""
     own = F.struct("doc_id", "least", "most").alias("own")
     if labels is None:
-        return buckets.select("bucket", "words", own, F.col("doc_id").alias("label"), F.lit(None).cast("bigint").alias("largest"))
+        return buckets.select("bucket", "words", "rare", own, F.col("doc_id").alias("label"), F.lit(None).cast("bigint").alias("largest"))
     known = buckets.join(labels, buckets["doc_id"] == labels["node"], "left").select(
-        "bucket", "words", own, F.coalesce("label", "doc_id").alias("label")
+        "bucket", "words", "rare", own, F.coalesce("label", "doc_id").alias("label")
     )
     parts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("bucket").agg(
@@ -351,18 +365,20 @@ def _star_pairs(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """All pairs in different components that share as many words as similar sets must.
+    """All pairs in different components that share a word which the smaller set has marked as rare.
 
-    In a bucket, the members outside its largest component are held against all others, so a large
-    component is not paired with itself.
+    Of two similar sets, at most a seventh (1 - t) / (1 + t) of the smaller one's words differ, so fewer
+    of its words are enough. In a bucket, the members outside its largest component are held against
+    all others, so a large component is not paired with itself.
     """
-    few = mixed.where("label <> largest").select("bucket", "words", F.col("own").alias("x"), F.col("label").alias("lx"))
-    many = mixed.select("bucket", F.col("own").alias("y"), F.col("label").alias("ly"), "largest")
+    few = mixed.where("label <> largest").select("bucket", F.col("own").alias("x"), F.col("label").alias("lx"), F.col("rare").alias("rx"))
+    many = mixed.select("bucket", F.col("own").alias("y"), F.col("label").alias("ly"), F.col("rare").alias("ry"), "largest")
     once = (F.col("ly") == F.col("largest")) | (F.col("x.doc_id") < F.col("y.doc_id"))
-    met = few.join(many, "bucket").where((F.col("lx") != F.col("ly")) & once & _can_link("x", "y", percent))
-    pairs = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("words").alias("n"))
-    able = pairs.where(F.col("n") >= _needed("x", "y", percent))
-    return able.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    smaller = F.struct("x.most", "x.doc_id") < F.struct("y.most", "y.doc_id")
+    plain = (F.col("x.least") == F.col("x.most")) & (F.col("y.least") == F.col("y.most"))
+    marked = F.when(plain, F.when(smaller, F.col("rx")).otherwise(F.col("ry"))).otherwise(F.lit(True))
+    met = few.join(many, "bucket").where((F.col("lx") != F.col("ly")) & once & marked & _can_link("x", "y", percent))
+    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def join_near(
@@ -396,13 +412,15 @@ def join_near(
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(partitions * GROUPS_PER_PARTITION, total // group_keys + 1)
     named = texts.where("doc_id IS NOT NULL")
-    handed = map_arrow(named, _hand_out(size, percent, groups, rarity, rarity_bits, salt_at), "grp bigint, keys binary, docs binary")
+    handed = map_arrow(named, _hand_out(size, percent, groups, rarity, rarity_bits, salt_at), "grp bigint, keys binary, docs binary, rare binary")
     grouped = handed.repartition("grp").sortWithinPartitions("grp")
-    parts = map_arrow(grouped, _buckets(rarity, rarity_bits, salt_at), "bucket bigint, doc_id bigint, words bigint")
+    parts = map_arrow(grouped, _buckets(rarity, rarity_bits, salt_at), "bucket bigint, doc_id bigint, words bigint, rare boolean")
     sizes = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("n").alias("least"), F.max("n").alias("most")
     )
-    met = parts.groupBy("bucket", "doc_id").agg(F.sum("words").alias("words"))
+    met = parts.groupBy("bucket", "doc_id").agg(
+        F.sum("words").alias("words"), F.max("rare").alias("rare")
+    )
     buckets = materialize(met.join(sizes, "doc_id"), "buckets")
 
     links = labels = None
