@@ -36,13 +36,3 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
-
-    def spread(self, name: str, key: str) -> DataFrame:
-        """The scan, hashed on ``key`` when its files have fewer splits than there are cores.
-
-        Only small or coarsely written files are moved; a large table has more splits than cores
-        and is read as it lies. For work that costs much more per row than moving the row.
-        """
-        table = getattr(self, name)
-        cores = self._spark.sparkContext.defaultParallelism
-        return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
