@@ -774,7 +774,7 @@ def _history_results(t: Tables, category: Column, agent: Column) -> DataFrame:
         "cost_usd",
         "data_kb",
         F.lit("judge (expected)").alias("score_method"),
-        F.concat(F.lit("first line\n"), F.left("output", F.lit(1_000))).alias("judge_reason"),
+        F.concat(F.lit("first line\n"), "output").alias("judge_reason"),
     )
 
 
@@ -813,7 +813,7 @@ def history_scan(spark: SparkSession, folder: str) -> DataFrame:
     f"""
     WITH {_SQL_RESULTS}
     SELECT s.system, lang AS category, count(*) AS n_rows, count(score) AS n_scores,
-      CAST(sum(least(length(output), 489) + 11) AS BIGINT) AS reason_chars
+      CAST(sum(length(output) + 11) AS BIGINT) AS reason_chars
     FROM results, (VALUES ('hybrid'), ('cloud_only')) s(system) GROUP BY ALL
     """,
 )

@@ -63,8 +63,8 @@ def read_history(spark: SparkSession, paths: Sequence[str], *, early: Sequence[s
 
 
 def tag_run(results: DataFrame, system: str, model: str) -> DataFrame:
-    """Give all rows of a run one time, system and model, and cut the judge's reason to one line."""
-    reason = F.left(F.regexp_replace(F.coalesce("judge_reason", F.lit("")), "\n", " "), F.lit(schemas.REASON_CHARS))
+    """Give all rows of a run one time, system and model, and put the judge's reason on one line."""
+    reason = F.regexp_replace(F.coalesce("judge_reason", F.lit("")), "\n", " ")
     return results.withColumns(
         {
             "run_time": F.current_timestamp(),
@@ -89,6 +89,12 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{schemas.RESULT}, run_date DATE").parquet(path)
 
 
-def export_csv(tagged: DataFrame, path: str) -> None:
-    """Append a run as CSV with a header in every file and NULL as an empty field."""
+def export_csv(tagged: DataFrame, path: str, *, reason_chars: int | None = schemas.REASON_CHARS) -> None:
+    """Append a run as CSV with a header in every file and NULL as an empty field.
+
+    Reasons are cut to ``reason_chars`` here, as readers of these files expect; None keeps them whole.
+    The history table always has them whole.
+    """
+    if reason_chars is not None and "judge_reason" in tagged.columns:
+        tagged = tagged.withColumn("judge_reason", F.left("judge_reason", F.lit(reason_chars)))
     tagged.write.mode("append").csv(path, header=True, nullValue="", escape='"', timestampFormat="yyyy-MM-dd HH:mm:ss")

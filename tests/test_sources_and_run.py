@@ -196,8 +196,8 @@ def test_history_layouts(spark, tmp_path):
     assert history.read_history(spark, []).count() == 0
 
 
-def test_tag_cuts_reasons(spark):
+def test_tag_keeps_whole_reasons_on_one_line(spark):
     row = spark.createDataFrame([("t", "line\n" * 200)], "task_id STRING, judge_reason STRING")
     full = row.withColumns({c: F.lit(None) for c in history.COLUMNS if c not in ("task_id", "judge_reason", "run_time", "system", "model")})
     got = history.tag_run(full, "s", "m").first()
-    assert len(got["judge_reason"]) == 500 and "\n" not in got["judge_reason"]
+    assert len(got["judge_reason"]) == 1000 and "\n" not in got["judge_reason"]
