@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import UPPER
+from scorewright.llm.common import UPPER, lower_ascii
 
 MOST_SENTENCES = 1_000
 MOST_RULES = 200
@@ -122,7 +122,7 @@ def normal(sentence: str) -> str:
 
 def _known(text: Column, cut: str, table: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    found = F.transform(F.split(text, cut), lambda part: F.element_at(table, F.trim(F.regexp_replace(F.lower(part), "[^a-z0-9]+", " "))))
+    found = F.transform(F.split(text, cut), lambda part: F.element_at(table, F.trim(F.regexp_replace(lower_ascii(part), "[^a-z0-9]+", " "))))
     return F.filter(found, lambda name: name.isNotNull())
 
 

@@ -15,7 +15,8 @@ The wrappers are joined to the pages by host: broadcast if they are few, else wi
 
 Rows: one output row per page, whole html. A null html is empty; a null or unreadable url belongs to
 the host ''. Broken markup is read as browsers do in the common cases: end tags implied, stray ones
-ignored, open elements closed at the end. A page without text gives an empty string. Hosts with fewer
+ignored, open elements closed at the end; elements more than ``DEEPEST`` levels deep lie side by side in
+the one at that level, with their texts. A page without text gives an empty string. Hosts with fewer
 than ``LEAST_PAGES`` pages have no constant texts. Extra columns are ignored.
 """
 
@@ -41,6 +42,8 @@ LEAST_PAGES = 4
 CONSTANT = 0.8
 HELD = 0.9
 LINKED = 0.8
+#: Below the interpreter's limit on nested calls; browsers have a bound of this size, too.
+DEEPEST = 400
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -97,7 +100,7 @@ class Node:
 def parse(page: str) -> Node:
     """The DOM tree of a page under one ``#root`` node."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, tags, at = [root], [root.tag], 0  # the open elements and their tags
     while True:
         match = TAG.search(page, at)
         text = page[at : match.start()] if match else page[at:]
@@ -111,31 +114,32 @@ def parse(page: str) -> Node:
             continue
         if match[1] or match[4]:
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
+                if tags[depth] == tag:
+                    del stack[depth:], tags[depth:]
                     break
             continue
         attributes = match[3] or match[6] or ""
         if tag in CLOSES_P:
-            _close(stack, ("p",))
+            _close(stack, tags, ("p",))
         if tag in SIBLINGS:
-            _close(stack, SIBLINGS[tag])
+            _close(stack, tags, SIBLINGS[tag])
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not attributes.endswith("/"):
-            stack.append(node)
+            stack.append(node if len(stack) < DEEPEST else stack[-1])
+            tags.append(tag)
 
 
-def _close(stack: list[Node], tags: tuple[str, ...]) -> None:
-    """Close the innermost open element of ``tags``, unless a container lies in between."""
+def _close(stack: list[Node], tags: list[str], wanted: tuple[str, ...]) -> None:
+    """Close the innermost open element of the ``wanted`` tags, unless a container lies in between."""
     for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].tag in tags:
-            del stack[depth:]
+        if tags[depth] in wanted:
+            del stack[depth:], tags[depth:]
             return
-        if stack[depth].tag in LIMITS:
+        if tags[depth] in LIMITS:
             return
 
 

@@ -235,6 +235,14 @@ def test_wrapper_without_article():
     )
 
 
+def test_deep_pages():
+    depth = 5 * wrapper_html.DEEPEST
+    page = "<body>" + "<div>" * depth + "<p>inside</p>" + "</div>" * depth + "<p>after</p><b>" + "<b>" * depth + "end"
+    wrapper = wrapper_html.induce([page] * 3)
+    assert wrapper_html.extract(page, {"path": [], "constants": []}) == "inside\nafter\nend"
+    assert wrapper_html.extract(page, wrapper | {"constants": frozenset()}).split("\n")[0] == "inside"
+
+
 def test_pages_give_back_their_documents(spark):
     folder = "/root/testdata/sf0.01"
     found = entry.queries()["op6_wrapper_html"](spark, folder).collect()
@@ -319,10 +327,10 @@ def test_license_rules(spark):
         "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "
         '"AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n'
     )
-    rows = [(1, None), (2, ""), (3, "text\nReleased under the MIT License."), (4, apache), (5, "no licence here. Really!")]
+    rows = [(1, None), (2, ""), (3, "text\nReleased under the MIT License."), (4, apache), (5, "no licence here. Really!"), (6, "MIT LICEN\u017fE\nReleased under the MIT Licen\u017fe")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {r.doc_id: r.licenses for r in license_scan.scan_licenses(docs).collect()}
-    assert found == {1: [], 2: [], 3: ["MIT"], 4: ["Apache-2.0"], 5: []}
+    assert found == {1: [], 2: [], 3: ["MIT"], 4: ["Apache-2.0"], 5: [], 6: []}
 
 
 # Pipeline
