@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright import schemas
@@ -17,6 +17,13 @@ from scorewright.scale import lookup_join
 ModelCall = Callable[[str, str], tuple[str, int]]
 
 
+def one_per_key(responses: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """One response per key: one without error first, then by output, tokens, latency and error text."""
+    keys = list(keys)
+    order = Window.partitionBy(*keys).orderBy(F.col("error").isNotNull(), "output", "tokens", "latency_s", "error")
+    return responses.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+
+
 def replay(
     prompts: DataFrame, responses: DataFrame, *, spread: list[str], keys: tuple[str, ...] = ("prompt_sha",)
 ) -> DataFrame:
@@ -24,7 +31,7 @@ def replay(
 
     The same prompt may stand behind any share of the rows, so the join spreads hot keys.
     """
-    unique = responses.dropDuplicates(list(keys)).select(*keys, "output", "tokens", "latency_s", "error")
+    unique = one_per_key(responses, keys).select(*keys, "output", "tokens", "latency_s", "error")
     joined = lookup_join(prompts, unique, keys, spread=spread, may_broadcast=False)
     missing = F.col("output").isNull()
     return joined.withColumns(
@@ -42,14 +49,15 @@ def call_model(prompts: DataFrame, model_call: ModelCall, path: str, *, parallel
 
     ``model_call(prompt, model)`` returns (output, tokens). A call that raises yields empty output
     and the error text. Responses are written, keyed by prompt and model, before anyone reads them:
-    a second run calls only for what is missing. ``parallel_calls`` tasks call at the same time.
+    a second run calls only for what is missing or has failed so far. ``parallel_calls`` tasks call
+    at the same time.
     """
     spark = prompts.sparkSession
     keys = ["prompt_sha", "model"]
     distinct = prompts.select(*keys, "prompt").dropDuplicates(keys)
     try:
         known = spark.read.schema(schemas.RESPONSE).parquet(path)
-        distinct = distinct.join(known.select(*keys), keys, "left_anti")
+        distinct = distinct.join(known.where("error IS NULL").select(*keys), keys, "left_anti")
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -71,14 +79,14 @@ def call_model(prompts: DataFrame, model_call: ModelCall, path: str, *, parallel
 
     answered = distinct.repartition(parallel_calls, "prompt_sha").mapInPandas(answer, schemas.RESPONSE)
     answered.write.mode("append").parquet(path)
-    return spark.read.schema(schemas.RESPONSE).parquet(path).dropDuplicates(keys)
+    return one_per_key(spark.read.schema(schemas.RESPONSE).parquet(path), keys)
 
 
 def _syntax_verdict(code: str | None) -> tuple[bool, str]:
     try:
         body = ast.parse(code or "").body
     except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
-        return False, f"parse failed: {str(error)[:40]}"
+        return False, f"parse failed: {error}"
     for node in body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.ImportFrom)):
             return True, "parsed, defines a callable"
@@ -111,9 +119,15 @@ def code_gate(answers: DataFrame, id_column: str, code: str) -> DataFrame:
 def parse_items(answers: DataFrame, raw: str, item_schema: str = schemas.PLAN_ITEM) -> DataFrame:
     """Add ``items``, the JSON array in the answer, and ``valid``; what does not parse is empty.
 
-    A code fence around the array is dropped first.
+    A code fence around the array is dropped first. Valid is only an array that takes the whole text
+    and whose values have the types of ``item_schema``. The text is parsed as a field of an object and
+    as an element of an array: what follows the array breaks the one or the other.
     """
-    parsed = F.from_json(T.first_code_block(F.col(raw)), item_schema, {"mode": "PERMISSIVE"})
-    return answers.withColumn("items", parsed).withColumns(
-        {"valid": F.col("items").isNotNull(), "items": F.coalesce("items", F.array())}
+    text = T.first_code_block(F.col(raw))
+    corrupt = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    field = F.from_json(F.concat(F.lit('{"items": '), text, F.lit("}")), f"items {item_schema}, _corrupt STRING", corrupt)
+    element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "ARRAY<STRING>")
+    valid = field["items"].isNotNull() & field["_corrupt"].isNull() & (F.size(element) == 1)
+    return answers.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumn(
+        "items", F.when(F.col("valid"), field["items"]).otherwise(F.array())
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.time import MINUTE, SECOND, floor_to
-from scorewright.operators.ordered import exact_quantiles, with_previous
+from scorewright.operators.ordered import exact_quantiles, running_totals, with_previous
 from scorewright.scale import lookup_join, materialize
 
 # Scale of the modified z-score and its usual limit.
@@ -77,12 +77,12 @@ def alerts(windows: DataFrame, *, share: float, min_events: int) -> DataFrame:
 def alert_runs(alerted: DataFrame, *, step: int, by: Sequence[str] = ()) -> DataFrame:
     """Consecutive alert windows merged into one run, with the time it was first detected.
 
-    Works on alert windows, of which a key has at most one per ``step``.
+    Works on alert windows, of which a key has at most one per ``step``, in slices of time: a key
+    with very many of them, or no key at all, does not end in one task.
     """
-    ordered = Window.partitionBy(*by).orderBy("window_start")
-    previous = F.lag("window_start").over(ordered)
-    starts = F.when(F.col("window_start") - previous == step, F.lit(0)).otherwise(F.lit(1))
-    numbered = alerted.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(ordered))
+    before = with_previous(alerted, by, "window_start", "_before")
+    starts = F.when(F.col("window_start") - F.col("_before") == step, F.lit(0)).otherwise(F.lit(1))
+    numbered = running_totals(before.withColumn("_starts", starts), by, ["window_start"], {"_run": "_starts"})
     return numbered.groupBy(*by, "_run").agg(
         F.min("window_start").alias("first_detected"),
         F.max("window_start").alias("last_window"),

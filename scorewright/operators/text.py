@@ -25,7 +25,6 @@ ENTITY_HINTS = {"date": r"\d{4}", "email": "@"}
 HTML_HEADING = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>"
 HTML_PARAGRAPH = r"(?is)</h1>.*?<p(?:\s[^>]*)?>(.*?)(?:</p>|<p[\s>]|<h[1-6]|</article>|\z)"
 HTML_TAG = r"(?s)<[^>]*>"
-MAX_HEADING_CHARS = 80
 # Passages looked at per wanted one in the first retrieval round; any value gives the same result.
 SEED_PASSAGES = 30
 
@@ -88,13 +87,13 @@ def outline_html(pages: DataFrame, html: str) -> DataFrame:
 def outline_text(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Sections of plain text: ``section, heading, lead``.
 
-    A section is a block between blank lines. Its heading is a short first line without end mark
-    above more text, or a ``Label:`` that the text follows; the lead is the first sentence after it.
+    A section is a block between blank lines. Its heading is a first line without end mark, of
+    any length, above more text, or a ``Label:`` that the text follows; the lead is the first sentence after it.
     """
     blocks = docs.select(doc_id, F.posexplode(F.split(text, r"\n[ \t]*\n\s*")).alias("_at", "_block"))
     own_line = F.regexp_extract("_block", r"\A\s*([^\n]*[^\s.!?:;,])[ \t]*\n", 1)
     label = F.regexp_extract("_block", r"\A\s*(\p{Lu}[\p{L} ]*):\s+\S", 1)
-    by_line = (own_line != "") & (F.length(own_line) <= MAX_HEADING_CHARS) & (label == "")
+    by_line = (own_line != "") & (label == "")
     heading = F.when(by_line, own_line).when(label != "", label)
     body = F.when(by_line, F.regexp_replace("_block", r"\A\s*[^\n]*\n", "")).otherwise(
         F.regexp_replace("_block", r"\A\s*[^:]*:", "")

@@ -72,8 +72,8 @@ def outline(spark: SparkSession, folder: str) -> DataFrame:
       SELECT doc_id, section, block, regexp_extract(block, '\A\s*([^\n]*[^\s.!?:;,])[ \t]*\n', 1) AS own,
         regexp_extract(block, '\A\s*(\p{{Lu}}[\p{{L}} ]*):\s+\S', 1) AS label FROM blocks),
     bodies AS (
-      SELECT doc_id, section, CASE WHEN own <> '' AND length(own) <= 80 AND label = '' THEN own WHEN label <> '' THEN label END AS heading,
-        regexp_replace(CASE WHEN own <> '' AND length(own) <= 80 AND label = '' THEN regexp_replace(block, '\A\s*[^\n]*\n', '')
+      SELECT doc_id, section, CASE WHEN own <> '' AND label = '' THEN own WHEN label <> '' THEN label END AS heading,
+        regexp_replace(CASE WHEN own <> '' AND label = '' THEN regexp_replace(block, '\A\s*[^\n]*\n', '')
           ELSE regexp_replace(block, '\A\s*[^:]*:', '') END, '[\t\n\x0b\f\r ]+', ' ', 'g') AS body FROM parts)
     SELECT doc_id, CAST(section AS BIGINT) AS section, heading, coalesce({sql.sentences('body')}[1], '') AS lead FROM bodies WHERE heading IS NOT NULL
     """,

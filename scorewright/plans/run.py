@@ -134,9 +134,10 @@ def _scored(
             "task_id", F.col("f1_raw").alias("_judged"), F.lit(None).cast("string").alias("_reason")
         )
     else:
-        judged = judgements.join(stored.select("task_id", "model"), ["task_id", "model"], "left_semi").select(
-            "task_id", F.col("raw_score").alias("_judged"), F.col("reason").alias("_reason")
-        )
+        # Of several judgements of one answer the highest counts, then the last reason in order.
+        wanted = judgements.join(stored.select("task_id", "model"), ["task_id", "model"], "left_semi")
+        best = wanted.groupBy("task_id", "model").agg(F.max(F.struct("raw_score", "reason")).alias("_best"))
+        judged = best.select("task_id", F.col("_best.raw_score").alias("_judged"), F.col("_best.reason").alias("_reason"))
     joined = stored.join(code, "task_id", "left").join(judged, "task_id", "left")
     gated = scoring.judge_gate(
         joined, output=F.col("output"), criteria=F.col("criteria"), raw_score=F.col("_judged"),

@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 LITERAL_ROWS = 1_000
-HOT_SHARE = 10_000
-SALTS = 64
 
 _local_folders: dict[str, str] = {}
 
@@ -107,10 +105,11 @@ def lookup_join(
     """Join many facts to a table with one row, or few rows, per key.
 
     The table is written first, so its rows and bytes are known. Below both broadcast bounds it is
-    broadcast and the facts do not move. Beyond, both sides are shuffled on the key, and a key that
-    holds more than one ``HOT_SHARE``-th of the facts is spread over ``SALTS`` tasks by a salt taken
-    from the ``spread`` columns, its table rows being repeated once per salt. There can be at most
-    ``HOT_SHARE`` such keys, whatever the size of the facts.
+    broadcast and the facts do not move. Beyond, both sides are shuffled on the key. A key with more
+    facts than a shuffle task has on average is spread over as many tasks as it would fill, by a salt
+    taken from the ``spread`` columns; its table rows are repeated once per salt. All those repeats
+    together are at most twice as many as there are shuffle partitions. Facts with a NULL key, which
+    match nothing unless ``null_safe``, are spread over all tasks.
 
     Pass ``stored=True`` for a table that already lies in files, and ``may_broadcast=False`` for one
     that is wide (texts): it is then not written and not broadcast. The shuffled way reads the key
@@ -128,17 +127,22 @@ def lookup_join(
 
     uses = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_uses"))
     total = uses.agg(F.sum("_uses").alias("_total"))
-    hot = uses.where(F.col("_uses") * F.lit(HOT_SHARE) > total.scalar())
-    hot = materialize(hot.select(*[F.col(key).alias(f"_hot_{key}") for key in on], F.lit(True).alias("_is_hot")), "hot")
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    only_zero = F.array(F.lit(0).cast("bigint"))
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = F.col("_uses") * F.lit(tasks) / total.scalar()
+    hot = uses.where(filled > 1)
+    hot = materialize(hot.select(*[F.col(key).alias(f"_hot_{key}") for key in on], F.ceil(filled).alias("_salts")), "hot")
+    zero = F.lit(0).cast("bigint")
+    no_key = F.lit(False)
+    for key in () if null_safe else on:
+        no_key = no_key | F.col(key).isNull()
+    salts = F.when(no_key, F.lit(tasks).cast("bigint")).otherwise(F.col("_salts"))
     salted = facts.join(F.broadcast(hot), [same(key, f"_hot_{key}") for key in on], "left").withColumn(
-        "_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
+        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread), salts), zero)
     )
     repeated = renamed.join(F.broadcast(hot), [same(f"_key_{key}", f"_hot_{key}") for key in on], "left").withColumn(
-        "_table_salt", F.explode(F.when(F.col("_is_hot"), salts).otherwise(only_zero))
+        "_table_salt", F.explode(F.sequence(zero, F.coalesce(F.col("_salts") - 1, zero)))
     )
-    helpers = ["_is_hot", *[f"_hot_{key}" for key in on]]
+    helpers = ["_salts", *[f"_hot_{key}" for key in on]]
     joined = salted.drop(*helpers).join(
         repeated.drop(*helpers), [*matches, F.col("_salt") == F.col("_table_salt")], how
     )

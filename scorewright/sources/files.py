@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_FILE_BYTES = 256 * 1024 * 1024
 # File extensions read as images.
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp")
 
@@ -14,25 +13,18 @@ def _plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:/+", "/")
 
 
-def read_whole_texts(
-    spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYTES, glob: str | None = None
-) -> DataFrame:
+def read_whole_texts(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
     """One row per file: ``path, n_bytes, text``.
 
-    A file above ``max_bytes`` cannot be held as one value; it keeps its row with NULL text, which
-    the later steps treat as a missing input. Its content is not read.
+    Every file is read whole. One that is too large for a value fails the job; it is never taken for
+    a missing one.
     """
     texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    sizes = spark.read.format("binaryFile").options(recursiveFileLookup=True)
-    if glob:
-        sizes = sizes.option("pathGlobFilter", glob)
-    size = F.col("_metadata.file_size")
-    small = texts.where(size <= max_bytes).select(
-        _plain_path(F.col("_metadata.file_path")).alias("path"), size.alias("n_bytes"), F.col("value").alias("text")
+    return texts.select(
+        _plain_path(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_size").alias("n_bytes"),
+        F.col("value").alias("text"),
     )
-    listing = sizes.load(path).select(_plain_path(F.col("path")).alias("path"), F.col("length").alias("n_bytes"))
-    large = listing.where(F.col("n_bytes") > max_bytes).withColumn("text", F.lit(None).cast("string"))
-    return small.unionByName(large)
 
 
 def relative_ref(path: Column, base: str) -> Column:
@@ -46,28 +38,24 @@ def mime_type(path: Column, kind: str = "image") -> Column:
     return F.concat(F.lit(f"{kind}/"), F.when(extension == "jpg", F.lit("jpeg")).otherwise(extension))
 
 
-def binary_manifest(
-    spark: SparkSession, path: str, *, kind: str = "image", max_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
-    """One row per file: ``path, n_bytes, mime, base64``; ``base64`` is NULL above ``max_bytes``.
+def binary_manifest(spark: SparkSession, path: str, *, kind: str = "image") -> DataFrame:
+    """One row per file: ``path, n_bytes, mime, base64``.
 
-    The length test reaches the file scan, so files that are too large are not opened.
+    Every file is read whole; one above Spark's bound for binary files fails the job.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     named = [F.col("path"), F.col("length").alias("n_bytes"), mime_type(F.col("path"), kind).alias("mime")]
-    small = files.where(F.col("length") <= max_bytes).select(*named, F.base64("content").alias("base64"))
-    large = files.where(F.col("length") > max_bytes).select(*named, F.lit(None).cast("string").alias("base64"))
-    return small.unionByName(large)
+    return files.select(*named, F.base64("content").alias("base64"))
 
 
-def read_inputs(spark: SparkSession, folder: str, *, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def read_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """Task inputs below ``folder``: ``ref, text, n_bytes``, images as data URLs.
 
     ``n_bytes`` is the size of the file itself, which is what sending an image is counted as.
     """
     is_image = F.rlike(F.lower("path"), F.lit(r"\.(" + "|".join(IMAGE_EXTENSIONS) + r")$"))
-    texts = read_whole_texts(spark, folder, max_bytes=max_bytes).where(~is_image)
-    images = binary_manifest(spark, folder, max_bytes=max_bytes).where(is_image)
+    texts = read_whole_texts(spark, folder).where(~is_image)
+    images = binary_manifest(spark, folder).where(is_image)
     url = F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.col("base64"))
     loaded = texts.unionByName(images.select(_plain_path(F.col("path")).alias("path"), "n_bytes", url.alias("text")))
     return loaded.select(relative_ref(F.col("path"), folder).alias("ref"), "text", "n_bytes")

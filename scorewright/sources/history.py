@@ -52,10 +52,8 @@ def read_history(spark: SparkSession, paths: Sequence[str], *, early: Sequence[s
                     timestampFormat="yyyy-MM-dd HH:mm:ss", escape='"', recursiveFileLookup=True,
                 )
             )
-    if not frames:
-        return spark.createDataFrame([], schemas.RESULT)
-    merged = frames[0]
-    for frame in frames[1:]:
+    merged = spark.createDataFrame([], schemas.RESULT)
+    for frame in frames:
         merged = merged.unionByName(frame, allowMissingColumns=True)
     return merged.withColumns(
         {"category": plain_category(F.col("category")), "agent": plain_agent(F.col("agent"))}

@@ -77,10 +77,9 @@ def test_quantiles(skewed):
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 @pytest.mark.parametrize("null_safe", [False, True])
-def test_lookup_join_ways_agree(spark, skewed, monkeypatch, how, null_safe):
+def test_lookup_join_ways_agree(spark, skewed, how, null_safe):
     table = spark.createDataFrame([("hot", 1), ("k1", 2), (None, 3)], "k STRING, x INT")
     small = scale.lookup_join(skewed, table, ["k"], spread=["id"], how=how, null_safe=null_safe)
-    monkeypatch.setattr(scale, "HOT_SHARE", 10)
     large = scale.lookup_join(
         skewed, table, ["k"], spread=["id"], how=how, null_safe=null_safe, may_broadcast=False
     )

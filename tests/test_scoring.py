@@ -173,10 +173,21 @@ def test_parse_items(spark):
         ("prose", "I would start with A1"),
         ("cut", '[{"task_id": "A1", "ag'),
         ("empty", "[]"),
+        ("more", '[{"task_id": "A1"}] and more'),
+        ("object", '{"task_id": "A1"}'),
+        ("two", "[], []"),
+        ("field", '[], "x": 1'),
+        ("closed", "[]] x"),
+        ("null", "null"),
+        (None, None),
     ]
     df = spark.createDataFrame(rows, "name STRING, raw STRING")
+    numbers = spark.createDataFrame([('[{"k": "x"}]',), ('[{"k": 1}]',)], "raw STRING")
+    kinds = inference.parse_items(numbers, "raw", "ARRAY<STRUCT<k: BIGINT>>").orderBy("raw")
+    assert [r["valid"] for r in kinds.collect()] == [False, True]
     got = {r["name"]: (r["valid"], len(r["items"])) for r in inference.parse_items(df, "raw").collect()}
     assert got["plain"] == (True, 2) and got["fenced"] == (True, 1) and got["empty"] == (True, 0)
+    assert all(got[name] == (False, 0) for name in ("more", "object", "two", "field", "closed", "null", None))
     assert got["prose"] == (False, 0) and got["cut"][0] is False
 
 

@@ -67,6 +67,12 @@ def test_outline_of_headed_text(spark):
     assert set(got) == {"Annual Harbour Review", "Traffic", "Costs", "Outlook"}
 
 
+def test_long_headings_are_headings(spark):
+    heading = "A heading of a great many words " * 5 + "in all"
+    got = ops.outline_text(docs(spark, f"{heading}\nFirst one. Second."), "id", "text").first()
+    assert (got["heading"], got["lead"]) == (heading, "First one.")
+
+
 def test_outline_of_labelled_text(spark):
     got = {r["heading"]: r["lead"] for r in ops.outline_text(docs(spark, POLICY), "id", "text").collect()}
     assert got["Booking"] == "Trips are booked by the office."
