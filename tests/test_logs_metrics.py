@@ -13,25 +13,24 @@ from scorewright.functions.time import MINUTE
 from scorewright.operators import correlate, logs, metrics, quality
 
 FLAT = """\
-2025-03-02 06:00:01 INFO  Gateway listening on 443
-2025-03-02 06:00:09 WARNING  Queue is 81% full
-2025-03-02 06:01:30 ERROR  Mail relay refused connection: code 17
-2025-03-02 06:01:31 INFO  Trying relay again
-2025-03-02 06:02:40 ERROR  Mail relay refused connection: code 18
-2025-03-02 06:03:15 ERROR  IndexError in Mailer.flush() at line 90
-2025-03-02 06:03:15 ERROR  Stack trace: Mailer.java:90 -> Queue.java:12
-2025-03-02 06:05:00 ERROR  Delivery of message 55 failed
-this line has no time
-2025-13-45 06:05:00 INFO  impossible date
+2024-11-20 21:15:00 ERROR  Seat map for hall 3 did not load
+2024-11-20 21:15:02 INFO  Box office opened
+no date on this one
+2024-11-20 21:16:40 ERROR  Seat map for hall 4 did not load
+2024-11-20 21:16:41 ERROR  Stack trace: seats.py:31 -> halls.py:8
+2024-11-20 21:18:00 WARNING  Popcorn sensor reads 12 grams
+2024-11-20 21:19:30 INFO  Hall 2 lights dimmed
+2024-11-20 21:22:10 ERROR  Ticket printer out of paper
+2024-02-31 21:30:00 INFO  a day that is not
+2024-11-20 21:40:00 INFO  Box office closed
 """
 
 COMPONENTS = """\
-2025-03-02 01:00:00 INFO  [job] Export started
-2025-03-02 01:00:10 WARN  [pool] Handle not returned (3/4)
-2025-03-02 01:00:20 WARN  [pool] Handle not returned (4/4)
-2025-03-02 01:00:40 ERROR [job] OutOfHandles: none left
-2025-03-02 01:00:40 ERROR [job]   at Export.open(Export.java:7)
-2025-03-02 01:00:41 FATAL [main] Worker stopped
+2024-11-21 08:00:00 ERROR [lift] Door sensor blind
+2024-11-21 08:00:00 ERROR [lift]   at Door.look(Door.java:52)
+2024-11-21 08:02:11 FATAL [crane] Cable slack
+2024-11-21 08:03:00 INFO  [crane] Operator called
+2024-11-21 08:04:45 WARN  [lift] Running on the spare motor
 """
 
 
@@ -48,32 +47,32 @@ def test_flat_log(spark):
     assert got.where("level = 'WARNING'").count() == 1
     assert got.where("component IS NOT NULL").count() == 0
     first = got.first()
-    assert first["ts"] == datetime(2025, 3, 2, 6, 0, 1) and first["message"] == "Gateway listening on 443"
+    assert first["ts"] == datetime(2024, 11, 20, 21, 15) and first["message"] == "Seat map for hall 3 did not load"
 
 
 def test_errors_fold_continuations(spark):
-    events = parsed(spark, FLAT).where("parsed").withColumns({"source": F.lit("mail"), "n": F.monotonically_increasing_id()})
+    events = parsed(spark, FLAT).where("parsed").withColumns({"source": F.lit("cinema"), "n": F.monotonically_increasing_id()})
     row = logs.errors_as_json(events, "source", ["ts", "n"]).first()
     items = json.loads(row["errors"])
-    assert row["n_errors"] == 4 and row["part"] == 0
-    assert [i["timestamp"][-8:] for i in items] == ["06:01:30", "06:02:40", "06:03:15", "06:05:00"]
-    assert items[2]["message"] == "IndexError in Mailer.flush() at line 90"
-    parts = logs.errors_as_json(events, "source", ["ts", "n"], per_part=3).orderBy("part").collect()
+    assert row["n_errors"] == 3 and row["part"] == 0
+    assert [i["timestamp"][-8:] for i in items] == ["21:15:00", "21:16:40", "21:22:10"]
+    assert items[1]["message"] == "Seat map for hall 4 did not load"
+    parts = logs.errors_as_json(events, "source", ["ts", "n"], per_part=2).orderBy("part").collect()
     assert [i for p in parts for i in json.loads(p["errors"])] == items
 
 
 def test_component_log(spark):
     got = parsed(spark, COMPONENTS)
-    assert got.where("component = 'pool' AND level = 'WARNING'").count() == 2
+    assert got.where("component = 'lift' AND level = 'WARNING'").count() == 1
     assert got.where("is_continuation").count() == 1
-    assert got.where("level = 'FATAL'").first()["component"] == "main"
+    assert got.where("level = 'FATAL'").first()["component"] == "crane"
 
 
 def test_top_events(spark):
     events = parsed(spark, FLAT).where("parsed").withColumns({"source": F.lit("m"), "n": F.monotonically_increasing_id()})
     top = logs.top_events(events, "source", ["ts", "n"], k=3).orderBy("rank").collect()
     assert [r["message"] for r in top][:2] == [
-        "Mail relay refused connection: code 17", "Mail relay refused connection: code 18"
+        "Seat map for hall 3 did not load", "Seat map for hall 4 did not load"
     ]
     assert [r["frequency"] for r in top] == [2, 2, 1]
 
@@ -132,15 +131,15 @@ def test_chain_orders_services(spark):
     assert [(r["s"], r["first_error_at"], r["n_errors"]) for r in chain] == [("db", 0, 1), ("orders", 10, 2), ("gateway", 20, 1)]
 
 
-def test_three_outliers(spark):
+def test_outliers_per_metric(spark):
+    chance = random.Random(11)
+    planted = {(0, "salt"): 400, (17, "salt"): -300, (17, "wind"): 999}
     rows = [
-        ("10:00", 20, 60, 5, 50), ("10:05", 22, 61, 6, 52), ("10:10", 21, 63, 5, 49), ("10:15", 97, 62, 7, 51),
-        ("10:20", 23, 60, 80, 53), ("10:25", 20, 64, 6, 900), ("10:30", 24, 61, 5, 48), ("10:35", 22, 62, 6, 50),
+        (buoy, *[planted.get((buoy, name), 100 + chance.randrange(-6, 7)) for name in ("salt", "wind")]) for buoy in range(40)
     ]
-    wide = spark.createDataFrame(rows, "time STRING, cpu INT, mem INT, disk INT, ms INT")
-    long = metrics.long_form(wide, ["time"], ["cpu", "mem", "disk", "ms"])
-    flagged = metrics.outliers(long, "metric", "value", spread=["time"])
-    assert {(r["time"], r["metric"]) for r in flagged.collect()} == {("10:15", "cpu"), ("10:20", "disk"), ("10:25", "ms")}
+    wide = spark.createDataFrame(rows, "buoy INT, salt INT, wind INT")
+    flagged = metrics.outliers(metrics.long_form(wide, ["buoy"], ["salt", "wind"]), "metric", "value", spread=["buoy"])
+    assert {(r["buoy"], r["metric"]) for r in flagged.collect()} == set(planted)
     flat = spark.createDataFrame([("a", 5.0, i) for i in range(9)] + [("a", 900.0, 9)], "metric STRING, value DOUBLE, id INT")
     assert metrics.outliers(flat, "metric", "value", spread=["id"]).count() == 0
 

@@ -8,30 +8,24 @@ import pytest
 
 from scorewright.operators import text as ops
 
-REPORT = """\
-Annual Harbour Review
-Prepared by: Port Office, Bluewater Freight Ltd.
-Date: 3 May 2025
+RECIPE = """\
+Oven
+Heat it on 12 March 2023 or 2024-06-30. Then wait! The bill of $75 went to baker@bread.example.net.
 
-Traffic
-In April 2025 the port saw 1,204 calls. That is 4% more than before.
+Dough
+Knead for an hour. Flour from Golden Mill GmbH is €2,310.40 a ton since May 2021.
 
-Costs
-Dredging cost £18,500 in total. On 9 June 2025 a further $1,250.75 was paid.
+Crust
+Ask Rosa Quill at 172.16.4.9 about it."""
 
-Outlook
-Work resumes on 2025-11-02. Write to harbour@example.org or 10.0.0.7 for more."""
+NOTES = """\
+an unlabelled start
+over two lines
 
-POLICY = """\
-Travel rules: an extract
+Watering: Each bed gets
+two cans. Cacti get none.
 
-Booking: Trips are booked by the office. Exceptions need consent.
-
-Costs: Receipts are
-handed in within ten days.
-
-just text without any label
-that goes on"""
+Pruning: Cut in March only."""
 
 
 def docs(spark, *texts):
@@ -39,18 +33,18 @@ def docs(spark, *texts):
 
 
 def test_entities(spark):
-    found = ops.entity_lists(docs(spark, REPORT, "nothing"), "id", "text", names=["Port Office", "Ann Lee"])
+    found = ops.entity_lists(docs(spark, RECIPE, "nothing"), "id", "text", names=["Rosa Quill", "Bo Finch"])
     lists = {}
     for row in found.collect():
         assert row["id"] == 0
         lists.setdefault(row["entity_type"], set()).add(row["entity"])
     assert lists == {
-        "date": {"3 May 2025", "April 2025", "9 June 2025", "2025-11-02"},
-        "money": {"£18,500", "$1,250.75"},
-        "email": {"harbour@example.org"},
-        "ipv4": {"10.0.0.7"},
-        "organisation": {"Bluewater Freight Ltd"},
-        "person": {"Port Office"},
+        "date": {"12 March 2023", "2024-06-30", "May 2021"},
+        "money": {"$75", "€2,310.40"},
+        "email": {"baker@bread.example.net"},
+        "ipv4": {"172.16.4.9"},
+        "organisation": {"Golden Mill GmbH"},
+        "person": {"Rosa Quill"},
     }
 
 
@@ -60,11 +54,11 @@ def test_entities_are_listed_once(spark):
 
 
 def test_outline_of_headed_text(spark):
-    got = {r["heading"]: r["lead"] for r in ops.outline_text(docs(spark, REPORT), "id", "text").collect()}
-    assert got["Traffic"] == "In April 2025 the port saw 1,204 calls."
-    assert got["Costs"] == "Dredging cost £18,500 in total."
-    assert got["Outlook"] == "Work resumes on 2025-11-02."
-    assert set(got) == {"Annual Harbour Review", "Traffic", "Costs", "Outlook"}
+    got = {r["heading"]: r["lead"] for r in ops.outline_text(docs(spark, RECIPE), "id", "text").collect()}
+    assert got == {
+        "Oven": "Heat it on 12 March 2023 or 2024-06-30.", "Dough": "Knead for an hour.",
+        "Crust": "Ask Rosa Quill at 172.16.4.9 about it.",
+    }
 
 
 def test_long_headings_are_headings(spark):
@@ -74,9 +68,9 @@ def test_long_headings_are_headings(spark):
 
 
 def test_outline_of_labelled_text(spark):
-    got = {r["heading"]: r["lead"] for r in ops.outline_text(docs(spark, POLICY), "id", "text").collect()}
-    assert got["Booking"] == "Trips are booked by the office."
-    assert got["Costs"] == "Receipts are handed in within ten days."
+    got = {r["heading"]: r["lead"] for r in ops.outline_text(docs(spark, NOTES), "id", "text").collect()}
+    assert got["Watering"] == "Each bed gets two cans."
+    assert got["Pruning"] == "Cut in March only."
 
 
 def test_outline_of_html(spark):
