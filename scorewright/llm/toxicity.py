@@ -6,7 +6,8 @@ lexicon words (digits or signs for letters, masked letters, letters drawn out) a
 lexicon is a fixed list of insults together with the words that the learning rows show to be toxic
 (``learn_lexicon``). Trees and calibration are fitted on different learning rows.
 
-Fitting takes a bounded sample: at most about ``TRAIN_ROWS`` labelled rows, picked by hash of doc_id.
+Fitting takes a bounded sample: at most about ``TRAIN_ROWS`` labelled rows, picked by hash of doc_id,
+in ``TRAIN_PARTS`` partitions.
 Scoring is over all rows, whole texts, on the executors.
 
 Rows: one output row per input row. Null and empty texts have all features 0 and are scored like
@@ -32,6 +33,7 @@ from scorewright.llm.common import map_arrow, utf8
 from scorewright.scale import materialize
 
 TRAIN_ROWS = 20_000
+TRAIN_PARTS = 4
 LEXICON_WORDS = 150
 MIN_DOCS = 5
 MIN_ODDS = 4.0
@@ -200,7 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, seed: int
     if len(sizes) < 2:
         return Model(INSULTS, rate=float(sizes.get(1, 0) > 0))
     lexicon = learn_lexicon(texts)
-    ready = materialize(with_features(texts, lexicon), "features")
+    # The boosting runs a hundred jobs over these few megabytes: few partitions, dealt by doc_id so that reruns agree.
+    ready = with_features(texts, lexicon).repartition(TRAIN_PARTS, "doc_id").sortWithinPartitions("doc_id")
+    ready = materialize(ready, "features")
     fold = F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string"))) % 4 == 0
     trees = GBTClassifier(labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, seed=seed).fit(ready.where(~fold))
     held = trees.transform(ready.where(fold)).select(F.col("toxic").cast("double"), vector_to_array("probability")[1].alias("_chance"))
