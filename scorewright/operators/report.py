@@ -13,7 +13,7 @@ FEED_PER_PART = 10_000
 
 
 def report_rows(results: DataFrame, ids: list[str]) -> DataFrame:
-    """Display form of each result: PASS/FAIL/SKIP, ``-`` for no score, units, output preview."""
+    """Display form of each result: PASS/FAIL/SKIP, ``-`` for no score, units, output and its preview."""
     label = (
         F.when(F.col("success").isNull(), F.lit("SKIP")).when(F.col("success"), F.lit("PASS")).otherwise(F.lit("FAIL"))
     )
@@ -29,6 +29,7 @@ def report_rows(results: DataFrame, ids: list[str]) -> DataFrame:
         F.concat(
             F.left("output", F.lit(schemas.PREVIEW_CHARS)), F.when(cut, F.lit("...")).otherwise(F.lit(""))
         ).alias("preview"),
+        "output",
     )
 
 

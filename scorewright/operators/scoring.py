@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scorewright import schemas
 from scorewright.functions import numbers as N
 from scorewright.functions import text as T
+from scorewright.scale import LITERAL_ROWS, lookup_join
 
 # How a score came about.
 TOO_SHORT = "heuristic (output too short)"
@@ -19,14 +20,36 @@ NO_OUTPUT = "no output"
 
 
 def term_list(key: Column, terms: Mapping[str, Sequence[str]]) -> Column:
-    """The caller's terms for a key as an array literal, NULL for other keys.
+    """The caller's terms for a key as an array, NULL for other keys.
 
-    The lists are part of the expression, so nothing is joined or shipped.
+    The lists are one map literal, so nothing is joined or shipped. For more than a few hundred keys use
+    :func:`with_terms`.
     """
-    chosen = F.lit(None).cast("array<string>")
+    if not terms:
+        return F.lit(None).cast("array<string>")
+    entries = []
     for name, words in terms.items():
-        chosen = F.when(key == name, F.array(*[F.lit(w) for w in words]).cast("array<string>")).otherwise(chosen)
-    return chosen
+        entries += [F.lit(name), F.array(*[F.lit(w) for w in words]).cast("array<string>")]
+    return F.try_element_at(F.create_map(*entries), key)
+
+
+def with_terms(
+    rows: DataFrame, key: str, terms: Mapping[str, Sequence[str]] | DataFrame, name: str, *, spread: Sequence[str]
+) -> DataFrame:
+    """Add the terms of each row's ``key`` as the array ``name``, NULL for other keys.
+
+    A table of terms has the columns ``key`` and ``terms`` (array) and any number of rows; several rows
+    of one key are taken together, rows without key or terms count for nothing. It is joined by a
+    size-checked lookup, as is a mapping of more than ``LITERAL_ROWS`` keys; a smaller one stays in the plan.
+    """
+    if isinstance(terms, Mapping):
+        if len(terms) <= LITERAL_ROWS:
+            return rows.withColumn(name, term_list(F.col(key), terms))
+        listed = [(k, list(words)) for k, words in terms.items()]
+        terms = rows.sparkSession.createDataFrame(listed, "key string, terms array<string>")
+    known = terms.where("key IS NOT NULL AND terms IS NOT NULL").groupBy(F.col("key").alias(key))
+    table = known.agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias(name))
+    return lookup_join(rows, table, [key], spread=spread)
 
 
 def heuristic_verdict(

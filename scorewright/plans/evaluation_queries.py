@@ -150,7 +150,7 @@ def labelled_concat(spark: SparkSession, folder: str) -> DataFrame:
     "missing_input_skip",
     f"""
     WITH {sql.PAIRS}
-    SELECT conv_id, turn, CASE WHEN reply IS NOT NULL THEN TRUE END AS success,
+    SELECT conv_id, turn, reply IS NULL AS skipped,
       md5(coalesce(reply, '[SKIPPED] missing input')) AS output_md5
     FROM pairs
     """,
@@ -159,7 +159,7 @@ def missing_input_skip(spark: SparkSession, folder: str) -> DataFrame:
     """User turns without a reply keep their row and are marked as skipped."""
     pairs = tasks.pair_turns(Tables(spark, folder).conversations)
     found = pairs.select("conv_id", "turn", F.col("reply").isNotNull().alias("found"), F.col("reply").alias("output"))
-    return tasks.mark_skipped(found, "found", "output").select("conv_id", "turn", "success", F.md5("output").alias("output_md5"))
+    return tasks.mark_skipped(found, "found", "output").select("conv_id", "turn", "skipped", F.md5("output").alias("output_md5"))
 
 
 _SQL_ROUTES = """
@@ -650,14 +650,16 @@ def synthesis_feed(spark: SparkSession, folder: str) -> DataFrame:
       printf('%.2f', hundredths / 100.0) || 's' AS latency,
       '$' || CAST(CAST(micros AS DECIMAL(18,6)) / 1000000 AS DECIMAL(18,6)) AS cost,
       CAST(CAST(round(CAST(data_kb AS DECIMAL(18,3)), 2) AS DECIMAL(18,2)) AS VARCHAR) || ' KB' AS data,
-      md5(left(output, 300) || CASE WHEN length(output) > 300 THEN '...' ELSE '' END) AS preview_md5
+      md5(left(output, 300) || CASE WHEN length(output) > 300 THEN '...' ELSE '' END) AS preview_md5,
+      md5(output) AS output_md5
     FROM results
     """,
 )
 def report_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Display form of each result."""
     rows = report.report_rows(_results(Tables(spark, folder)), ["doc_id"])
-    return rows.withColumn("preview_md5", F.md5("preview")).drop("preview")
+    hashed = {"preview_md5": F.md5("preview"), "output_md5": F.md5("output")}
+    return rows.withColumns(hashed).drop("preview", "output")
 
 
 def _sql_summary(by: str) -> str:

@@ -29,7 +29,7 @@ def evaluate(
     answer: Answerer,
     escalate: Answerer | None = None,
     judgements: DataFrame | None = None,
-    keywords: Mapping[str, Sequence[str]] | None = None,
+    keywords: Mapping[str, Sequence[str]] | DataFrame | None = None,
     templates: Mapping[str, Sequence[str | Column]] | None = None,
     default: Sequence[str | Column] | None = None,
     routes: Sequence[tuple[str, str, str]] = routing.ROUTES,
@@ -43,7 +43,11 @@ def evaluate(
     ``answer`` and ``escalate`` take prompts (``prompt_sha, model, prompt``) and return responses
     keyed by prompt and model: recorded ones, or those of :func:`inference.call_model`. ``judgements``
     holds recorded scores per (task_id, model); without one, tasks with a reference answer are
-    scored by word F1 and the others by the keyword rule. ``keywords`` maps task ids to terms.
+    scored by word F1 and the others by the keyword rule. ``keywords`` maps task ids to terms, as a
+    mapping or a table (see :func:`scoring.with_terms`).
+
+    ``latency_s`` is that of the first answer, ``total_latency_s`` adds the call to the second model,
+    whether it gave an answer or failed.
 
     Tasks whose input is missing keep their row with success NULL. In hybrid mode local answers
     below the threshold go to ``second_model``; only their prompts reach ``escalate``. First-tier
@@ -54,10 +58,11 @@ def evaluate(
     prompted = materialize(
         routing.render_prompts(routed, dict(templates or {}), default=default or default_template()), "prompts"
     )
+    keywords = {} if keywords is None else keywords
     runnable = F.col("input_found") & (F.col("tier") != routing.QUARANTINE)
 
     first = materialize(
-        _answered(prompted.where(runnable), answer, judgements, keywords or {}, pass_threshold), "first-tier"
+        _answered(prompted.where(runnable), answer, judgements, keywords, pass_threshold), "first-tier"
     )
     in_cloud = F.col("tier") == "cloud"
     first = first.withColumns(
@@ -68,14 +73,14 @@ def evaluate(
         }
     )
     if mode == "hybrid" and escalate is not None:
-        results = _cascaded(first, escalate, judgements, keywords or {}, second_model, pass_threshold, escalation_threshold)
+        results = _cascaded(first, escalate, judgements, keywords, second_model, pass_threshold, escalation_threshold)
     else:
         none = F.lit(None)
         results = first.withColumns(
             {
                 "escalated": F.lit(False), "local_score": none.cast("double"), "local_output": none.cast("string"),
                 "second_calls": F.lit(0), "second_cost": F.lit(0).cast("decimal(18,6)"),
-                "second_kb": F.lit(0).cast("decimal(18,3)"),
+                "second_kb": F.lit(0).cast("decimal(18,3)"), "total_latency_s": F.col("latency_s"),
             }
         )
     done = results.select(
@@ -83,7 +88,7 @@ def evaluate(
         (F.col("first_calls") + F.col("second_calls")).alias("cloud_calls"),
         (F.col("first_cost") + F.col("second_cost")).cast("decimal(18,6)").alias("cost_usd"),
         (F.col("first_kb") + F.col("second_kb")).cast("decimal(18,3)").alias("data_kb"),
-        "score_method", "judge_reason", "output", "local_output", "error",
+        "score_method", "judge_reason", "output", "local_output", "error", "total_latency_s",
     )
     return done.unionByName(_not_run(prompted.where(~runnable), done))
 
@@ -95,7 +100,7 @@ def _not_run(rows: DataFrame, like: DataFrame) -> DataFrame:
     )
     known = {
         "task_id": F.col("task_id"), "category": F.col("category"), "agent": F.col("agent"),
-        "escalated": F.lit(False), "latency_s": F.lit(0.0), "cloud_calls": F.lit(0), "cost_usd": F.lit(0),
+        "escalated": F.lit(False), "latency_s": F.lit(0.0), "total_latency_s": F.lit(0.0), "cloud_calls": F.lit(0), "cost_usd": F.lit(0),
         "data_kb": F.lit(0), "score_method": F.lit(""), "output": F.concat(F.lit(task_source.SKIP_MARK + " "), why), "error": why,
     }
     return rows.select(
@@ -107,7 +112,7 @@ def _answered(
     prompted: DataFrame,
     answer: Answerer,
     judgements: DataFrame | None,
-    keywords: Mapping[str, Sequence[str]],
+    keywords: Mapping[str, Sequence[str]] | DataFrame,
     pass_threshold: float,
 ) -> DataFrame:
     """Attach answers and score them."""
@@ -121,7 +126,7 @@ def _answered(
 
 
 def _scored(
-    replied: DataFrame, judgements: DataFrame | None, keywords: Mapping[str, Sequence[str]], pass_threshold: float
+    replied: DataFrame, judgements: DataFrame | None, keywords: Mapping[str, Sequence[str]] | DataFrame, pass_threshold: float
 ) -> DataFrame:
     """Add ``raw_score, score, success, score_method, judge_reason`` by the task's scoring mode."""
     stored = materialize(replied, "answers")
@@ -144,15 +149,16 @@ def _scored(
         reason=F.col("_reason"), threshold=pass_threshold,
     )
     raw = F.when(F.col("scoring_mode") != "execution", F.col("raw_score"))
+    worded = scoring.with_terms(gated.withColumn("raw_score", raw), "task_id", keywords, "_keywords", spread=["task_id"])
     scored = scoring.dispatch(
-        gated.withColumn("raw_score", raw), mode=F.col("scoring_mode"), output=F.col("output"),
-        keywords=scoring.term_list(F.col("task_id"), keywords), executes=F.col("_executes"),
+        worded, mode=F.col("scoring_mode"), output=F.col("output"),
+        keywords=F.col("_keywords"), executes=F.col("_executes"),
         judged=F.col("raw_score"), threshold=pass_threshold,
     )
     method = F.when(F.col("scoring_mode") == "execution", F.col("_code_method")).otherwise(F.col("score_method"))
     reason = F.when(F.col("score").isNotNull(), F.col("judge_reason"))
     return scored.withColumns({"score_method": method, "judge_reason": reason}).drop(
-        "_executes", "_code_method", "_judged", "_reason", "passed"
+        "_executes", "_code_method", "_judged", "_reason", "_keywords", "passed"
     )
 
 
@@ -160,7 +166,7 @@ def _cascaded(
     first: DataFrame,
     escalate: Answerer,
     judgements: DataFrame | None,
-    keywords: Mapping[str, Sequence[str]],
+    keywords: Mapping[str, Sequence[str]] | DataFrame,
     second_model: str,
     pass_threshold: float,
     escalation_threshold: float,
@@ -173,9 +179,11 @@ def _cascaded(
     to_second = first.where(weak).drop(*scored_columns, "first_calls", "first_cost", "first_kb").withColumn("model", F.lit(second_model))
     second = _answered(to_second, escalate, judgements, keywords, pass_threshold)
     got = F.col("_output2").isNotNull()
-    taken = second.where(F.col("error").isNull()).select(
+    answered = F.col("error").isNull()
+    taken = second.select(
         "task_id",
-        *[F.col(c).alias(f"_{c}2") for c in ("output", "tokens", "raw_score", "score", "success", "score_method", "judge_reason")],
+        F.col("latency_s").alias("_latency_s2"),
+        *[F.when(answered, F.col(c)).alias(f"_{c}2") for c in ("output", "tokens", "raw_score", "score", "success", "score_method", "judge_reason")],
     )
     joined = first.join(taken, "task_id", "left")
     replaced = {
@@ -185,6 +193,7 @@ def _cascaded(
     kept = joined.withColumns(
         {
             "escalated": got,
+            "total_latency_s": F.coalesce("latency_s", F.lit(0.0)) + F.coalesce("_latency_s2", F.lit(0.0)),
             "local_score": F.when(got, F.col("score")),
             "local_output": F.when(got, F.col("output")),
             "second_calls": got.cast("int"),

@@ -99,13 +99,18 @@ def resolve_inputs(tasks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def mark_skipped(tasks: DataFrame, found: str, output: str) -> DataFrame:
-    """Tasks without input keep their row: success NULL, a marker as output."""
-    return tasks.withColumns(
-        {
-            "success": F.when(F.col(found), F.lit(True)),
-            output: F.when(F.col(found), F.col(output)).otherwise(F.lit(SKIP_MARK + " missing input")),
-        }
-    )
+    """Tasks without input keep their row: ``skipped`` true, a marker as output, success NULL if there is one.
+
+    Whether the others succeed is left to scoring. A NULL in ``found`` counts as not found.
+    """
+    has = F.coalesce(F.col(found), F.lit(False))
+    marked = {
+        "skipped": ~has,
+        output: F.when(has, F.col(output)).otherwise(F.lit(SKIP_MARK + " missing input")),
+    }
+    if "success" in tasks.columns:
+        marked["success"] = F.when(has, F.col("success"))
+    return tasks.withColumns(marked)
 
 
 def pair_turns(conversations: DataFrame) -> DataFrame:

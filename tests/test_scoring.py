@@ -247,9 +247,25 @@ def test_summary_skips(spark):
 
 
 def test_skip_keeps_the_row(spark):
-    df = spark.createDataFrame([(1, True, "x"), (2, False, None)], "id INT, found BOOLEAN, output STRING")
-    got = {r["id"]: (r["success"], r["output"]) for r in mark_skipped(df, "found", "output").collect()}
-    assert got[1] == (True, "x") and got[2][0] is None and got[2][1].startswith("[SKIPPED]")
+    df = spark.createDataFrame([(1, True, "x"), (2, False, None), (3, None, "y")], "id INT, found BOOLEAN, output STRING")
+    got = {r["id"]: (r["skipped"], r["output"]) for r in mark_skipped(df, "found", "output").collect()}
+    assert got[1] == (False, "x") and got[2] == got[3] and got[2][0] and got[2][1].startswith("[SKIPPED]")
+    scored = mark_skipped(df.withColumn("success", F.lit(False)), "found", "output").collect()
+    assert {r["id"]: r["success"] for r in scored} == {1: False, 2: None, 3: None}
+
+
+def test_many_keyword_keys(spark):
+    words = {f"k{i}": [f"w{i}", "other"] for i in range(1_500)}
+    rows = spark.range(1_502).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k")).unionAll(
+        spark.sql("SELECT CAST(NULL AS STRING)")
+    )
+    listed = [(k, w[:1]) for k, w in words.items()] + [(k, w[1:]) for k, w in words.items()] + [(None, ["x"]), ("k1", None)]
+    table = spark.createDataFrame(listed, "key STRING, terms ARRAY<STRING>")
+    few = dict(list(words.items())[:600])
+    for given, known in ((words, words), (table, words), (few, few), ({}, {})):
+        got = scoring.with_terms(rows, "k", given, "terms", spread=["k"]).collect()
+        assert len(got) == 1_503
+        assert all((sorted(r["terms"]) if r["terms"] else None) == (sorted(known[r["k"]]) if r["k"] in known else None) for r in got)
 
 
 def test_merge_keeps_every_row_and_the_first_answer(spark):
@@ -295,4 +311,5 @@ def test_report_rows(spark):
     assert (got[1]["result"], got[1]["score"], got[1]["escalated"], got[1]["latency"]) == ("PASS", "0.500", "YES", "1.25s")
     assert (got[1]["cost"], got[1]["data"]) == ("$0.000330", "1.21 KB")
     assert got[1]["preview"] == "x" * 300 + "..." and got[2]["preview"] == "short"
+    assert got[1]["output"] == "x" * 301
     assert (got[2]["result"], got[2]["score"], got[2]["escalated"]) == ("SKIP", "-", "no") and got[3]["result"] == "FAIL"

@@ -174,6 +174,23 @@ def test_recorded_judgements(spark, folder):
     got = {r["task_id"]: r for r in evaluate(bank(spark), found_files(spark, folder), answer=replies, escalate=replies, judgements=judged).collect()}
     assert (got["T1"]["score"], got["T1"]["success"], got["T1"]["escalated"], got["T1"]["judge_reason"]) == (0.5, False, False, "close")
     assert (got["T2"]["score"], got["T2"]["escalated"], got["T2"]["local_score"], got["T2"]["judge_reason"]) == (0.9, True, 0.2, "good")
+    assert (got["T2"]["latency_s"], got["T2"]["total_latency_s"]) == (0.5, 1.0)
+    assert got["T1"]["total_latency_s"] == 0.5 and got["T3"]["total_latency_s"] == 0.0
+
+
+def test_failed_second_call_takes_time(spark, folder):
+    def replies(failed):
+        return lambda p: p.select(
+            "prompt_sha", "model", F.lit("a short but plain answer").alias("output"), F.lit(0).cast("bigint").alias("tokens"),
+            F.lit(0.5).alias("latency_s"), F.lit("quota" if failed else None).cast("string").alias("error"))
+
+    judged = spark.createDataFrame([("T2", "qwen2.5:3b", 0.2, "poor")], schemas.JUDGEMENT)
+    keywords = spark.createDataFrame([("T6", ["plain"])], "key STRING, terms ARRAY<STRING>")
+    run = evaluate(bank(spark), found_files(spark, folder), answer=replies(False), escalate=replies(True), judgements=judged, keywords=keywords)
+    got = {r["task_id"]: r for r in run.collect()}
+    assert not got["T2"]["escalated"] and got["T2"]["score"] == 0.2 and got["T2"]["error"] == "no second-tier answer"
+    assert (got["T2"]["latency_s"], got["T2"]["total_latency_s"]) == (0.5, 1.0)
+    assert got["T6"]["score_method"] == "heuristic (keyword match)"
 
 
 def test_history_layouts(spark, tmp_path):
