@@ -1,46 +1,47 @@
 """Main text of web pages by wrapper induction.
 
-For every host, a bounded sample of its pages (``SAMPLE``, picked by hash) is parsed to DOM trees in
-which runs of like siblings are folded into one node. The trees are aligned with the first by simple
-tree matching. Nodes whose text is the same on nearly all aligned pages are the host's template; nodes
-whose text varies are its slots. The wrapper of the host is the path to the node that holds nearly all
-text of the slots, regions of other use left out, and the constant texts inside it.
-
-Applied to a page, the wrapper takes ``article`` or ``main`` if there is one, else the node at its path,
-else the body; it leaves out regions of other use (by tag, role, class or id: menus, page headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), blocks of links, and
-the template's constant texts. What is left is put together block by block.
+Every page of every host is parsed to a DOM tree and read as blocks: texts with the path of signatures
+(tag, class and id) from the root, so like siblings share a path and pages are aligned by it. Spark counts,
+over all pages of a host, the pages that have a path and the pages that have a text at a path, for the
+host and for each of its layouts (the set of paths of containers). Pages with the same blocks count once, so
+copies weigh as one page. A text on nearly all pages that have its path is the host's template, at that
+path only; the characters of the different texts at a path, a page, are the weight of its slot.
+
+Applied to a page, the wrapper takes ``article`` or ``main`` if there is one, else it goes down from the root
+into the element that holds nearly all the weight. Left out are regions of other use (by tag, role, class or id:
+menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments),
+blocks of links, and the template's texts. What is left is put together block by block.
 
 The wrappers are joined to the pages by host: broadcast if they are few, else with hot hosts spread.
 
 Rows: one output row per page, whole html. A null html is empty; a null or unreadable url belongs to
 the host ''. Broken markup is read as browsers do in the common cases: end tags implied, stray ones
 ignored, open elements closed at the end; elements more than ``DEEPEST`` levels deep lie side by side in
-the one at that level, with their texts. A page without text gives an empty string. Hosts with fewer
-than ``LEAST_PAGES`` pages have no constant texts. Extra columns are ignored.
+the one at that level, with their texts. A page without text gives an empty string. Paths of fewer
+than ``LEAST_PAGES`` different pages have no template texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import map_arrow, small_batches
+from scorewright.llm.common import map_arrow
 from scorewright.scale import lookup_join, materialize
 
-SAMPLE = 8
 LEAST_PAGES = 4
 CONSTANT = 0.8
 HELD = 0.9
+HALF = 0.5
 LINKED = 0.8
 #: Below the interpreter's limit on nested calls; browsers have a bound of this size, too.
 DEEPEST = 400
@@ -66,6 +67,9 @@ SIBLINGS = {
     "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
 }
 LIMITS = frozenset("table ul ol dl select article main section div body html td th".split())
+CONTAINERS = frozenset("html body div section article main table tbody tr td".split())
+MAIN = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # What regions of other use are called.
 OTHER_TAGS = frozenset(
     "nav footer aside form button select menu dialog head svg canvas object audio video label fieldset".split()
@@ -79,6 +83,9 @@ OTHER_NAMES = re.compile(
 )
 
 
+Path = tuple[str, ...]
+
+
 class Node:
     """An element: tag, signature, class and id words, role, children (elements and texts)."""
 
@@ -164,18 +171,18 @@ def _sizes(node: Node) -> tuple[int, int, int]:
     return chars, linked, links
 
 
-def blocks(root: Node, inside: bool) -> list[tuple[str, str]]:
+def blocks(root: Node, inside: bool) -> list[tuple[Path, str]]:
     """(path, text) of the blocks below ``root`` in page order, without regions of other use."""
-    found: list[tuple[str, str]] = []
+    found: list[tuple[Path, str]] = []
     held: list[str] = []
 
-    def flush(path: str) -> None:
+    def flush(path: Path) -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
             found.append((path, text))
 
-    def walk(node: Node, path: str, inside: bool) -> None:
+    def walk(node: Node, path: Path, inside: bool) -> None:
         for child in node.children:
             if isinstance(child, str):
                 held.append(child)
@@ -190,137 +197,144 @@ def blocks(root: Node, inside: bool) -> list[tuple[str, str]]:
                     chars, linked, links = _sizes(child)
                     if links >= 3 and linked >= LINKED * chars:
                         continue
-                below = f"{path}/{child.sig}"
-                walk(child, below, inside or child.tag in ("article", "main"))
+                below = (*path, f"{child.role} {child.sig}" if child.role in MAIN else child.sig)
+                walk(child, below, inside or child.tag in MAIN)
                 flush(below)
 
-    walk(root, root.sig, inside)
-    flush(root.sig)
+    walk(root, (), inside)
+    flush(())
     return found
 
 
-class Fold:
-    """A node of the folded tree: like siblings that follow each other are one node."""
+def key(*parts: str) -> int:
+    """64 bits that stand for the parts."""
+    data = "\0".join(parts).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
-    __slots__ = ("sig", "children", "texts", "other")
 
-    def __init__(self, sig: str, other: bool):
-        self.sig, self.children, self.texts, self.other = sig, [], [], other
+@lru_cache(10_000)
+def path_key(path: Path) -> int:
+    return key("path", *path)
 
 
-def fold(node: Node, into: Fold | None = None, inside: bool = False) -> Fold:
-    into = into or Fold(node.sig, of_other_use(node, inside))
-    inside = inside or node.tag in ("article", "main")
-    for child in node.children:
-        if isinstance(child, str):
-            if child.strip():
-                into.texts.append(" ".join(child.split()))
-        elif child.tag not in RAW:
-            last = into.children[-1] if into.children else None
-            if last is None or last.sig != child.sig:
-                last = Fold(child.sig, of_other_use(child, inside))
-                into.children.append(last)
-            fold(child, last, inside)
-    return into
-
-
-def align(a: Fold, b: Fold) -> tuple[int, list[tuple[Fold, Fold]]]:
-    """Simple tree matching: the most node pairs that keep signature, order and parents."""
-    if a.sig != b.sig:
-        return 0, []
-    rows, columns = len(a.children), len(b.children)
-    best = [[0] * (columns + 1) for _ in range(rows + 1)]
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(1, rows + 1):
-        for j in range(1, columns + 1):
-            inner[i, j] = align(a.children[i - 1], b.children[j - 1])
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + inner[i, j][0])
-    pairs, i, j = [(a, b)], rows, columns
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs += inner[i, j][1]
-            i, j = i - 1, j - 1
-    return best[rows][columns] + 1, pairs
+def tag_of(sig: str) -> str:
+    return sig.split(" ", 1)[0]
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of sampled pages of a host: path to its content, constant texts."""
-    trees = [fold(parse(page)) for page in pages]
-    if not trees:
-        return {"path": [], "constants": []}
-    first = trees[0]
-    texts: dict[int, list[list[str]]] = {}
-    for tree in trees:
-        for own, theirs in align(first, tree)[1]:
-            texts.setdefault(id(own), []).append(theirs.texts)
-    constants: Counter[str] = Counter()
-
-    def slots(node: Fold) -> int:
-        """Varying characters below a node; collects constant texts on the way."""
-        if node.other:
-            return 0
-        seen = texts.get(id(node), [])
-        often = Counter(text for page in seen for text in set(page))
-        fixed = {text for text, n in often.items() if len(trees) >= LEAST_PAGES and n >= CONSTANT * len(trees)}
-        constants.update(fixed)
-        size = sum(len(text) for page in seen for text in page if text not in fixed)
-        return size + sum(map(slots, node.children))
-
-    path, node, whole = [], first, slots(first)
-    while whole:
-        into = max(node.children, key=slots, default=None)
-        if into is None or slots(into) < HELD * whole or into.sig.split()[0] not in ("html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td"):
-            break
-        path.append(into.sig)
-        node = into
-    return {"path": path, "constants": sorted(constants)}
+def layout_of(found: list[tuple[Path, str]]) -> int:
+    """The set of containers that hold the blocks of a page."""
+    paths = set()
+    for path in {path for path, _ in found}:
+        while path and tag_of(path[-1]) not in CONTAINERS:
+            path = path[:-1]
+        paths.add(path)
+    return key("layout", *sorted(str(path_key(path)) for path in paths))
 
 
-def _find(node: Node, tags: tuple[str, ...], inside: bool = False) -> list[Node]:
-    """Outermost elements of ``tags`` that are not in a region of other use."""
-    found: list[Node] = []
-    for child in node.children:
-        if isinstance(child, str) or of_other_use(child, inside):
-            continue
-        found += [child] if child.tag in tags or child.role in tags else _find(child, tags, inside)
-    return found
+def counted(page: str) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """Identity and layout of a page, and its (path, text, characters); text 0 counts the path itself."""
+    texts = blocks(parse(page), False)
+    found = [(path_key(path), key(text), len(text)) for path, text in texts]
+    identity = key("page", *(f"{path} {text}" for path, text, _ in found))
+    return identity, layout_of(texts), [*{*found, *((path, 0, 0) for path, _, _ in found)}]
 
 
-def _at(node: Node, path: list[str]) -> list[Node]:
-    """The element at a path of signatures; the last level may be there several times."""
-    here = [node]
-    for sig in path:
-        here = [child for node in here for child in node.children if isinstance(child, Node) and child.sig == sig]
-        if not here:
-            return []
-    return here
+def induce(pages: list[str]) -> dict:
+    """The wrapper of the pages of one host, as ``wrappers_of`` makes it: weights of paths, template texts."""
+    uses: Counter[tuple[int, int, int, int]] = Counter()
+    for _, layout, found in {page[0]: page for page in map(counted, pages)}.values():
+        uses.update((layout, *row) for row in found)
+    by_path, by_layout, texts, sizes = Counter(), Counter(), Counter(), Counter()
+    for (layout, path, text, size), n in uses.items():
+        if text:
+            sizes[path] += size
+            texts[path, text] += n
+        else:
+            by_path[path] += n
+            by_layout[layout, path] += n
+    constants = {f"{p} {t}" for (p, t), n in texts.items() if by_path[p] >= LEAST_PAGES and n >= CONSTANT * by_path[p]}
+    for (layout, path, text, _), n in uses.items():
+        if text and by_layout[layout, path] >= LEAST_PAGES and n >= CONSTANT * by_layout[layout, path]:
+            constants.add(f"{layout} {path} {text}")
+    weights = {str(path): sizes[path] / n for path, n in by_path.items() if n >= LEAST_PAGES}
+    return {"weights": weights, "constants": sorted(constants)}
+
+
+def _regions(sizes: Counter[Path], weights: dict[str, float]) -> list[Path]:
+    """Paths of the elements that hold the main text of a page, of its own characters at each path."""
+    known = {path: weights.get(str(path_key(path))) for path in sizes}
+    for name in MAIN:
+        cut = [next((k for k, sig in enumerate(path, 1) if tag_of(sig) == name), 0) for path in sizes]
+        if any(cut):
+            return [path[:k] for path, k in zip(sizes, cut) if k]
+    if 2 * sum(size for path, size in sizes.items() if known[path] is not None) <= sizes.total():
+        return [()]
+    held = {path: sizes[path] if weight is None else weight for path, weight in known.items()}
+    at: Path = ()
+    titles: list[Path] = []
+    while True:
+        below: defaultdict[str, float] = defaultdict(float)
+        direct = 0.0
+        for path, weight in held.items():
+            if path[: len(at)] == at:
+                if len(path) > len(at):
+                    below[path[len(at)]] += weight
+                else:
+                    direct += weight
+        best = max(below, key=below.__getitem__, default="")
+        if not best or tag_of(best) not in CONTAINERS and tag_of(best) not in MAIN:
+            break
+        headings = [sig for sig in below if tag_of(sig) in HEADINGS]
+        rest = direct + sum(below.values()) - sum(below[sig] for sig in headings)
+        teasers = sum(below[sig] for sig in below if sig != best and tag_of(sig) == "article")
+        named = tag_of(best) in MAIN
+        if below[best] < HELD * (rest - teasers) and not (named and below[best] > HALF * rest):
+            break
+        titles += [(*at, sig) for sig in headings]
+        at = (*at, best)
+        if named:
+            break
+    return [*titles, at]
 
 
 def extract(page: str | None, wrapper: dict) -> str:
     """Main text of a page by a host's wrapper."""
     if not page:
         return ""
-    root = parse(page)
-    places = _find(root, ("article",)) or _find(root, ("main",))
-    inside = bool(places)
-    places = places or (_at(root, wrapper["path"]) if wrapper["path"] else []) or [root]
-    constant = wrapper["constants"]
-    return "\n".join(text for place in places for _, text in blocks(place, inside) if text not in constant)
+    found, constants = blocks(parse(page), False), wrapper["constants"]
+    if constants:
+        layout, kept = layout_of(found), []
+        for path, text in found:
+            names = f"{path_key(path)} {key(text)}"
+            if names not in constants and f"{layout} {names}" not in constants:
+                kept.append((path, text))
+        found = kept
+    sizes: Counter[Path] = Counter()
+    for path, text in found:
+        sizes[path] += len(text)
+    regions = _regions(sizes, wrapper.get("weights", {}))
+    within = {path for path in sizes if any(path[: len(region)] == region for region in set(regions))}
+    return "\n".join(text for path, text in found if path in within)
 
 
 @lru_cache(1_000)
 def _read(wrapper: str | None) -> dict:
-    found = json.loads(wrapper) if wrapper else {"path": [], "constants": []}
-    return found | {"constants": frozenset(found["constants"])}
+    found = json.loads(wrapper) if wrapper else {}
+    weights = {str(row["name"]): row["weight"] for row in found.get("weights") or ()}
+    return {"weights": weights, "constants": frozenset(found.get("constants") or ())}
 
 
-def _wrapper_of(rows: pd.DataFrame) -> pd.DataFrame:
-    pages = rows.sort_values(["order", "html"])["html"].tolist()
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(induce(pages))]})
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), *[pa.int64()] * 5]
+    for batch in batches:
+        columns: list[list] = [[] for _ in kinds]
+        for host, page in zip(*(column.to_pylist() for column in batch.columns)):
+            identity, layout, found = counted(page)
+            for row in found:
+                for column, value in zip(columns, (host, identity, layout, *row)):
+                    column.append(value)
+        arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, ["host", "page", "layout", "path", "text", "size"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,18 +347,40 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def main_texts(pages: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
+def wrappers_of(hosted: DataFrame) -> DataFrame:
+    """host and wrapper (JSON) of all pages (host, html)."""
+    schema = "host string, page bigint, layout bigint, path bigint, text bigint, size bigint"
+    rows = map_arrow(hosted.where("html IS NOT NULL").select("host", "html"), _count, schema).distinct()
+    uses = materialize(rows.groupBy("host", "layout", "path", "text", "size").agg(F.count(F.lit(1)).alias("n")), "uses")
+    is_path, least = F.col("text") == 0, F.lit(LEAST_PAGES)
+    by_path = uses.groupBy("host", "path").agg(
+        F.sum(F.when(is_path, F.col("n"))).alias("pages"), F.sum("size").alias("size")
+    ).where(F.col("pages") >= least)
+    weight = F.struct(F.col("path").alias("name"), (F.col("size") / F.col("pages")).alias("weight"))
+    by_layout = uses.where(is_path & (F.col("n") >= least)).select("host", "layout", "path", F.col("n").alias("pages"))
+    # A text on so large a part of LEAST_PAGES pages or more is on this many at least.
+    enough = F.col("n") >= F.lit(CONSTANT) * F.lit(LEAST_PAGES)
+    wide = uses.where(~is_path).groupBy("host", "path", "text").agg(F.sum("n").alias("n")).where(enough)
+    narrow = uses.where(~is_path & enough)
+    on_host = lookup_join(wide, by_path, ["host", "path"], spread=["text"], how="inner")
+    on_layout = lookup_join(narrow, by_layout, ["host", "layout", "path"], spread=["text"], how="inner")
+    common = F.col("n") >= F.lit(CONSTANT) * F.col("pages")
+    constants = on_host.where(common).select("host", F.concat_ws(" ", "path", "text").alias("constant")).unionByName(
+        on_layout.where(common).select("host", F.concat_ws(" ", "layout", "path", "text").alias("constant"))
+    )
+    parts = by_path.select("host", weight.alias("weight"), F.lit(None).cast("string").alias("constant")).unionByName(
+        constants.select("host", F.lit(None).cast("struct<name:bigint,weight:double>").alias("weight"), "constant")
+    )
+    # Lists leave out nulls.
+    held = F.struct(F.collect_list("weight").alias("weights"), F.collect_list("constant").alias("constants"))
+    return parts.groupBy("host").agg(F.to_json(held).alias("wrapper"))
+
+
+def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of all pages (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     hosted = pages.select(F.col("page_id").cast("bigint"), "url", host.alias("host"), "html")
-    order = F.xxhash64("page_id", "url")
-    # Spark keeps each task's first rows per host before the shuffle, so a hot host is small there.
-    ranked = hosted.where("html IS NOT NULL").select("host", order.alias("order"), "html").withColumn(
-        "row", F.row_number().over(Window.partitionBy("host").orderBy("order"))
-    )
-    small_batches(pages.sparkSession)
-    chosen = ranked.where(F.col("row") <= sample).select("host", "order", "html")
-    wrappers = materialize(chosen.groupBy("host").applyInPandas(_wrapper_of, "host string, wrapper string"), "wrappers")
+    wrappers = materialize(wrappers_of(hosted), "wrappers")
     known = lookup_join(hosted, wrappers, ["host"], spread=["page_id"], how="left", stored=True)
     return map_arrow(
         known.select("page_id", "url", "wrapper", "html"), _apply, "page_id bigint, url string, text string, n_chars bigint"

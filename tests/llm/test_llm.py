@@ -254,6 +254,41 @@ def test_pages_give_back_their_documents(spark):
     assert sum(body in texts for body in bodies) > 0.95 * len(bodies)
 
 
+STORY = "Story {0} begins on a cold morning near river {0} and goes on for a good while until evening {0}"
+
+
+def texts_of(spark, pages):
+    rows = [(k, f"https://one.example/{k}", page) for k, page in enumerate(pages)]
+    found = wrapper_html.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    return [r.text for r in sorted(found.collect(), key=lambda r: r.page_id)]
+
+
+def test_templates_of_all_pages(spark):
+    note = "<p>Printed with permission</p>"
+    common = [f"<body><article><p>{STORY.format(k)}</p></article></body>" for k in range(40)]
+    rare = [f"<body><article><div class='alt'><p>{STORY.format(k)}</p>{note}</div></article></body>" for k in range(40, 45)]
+    same_paths = [f"<body><article><div class='b'></div><p>{STORY.format(k)}</p></article></body>" for k in range(45, 48)]
+    pages = common + rare + same_paths + [f"<body><article>{note}</article></body>"]
+    want = [STORY.format(k) for k in range(48)] + ["Printed with permission"]  # elsewhere it is no template
+    assert texts_of(spark, pages) == want
+
+
+def test_copies_keep_their_text(spark):
+    def page(k):
+        return f"<body><article><h1>Title {k}</h1><p>{STORY.format(k)}</p></article></body>"
+
+    pages = [page(1)] * 9 + [page(2)]
+    assert texts_of(spark, pages) == [f"Title {k}\n{STORY.format(k)}" for k in [1] * 9 + [2]]
+
+
+def test_wrapper_of_a_list_is_that_of_the_table(spark):
+    pages = [f"<body><div class='x'><p>Follow us</p><p>{STORY.format(k)}</p></div></body>" for k in range(7)]
+    table = spark.createDataFrame([("h", page) for page in pages], "host string, html string")
+    (row,) = wrapper_html.wrappers_of(table).collect()
+    found, own = wrapper_html._read(row.wrapper), wrapper_html.induce(pages)
+    assert found["constants"] == frozenset(own["constants"]) and found["weights"] == pytest.approx(own["weights"])
+
+
 # Toxicity
 
 
