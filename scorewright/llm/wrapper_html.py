@@ -7,8 +7,10 @@ host and for each of its layouts (the set of paths of containers). Pages with th
 copies weigh as one page. A text on nearly all pages that have its path is the host's template, at that
 path only; the characters of the different texts at a path, a page, are the weight of its slot.
 
-Applied to a page, the wrapper takes ``article`` or ``main`` if there is one, else it goes down from the root
-into the element that holds nearly all the weight. Left out are regions of other use (by tag, role, class or id:
+Applied to a page, the wrapper goes down from the root into the element that holds nearly all the weight;
+headings beside the path are kept and ``article`` elements beside a heavier element of another kind are teasers. ``article``
+and ``main`` by their names decide only where no element holds nearly all, or where most of the page's text
+lies at paths of fewer than ``LEAST_PAGES`` pages. Left out are regions of other use (by tag, role, class or id:
 menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments),
 blocks of links, and the template's texts. What is left is put together block by block.
 
@@ -263,22 +265,25 @@ def induce(pages: list[str]) -> dict:
 def _regions(sizes: Counter[Path], weights: dict[str, float]) -> list[Path]:
     """Paths of the elements that hold the main text of a page, of its own characters at each path."""
     known = {path: weights.get(str(path_key(path))) for path in sizes}
-    for name in MAIN:
-        cut = [next((k for k, sig in enumerate(path, 1) if tag_of(sig) == name), 0) for path in sizes]
-        if any(cut):
-            return [path[:k] for path, k in zip(sizes, cut) if k]
     if 2 * sum(size for path, size in sizes.items() if known[path] is not None) <= sizes.total():
+        for name in MAIN:
+            cut = [next((k for k, sig in enumerate(path, 1) if tag_of(sig) == name), 0) for path in sizes]
+            if any(cut):
+                return [path[:k] for path, k in zip(sizes, cut) if k]
         return [()]
     held = {path: sizes[path] if weight is None else weight for path, weight in known.items()}
     at: Path = ()
     titles: list[Path] = []
     while True:
         below: defaultdict[str, float] = defaultdict(float)
+        items: defaultdict[str, float] = defaultdict(float)  # of it in articles
         direct = 0.0
         for path, weight in held.items():
             if path[: len(at)] == at:
                 if len(path) > len(at):
                     below[path[len(at)]] += weight
+                    if any(tag_of(sig) == "article" for sig in path[len(at) :]):
+                        items[path[len(at)]] += weight
                 else:
                     direct += weight
         best = max(below, key=below.__getitem__, default="")
@@ -286,7 +291,7 @@ def _regions(sizes: Counter[Path], weights: dict[str, float]) -> list[Path]:
             break
         headings = [sig for sig in below if tag_of(sig) in HEADINGS]
         rest = direct + sum(below.values()) - sum(below[sig] for sig in headings)
-        teasers = sum(below[sig] for sig in below if sig != best and tag_of(sig) == "article")
+        teasers = sum(items.values()) - items[best] if 2 * items[best] <= below[best] else 0.0
         named = tag_of(best) in MAIN
         if below[best] < HELD * (rest - teasers) and not (named and below[best] > HALF * rest):
             break

@@ -263,6 +263,15 @@ def texts_of(spark, pages):
     return [r.text for r in sorted(found.collect(), key=lambda r: r.page_id)]
 
 
+@pytest.mark.parametrize("before, after", [("", ""), ("<div class='more'>", "</div>")])
+def test_text_in_a_div_beside_teaser_articles(spark, before, after):
+    def page(k):
+        teasers = "".join(f"<article class='teaser'><h3>Other {k + j}</h3><p>Read item {k + j} now</p></article>" for j in (1, 2))
+        return f"<body><h1>Title {k}</h1><div class='text'><p>{STORY.format(k)}</p><p>End {k}</p></div>{before}{teasers}{after}</body>"
+
+    assert texts_of(spark, [page(k) for k in range(9)]) == [f"Title {k}\n{STORY.format(k)}\nEnd {k}" for k in range(9)]
+
+
 def test_templates_of_all_pages(spark):
     note = "<p>Printed with permission</p>"
     common = [f"<body><article><p>{STORY.format(k)}</p></article></body>" for k in range(40)]
