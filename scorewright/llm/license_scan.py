@@ -5,7 +5,8 @@ empty lines only (for sentences that run over lines). A sentence in normal form
 digits in lower case, all else one space) that is known has an identifier. A text is then the sequence
 of its known sentences, and rules are matched against it in order: a rule is a licence and the
 sequence of identifiers that names it. What a rule matches is taken out before the next rule, so the
-rules of longer sequences come first. A licence is found if either cut finds it.
+rules of longer sequences come first. A licence is found if either cut finds it. The normal form has no
+``+``, so the old SPDX names GPL-2.0 and GPL-2.0+ (and so on) are one sentence, and are not in the table.
 
 All of it are expressions of one row, with no shuffle; the table of sentences and the rules are
 bounded by ``MOST_SENTENCES`` and ``MOST_RULES``, since they are part of the plan.
@@ -75,8 +76,74 @@ SENTENCES: dict[str, str] = {
     "spdx_bsd3": "SPDX-License-Identifier: BSD-3-Clause",
     "spdx_gpl2": "SPDX-License-Identifier: GPL-2.0-only",
     "spdx_gpl3": "SPDX-License-Identifier: GPL-3.0-only",
+    "gpl3_version": "either version 3 of the License, or (at your option) any later version",
+    "gpl2_only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl2_this": "version 2 of the License",
+    "library_free": "This library is free software",
+    "lgpl_or_later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "library_or_later": "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    "lgpl21_version": "either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3_program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl3_library": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3_or_later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl_or_later": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "isc_and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
 }
 
+# Licences that one sentence of their own names.
+ONE_SENTENCE: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Released under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "This project is licensed under the Apache License 2.0"),
+    "MIT": ("This project is licensed under the MIT License", "This work is licensed under the MIT License", "Licensed under MIT"),
+    "BSD": ("Licensed under the BSD License",),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License"),
+    "ISC": ("Licensed under the ISC License", "Released under the ISC License", "SPDX-License-Identifier: ISC"),
+    "GPL-2.0-only": ("Licensed under the GNU General Public License, version 2",),
+    "GPL-3.0-only": ("Licensed under the GNU General Public License, version 3",),
+    "LGPL-2.1-only": ("Licensed under the GNU Lesser General Public License, version 2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
+    "LGPL-3.0-only": ("Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"),
+    "AGPL-3.0-only": ("Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"),
+    "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "CC0-1.0": ("Licensed under CC0 1.0", "CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
+    **{name: (f"SPDX-License-Identifier: {name}",) for name in (
+        "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later",
+        "AGPL-3.0-or-later", "Unlicense", "EPL-2.0", "BSL-1.0", "Zlib",
+    )},
+}
+
+# The Creative Commons licences, their versions and the word their long names end with.
+CC_KINDS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+CC_VERSIONS = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic"}
+
+
+def _creative_commons() -> dict[str, tuple[str, ...]]:
+    found = {}
+    for kind, name in CC_KINDS.items():
+        for version, scope in CC_VERSIONS.items():
+            # Before version 4.0 the long name is NoDerivs.
+            long = f"{name if version == '4.0' else name.replace('NoDerivatives', 'NoDerivs')} {version} {scope}"
+            forms = [f"Licensed under CC {kind} {version}", f"This work is licensed under a Creative Commons {long} License"]
+            if version in ("4.0", "3.0"):
+                forms.append(f"This work is licensed under CC {kind} {version}")
+            if version == "4.0":
+                forms += [f"CC {kind} {version}", f"This work is licensed under Creative Commons {long}", f"SPDX-License-Identifier: CC-{kind}-{version}"]
+            found[f"CC-{kind}-{version}"] = tuple(forms)
+        found[f"CC-{kind}"] = (f"Licensed under CC {kind}",)
+    return found
+
+
+#: Licence and sentence by the identifier of the sentence; a form listed above keeps its identifier there.
+_SINGLE = {
+    f"{licence}:{k}": (licence, form)
+    for licence, forms in (*ONE_SENTENCE.items(), *_creative_commons().items())
+    for k, form in enumerate(forms)
+    if form not in SENTENCES.values()
+}
+SENTENCES |= {name: form for name, (_, form) in _SINGLE.items()}
+
 # Licences and the sentence sequences that name them, the longer ones first.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd_grant", "bsd_list", "bsd_source", "bsd_second", "bsd_binary", "bsd_third", "bsd_names")),
@@ -85,12 +152,25 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-2-Clause", ("bsd_grant", "bsd_list", "bsd_source", "bsd_second", "bsd_binary")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("GPL-2.0-or-later", ("gpl2_free", "gpl2_or_later", "gpl2_version")),
+    ("GPL-3.0-or-later", ("gpl2_free", "gpl2_or_later", "gpl3_version")),
+    ("GPL-2.0-only", ("gpl2_free", "gpl2_or_later", "gpl2_this")),
+    ("LGPL-2.1-or-later", ("library_free", "lgpl_or_later", "lgpl21_version")),
+    ("LGPL-2.1-or-later", ("gpl2_free", "lgpl_or_later", "lgpl21_version")),
+    ("LGPL-3.0-or-later", ("library_free", "lgpl_or_later", "gpl3_version")),
+    ("LGPL-3.0-or-later", ("gpl2_free", "lgpl_or_later", "gpl3_version")),
+    ("LGPL-2.0-or-later", ("library_free", "library_or_later", "gpl2_version")),
+    ("AGPL-3.0-or-later", ("gpl2_free", "agpl_or_later", "gpl3_version")),
     ("MIT", ("mit_title", "mit_grant", "mit_notice", "mit_warranty")),
     ("MIT", ("mit_name", "mit_grant", "mit_notice", "mit_warranty")),
     ("MIT", ("mit_grant", "mit_notice", "mit_warranty")),
     ("GPL-3.0-or-later", ("gpl3_or_later", "gpl_warranty")),
     ("ISC", ("isc_grant",)),
+    ("GPL-2.0-only", ("gpl2_free", "gpl2_only")),
+    ("ISC", ("isc_and",)),
     ("GPL-3.0-or-later", ("gpl3_or_later",)),
+    ("LGPL-3.0-or-later", ("lgpl3_program",)),
+    ("LGPL-3.0-or-later", ("lgpl3_library",)),
+    ("AGPL-3.0-or-later", ("agpl3_or_later",)),
     ("Apache-2.0", ("apache_head",)),
     ("Apache-2.0", ("apache_short",)),
     ("Apache-2.0", ("spdx_apache",)),
@@ -112,6 +192,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-NC-4.0", ("ccbync_short",)),
     ("CC0-1.0", ("cc0_short",)),
     ("Unlicense", ("unlicense",)),
+    *((licence, (name,)) for name, (licence, _) in _SINGLE.items()),
 )
 
 

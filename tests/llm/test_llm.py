@@ -377,6 +377,48 @@ def test_license_rules(spark):
     assert found == {1: [], 2: [], 3: ["MIT"], 4: ["Apache-2.0"], 5: [], 6: []}
 
 
+LICENSE_LINES = [
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("Licensed under CC BY 4.0", "CC-BY-4.0"),
+    ("licensed under cc by-sa 3.0.", "CC-BY-SA-3.0"),
+    ("This work is licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+    ("Licensed under CC BY-ND 2.0!", "CC-BY-ND-2.0"),
+    ("Licensed under CC BY-NC-SA.", "CC-BY-NC-SA"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License.", "CC-BY-ND-3.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+    ("// SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+    ("/* SPDX-License-Identifier: AGPL-3.0-only */", "AGPL-3.0-only"),
+    ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+    ("SPDX-License-Identifier: ISC", "ISC"),
+    ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+    (
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+        "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n",
+        "LGPL-2.1-or-later",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License "
+        "as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n",
+        "AGPL-3.0-or-later",
+    ),
+    ("Nothing is licensed under CC here.", ""),
+]
+
+
+def test_licenses_written_by_hand(spark):
+    texts = [(k, f"Some words before.\n\n{text}\n\nSome words after.") for k, (text, _) in enumerate(LICENSE_LINES)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = {r.doc_id: ",".join(r.licenses) for r in license_scan.scan_licenses(docs).collect()}
+    assert found == {k: want for k, (_, want) in enumerate(LICENSE_LINES)}
+
+
+def test_license_sentences_are_distinct():
+    forms = [license_scan.normal(sentence) for sentence in license_scan.SENTENCES.values()]
+    assert len(forms) == len(set(forms)) and {name for _, part in license_scan.RULES for name in part} <= set(license_scan.SENTENCES)
+
+
 # Pipeline
 
 
