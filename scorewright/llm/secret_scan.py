@@ -5,8 +5,9 @@ Base spans come from patterns alone: ``assign`` (a value given to a password-lik
 decode to has the structure they claim:
 
 * ``jwt``: three base64url parts, the first a JSON object with an ``alg`` text, the second a JSON object,
-* ``pem``: a key block between BEGIN and END lines whose base64 body is nested DER,
-* ``der``: base64 (40 characters or more) or hexadecimal (80 or more) that decodes to a DER sequence
+* ``pem``: a key block between BEGIN and END lines whose base64 body is nested DER; line ends and signs
+  may be escaped as in JSON texts,
+* ``der``: base64 (40 characters or more) or hexadecimal (80 or more, in any case) that decodes to a DER sequence
   of a key: an integer or a sequence first, all nested lengths filling their frames exactly,
 * ``openssh``: base64 of an OpenSSH private key or of a length-prefixed public key.
 
@@ -39,8 +40,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs of the class are found whole, so the length can stand in the pattern.
 HEX = re.compile(r"[0-9a-f]{32,}")
-JWT = re.compile(r"(?<![\w.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)", re.A)
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----\s+([A-Za-z0-9+/=\s]+?)-----END \1-----")
+#: What is tried as hexadecimal data, apart from the base kind.
+HEX_DATA = re.compile(r"[0-9A-Fa-f]{80,}")
+JWT = re.compile(r"(?<![\w.-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*)", re.A)
+ESCAPED = re.compile(r"\\+(?:u00([0-9A-Fa-f]{2})|([nrt/]))")
+PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*KEY)-----(?=[\s\\])((?:[A-Za-z0-9+/=\s]++|\\++(?:u00[0-9A-Fa-f]{2}|[nrt/]))++)-----END \1-----"
+)
 CODED = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 NAMED = ("password", "passwd", "secret", "token", "api")
 
@@ -131,26 +137,41 @@ def base_spans(text: str, lowered: str) -> list[Span]:
     return spans
 
 
+def _unescaped(match: re.Match) -> str:
+    return chr(int(match[1], 16)) if match[1] else "/" if match[2] == "/" else " "
+
+
+def _coded(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of base64, less the letter of an escaped line end before them."""
+    for m in CODED.finditer(text):
+        start, end = m.span()
+        yield start, end
+        if start and text[start - 1] == "\\" and text[start] in "nrt":
+            yield start + 1, end
+
+
 def confirmed_spans(text: str, hex_spans: list[Span]) -> list[Span]:
     """Spans whose decoded content is a key or a signed token."""
     spans: list[Span] = []
-    if "eyJ" in text:  # every JSON object that opens with a quoted name is encoded so
+    if "." in text:
         spans += [("jwt", *m.span()) for m in JWT.finditer(text) if _signed(m)]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = decoded("".join(m[2].split()))
+            body = decoded("".join(ESCAPED.sub(_unescaped, m[2]).split()))
             if body is not None and (key_der(body) or key_ssh(body)):
                 spans.append(("pem", *m.span()))
-    for m in CODED.finditer(text):
-        body = decoded(m[0])
+    for start, end in _coded(text):
+        body = decoded(text[start:end])
         if body is None:
             continue
         if key_der(body):
-            spans.append(("der", *m.span()))
+            spans.append(("der", start, end))
         elif key_ssh(body):
-            spans.append(("openssh", *m.span()))
-    for _, start, end in hex_spans:
-        if end - start >= 80 and (end - start) % 2 == 0 and key_der(bytes.fromhex(text[start:end])):
+            spans.append(("openssh", start, end))
+    whole = [m.span() for m in HEX_DATA.finditer(text)]
+    lower = [(start, end) for _, start, end in hex_spans if end - start >= 80]  # inside longer runs, too
+    for start, end in dict.fromkeys(whole + lower):
+        if (end - start) % 2 == 0 and key_der(bytes.fromhex(text[start:end])):
             spans.append(("der", start, end))
     return spans
 
