@@ -442,6 +442,14 @@ def test_license_sentences_are_distinct():
 # Pipeline
 
 
+def test_repeated_ids_with_unlike_texts_stay(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(60)) for name in "abcd"]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (6, texts[1] + " more"), (3, texts[2]), (7, texts[3]), (7, texts[0] + " end")]
+    docs = rows_to_docs(spark, [(i, text, "a") for i, text in rows] + [(8, None, "a"), (8, "", "a"), (None, texts[0], "a")])
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect())
+    assert kept == Counter([(5, texts[0]), (5, texts[1]), (3, texts[2]), (7, texts[3]), (8, None), (8, ""), (None, texts[0])])
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     steps = [docs]
