@@ -1,16 +1,21 @@
-"""Exact Jaccard self-join of shingle sets through parity sketches.
+"""Jaccard self-join of shingle sets: candidates by a prefix filter, all kept ones verified.
 
 A set's sketch is a row of 2**44 words, nearly all of them empty. Every shingle picks a word by its
-hash and XORs its hash into it, so a word differs between two sketches only if a shingle that one set
-alone has fell into it. Two sets of a and b shingles whose intersection is at least t of the union
+hash and XORs its hash into it. With so many words nearly each one holds a single shingle and the XOR
+has nothing to fold: the candidate step is a prefix filter over shingle hashes in order of rarity. Two sets
+of a and b shingles whose intersection is at least t of the union
 share at least t / (1 + t) * (a + b) shingles, so at most a quarter (1 - t) of the one set's words
-differ, and by the pigeonhole principle any quarter and one more of its words hold a common one, as
+differ, and any quarter and one more of its words hold a common one, as
 long as both sets choose in the same order. Each set hands out that many of its rarest words (rarity
 is counted over all documents in a histogram of fixed size; it is the order only, so any counts give
 whole results), and sets that share enough of them (``_needed``) are candidates. The words go by size
 band, the bands' bounds being powers of eight; a set whose partners may lie in the next band hands
-out its words there too. The odds that a shingle of the one set falls on a word of the other by chance
-are below 1e-10 a document, and that would matter at the threshold only.
+out its words there too.
+
+Where a shingle that only one set has falls on a word of the other, that word differs although its other
+shingle is common, and a pair exactly at the threshold may be missed. For two similar sets of n shingles the
+odds of any such word are about 2 / 7 * n * n / 2**44: below 1e-7 for 2,000 shingles, 6.5e-6 for 20,000, about
+1.6 per cent for 1,000,000.
 
 Candidates are held against each other by bit sketches next: the parities of the shingles in a few
 times as many cells as there are shingles. Each shingle that only one set has flips one cell, so the
