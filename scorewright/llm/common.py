@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ BATCH_ROWS = 1_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = r"[\x20\x09-\x0D]+"
+BREAK = re.compile(rb"[\x20\x09-\x0D]")
+PIECE = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -32,6 +35,18 @@ def utf8(column: pa.Array) -> Iterator[bytes | None]:
     return iter(column.cast(pa.binary()).to_pylist())
 
 
+def pieces(text: bytes, separators: re.Pattern[bytes] = BREAK, size: int = PIECE) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes, cut only at separators, so that no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        cut = separators.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is.
 

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm import (
+    centroids,
     decontaminate,
     language_id,
+    lexical_search,
     license_scan,
     mixing,
     parity_join,
     quality,
     secret_scan,
+    simhash,
     token_store,
     toxicity,
     wrapper_html,
@@ -249,3 +252,74 @@ FROM chain
 
 
 ORACLES["op1_license_scan"] = _license_sql()
+
+
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+items AS (
+  SELECT row_number() OVER () AS q, item_id, list_distinct(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w
+  FROM benchmark),
+asked AS (SELECT q, item_id, unnest(w) AS t FROM items),
+total AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM docs WHERE len(w) > 0),
+tf AS (
+  SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM docs)
+  WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * total.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY t, total.n),
+scores AS (
+  SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * tf.n * total.n) // total.l))))::BIGINT AS score
+  FROM asked JOIN tf USING (t) JOIN weight USING (t), total GROUP BY q, item_id, r, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@query
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and the groups they form within two bits."""
+    return simhash.group_near(table(spark, folder, "documents"))
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten rounds of eight centroids over all usable vectors."""
+    assigned, last = centroids.cluster(table(spark, folder, "embeddings"))
+    return centroids.with_inertia(assigned, last)
+
+
+def _clusters_sql() -> str:
+    """The rounds as a chain of tables."""
+    assign = """
+a{k} AS MATERIALIZED (
+  SELECT r, arg_min(c, [d, c]) AS c, min(d) AS d FROM (
+    SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d FROM kept, m{k}) GROUP BY r)"""
+    move = """
+s{n} AS (SELECT c, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (
+  SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM kept JOIN a{k} USING (r)) GROUP BY c, i),
+m{n} AS MATERIALIZED (
+  SELECT c, coalesce(x, m) AS m FROM m{k} LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{n} GROUP BY c) USING (c))"""
+    chain = ",".join(assign.format(k=k) + "," + move.format(k=k, n=k + 1) for k in range(10)) + "," + assign.format(k=10)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT v, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM kept)
+  ORDER BY h, v LIMIT 8),
+{chain},
+inertia AS (SELECT c, sum(d)::BIGINT AS ci FROM a10 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, ci AS cluster_inertia, (SELECT sum(ci)::BIGINT FROM inertia) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM kept JOIN a10 USING (r) JOIN inertia USING (c) JOIN m10 USING (c)
+"""
+
+
+ORACLES["op13_centroid_clustering"] = _clusters_sql()

@@ -49,7 +49,7 @@ def test_matches_sql(spark, name):
 
 def test_all_queries_are_registered():
     numbers = {name.split("_")[0] for name in queries.QUERIES}
-    assert numbers == {f"op{n}" for n in range(1, 11)}
+    assert numbers == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
 
 
