@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scorewright import schemas
 from scorewright.functions import text as T
-from scorewright.scale import lookup_join
+from scorewright.scale import lookup_join, materialize
 
 ModelCall = Callable[[str, str], tuple[str, int]]
 
@@ -44,13 +44,19 @@ def replay(
     )
 
 
-def call_model(prompts: DataFrame, model_call: ModelCall, path: str, *, parallel_calls: int) -> DataFrame:
+def call_model(
+    prompts: DataFrame, model_call: ModelCall, path: str, *, parallel_calls: int, rounds: int = 1
+) -> DataFrame:
     """Answer each distinct prompt that ``path`` does not hold yet, and return the stored responses.
 
     ``model_call(prompt, model)`` returns (output, tokens). A call that raises yields empty output
     and the error text. Responses are written, keyed by prompt and model, before anyone reads them:
     a second run calls only for what is missing or has failed so far. ``parallel_calls`` tasks call
     at the same time.
+
+    Prompts are dealt into ``rounds`` buckets by a hash of their key, and each bucket's answers are
+    committed before the next one begins. A run that is killed repeats the calls of one bucket at
+    most; buckets whose prompts are all answered are not begun again.
     """
     spark = prompts.sparkSession
     keys = ["prompt_sha", "model"]
@@ -77,8 +83,15 @@ def call_model(prompts: DataFrame, model_call: ModelCall, path: str, *, parallel
                 rows, columns=["prompt_sha", "model", "output", "tokens", "latency_s", "error"]
             )
 
-    answered = distinct.repartition(parallel_calls, "prompt_sha").mapInPandas(answer, schemas.RESPONSE)
-    answered.write.mode("append").parquet(path)
+    dealt = distinct.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(rounds)))
+    todo = materialize(dealt, "prompts", by=["bucket"])
+    buckets = sorted(row["bucket"] for row in todo.select("bucket").distinct().collect())  # at most ``rounds``
+    for bucket in buckets:
+        asked = todo.where(F.col("bucket") == bucket).drop("bucket")
+        answered = asked.repartition(parallel_calls, "prompt_sha").mapInPandas(answer, schemas.RESPONSE)
+        answered.write.mode("append").parquet(path)
+    if not buckets:
+        spark.createDataFrame([], schemas.RESPONSE).write.mode("append").parquet(path)
     return one_per_key(spark.read.schema(schemas.RESPONSE).parquet(path), keys)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import text as T
-from scorewright.operators.ordered import running_totals, with_rank
+from scorewright.operators.ordered import SLICE, add_carry, running_totals, slice_by_range
+from scorewright.operators.packing import PART_BYTES, pack
 from scorewright.scale import lookup_join, materialize
 
 # Log levels by severity, spellings that mean the same, levels that count as errors.
@@ -18,7 +19,6 @@ ERROR_LEVELS = ("ERROR", "FATAL")
 LINE = r"(?s)\A(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d{1,6})?) ([A-Z]+)\s+(?:\[([^\]]+)\]\s)?(.*)\z"
 CONTINUATION = r"^\s*(at |Stack trace:)"
 SEPARATOR = "\x01"
-EVENTS_PER_PART = 1_000
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -62,27 +62,23 @@ def severity(level: Column) -> Column:
 
 
 def errors_as_json(
-    events: DataFrame, source: str, order: Sequence[str], *, per_part: int = EVENTS_PER_PART
+    events: DataFrame, source: str, order: Sequence[str], *, max_bytes: int = PART_BYTES
 ) -> DataFrame:
     """Errors of each source as JSON arrays of ``{timestamp, message}`` in time order.
 
-    Continuation lines are left out. Sources with more than ``per_part`` errors give several arrays
-    (``part`` 0, 1, ...); positions come from a sliced ranking, so no task holds a whole source.
+    Continuation lines are left out. Sources whose objects, with a comma each, take more than
+    ``max_bytes`` give several arrays, to be read by rising ``part`` (see :func:`packing.pack`).
     """
     errors = events.where(is_error(F.col("level")) & ~F.coalesce("is_continuation", F.lit(False)))
-    ranked = with_rank(errors.select(source, *order, "message"), [source], order, "_rank")
-    item = F.struct(
-        F.col("_rank").alias("at"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-        F.col("message").alias("message"),
-    )
-    parts = ranked.select(source, F.floor((F.col("_rank") - 1) / F.lit(per_part)).alias("part"), item.alias("item"))
-    objects = F.transform(
-        F.array_sort(F.collect_list("item")),
-        lambda i: F.struct(i["timestamp"].alias("timestamp"), i["message"].alias("message")),
+    item = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("message").alias("message"))
+    objects = errors.select(source, *order, F.to_json(item).alias("_object")).withColumn(
+        "_bytes", F.octet_length("_object") + 1
     )
+    parts = pack(objects, [source], order, "_bytes", max_bytes=max_bytes)
+    ordered = F.array_sort(F.collect_list(F.struct(*order, "_object")))
+    listed = F.array_join(F.transform(ordered, lambda i: i["_object"]), ",")
     return parts.groupBy(source, "part").agg(
-        F.count(F.lit(1)).alias("n_errors"), F.to_json(objects).alias("errors")
+        F.count(F.lit(1)).alias("n_errors"), F.concat(F.lit("["), listed, F.lit("]")).alias("errors")
     )
 
 
@@ -177,6 +173,47 @@ def evidence_before(
     )
 
 
+def evidence_list(
+    events: DataFrame,
+    group: str,
+    at: str,
+    tiebreak: str,
+    fields: Sequence[str],
+    anchors: Column,
+    *,
+    n: int,
+    lookback: int,
+) -> DataFrame:
+    """For each anchor event: the last ``n`` events of its group before it, within ``lookback`` microseconds.
+
+    ``evidence`` lists them in time order with their time, ``tiebreak`` (which orders events of one time) and
+    ``fields``; ``n_listed`` says how many there are.
+
+    A group is worked on in slices of time. Within a slice a frame of ``n`` rows gives the list; the events
+    missing at its beginning come from the slices before, of which each hands over its last ``n`` events and
+    no more. Those of the last ``n`` slices that hold the group are enough, since each has one at least.
+    """
+    named = events.select(group, at, tiebreak, *fields, anchors.alias("_anchor"))
+    sliced = slice_by_range(named, [group], [at, tiebreak])
+    item = F.struct(at, tiebreak, *fields)
+    within = Window.partitionBy(SLICE, group).orderBy(at, tiebreak)
+    across = Window.partitionBy(group).orderBy(SLICE).rowsBetween(-n, -1)
+
+    def newest(items: Column) -> Column:
+        return F.slice(items, F.greatest(F.size(items) - (n - 1), F.lit(1)), F.lit(n))
+
+    backwards = Window.partitionBy(SLICE, group).orderBy(F.desc(at), F.desc(tiebreak))
+    ends = sliced.withColumn("_nth", F.row_number().over(backwards)).where(F.col("_nth") <= n)
+    handed = ends.groupBy(SLICE, group).agg(F.array_sort(F.collect_list(item)).alias("_last"))
+    carry = handed.select(SLICE, group, newest(F.flatten(F.collect_list("_last").over(across))).alias("_carry"))
+    local = sliced.withColumn("_local", F.collect_list(item).over(within.rowsBetween(-n, -1))).where("_anchor")
+    both = add_carry(local, carry, [group])
+    listed = newest(F.concat(F.coalesce("_carry", F.array()), F.col("_local")))
+    recent = F.filter(listed, lambda event: event[at] >= F.col(at) - F.lit(lookback))
+    found = both.withColumn("evidence", recent)
+    return found.select(group, at, tiebreak, F.size("evidence").alias("n_listed"), "evidence")
+
+
 def match_signatures(
     reports: DataFrame, logs: DataFrame, report_signature: Column, log_signature: Column, *, spread: Sequence[str], matched: bool = True
 ) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions.time import MINUTE, SECOND, floor_to
@@ -94,30 +94,61 @@ def alert_runs(alerted: DataFrame, *, step: int, by: Sequence[str] = ()) -> Data
 def limit_breaches(
     events: DataFrame,
     alerted: DataFrame,
+    limits: DataFrame,
     at: str,
-    service: str,
     value: str,
-    limits: Mapping[str, tuple[str, float]],
     *,
     width: int,
+    spread: Sequence[str],
+    service: str = "service",
+    measure: str = "measure",
 ) -> DataFrame:
-    """Which configured limit was reached inside an alert window, per window and service.
-
-    ``limits`` maps a service to the configuration key that bounds its measure and its value.
-    Breaches are counted per window before the alerts are joined, so events are not.
+    """Which configured limits of a service its events reached inside its alert windows.
+
+    ``events`` has ``service``, ``measure``, the time and the value measured; ``alerted`` the alert
+    windows (``window_start``) per service; ``limits`` rows of ``service, measure, config_key,
+    config_limit``, any number per service and measure. One row per alert window and limit reached:
+    events at or above it, the highest, the first, and whether this key contributed most, which is the
+    one exceeded by the largest factor, then by the most events, then by name.
+
+    A join of events with all limits below their value would repeat an event once per limit. Here the
+    limits of a measure are sorted, an event only gets the number of them it reached, and events are
+    counted per such number before the limits are joined. Events outside alert windows go first.
+    NULL and NaN values reach no limit, and a NULL limit is none.
     """
-    limit, key = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for name, (setting, bound) in limits.items():
-        limit = F.when(F.col(service) == name, F.lit(float(bound))).otherwise(limit)
-        key = F.when(F.col(service) == name, F.lit(setting)).otherwise(key)
-    breaching = events.where(F.col(value) >= limit)
-    per_window = breaching.groupBy(floor_to(F.col(at), width).alias("window_start"), service).agg(
-        F.count(F.lit(1)).alias("n_breaches"),
-        F.max(value).alias("max_value"),
-        F.min(at).alias("first_breach"),
+    known = limits.where(F.col("config_limit").isNotNull() & F.col("config_key").isNotNull())
+    known = known.select(service, measure, F.col("config_limit").cast("double").alias("config_limit"), "config_key").distinct()
+    per_measure = known.groupBy(service, measure).agg(
+        F.array_sort(F.collect_list(F.struct("config_limit", "config_key"))).alias("_limits")
+    )
+    per_measure = materialize(per_measure, "limits")
+    windows = alerted.select("window_start", service, "error_share")
+
+    measured = events.select(
+        service, measure, F.col(at).alias("_at"), F.col(value).cast("double").alias("_value"), *spread,
+        floor_to(F.col(at), width).alias("window_start"),
+    ).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    inside = lookup_join(measured, windows, ["window_start", service], spread=spread, how="inner")
+    with_limits = lookup_join(inside, per_measure, [service, measure], spread=spread, how="inner", stored=True)
+    reached = F.size(F.filter("_limits", lambda limit: limit["config_limit"] <= F.col("_value")))
+    group = ["window_start", service, measure, "error_share"]
+    levels = (
+        with_limits.withColumn("_reached", reached)
+        .where("_reached > 0")
+        .groupBy(*group, "_reached")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_value").alias("_max"), F.min("_at").alias("_first"))
+    )
+    placed = per_measure.select(service, measure, F.posexplode("_limits").alias("_place", "_limit"))
+    below = lookup_join(levels, placed, [service, measure], spread=["window_start"], how="inner").where("_place < _reached")
+    found = below.groupBy(*group, F.col("_limit.config_key").alias("config_key"), F.col("_limit.config_limit").alias("config_limit")).agg(
+        F.sum("_n").alias("n_breaches"), F.max("_max").alias("max_value"), F.min("_first").alias("first_breach")
+    )
+    factor = F.try_divide("max_value", F.abs("config_limit"))
+    # One alert window of one service has as many rows as the service has limits.
+    most = Window.partitionBy("window_start", service).orderBy(
+        F.desc_nulls_last(factor), F.desc("n_breaches"), "config_key", "config_limit", measure
     )
-    named = per_window.withColumns({"config_key": key, "config_limit": limit})
-    return named.join(alerted.select("window_start", "error_share"), "window_start")
+    return found.withColumn("contributed_most", F.row_number().over(most) == 1)
 
 
 def gaps(events: DataFrame, key: str, at: str, tiebreak: Sequence[str]) -> DataFrame:

@@ -38,7 +38,8 @@ def _across(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(SLICE)
 
 
-def _add_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+def add_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add to each row what the slices before hand over to its slice and key, NULL where there is nothing."""
     on = rows[SLICE] == carry[SLICE]
     for key in keys:
         on = on & rows[key].eqNullSafe(carry[key])
@@ -61,7 +62,7 @@ def _totals_of_slices(
     carry = sums.select(SLICE, *keys, *[F.sum(f"_c_{new}").over(before).alias(f"_c_{new}") for new in totals])
     upto = _within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(src).over(upto).alias(f"_l_{new}") for new, src in totals.items()])
-    both = _add_carry(local, carry, keys)
+    both = add_carry(local, carry, keys)
     return both.select(
         *[c for c in sliced.columns if c != SLICE],
         *[(F.col(f"_l_{new}") + F.coalesce(F.col(f"_c_{new}"), F.lit(0))).alias(new) for new in totals],
@@ -81,7 +82,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: str, name: str, *,
     last = sliced.groupBy(SLICE, *keys).agg(F.max(order).alias("_last"))
     carry = last.select(SLICE, *keys, F.lag("_last").over(_across(keys)).alias("_carry"))
     local = sliced.withColumn("_local", F.lag(order).over(_within(keys, ordering)))
-    both = _add_carry(local, carry, keys)
+    both = add_carry(local, carry, keys)
     return both.select(*df.columns, F.coalesce("_local", "_carry").alias(name))
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from scorewright import schemas
 from scorewright.functions import numbers as N
-from scorewright.sources.tasks import SKIP_MARK
+from scorewright.operators.packing import PART_BYTES, pack
+from scorewright.sources.tasks import BLOCK_GAP, SKIP_MARK
 
-FEED_PER_PART = 10_000
+# What stands before, between and after the number and the agent above each output.
+FEED_LINE = ("Task ", " (", "):\n")
 
 
 def report_rows(results: DataFrame, ids: list[str]) -> DataFrame:
@@ -65,40 +67,43 @@ def judge_reasons(results: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def synthesis_feed(
-    results: DataFrame, group: str, position: str, agent: str, output: str, *, per_part: int = FEED_PER_PART
+    results: DataFrame, group: str, position: str, agent: str, output: str, *, max_bytes: int = PART_BYTES
 ) -> DataFrame:
     """Outputs of a run as text for a summary, in task order, without empty and skipped ones.
 
-    A run longer than ``per_part`` tasks comes out as several consecutive parts, cut by position,
-    so no row has to hold a run without bound; nothing is left out.
+    A run of more than ``max_bytes`` comes out as several rows, to be read by rising ``part`` (see
+    :func:`packing.pack`), so no row has to hold a run without bound; nothing is left out.
     """
     kept = results.where((F.col(output) != "") & ~F.contains(F.col(output), F.lit(SKIP_MARK)))
-    block = F.concat(
-        F.lit("Task "), F.col(position).cast("string"), F.lit(" ("), F.col(agent), F.lit("):\n"), F.col(output)
+    number = F.col(position).cast("string")
+    block = F.concat(F.lit(FEED_LINE[0]), number, F.lit(FEED_LINE[1]), F.col(agent), F.lit(FEED_LINE[2]), F.col(output))
+    blocks = kept.select(group, position, block.alias("_block")).withColumn(
+        "_bytes", F.octet_length("_block") + F.lit(len(BLOCK_GAP.encode()))
     )
-    pieces = kept.select(
-        group,
-        F.floor(F.col(position) / F.lit(per_part)).alias("part"),
-        F.struct(F.col(position).alias("at"), block.alias("block")).alias("piece"),
-    )
-    return pieces.groupBy(group, "part").agg(
+    parts = pack(blocks, [group], [position], "_bytes", max_bytes=max_bytes)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), F.col("_block").alias("block"))))
+    return parts.groupBy(group, "part").agg(
         F.count(F.lit(1)).alias("n_outputs"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list("piece")), lambda piece: piece["block"]), "\n\n"
-        ).alias("feed"),
+        F.array_join(F.transform(ordered, lambda piece: piece["block"]), BLOCK_GAP).alias("feed"),
     )
 
 
-def compare_runs(results: DataFrame, run: str, category: str) -> DataFrame:
-    """Per run and category: pass rate, mean score, cost per pass, escalation lift; change and rank.
+def compare_runs(results: DataFrame, run: str, model: str, category: str, at: str) -> DataFrame:
+    """Per run, model and category, and per run and model over all categories: rates, and the change in time.
+
+    Pass rate, mean score, cost per pass and escalation lift; ``previous_run`` is the run of the same model
+    that began last before this one (``at`` is the time of a result, a run begins with its first), and
+    ``pass_rate_change`` the difference to it in the same category. Runs are put in the order of time, not
+    of their names; names only part runs that begin at once. ``is_total`` marks rows over all categories.
 
-    Window functions run on the aggregated rows, one per run and category.
+    Results are combined per run, model and category first; ordering works on those few rows.
     """
     lifted = F.col("escalated") & F.col("score").isNotNull() & F.col("local_score").isNotNull()
     milli = F.round(F.col("score") * 1000).cast("bigint")
     lift = F.when(lifted, F.round((F.col("score") - F.col("local_score")) * 1000).cast("bigint"))
     cost_units = (F.col("cost_usd").cast("decimal(18,6)") * 1_000_000).cast("bigint")
-    totals = results.groupBy(run, category).agg(
+    cells = results.groupBy(run, model, category).agg(
+        F.min(at).alias("_begin"),
         F.count(F.lit(1)).alias("n_tasks"),
         F.count("success").alias("n_scored"),
         F.count_if("success").alias("n_passed"),
@@ -108,9 +113,19 @@ def compare_runs(results: DataFrame, run: str, category: str) -> DataFrame:
         F.count(lift).alias("n_lifted"),
         F.sum(cost_units).alias("_cost"),
     )
+    counted = [name for name in cells.columns if name not in (run, model, category, "_begin")]
+    each = [F.col(run), F.col(model), F.col(category)]
+    totals = cells.groupingSets([each, each[:2]], *each).agg(
+        (F.grouping(category) == 1).alias("is_total"),
+        F.min("_begin").alias("_begin"),
+        *[F.sum(name).alias(name) for name in counted],
+    )
     rated = totals.select(
         run,
+        model,
         category,
+        "is_total",
+        F.min("_begin").over(Window.partitionBy(run, model)).alias("run_began"),
         "n_tasks",
         "n_scored",
         "n_passed",
@@ -120,12 +135,13 @@ def compare_runs(results: DataFrame, run: str, category: str) -> DataFrame:
         F.when(F.col("n_lifted") > 0, F.col("_lift").cast("double") / (F.col("n_lifted") * 1000)).alias("_raw_lift"),
         "n_lifted",
     )
-    by_category = Window.partitionBy(category)
-    previous = F.lag("pass_rate_pct").over(by_category.orderBy(run))
+    in_time = Window.partitionBy(model, category, "is_total").orderBy("run_began", run)
+    by_category = Window.partitionBy(category, "is_total")
     return rated.withColumns(
         {
             "mean_lift": N.half_up(F.col("_raw_lift"), 3),
-            "pass_rate_change": N.half_up(F.col("pass_rate_pct") - previous, 3),
+            "previous_run": F.lag(run).over(in_time),
+            "pass_rate_change": N.half_up(F.col("pass_rate_pct") - F.lag("pass_rate_pct").over(in_time), 3),
             "rank_in_category": F.dense_rank().over(by_category.orderBy(F.desc_nulls_last("pass_rate_pct"))).cast("bigint"),
         }
     ).drop("_raw_lift")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import heapq
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import text as T
-from scorewright.scale import lookup_join, materialize
+from scorewright.scale import bounded_batches, lookup_join, materialize
 
 # Entity patterns by type. Java and RE2 syntax agree on all of them.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -25,8 +28,9 @@ ENTITY_HINTS = {"date": r"\d{4}", "email": "@"}
 HTML_HEADING = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>"
 HTML_PARAGRAPH = r"(?is)</h1>.*?<p(?:\s[^>]*)?>(.*?)(?:</p>|<p[\s>]|<h[1-6]|</article>|\z)"
 HTML_TAG = r"(?s)<[^>]*>"
-# Passages looked at per wanted one in the first retrieval round; any value gives the same result.
-SEED_PASSAGES = 30
+# Words of all questions that go to the tasks at once, and passages a task looks at together.
+QUESTION_WORDS = 100_000
+PASSAGES_AT_ONCE = 256
 
 
 def word_frequency(docs: DataFrame, text: str) -> DataFrame:
@@ -138,90 +142,129 @@ def entity_lists(
     return docs.select(doc_id, F.inline(F.concat(*found)))
 
 
+def dictionary_entities(
+    docs: DataFrame, doc_id: str, text: str, names: DataFrame, *, name: str = "name", kind: str = "person"
+) -> DataFrame:
+    """Names of a table that occur in a document, as whole words in order: ``<doc_id>, entity_type, entity``.
+
+    Case counts; what lies between the words does not. The table may be of any size: a word of a text is
+    first looked up among the first words of names, and only where one begins the following words, as many
+    as names with that first word have, are joined with whole names. Both lookups are broadcast where the
+    table is small and shuffled, with hot words spread, where it is not. A place carries as many words as the
+    longest name has.
+    """
+
+    def plain(column: str) -> Column:
+        return F.filter(F.split(F.col(column), T.NON_WORD), lambda word: word != "")
+
+    listed = names.select(F.col(name).alias("entity"), plain(name).alias("_words")).where(F.size("_words") > 0).distinct()
+    listed = materialize(listed.withColumn("_name", F.array_join("_words", " ")), "names")
+    longest = listed.agg(F.coalesce(F.max(F.size("_words")), F.lit(1))).first()[0]
+    firsts = listed.groupBy(F.get("_words", 0).alias("_first")).agg(F.collect_set(F.size("_words")).alias("_lengths"))
+
+    worded = docs.select(doc_id, plain(text).alias("_all"))
+    ahead = F.transform("_all", lambda word, at: F.struct(word.alias("_first"), F.slice("_all", at + 1, F.lit(longest)).alias("_ahead")))
+    places = worded.select(doc_id, F.inline(ahead))
+    begun = lookup_join(places, firsts, ["_first"], spread=[doc_id, "_ahead"], how="inner")
+    cut = F.filter("_lengths", lambda n: n <= F.size("_ahead"))
+    runs = F.transform(cut, lambda n: F.array_join(F.slice("_ahead", F.lit(1), n), " "))
+    found = begun.select(doc_id, F.explode(runs).alias("_name")).distinct()
+    whole = lookup_join(found, listed.select("_name", "entity"), ["_name"], spread=[doc_id], how="inner", stored=True)
+    return whole.select(doc_id, F.lit(kind).alias("entity_type"), "entity").distinct()
+
+
 def count_entities(entities: DataFrame) -> DataFrame:
     """Number of documents per entity."""
     return entities.groupBy("entity_type", "entity").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def retrieve_passages(
-    questions: DataFrame, question_id: str, passages: DataFrame, passage_id: str, text: str, *, k: int = 3
+    questions: DataFrame,
+    question_id: str,
+    passages: DataFrame,
+    passage_id: str,
+    text: str,
+    *,
+    k: int = 3,
+    block_words: int = QUESTION_WORDS,
 ) -> DataFrame:
-    """The ``k`` passages that share most distinct words with each question; ties by passage id.
+    """The ``k`` passages that share most distinct words with each question; ties by passage id, NULL last.
 
-    Exact, without pairing every question with every passage. A passage that shares at least s of a
-    question's m words holds one of its m - s + 1 rarest words. A first round over its rarest words
-    gives s, the ``k``-th best score found so far; the second round looks only behind the m - s + 1
-    rarest words. Common words, found in most passages, count for the score but form no pairs.
+    Scores are the same whether words are rare or common, and common ones bring nearly every passage to
+    nearly every question. So no pair of a question and a passage is a row. The questions are the stated
+    set: their words go to all tasks, in blocks of about ``block_words`` words, and a task goes through its
+    passages once per block and adds up shared words for all questions of the block at once. It keeps the best
+    ``k`` passages of each question; a passage with fewer asked words than the ``k``-th of them has, is
+    not looked at further. What is shuffled is at most ``k`` rows per task and question.
 
-    Copies are worked on once: questions with the same words are one, and so are passages that agree
-    in all words any question asks for, of which the ``k`` lowest ids are kept, the only ones that
-    can be among the best ``k``.
+    Questions with the same words are worked on once.
     """
+    spark = passages.sparkSession
+    bounded_batches(spark)
     listed = questions.select(
         question_id, F.array_sort(F.array_distinct(T.words(F.col(text)))).alias("_texts")
     ).where(F.size("_texts") > 0)
-    asked_sets = materialize(
-        listed.select("_texts").distinct().withColumn("_question", F.monotonically_increasing_id()), "asked-sets"
-    )
-    asked_text = asked_sets.select("_question", F.explode("_texts").alias("_text"))
-    vocabulary = materialize(
-        asked_text.select("_text").distinct().withColumn("_word", F.monotonically_increasing_id()), "vocabulary"
-    )
-    asked_words = materialize(
-        lookup_join(asked_text, vocabulary, ["_text"], spread=["_question"], how="inner", stored=True).drop("_text"),
-        "asked-words",
-    )
-    asked = materialize(asked_words.groupBy("_question").agg(F.collect_list("_word").alias("_asked")), "asked")
-
-    passage_words = passages.select(passage_id, F.explode(F.array_distinct(T.words(F.col(text)))).alias("_text"))
-    known_words = lookup_join(
-        passage_words, vocabulary, ["_text"], spread=[passage_id], how="inner", stored=True
-    ).select(passage_id, "_word")
-    holding = known_words.groupBy(passage_id).agg(F.array_sort(F.collect_list("_word")).alias("_held"))
-    by_id = Window.partitionBy("_held").orderBy(passage_id)
-    lowest = holding.withColumn("_nth", F.row_number().over(by_id)).where(F.col("_nth") <= k)
-    held = materialize(
-        lowest.groupBy("_held")
-        .agg(F.array_sort(F.collect_list(passage_id)).alias("_ids"))
-        .withColumn("_passage", F.monotonically_increasing_id()),
-        "held",
+    asked = listed.select("_texts").distinct().withColumn("_question", F.monotonically_increasing_id())
+    asked = materialize(asked, "asked")
+    total = asked.agg(F.coalesce(F.sum(F.size("_texts")), F.lit(0))).first()[0]
+    blocks = -(-max(1, total) // block_words)
+    worded = passages.select(passage_id, F.array_distinct(T.words(F.col(text))).alias("_words"))
+    kind = worded.schema[passage_id].dataType.simpleString()
+    schema = f"_question BIGINT, {passage_id} {kind}, n_shared BIGINT"
+
+    answers = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64("_question"), F.lit(blocks)) == block).collect()  # block_words words or so
+        if held:
+            postings = spark.sparkContext.broadcast([(row["_question"], row["_texts"]) for row in held])
+            answers = answers.unionAll(worded.mapInArrow(_best_of_task(postings, k), schema))
+    order = Window.partitionBy("_question").orderBy(F.desc("n_shared"), F.asc_nulls_last(passage_id))
+    best = answers.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    keyed = lookup_join(listed, asked, ["_texts"], spread=[question_id], how="inner", stored=True)
+    return lookup_join(keyed.select(question_id, "_question"), best, ["_question"], spread=[question_id], how="inner").drop(
+        "_question"
     )
-    words = materialize(held.select("_passage", F.explode("_held").alias("_word")), "words")
-
-    frequency = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
-    by_rarity = Window.partitionBy("_question").orderBy("_df", "_word")
-    ranked = lookup_join(asked_words, frequency, ["_word"], spread=["_question"], how="inner").select(
-        "_question",
-        "_word",
-        F.row_number().over(by_rarity).alias("_nth"),
-        F.coalesce(F.sum("_df").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_reached"),
-        F.count(F.lit(1)).over(Window.partitionBy("_question")).alias("_known"),
-    )
-    ranked = materialize(ranked, "rarity")
-
-    def best(prefix: DataFrame) -> DataFrame:
-        found = lookup_join(words, prefix.select("_word", "_question"), ["_word"], spread=["_passage"], how="inner")
-        pairs = materialize(found.select("_question", "_passage").distinct(), "pairs")
-        with_held = lookup_join(pairs, held, ["_passage"], spread=["_question"], how="inner", stored=True)
-        both = lookup_join(with_held, asked, ["_question"], spread=["_passage"], how="inner", stored=True)
-        scored = both.select(
-            "_question",
-            F.explode("_ids").alias(passage_id),
-            F.size(F.array_intersect("_asked", "_held")).cast("bigint").alias("n_shared"),
-        )
-        order = Window.partitionBy("_question").orderBy(F.desc("n_shared"), passage_id)
-        return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
-    first = best(ranked.where(F.col("_reached") < SEED_PASSAGES * k))
-    bound = first.groupBy("_question").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("n_shared")).otherwise(F.lit(1)).alias("_at_least")
-    )
-    needed = ranked.join(bound, "_question").where(F.col("_nth") <= F.col("_known") - F.col("_at_least") + 1)
-    answers = best(needed)
-    keyed = lookup_join(listed, asked_sets, ["_texts"], spread=[question_id], how="inner", stored=True)
-    return lookup_join(
-        keyed.select(question_id, "_question"), answers, ["_question"], spread=[question_id], how="inner"
-    ).drop("_question")
+
+def _best_of_task(asked, k: int):
+    """A task's best ``k`` passages per question, from batches of (passage id, distinct words)."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [number for number, _ in asked.value]
+        postings: dict[str, list[int]] = {}
+        for place, (_, words) in enumerate(asked.value):
+            for word in words:
+                postings.setdefault(word, []).append(place)
+        asking = {word: np.array(places) for word, places in postings.items()}
+        found: list[list[tuple]] = [[] for _ in names]
+        least = np.ones(len(names), np.int64)
+        types = None
+        for batch in batches:
+            types = batch.schema
+            for start in range(0, len(batch), PASSAGES_AT_ONCE):
+                part = batch.slice(start, PASSAGES_AT_ONCE)
+                ids = part.column(0).to_pylist()
+                shared = np.zeros((len(ids), len(names)), np.int32)
+                for row, words in enumerate(part.column(1).to_pylist()):
+                    known = [asking[word] for word in words or () if word in asking]
+                    if len(known) >= least.min():
+                        shared[row] = np.bincount(np.concatenate(known), minlength=len(names))
+                for row, place in np.argwhere(shared >= least).tolist():
+                    found[place].append((-int(shared[row, place]), ids[row] is None, ids[row]))
+                for place in np.flatnonzero((shared >= least).any(axis=0)).tolist():
+                    kept = found[place] = heapq.nsmallest(k, found[place], key=lambda one: (one[0], one[1], one[2] or 0))
+                    if len(kept) == k:
+                        least[place] = -kept[-1][0]
+        if types is not None:
+            rows = [(names[place], name, -score) for place, kept in enumerate(found) for score, _, name in kept]
+            columns = list(zip(*rows)) or [(), (), ()]
+            kinds = [pa.int64(), types.field(0).type, pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(column), type_) for column, type_ in zip(columns, kinds)],
+                ["_question", types.field(0).name, "n_shared"],
+            )
+
+    return best
 
 
 def classify(docs: DataFrame, text: str, labels: Mapping[str, Sequence[str]]) -> DataFrame:

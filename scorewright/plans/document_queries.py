@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorewright.functions import text as T
 from scorewright.operators import text as ops
 from scorewright.plans import sql
 from scorewright.plans.registry import Tables, query
@@ -105,6 +106,30 @@ def entity_counts(spark: SparkSession, folder: str) -> DataFrame:
     return ops.count_entities(ops.entity_lists(Tables(spark, folder).documents, "doc_id", "text"))
 
 
+_TOKENS = r"list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(
+    "dictionary_entities",
+    f"""
+    WITH asked AS (SELECT {_TOKENS.format('text')} AS w FROM benchmark),
+    names AS (
+      SELECT DISTINCT array_to_string(w[a:b], ' ') AS entity, b - a + 1 AS n FROM asked, (VALUES (1, 1), (1, 2), (2, 4)) v(a, b) WHERE len(w) >= b),
+    docs AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents),
+    places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+    runs AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS run FROM places, (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(w))
+    SELECT DISTINCT doc_id, 'name' AS entity_type, entity FROM runs JOIN names ON run = entity
+    """,
+)
+def dictionary_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of one to three words from a table, found in the documents; runs of words of the benchmark stand in for names."""
+    t = Tables(spark, folder)
+    asked = t.benchmark.select(F.filter(F.split("text", T.NON_WORD), lambda word: word != "").alias("words"))
+    runs = F.array(*[F.when(F.size("words") >= b, F.array_join(F.slice("words", a, b - a + 1), " ")) for a, b in ((1, 1), (1, 2), (2, 4))])
+    names = asked.select(F.explode(runs).alias("name")).where(F.col("name").isNotNull())
+    return ops.dictionary_entities(t.documents, "doc_id", "text", names, kind="name")
+
+
 @query(
     "passage_retrieval",
     f"""

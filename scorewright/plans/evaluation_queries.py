@@ -130,19 +130,25 @@ def wholetext_inventory(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Bytes of one part in the queries that pack texts: small, so that conversations are cut.
+PACKED = 1_000
+_SQL_LABELLED = """
+(SELECT conv_id, turn, '=== FILE: ' || role || '#' || turn || ' ===' || chr(10) || text AS block FROM conversations)
+"""
+
+
 @query(
     "labelled_concat",
-    r"""
-    SELECT conv_id, turn // 10000 AS part, count(*) AS n_pieces,
-      md5(string_agg('=== FILE: ' || role || '#' || turn || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS text_md5
-    FROM conversations GROUP BY ALL
+    f"""
+    SELECT conv_id, part, count(*) AS n_pieces, md5(string_agg(block, chr(10) || chr(10) ORDER BY turn)) AS text_md5
+    FROM {sql.packed(_SQL_LABELLED, 'conv_id', 'turn', "(block || chr(10) || chr(10))", PACKED)} GROUP BY ALL
     """,
 )
 def labelled_concat(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns of a conversation as labelled blocks of one text, in order."""
+    """Turns of a conversation as labelled blocks, in order, packed into texts of bounded size."""
     turns = Tables(spark, folder).conversations
     labelled = turns.withColumn("label", F.concat("role", F.lit("#"), F.col("turn").cast("string")))
-    joined = tasks.concat_labelled(labelled, "conv_id", "turn", "label", "text")
+    joined = tasks.concat_labelled(labelled, "conv_id", "turn", "label", "text", max_bytes=PACKED)
     return joined.select("conv_id", "part", "n_pieces", F.md5("text").alias("text_md5"))
 
 
@@ -231,6 +237,38 @@ def render_prompts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _measured(prompt: str, model: str) -> tuple[str, int]:
+    """Stands in for a model: an answer that follows from the prompt alone."""
+    return f"{model}: {len(prompt)} characters", len(prompt) // 4
+
+
+def _unreachable(prompt: str, model: str) -> tuple[str, int]:
+    raise ConnectionError("the model is gone")
+
+
+@query(
+    "call_model_rounds",
+    f"""
+    WITH {sql.PAIRS}
+    SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'large' ELSE 'small' END || ': ' || length(question) || ' characters' AS output,
+      CAST(length(question) // 4 AS BIGINT) AS tokens, NULL::VARCHAR AS error
+    FROM pairs WHERE question IS NOT NULL
+    """,
+)
+def call_model_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct prompts answered in four rounds, each stored as it ends; a second run finds all it needs there."""
+    turns = tasks.pair_turns(Tables(spark, folder).conversations).where(F.col("question").isNotNull())
+    model = F.when(F.col("turn") % 2 == 0, F.lit("large")).otherwise(F.lit("small"))
+    prompts = turns.select(
+        "conv_id", "turn", F.sha2("question", 256).alias("prompt_sha"), model.alias("model"), F.col("question").alias("prompt")
+    )
+    path = scratch_path(spark, "responses")
+    inference.call_model(prompts, _measured, path, parallel_calls=8, rounds=4)
+    stored = inference.call_model(prompts, _unreachable, path, parallel_calls=8, rounds=4)
+    replayed = inference.replay(prompts, stored, spread=["conv_id", "turn"], keys=("prompt_sha", "model"))
+    return replayed.select("conv_id", "turn", "output", "tokens", "error")
+
+
 @query(
     "replay_responses",
     f"""
@@ -627,17 +665,24 @@ def mode_compare(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_SQL_FED = """
+(SELECT conv_id, turn, 'Task ' || turn || ' (' || role || '):' || chr(10) || text AS block
+ FROM conversations WHERE text <> '' AND NOT contains(text, '[SKIPPED]'))
+"""
+
+
 @query(
     "synthesis_feed",
-    """
-    SELECT conv_id, turn // 10000 AS part, count(*) AS n_outputs,
-      md5(string_agg('Task ' || turn || ' (' || role || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS feed_md5
-    FROM conversations WHERE text <> '' AND NOT contains(text, '[SKIPPED]') GROUP BY ALL
+    f"""
+    SELECT conv_id, part, count(*) AS n_outputs, md5(string_agg(block, chr(10) || chr(10) ORDER BY turn)) AS feed_md5
+    FROM {sql.packed(_SQL_FED, 'conv_id', 'turn', "(block || chr(10) || chr(10))", PACKED)} GROUP BY ALL
     """,
 )
 def synthesis_feed(spark: SparkSession, folder: str) -> DataFrame:
-    """The outputs of each conversation as one ordered text."""
-    feed = report.synthesis_feed(Tables(spark, folder).conversations, "conv_id", "turn", "role", "text")
+    """The outputs of each conversation as ordered texts of bounded size."""
+    feed = report.synthesis_feed(
+        Tables(spark, folder).conversations, "conv_id", "turn", "role", "text", max_bytes=PACKED
+    )
     return feed.select("conv_id", "part", "n_outputs", F.md5("feed").alias("feed_md5"))
 
 
@@ -728,22 +773,30 @@ def orchestration_overhead(spark: SparkSession, folder: str) -> DataFrame:
     "run_comparison",
     f"""
     WITH {_SQL_RESULTS},
+    dated AS (
+      SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'qwen2.5:0.5b' ELSE 'qwen2.5:3b' END AS model,
+        TIMESTAMP '2025-01-01' - to_seconds(7919 * doc_id % 100003) AS happened FROM results),
     rated AS (
-      SELECT source, lang, count(*) AS n_tasks, count(success) AS n_scored, count(*) FILTER (success) AS n_passed,
+      SELECT source, model, lang, grouping(lang) = 1 AS is_total, min(happened) AS begun, count(*) AS n_tasks, count(success) AS n_scored,
+        count(*) FILTER (success) AS n_passed,
         {sql.ratio('count(*) FILTER (success) * 100', 'count(success)', 3)} AS pass_rate_pct,
         {sql.ratio('CAST(sum(CAST(score * 1000 AS BIGINT)) AS BIGINT)', 'count(score) * 1000', 3)} AS mean_score,
         {sql.ratio('CAST(sum(micros) AS BIGINT)', 'count(*) FILTER (success) * 1000000', 6)} AS cost_per_pass,
         count(*) FILTER (escalated AND score IS NOT NULL) AS n_lifted,
         round(avg(CAST(floor((score - local_score) * 1000 + 0.5) AS BIGINT)) FILTER (escalated) / 1000, 3) AS mean_lift
-      FROM results GROUP BY source, lang)
-    SELECT *, round(pass_rate_pct - lag(pass_rate_pct) OVER (PARTITION BY lang ORDER BY source), 3) AS pass_rate_change,
-      dense_rank() OVER (PARTITION BY lang ORDER BY pass_rate_pct DESC NULLS LAST) AS rank_in_category
-    FROM rated
+      FROM dated GROUP BY GROUPING SETS ((source, model, lang), (source, model))),
+    begun AS (SELECT * EXCLUDE (begun), min(begun) OVER (PARTITION BY source, model) AS run_began FROM rated)
+    SELECT *, lag(source) OVER t AS previous_run, round(pass_rate_pct - lag(pass_rate_pct) OVER t, 3) AS pass_rate_change,
+      dense_rank() OVER (PARTITION BY lang, is_total ORDER BY pass_rate_pct DESC NULLS LAST) AS rank_in_category
+    FROM begun WINDOW t AS (PARTITION BY model, lang, is_total ORDER BY run_began, source)
     """,
 )
 def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs against each other per category."""
-    return report.compare_runs(_results(Tables(spark, folder)), "source", "lang")
+    """Runs of each model in the order of time, per category and in total."""
+    at = F.lit("2025-01-01").cast("timestamp_ntz") - F.make_interval(secs=(7919 * F.col("doc_id") % 100003).cast("decimal(18,6)"))
+    model = F.when(F.col("doc_id") % 3 == 0, F.lit("qwen2.5:0.5b")).otherwise(F.lit("qwen2.5:3b"))
+    dated = _results(Tables(spark, folder)).withColumns({"model": model, "at": at})
+    return report.compare_runs(dated, "source", "model", "lang", "at")
 
 
 @query(
@@ -780,27 +833,44 @@ def _history_results(t: Tables, category: Column, agent: Column) -> DataFrame:
     )
 
 
+def _history_files(t: Tables, spark: SparkSession) -> list[str]:
+    """Three runs as files: one early, one current, one of current records below an early header.
+
+    In the third, every tenth record has a score that is no number, and every eleventh an extra field.
+    """
+    early_label = F.when(F.col("lang") == "en", F.lit("A-File/Log")).otherwise(F.lit("D-Document"))
+    label = F.when(F.col("lang") == "en", F.lit("A - File/Log Analysis")).otherwise(F.lit("D - Document Processing"))
+    early, current, mixed = (scratch_path(spark, name) for name in ("early", "current", "mixed"))
+    first = history.tag_run(_history_results(t, early_label, F.lit("file_agent [LOCAL]")), "hybrid", "qwen2.5:0.5b")
+    history.export_csv(first.drop("judge_reason"), early)
+    second = history.tag_run(_history_results(t, label, F.lit("file_agent")), "hybrid", "qwen2.5:3b")
+    history.export_csv(second, current)
+    number = F.col("task_id").cast("bigint")
+    texts = {name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in history.COLUMNS}
+    texts["run_time"] = F.date_format("run_time", "yyyy-MM-dd HH:mm:ss")
+    texts["score"] = F.when(number % 10 == 0, F.lit("n/a")).otherwise(texts["score"])
+    line = F.to_csv(F.struct(*[texts[name].alias(name) for name in history.COLUMNS]), {"escape": '"', "emptyValue": ""})
+    line = F.when(number % 11 == 0, F.concat(line, F.lit(",more"))).otherwise(line)
+    spark.range(1, numPartitions=1).select(F.lit(",".join(history.EARLY_COLUMNS)).alias("value")).write.text(mixed)
+    second.select(line.alias("value")).write.mode("append").text(mixed)
+    return [early, current, mixed]
+
+
 @query(
     "history_scan",
     f"""
-    WITH {_SQL_RESULTS}
+    WITH {_SQL_RESULTS},
+    copies AS (
+      SELECT *, c FROM results, range(3) r(c) WHERE c < 2 OR (doc_id % 10 <> 0 AND doc_id % 11 <> 0))
     SELECT CASE lang WHEN 'en' THEN 'A - File/Log Analysis' ELSE 'D - Document Processing' END AS category,
-      'file_agent' AS agent, 2 * count(*) AS n_rows, 2 * count(success) AS n_scored, 2 * count(*) FILTER (success) AS n_passed,
-      2 * CAST(sum(micros) AS DOUBLE) / 1000000 AS cost_usd, count(*) AS n_reasons
-    FROM results GROUP BY ALL
+      'file_agent' AS agent, count(*) AS n_rows, count(success) AS n_scored, count(*) FILTER (success) AS n_passed,
+      CAST(sum(micros) AS DOUBLE) / 1000000 AS cost_usd, count(*) FILTER (c > 0) AS n_reasons
+    FROM copies GROUP BY ALL
     """,
 )
 def history_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """One run written in the early CSV layout and one in the current, read as one history."""
-    t = Tables(spark, folder)
-    early_label = F.when(F.col("lang") == "en", F.lit("A-File/Log")).otherwise(F.lit("D-Document"))
-    label = F.when(F.col("lang") == "en", F.lit("A - File/Log Analysis")).otherwise(F.lit("D - Document Processing"))
-    early, current = scratch_path(spark, "early"), scratch_path(spark, "current")
-    first = history.tag_run(_history_results(t, early_label, F.lit("file_agent [LOCAL]")), "hybrid", "qwen2.5:0.5b")
-    history.export_csv(first.drop("judge_reason"), early)
-    second = history.tag_run(_history_results(t, label, F.lit("file_agent")), "hybrid", "qwen2.5:3b")
-    history.export_csv(second, current)
-    read = history.read_history(spark, [current], early=[early])
+    """Runs in the early layout, in the current one, and mixed in one file, read as one history."""
+    read = history.read_history(spark, _history_files(Tables(spark, folder), spark))
     return read.groupBy("category", "agent").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("success").alias("n_scored"),
@@ -810,6 +880,24 @@ def history_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "history_quarantine",
+    """
+    SELECT layout, reason, count(*) AS n_lines, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM (
+      SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '17 fields' ELSE 'unreadable value' END AS reason,
+        CASE WHEN doc_id % 11 <> 0 THEN 'current' END AS layout
+      FROM documents WHERE doc_id % 10 = 0 OR doc_id % 11 = 0) GROUP BY ALL
+    """,
+)
+def history_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the same files that are no record, by reason."""
+    lines = history.read_history_lines(spark, _history_files(Tables(spark, folder), spark))
+    task = F.get(F.split("line", ","), 3).try_cast("bigint")
+    return files.quarantine(lines).groupBy("layout", "reason").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(task).alias("id_sum")
+    )
+
+
 @query(
     "append_results",
     f"""

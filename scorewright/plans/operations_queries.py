@@ -13,12 +13,19 @@ from pyspark.sql import functions as F
 from scorewright.functions import text as T
 from scorewright.functions.time import HOUR, MINUTE, from_micros, micros
 from scorewright.operators import correlate, logs, metrics, quality
+from scorewright.plans import sql
 from scorewright.plans.registry import Tables, query
 from scorewright.scale import scratch_path
 from scorewright.sources import files
 from scorewright.streaming import alerts as streaming
 
-LIMITS = {"error": ("pool_size", 120.0), "purchase": ("timeout_ms", 150.0), "view": ("workers", 100.0)}
+# Configured limits: service, measure, key, limit. Several keys a service, several limits a measure.
+LIMITS = [
+    (0, "error", "pool_size", 40.0), (0, "error", "pool_size_max", 120.0), (0, "purchase", "timeout_ms", 60.0),
+    (0, "view", "workers", 50.0), (1, "error", "pool_size", 30.0), (1, "click", "queue_length", 25.0),
+    (1, "click", "queue_length_max", 90.0), (1, "signup", "workers", 45.0), (2, "error", "timeout_ms", 55.0),
+    (2, "error", "pool_size", 20.0),
+]
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 ALERT_SHARE, ALERT_EVENTS = 0.6, 3
 
@@ -69,20 +76,22 @@ def _levelled(t: Tables) -> DataFrame:
     )
 
 
+_SQL_ERRORS = """
+(SELECT user_id, ts, event_id, '{"timestamp":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","message":"error k=' || (props->>'$.k') || '"}' AS object
+ FROM events WHERE event_type = 'error')
+"""
+
+
 @query(
     "errors_json",
-    """
-    WITH ranked AS (
-      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error')
-    SELECT user_id, (r - 1) // 10 AS part, count(*) AS n_errors,
-      '[' || string_agg('{"timestamp":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","message":"error k=' || (props->>'$.k') || '"}',
-        ',' ORDER BY r) || ']' AS errors
-    FROM ranked GROUP BY ALL
+    f"""
+    SELECT user_id, part, count(*) AS n_errors, '[' || string_agg(object, ',' ORDER BY ts, event_id) || ']' AS errors
+    FROM {sql.packed(_SQL_ERRORS, 'user_id', 'ts, event_id', "(object || ',')", 500)} GROUP BY ALL
     """,
 )
 def errors_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Errors of each user as JSON arrays, here of up to ten objects, in time order."""
-    return logs.errors_as_json(_levelled(Tables(spark, folder)), "user_id", ["ts", "event_id"], per_part=10)
+    """Errors of each user as JSON arrays in time order, here of up to 500 bytes."""
+    return logs.errors_as_json(_levelled(Tables(spark, folder)), "user_id", ["ts", "event_id"], max_bytes=500)
 
 
 @query(
@@ -137,6 +146,31 @@ def evidence_lookback(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({new: from_micros(F.col(old)) for new, old in times.items()}).drop(*times.values())
 
 
+@query(
+    "evidence_list",
+    """
+    WITH listed AS (
+      SELECT *, list({'at': ts, 'id': event_id, 'type': event_type}) OVER (
+        PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS before FROM events),
+    recent AS (
+      SELECT user_id, ts, event_id, coalesce(list_filter(before, lambda e: e.at >= ts - INTERVAL 6 HOUR), []) AS found FROM listed WHERE event_type = 'error')
+    SELECT user_id, ts AS anchor_ts, event_id, CAST(len(found) AS INTEGER) AS n_listed,
+      coalesce(array_to_string(list_transform(found, lambda e: e.id || ' ' || e.type), ', '), '') AS evidence
+    FROM recent
+    """,
+)
+def evidence_list(spark: SparkSession, folder: str) -> DataFrame:
+    """The last five events of a user before each error, of the six hours before it."""
+    events = _timed(Tables(spark, folder))
+    found = logs.evidence_list(
+        events, "user_id", "at", "event_id", ["event_type"], F.col("event_type") == "error", n=5, lookback=6 * HOUR
+    )
+    named = F.transform("evidence", lambda e: F.concat(e["event_id"].cast("string"), F.lit(" "), e["event_type"]))
+    return found.select(
+        "user_id", from_micros(F.col("at")).alias("anchor_ts"), "event_id", "n_listed", F.array_join(named, ", ").alias("evidence")
+    )
+
+
 @query(
     "metric_outliers",
     """
@@ -185,75 +219,122 @@ def revenue_by_country(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _orders_from_csv(t: Tables) -> DataFrame:
-    """Orders after a round trip through CSV; urgent ones lose their customer on the way."""
+    """Orders after a round trip through CSV; urgent ones lose their customer, and every seventh amount is no number."""
     path = scratch_path(t.orders.sparkSession, "orders-csv")
     lost = F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey"))
+    amount = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     t.orders.select(
-        "o_orderkey", lost.alias("customer_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount")
+        "o_orderkey", lost.alias("customer_id"), F.when(F.col("o_orderkey") % 7 == 0, F.lit("12,x")).otherwise(amount).alias("amount")
     ).write.csv(path, header=True)
     return files.read_csv(
         t.orders.sparkSession, path, "o_orderkey BIGINT, customer_id BIGINT, amount DECIMAL(18,2)"
     )
 
 
+def _sales_from_csv(t: Tables) -> tuple[DataFrame, DataFrame]:
+    stages = quality.sales_stages(_customers(t), rejected=F.col(files.CORRUPT).isNotNull())
+    return quality.run_stages(_orders_from_csv(t), stages)
+
+
 @query(
     "sales_by_country",
     """
     SELECT n_name AS country, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, count(*) AS n_orders
     FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
-    WHERE o_orderpriority <> '1-URGENT' GROUP BY n_name
+    WHERE o_orderpriority <> '1-URGENT' AND o_orderkey % 7 <> 0 GROUP BY n_name
     """,
 )
 def sales_by_country(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders read from CSV, cleaned, enriched with the country, summed."""
-    t = Tables(spark, folder)
-    cleaned = quality.clean_orders(_orders_from_csv(t))
-    totals = quality.country_report(quality.customer_countries(cleaned, _customers(t)))
-    return totals.withColumn("amount", F.col("amount").cast("double"))
-
-
-_SQL_STAGES = """
-orders_in AS (SELECT CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END AS k FROM orders),
-kept AS (SELECT k FROM orders_in WHERE k IS NOT NULL),
-good AS (SELECT n_name AS country FROM kept LEFT JOIN customer ON k = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
-bad AS (SELECT CAST(NULL AS VARCHAR) AS country FROM kept),
-stages AS (
-  SELECT 'extract' AS stage, 0 AS ord, count(*) AS rows_out, count(*) - count(k) AS null_rows, NULL AS groups_out, NULL AS prior_groups FROM orders_in
-  UNION ALL SELECT 'clean', 1, count(*), 0, NULL, NULL FROM kept
-  UNION ALL SELECT 'enrich', 2, (SELECT count(*) FROM bad), (SELECT count(*) FROM bad WHERE country IS NULL),
-    (SELECT count(DISTINCT country) FROM bad), (SELECT count(DISTINCT country) FROM good)
-  UNION ALL SELECT s, o, g, g, g, p FROM (
-    SELECT (SELECT count(*) FROM (SELECT DISTINCT country FROM bad)) AS g,
-           (SELECT count(*) FROM (SELECT DISTINCT country FROM good)) AS p), (VALUES ('aggregate', 3), ('publish', 4)) v(s, o))
-"""
+    """Orders read from CSV, cleaned, enriched with the country, summed, in measured stages."""
+    published, _ = _sales_from_csv(Tables(spark, folder))
+    return published.withColumn("amount", F.col("amount").cast("double"))
 
 
 @query(
-    "stage_quality_gate",
-    f"""
-    WITH {_SQL_STAGES},
-    judged AS (
-      SELECT *, lag(rows_out) OVER (ORDER BY ord) AS rows_in, round(null_rows / rows_out, 4) AS null_share,
-        coalesce(null_rows / rows_out > 0.5, FALSE) OR coalesce(groups_out < prior_groups * 0.5, FALSE) AS failed FROM stages)
-    SELECT stage, CAST(ord AS BIGINT) AS ord, 'OK' AS status, rows_in, rows_out, null_rows, groups_out, prior_groups,
-      null_share, CASE WHEN failed THEN 'FAIL' ELSE 'PASS' END AS verdict,
-      failed AND NOT coalesce(bool_or(failed) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS is_fault
-    FROM judged
+    "sales_stage_counts",
+    """
+    WITH read AS (
+      SELECT o_orderkey % 7 = 0 AS bad, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END AS k,
+        CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS a FROM orders),
+    kept AS (SELECT * FROM read WHERE k IS NOT NULL AND NOT bad),
+    named AS (SELECT n_name AS country, a FROM kept LEFT JOIN customer ON k = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+    report AS (SELECT country, sum(a) AS a FROM named GROUP BY country)
+    SELECT 'extract' AS stage, 0::BIGINT AS ord, 'OK' AS status, count(*) AS rows_out, count(*) - count(k) AS null_rows,
+      count(*) FILTER (bad) AS rejected_rows, NULL::BIGINT AS groups_out, CAST(sum(a) AS DOUBLE) AS amount_out FROM read
+    UNION ALL SELECT 'clean', 1, 'OK', count(*), 0, NULL, NULL, CAST(sum(a) AS DOUBLE) FROM kept
+    UNION ALL SELECT 'enrich', 2, 'OK', count(*), count(*) - count(country), NULL, count(DISTINCT country), CAST(sum(a) AS DOUBLE) FROM named
+    UNION ALL SELECT s, o, 'OK', count(*), count(*) - count(country), NULL, count(country), CAST(sum(a) AS DOUBLE)
+      FROM report, (VALUES ('aggregate', 3), ('publish', 4)) v(s, o) GROUP BY s, o
     """,
 )
-def stage_quality_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """The sales job with a broken customer key against a good run; the fault is ``enrich``."""
+def sales_stage_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What each stage of that job counted while it wrote, unreadable lines included."""
+    _, report = _sales_from_csv(Tables(spark, folder))
+    return report.withColumn("amount_out", F.col("amount_out").cast("double")).drop("error")
+
+
+_SQL_ALL_IN_ONE = "SELECT 'all countries' AS country, sum(a) AS a FROM bad HAVING count(*) > 0"
+
+
+def _sql_stages(bad_country: str, bad_report: str) -> str:
+    """Stages of a good run and of one with another country or another grouping."""
+    amount = "CAST(sum(a) AS DOUBLE)"
+    return f"""
+orders_in AS (SELECT CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS a FROM orders),
+kept AS (SELECT k, a FROM orders_in WHERE k IS NOT NULL),
+good AS (SELECT n_name AS country, a FROM kept LEFT JOIN customer ON k = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+bad AS (SELECT {bad_country} AS country, a FROM good),
+good_report AS (SELECT country, sum(a) AS a FROM good GROUP BY country),
+bad_report AS ({bad_report}),
+sizes(ord, prior_groups) AS (
+  SELECT 2, (SELECT count(DISTINCT country) FROM good) UNION ALL SELECT o, (SELECT count(country) FROM good_report) FROM (VALUES (3), (4)) v(o)),
+counted AS (
+  SELECT 'extract' AS stage, 0 AS ord, count(*) AS rows_out, count(*) - count(k) AS null_rows, NULL AS groups_out, {amount} AS amount_out FROM orders_in
+  UNION ALL SELECT 'clean', 1, count(*), 0, NULL, {amount} FROM kept
+  UNION ALL SELECT 'enrich', 2, count(*), count(*) - count(country), count(DISTINCT country), {amount} FROM bad
+  UNION ALL SELECT s, o, count(*), count(*) - count(country), count(country), {amount} FROM bad_report, (VALUES ('aggregate', 3), ('publish', 4)) v(s, o) GROUP BY ALL),
+stages AS (SELECT * FROM counted LEFT JOIN sizes USING (ord)),
+judged AS (
+  SELECT *, lag(rows_out) OVER (ORDER BY ord) AS rows_in, round(null_rows / rows_out, 4) AS null_share,
+    coalesce(null_rows / rows_out > 0.5, FALSE) OR coalesce(groups_out < prior_groups * 0.5, FALSE) AS failed FROM stages)
+SELECT stage, CAST(ord AS BIGINT) AS ord, 'OK' AS status, rows_in, CAST(rows_out AS BIGINT) AS rows_out, CAST(null_rows AS BIGINT) AS null_rows,
+  groups_out, amount_out, prior_groups, null_share, CASE WHEN failed THEN 'FAIL' ELSE 'PASS' END AS verdict,
+  failed AND NOT coalesce(bool_or(failed) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS is_fault
+FROM judged
+"""
+
+
+def _gated(spark: SparkSession, folder: str, **faults) -> DataFrame:
+    """A faulty run of the sales job against a good one of the same orders, which are read once for both."""
     t = Tables(spark, folder)
     orders = t.orders.select(
         F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey")).alias("customer_id"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
     )
     customers = _customers(t)
-    shifted = customers.withColumn("customer_id", -F.col("customer_id") - 1)
-    cleaned = quality.clean_orders(orders)
-    good = quality.stage_runs(orders, quality.customer_countries(cleaned, customers))
-    bad = quality.stage_runs(orders, quality.customer_countries(cleaned, shifted))
-    return quality.gate(bad, good, max_null_share=0.5)
+    stages, faulty = quality.sales_stages(customers), quality.sales_stages(customers, **faults)
+    cleaned, begun = quality.run_stages(orders, stages[:2])
+    good = quality.run_stages(cleaned, stages[2:], first=2)[1]
+    bad = quality.run_stages(cleaned, faulty[2:], first=2)[1]
+    judged = quality.gate(begun.unionAll(bad), begun.unionAll(good), max_null_share=0.5)
+    return judged.withColumn("amount_out", F.col("amount_out").cast("double")).drop("prior_amount", "rejected_rows", "error")
+
+
+@query(
+    "stage_quality_gate",
+    f"WITH {_sql_stages('CAST(NULL AS VARCHAR)', 'SELECT country, sum(a) AS a FROM bad GROUP BY country')}",
+)
+def stage_quality_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """The sales job with a broken customer key against a good run; the fault is ``enrich``."""
+    shifted = _customers(Tables(spark, folder)).withColumn("customer_id", -F.col("customer_id") - 1)
+    return _gated(spark, folder, enrich=lambda cleaned: quality.customer_countries(cleaned, shifted))
+
+
+@query("stage_fault_in_aggregate", f"WITH {_sql_stages('country', _SQL_ALL_IN_ONE)}")
+def stage_fault_in_aggregate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every country summed under one name, without any NULL and with the right total; the fault is ``aggregate``."""
+    one = F.lit("all countries")
+    return _gated(spark, folder, aggregate=lambda enriched: quality.country_report(enriched.withColumn("country", one)))
 
 
 @query(
@@ -366,20 +447,29 @@ def alert_runs(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "config_breach",
     f"""
-    WITH {_SQL_TUMBLING},
-    limits(event_type, config_key, config_limit) AS (
-      VALUES ('error', 'pool_size', 120.0::DOUBLE), ('purchase', 'timeout_ms', 150.0::DOUBLE), ('view', 'workers', 100.0::DOUBLE))
-    SELECT a.window_start, e.event_type, config_key, config_limit, a.error_share, count(*) AS n_breaches,
-      max(value) AS max_value, min(ts) AS first_breach
-    FROM alerts a JOIN events e ON time_bucket(INTERVAL 5 MINUTE, e.ts) = a.window_start JOIN limits USING (event_type)
-    WHERE value >= config_limit GROUP BY ALL
+    WITH w AS (
+      SELECT user_id % 3 AS service, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad
+      FROM events GROUP BY ALL),
+    alerts AS (SELECT service, window_start, round(bad / n, 4) AS error_share FROM w WHERE n >= 2 AND bad / n >= 0.5),
+    limits(service, measure, config_key, config_limit) AS (VALUES {", ".join(f"({s}, '{m}', '{k}', {v}::DOUBLE)" for s, m, k, v in LIMITS)}),
+    found AS (
+      SELECT a.window_start, a.service, l.measure, config_key, config_limit, error_share, count(*) AS n_breaches,
+        max(value) AS max_value, min(ts) AS first_breach
+      FROM alerts a JOIN events e ON time_bucket(INTERVAL 15 MINUTE, e.ts) = a.window_start AND e.user_id % 3 = a.service
+      JOIN limits l ON l.service = a.service AND l.measure = e.event_type AND value >= config_limit GROUP BY ALL)
+    SELECT *, row_number() OVER (
+      PARTITION BY window_start, service ORDER BY max_value / config_limit DESC, n_breaches DESC, config_key, config_limit, measure) = 1 AS contributed_most
+    FROM found
     """,
 )
 def config_breach(spark: SparkSession, folder: str) -> DataFrame:
-    """Configured limits reached inside alert windows."""
-    t = Tables(spark, folder)
+    """Configured limits that a service reached inside its own alert windows, and which key contributed most."""
+    events = _timed(Tables(spark, folder)).withColumn("service", F.col("user_id") % 3)
+    windows = metrics.error_windows(events, "at", F.col("event_type") == "error", width=15 * MINUTE, by=["service"])
+    alerted = metrics.alerts(windows, share=0.5, min_events=2)
+    limits = spark.createDataFrame(LIMITS, "service BIGINT, measure STRING, config_key STRING, config_limit DOUBLE")
     found = metrics.limit_breaches(
-        _timed(t), _tumbling_alerts(t), "at", "event_type", "value", LIMITS, width=5 * MINUTE
+        events.withColumnRenamed("event_type", "measure"), alerted, limits, "at", "value", width=15 * MINUTE, spread=["event_id"]
     )
     return _stamped(found, "window_start", "first_breach")
 
@@ -470,7 +560,7 @@ def stream_error_rate(spark: SparkSession, folder: str) -> DataFrame:
     windows = streaming.windowed_errors(
         _event_stream(spark, folder), F.col("event_type") == "error", width="5 minutes", delay="10 minutes"
     )
-    stream = streaming.alerting(windows, share=ALERT_SHARE, min_events=ALERT_EVENTS)
+    stream = streaming.alerting(windows, share=ALERT_SHARE, min_events=ALERT_EVENTS).drop("window")
     found = streaming.run_to_end(stream, "alerts", mode="complete")
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
@@ -487,6 +577,54 @@ def stream_error_rate_append(spark: SparkSession, folder: str) -> DataFrame:
     windows = streaming.windowed_errors(
         _event_stream(spark, folder), F.col("event_type") == "error", width="5 minutes", delay="10 minutes"
     )
-    stream = streaming.alerting(windows, share=ALERT_SHARE, min_events=ALERT_EVENTS)
+    stream = streaming.alerting(windows, share=ALERT_SHARE, min_events=ALERT_EVENTS).drop("window")
     found = streaming.run_to_end(stream, "alerts-append", mode="append")
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+_SQL_KEYED_RUNS = """
+sliding AS (
+  SELECT user_id % 3 AS service, time_bucket(INTERVAL 5 MINUTE, ts) - i * INTERVAL 5 MINUTE AS window_start, count(*) AS n_events,
+    count(*) FILTER (event_type = 'error') AS n_errors
+  FROM events, range(3) r(i) GROUP BY ALL),
+alerts AS (
+  SELECT *, round(n_errors / n_events, 4) AS error_share FROM sliding WHERE n_events >= 2 AND n_errors / n_events >= 0.5),
+flagged AS (
+  SELECT *, CASE WHEN window_start - lag(window_start) OVER (PARTITION BY service ORDER BY window_start) = INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS s
+  FROM alerts),
+numbered AS (SELECT *, sum(s) OVER (PARTITION BY service ORDER BY window_start) AS run FROM flagged),
+runs AS (
+  SELECT service, min(window_start) AS first_detected, max(window_start) AS last_window, count(*) AS n_windows, max(error_share) AS peak_share
+  FROM numbered GROUP BY service, run)
+"""
+
+
+@query("service_alert_runs", f"WITH {_SQL_KEYED_RUNS} SELECT * FROM runs")
+def service_alert_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Alert runs of each service, over windows of fifteen minutes every five."""
+    events = _timed(Tables(spark, folder)).withColumn("service", F.col("user_id") % 3)
+    windows = metrics.error_windows(
+        events, "at", F.col("event_type") == "error", width=15 * MINUTE, slide=5 * MINUTE, by=["service"]
+    )
+    alerted = metrics.alerts(windows, share=0.5, min_events=2)
+    return _stamped(metrics.alert_runs(alerted, step=5 * MINUTE, by=["service"]), "first_detected", "last_window")
+
+
+@query(
+    "stream_alert_runs",
+    f"""
+    WITH {_SQL_KEYED_RUNS}
+    SELECT * FROM runs
+    WHERE last_window + INTERVAL 15 MINUTE - INTERVAL 1 MICROSECOND + INTERVAL 450 SECOND
+      <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 20 MINUTE FROM events)
+    """,
+)
+def stream_alert_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same runs from a stream, windows and sessions chained: all that the watermark has passed."""
+    events = _event_stream(spark, folder).withColumn("service", F.col("user_id") % 3)
+    windows = streaming.windowed_errors(
+        events, F.col("event_type") == "error", width="15 minutes", slide="5 minutes", delay="20 minutes", by=["service"]
+    )
+    runs = streaming.alert_runs(streaming.alerting(windows, share=0.5, min_events=2), step_seconds=300, by=["service"])
+    found = streaming.run_to_end(runs, "alert-runs", mode="append")
+    return found.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("first_detected", "last_window")})

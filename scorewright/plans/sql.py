@@ -51,6 +51,15 @@ pairs AS (
 """
 
 
+def packed(source: str, keys: str, order: str, size: str, most: int) -> str:
+    """Rows of ``source`` with ``part``: where the running size passes a multiple of ``most``, a part ends."""
+    return f"""
+    (SELECT *, (2 * ((upto - bytes) // {most}) + CASE WHEN upto > ((upto - bytes) // {most} + 1) * {most} THEN 1 ELSE 0 END)::BIGINT AS part
+     FROM (SELECT *, (sum(bytes) OVER (PARTITION BY {keys} ORDER BY {order} ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+           FROM (SELECT *, strlen({size}) AS bytes FROM {source})))
+    """
+
+
 def f1(name: str, source: str, answer: str, reference: str) -> str:
     """CTE with ``conv_id, turn, overlap, size`` of the word multisets of two columns."""
     return f"""

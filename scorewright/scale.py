@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 LITERAL_ROWS = 1_000
+BATCH_BYTES = 16 * 1024 * 1024
 
 _local_folders: dict[str, str] = {}
 
@@ -41,17 +42,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/scorewright/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, *, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    Cuts the lineage at a point that outlives any executor, and gives the table a known size.
+    Cuts the lineage at a point that outlives any executor, and gives the table a known size. ``by``
+    names columns that get folders of their own, so that reading one of their values reads no other.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand Python tasks at most ``BATCH_BYTES`` at a time, so that long texts stay within their memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A dimension given by the caller as Python rows, marked for broadcast.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright import schemas
+from scorewright.sources import files
 
 # Category labels of early runs and the labels that replaced them.
 CATEGORY_LABELS = {
@@ -40,26 +41,34 @@ def plain_category(category: Column) -> Column:
     return label
 
 
-def read_history(spark: SparkSession, paths: Sequence[str], *, early: Sequence[str] = ()) -> DataFrame:
-    """Results from CSV files of the current layout and of the ``early`` one, labels made equal."""
-    frames = []
-    for files, columns in ((paths, COLUMNS), (early, EARLY_COLUMNS)):
-        if files:
-            schema = ", ".join(f"{name} {_TYPES[name]}" for name in columns)
-            frames.append(
-                spark.read.csv(
-                    list(files), schema=schema, header=True, enforceSchema=False,
-                    timestampFormat="yyyy-MM-dd HH:mm:ss", escape='"', recursiveFileLookup=True,
-                )
-            )
-    merged = spark.createDataFrame([], schemas.RESULT)
-    for frame in frames:
-        merged = merged.unionByName(frame, allowMissingColumns=True)
+def read_history_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Every line of history files with its layout, its record or the reason why it is none."""
+    layouts = {
+        name: ", ".join(f"{column} {_TYPES[column]}" for column in columns)
+        for name, columns in (("current", COLUMNS), ("early", EARLY_COLUMNS))
+    }
+    return files.read_layouts(spark, paths, layouts, options={"timestampFormat": "yyyy-MM-dd HH:mm:ss"})
+
+
+def history_records(lines: DataFrame) -> DataFrame:
+    """Results of the readable lines of both layouts, labels made equal."""
+    current, early = files.records(lines, "current"), files.records(lines, "early")
+    merged = current.unionByName(early, allowMissingColumns=True)
     return merged.withColumns(
         {"category": plain_category(F.col("category")), "agent": plain_agent(F.col("agent"))}
     ).select(*COLUMNS)
 
 
+def read_history(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Results from CSV files of the current and the early layout, also mixed within a file.
+
+    Lines that cannot be read are left out here: :func:`read_history_lines` and ``files.quarantine`` have them.
+    """
+    if not paths:
+        return spark.createDataFrame([], schemas.RESULT)
+    return history_records(read_history_lines(spark, paths))
+
+
 def tag_run(results: DataFrame, system: str, model: str) -> DataFrame:
     """Give all rows of a run one time, system and model, and put the judge's reason on one line."""
     reason = F.regexp_replace(F.coalesce("judge_reason", F.lit("")), "\n", " ")

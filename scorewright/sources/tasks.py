@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright import schemas
+from scorewright.operators.packing import PART_BYTES, pack
 from scorewright.scale import lookup_join
 
-REFS_PER_PART = 10_000
 # Mark of a skipped task, line above each input file, gap between two of them.
 SKIP_MARK = "[SKIPPED]"
 FILE_LINE = ("=== FILE: ", " ===\n")
@@ -37,21 +37,20 @@ def concat_labelled(
     label: str,
     text: str,
     *,
-    per_part: int = REFS_PER_PART,
+    max_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Join the pieces of each group in order, each under a line that names it.
 
-    ``position`` counts the pieces of a group from 0. A group longer than ``per_part`` comes out as
-    several rows (``part`` 0, 1, ...) to be read one after the other, so that no single row has to
-    hold a group without bound; nothing is left out.
+    A group of more than ``max_bytes`` comes out as several rows, to be read by rising ``part`` (see
+    :func:`packing.pack`), so that no row has to hold a group without bound; nothing is left out, and a
+    piece longer than that has a row of its own.
     """
     block = labelled(F.col(label), F.col(text))
-    parts = pieces.select(
-        group,
-        F.floor(F.col(position) / F.lit(per_part)).alias("part"),
-        F.struct(F.col(position).alias("at"), block.alias("block")).alias("piece"),
+    blocks = pieces.select(group, position, block.alias("_block")).withColumn(
+        "_bytes", F.octet_length("_block") + F.lit(len(BLOCK_GAP.encode()))
     )
-    ordered = F.array_sort(F.collect_list("piece"))
+    parts = pack(blocks, [group], [position], "_bytes", max_bytes=max_bytes)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), F.col("_block").alias("block"))))
     return parts.groupBy(group, "part").agg(
         F.count(F.lit(1)).alias("n_pieces"),
         F.array_join(F.transform(ordered, lambda piece: piece["block"]), BLOCK_GAP).alias("text"),

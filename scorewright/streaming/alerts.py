@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +16,19 @@ def read_event_stream(spark: SparkSession, folder: str, schema, *, glob: str = "
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def windowed_errors(events: DataFrame, failed: Column, *, width: str, delay: str, slide: str | None = None) -> DataFrame:
-    """Events and errors per window; rows later than ``delay`` behind the newest are dropped."""
+def windowed_errors(
+    events: DataFrame, failed: Column, *, width: str, delay: str, slide: str | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Events and errors per key and window; rows later than ``delay`` behind the newest are dropped.
+
+    ``window`` itself is kept: later steps of the stream take their time from it.
+    """
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (
         events.withWatermark("ts", delay)
-        .groupBy(window.alias("window"))
+        .groupBy(window.alias("window"), *by)
         .agg(F.count(F.lit(1)).alias("n_events"), F.count_if(failed).alias("n_errors"))
-        .select(F.col("window.start").alias("window_start"), "n_events", "n_errors")
+        .select("window", F.col("window.start").alias("window_start"), *by, "n_events", "n_errors")
     )
 
 
@@ -33,25 +40,52 @@ def alerting(windows: DataFrame, *, share: float, min_events: int) -> DataFrame:
     )
 
 
+def alert_runs(alerted: DataFrame, *, step_seconds: int, by: Sequence[str] = ()) -> DataFrame:
+    """Alert windows of one key that follow each other, merged into a run while the stream goes on.
+
+    A second stateful step behind the windows: a session over their times. Windows lie ``step_seconds``
+    apart, so a session that bridges one and a half steps joins neighbours and nothing else. In append
+    mode a run is written once, when the watermark has passed its last window and the bridge; until then
+    its state is a row per key, however many windows it has.
+    """
+    session = F.session_window("_at", f"{step_seconds * 1500} milliseconds")
+    return (
+        alerted.withColumn("_at", F.window_time("window"))
+        .groupBy(session.alias("_session"), *by)
+        .agg(
+            F.min("window_start").alias("first_detected"),
+            F.max("window_start").alias("last_window"),
+            F.count(F.lit(1)).alias("n_windows"),
+            F.max("error_share").alias("peak_share"),
+        )
+        .drop("_session")
+    )
+
+
 def run_to_end(stream: DataFrame, label: str, *, mode: str) -> DataFrame:
     """Run a stream over all files there are now and return what it wrote as a table.
 
-    ``complete`` keeps the last full result. ``append`` writes each window once, after the watermark
-    has passed it; the newest windows of a bounded input are therefore missing. Output and
-    checkpoint lie in the shared folder, so a restart on other machines goes on from there.
+    ``complete`` returns the last full result. Each batch has a folder of its own, so a crash while one is
+    written leaves the one before it whole. ``append`` writes each row once, after the watermark has passed
+    it; the newest windows of a bounded input are therefore missing. Output and checkpoint lie in the
+    shared folder, so a restart on other machines goes on from there.
     """
     spark = stream.sparkSession
     target, progress = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
-    if mode == "complete":
-        # Without input there is no batch; the table is there all the same.
-        spark.createDataFrame([], stream.schema).write.parquet(target)
+    if mode != "complete":
+        query = writer.format("parquet").option("path", target).start()
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(target)
 
-        def replace(batch: DataFrame, _number: int) -> None:
-            batch.write.mode("overwrite").parquet(target)
+    finished = []
 
-        query = writer.foreachBatch(replace).start()
-    else:
-        query = writer.format("parquet").option("path", target).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+    def keep(batch: DataFrame, number: int) -> None:
+        # Only a batch that is tried again finds its folder there.
+        batch.write.mode("overwrite").parquet(f"{target}/batch-{number}")
+        finished.append(number)
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    if not finished:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{target}/batch-{max(finished)}")

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from scorewright import scale
 from scorewright.functions.time import MINUTE
 from scorewright.operators import correlate, logs, metrics, quality
 
@@ -57,7 +58,7 @@ def test_errors_fold_continuations(spark):
     assert row["n_errors"] == 3 and row["part"] == 0
     assert [i["timestamp"][-8:] for i in items] == ["21:15:00", "21:16:40", "21:22:10"]
     assert items[1]["message"] == "Seat map for hall 4 did not load"
-    parts = logs.errors_as_json(events, "source", ["ts", "n"], per_part=2).orderBy("part").collect()
+    parts = logs.errors_as_json(events, "source", ["ts", "n"], max_bytes=190).orderBy("part").collect()
     assert [i for p in parts for i in json.loads(p["errors"])] == items
 
 
@@ -113,6 +114,19 @@ def test_evidence_against_brute_force(spark, chatter, many_slices):
         assert (row["first_at"], row["last_at"]) == ((min(seen)[0], max(seen)[0]) if seen else (None, None))
 
 
+@pytest.mark.parametrize("n", [1, 4, 50])
+def test_evidence_list_against_brute_force(spark, chatter, many_slices, n):
+    events = spark.createDataFrame(chatter, "id BIGINT, comp STRING, at BIGINT, level STRING")
+    got = logs.evidence_list(events, "comp", "at", "id", ["level"], F.col("level") == "ERROR", n=n, lookback=100)
+    found = {r["id"]: ([(e["at"], e["id"], e["level"]) for e in r["evidence"]], r["n_listed"], r["comp"], r["at"]) for r in got.collect()}
+    assert set(found) == {i for i, _, _, level in chatter if level == "ERROR"}
+    for i, comp, at, level in chatter:
+        if level == "ERROR":
+            before = sorted((t, j, kind) for j, c, t, kind in chatter if c == comp and (t, j) < (at, i))[-n:]
+            near = [event for event in before if event[0] >= at - 100]
+            assert found[i] == (near, len(near), comp, at)
+
+
 @pytest.mark.parametrize("within", [5, 60, 5_000])
 def test_coverage_against_brute_force(spark, chatter, within, many_slices):
     errors = spark.createDataFrame([(c, at) for _, c, at, level in chatter if level == "ERROR"], "s STRING, at BIGINT")
@@ -163,16 +177,41 @@ def test_windows_alerts_and_runs(spark):
         metrics.error_windows(events, "at", F.col("failed"), width=5, slide=2)
 
 
-def test_limits_inside_alerts_only(spark):
-    rows = [(0, "api", 5_000.0), (1, "api", 10.0), (2, "db", 25.0), (10 * MINUTE, "api", 9_000.0)]
-    events = spark.createDataFrame(rows, "at BIGINT, service STRING, v DOUBLE")
-    alerted = spark.createDataFrame([(0, 0.7)], "window_start BIGINT, error_share DOUBLE")
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_limits_against_brute_force(spark, monkeypatch, broadcast):
+    """Many limits a measure, one of them twice under two keys, a hot service, values that are none."""
+    if not broadcast:
+        monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    chance = random.Random(23)
+    limits = [(s, m, f"{m}-{k}", float(chance.randrange(100))) for s in ("api", "db", "idle") for m in ("pool", "wait") for k in range(6)]
+    limits += [("api", "pool", "pool-alias", limits[0][3]), ("api", "pool", "pool-none", None), ("db", "wait", "zero", 0.0), limits[0]]
+    rows = [
+        (i, chance.choice(["api"] * 6 + ["db", "cron", None]), chance.choice(["pool", "wait", "other"]), chance.randrange(4 * 15) * MINUTE,
+         chance.choice([None, float("nan"), *[chance.random() * 110 for _ in range(9)]]))
+        for i in range(3000)
+    ]
+    alerted = [(0, "api", 0.7), (15 * MINUTE, "db", 0.9), (30 * MINUTE, "api", 0.8), (30 * MINUTE, "cron", 1.0), (90 * MINUTE, "api", 1.0)]
     got = metrics.limit_breaches(
-        events, alerted, "at", "service", "v", {"api": ("timeout_ms", 4000.0), "db": ("pool_size", 20.0)}, width=5 * MINUTE
-    )
-    assert {(r["service"], r["config_key"], r["n_breaches"], r["max_value"]) for r in got.collect()} == {
-        ("api", "timeout_ms", 1, 5_000.0), ("db", "pool_size", 1, 25.0)
-    }
+        spark.createDataFrame(rows, "id INT, service STRING, measure STRING, at BIGINT, v DOUBLE"),
+        spark.createDataFrame(alerted, "window_start BIGINT, service STRING, error_share DOUBLE"),
+        spark.createDataFrame(limits, "service STRING, measure STRING, config_key STRING, config_limit DOUBLE"),
+        "at", "v", width=15 * MINUTE, spread=["id"],
+    ).collect()
+    want = {}
+    for start, service, share in alerted:
+        for s, m, key, limit in set(limits):
+            held = [(v, at) for _, es, em, at, v in rows if es == s == service and em == m and at // (15 * MINUTE) * 15 * MINUTE == start
+                    and v is not None and v == v and limit is not None and v >= limit]
+            if held:
+                want[start, s, m, key, limit] = (share, len(held), max(held)[0], min(at for _, at in held))
+    fields = ("window_start", "service", "measure", "config_key", "config_limit")
+    assert {tuple(r[f] for f in fields): (r["error_share"], r["n_breaches"], r["max_value"], r["first_breach"]) for r in got} == want
+    assert len(got) == len(want)
+    most = {}
+    for (start, s, m, key, limit), (_, n, top, _) in want.items():
+        rank = (-(top / limit) if limit else float("inf"), -n, key, limit, m)
+        most[start, s] = min(most.get((start, s), (rank,)), (rank,))
+    assert {(r["window_start"], r["service"]): r["config_key"] for r in got if r["contributed_most"]} == {k: v[0][2] for k, v in most.items()}
 
 
 def test_signatures(spark):
@@ -198,13 +237,19 @@ def test_breakdown(spark):
     assert len(got) == 6
 
 
-def test_gate_names_the_silent_stage(spark):
-    orders = spark.createDataFrame([(i % 14, 10, None) for i in range(140)] + [(None, 10, None)] * 5, "customer_id INT, amount INT, x STRING")
+def sales(spark):
+    rows = [(i % 14, 10, None) for i in range(140)] + [(None, 10, None)] * 5
+    orders = spark.createDataFrame(rows, "customer_id INT, amount INT, x STRING")
     customers = spark.createDataFrame([(i, f"country {i}") for i in range(14)], "customer_id INT, country STRING")
+    return orders, customers
+
+
+def test_gate_names_the_silent_stage(spark):
+    orders, customers = sales(spark)
     broken = customers.withColumn("customer_id", F.col("customer_id") + 1000)
-    cleaned = quality.clean_orders(orders)
-    good = quality.stage_runs(orders, quality.customer_countries(cleaned, customers))
-    bad = quality.stage_runs(orders, quality.customer_countries(cleaned, broken))
+    result, good = quality.run_stages(orders, quality.sales_stages(customers))
+    assert result.count() == 14 and {r["amount"] for r in result.collect()} == {100}
+    _, bad = quality.run_stages(orders, quality.sales_stages(customers, enrich=lambda o: quality.customer_countries(o, broken)))
     verdicts = {r["stage"]: r for r in quality.gate(bad, good).collect()}
     assert [s for s, r in verdicts.items() if r["is_fault"]] == ["enrich"]
     assert verdicts["enrich"]["status"] == "OK" and verdicts["enrich"]["null_share"] == 1.0
@@ -213,6 +258,51 @@ def test_gate_names_the_silent_stage(spark):
     assert all(r["verdict"] == "PASS" for r in quality.gate(good, good).collect())
 
 
+@pytest.mark.parametrize("fault", ["one group", "half the money", "error"])
+def test_gate_names_aggregate(spark, fault):
+    orders, customers = sales(spark)
+
+    def aggregate(enriched):
+        if fault == "error":
+            return quality.country_report(enriched.withColumn("amount", F.raise_error(F.lit("disk full")).cast("int")))
+        if fault == "one group":
+            return quality.country_report(enriched.withColumn("country", F.lit("all")))
+        return quality.country_report(enriched.withColumn("amount", F.col("amount") / 2))
+
+    _, good = quality.run_stages(orders, quality.sales_stages(customers))
+    _, bad = quality.run_stages(orders, quality.sales_stages(customers, aggregate=aggregate))
+    verdicts = {r["stage"]: r for r in quality.gate(bad, good, min_amount_share=0.9).collect()}
+    assert [s for s, r in verdicts.items() if r["is_fault"]] == ["aggregate"]
+    assert verdicts["enrich"]["groups_out"] == 14 and verdicts["enrich"]["amount_out"] == 1400
+    assert verdicts["publish"]["verdict"] == "FAIL"
+    if fault == "error":
+        assert "disk full" in verdicts["aggregate"]["error"] and verdicts["publish"]["status"] == "NOT RUN"
+
+
+def test_stages_count_what_they_write(spark):
+    """A stage is counted as written: combined rows by weight, rejected ones, none at all; the source is read once."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    source = spark.range(100).mapInPandas(touch, "id BIGINT")
+    stages = [
+        quality.Stage("read", lambda rows: rows.withColumn("key", F.when(F.col("id") % 10 > 0, F.col("id") % 3)), "key",
+                      groups="key", rejected=F.col("id") > 95),
+        quality.Stage("sum", lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", weight="n", amount="n"),
+        quality.Stage("none", lambda rows: rows.where("n > 1000"), "key", groups="key", amount="n"),
+    ]
+    last, report = quality.run_stages(source, stages, first=3)
+    assert last.count() == 0 and reads.value == 100
+    rows = [tuple(r)[:8] for r in report.orderBy("ord").collect()]
+    assert rows[0] == ("read", 3, "OK", 100, 10, 4, 3, None)
+    assert rows[1] == ("sum", 4, "OK", 100, 10, None, None, 100)
+    assert rows[2] == ("none", 5, "OK", 0, 0, None, 0, None)
+
+
 def test_totals_use_a_half_open_year(spark):
     days = [datetime(2024, 12, 31, 23, 59), datetime(2025, 1, 1), datetime(2025, 12, 31, 23, 59), datetime(2026, 1, 1)]
     orders = spark.createDataFrame([(1, 10 ** i, day) for i, day in enumerate(days)], "customer_id INT, amount INT, created_at TIMESTAMP_NTZ")
@@ -243,7 +333,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
     def run(mode):
         stream = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
-        windows = streaming.windowed_errors(stream, F.col("failed"), width="5 minutes", delay="10 minutes")
+        windows = streaming.windowed_errors(stream, F.col("failed"), width="5 minutes", delay="10 minutes").drop("window")
         return {r["window_start"].replace(tzinfo=None): (r["n_events"], r["n_errors"]) for r in
                 streaming.run_to_end(windows, f"w-{mode}", mode=mode).collect()}
 
@@ -271,8 +361,58 @@ def test_stream_drops_rows_behind_the_watermark(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
     stream = reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    windows = streaming.windowed_errors(stream, F.col("failed"), width="5 minutes", delay="10 minutes")
+    windows = streaming.windowed_errors(stream, F.col("failed"), width="5 minutes", delay="10 minutes").drop("window")
     got = {r["window_start"]: (r["n_events"], r["n_errors"]) for r in streaming.run_to_end(windows, "late", mode="append").collect()}
     assert got[base] == (5, 0)
     assert got[base + timedelta(minutes=50)] == (6, 1)
     assert base + timedelta(minutes=120) not in got
+
+
+def test_stream_runs_by_service_equal_batch(spark, tmp_path):
+    """Files in time order with rows that come late, some too late: runs below the watermark are those of the rows taken in."""
+    from scorewright.streaming import alerts as streaming
+
+    chance, base = random.Random(31), datetime(2025, 5, 1)
+    folder, schema = str(tmp_path / "events"), "ts TIMESTAMP_NTZ, service STRING, failed BOOLEAN"
+    taken, newest = [], None
+    for part in range(6):
+        rows = []
+        for _ in range(400):
+            service = chance.choice(["api", "api", "db", None])
+            minute = part * 60 + chance.randrange(60) - (chance.randrange(0, 14) if part else 0)
+            calm = (minute // 20 + (service == "api")) % 3
+            rows.append((base + timedelta(minutes=minute, seconds=chance.randrange(60)), service, chance.random() < (0.9, 0.2, 0.5)[calm]))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        taken += rows
+        newest = max(at for at, _, _ in taken)
+        if part == 3:  # an hour behind the watermark
+            late = [(base + timedelta(minutes=100), "api", True)] * 500
+            spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(folder)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    stream = reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = streaming.windowed_errors(stream, F.col("failed"), width="10 minutes", slide="5 minutes", delay="15 minutes", by=["service"])
+    runs = streaming.alert_runs(streaming.alerting(windows, share=0.6, min_events=3), step_seconds=300, by=["service"])
+    got = {(r["service"], r["first_detected"]): (r["last_window"], r["n_windows"], r["peak_share"]) for r in
+           streaming.run_to_end(runs, "keyed", mode="append").collect()}
+
+    batch = spark.createDataFrame(taken, schema).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    counted = metrics.error_windows(batch, "at", F.col("failed"), width=10 * MINUTE, slide=5 * MINUTE, by=["service"])
+    whole = metrics.alert_runs(metrics.alerts(counted, share=0.6, min_events=3), step=5 * MINUTE, by=["service"])
+
+    def stamp(at):
+        return datetime(1970, 1, 1) + timedelta(microseconds=at)
+
+    want = {(r["service"], stamp(r["first_detected"])): (stamp(r["last_window"]), r["n_windows"], r["peak_share"]) for r in whole.collect()}
+    closed = {k: v for k, v in want.items() if v[0] + timedelta(minutes=10, seconds=450) <= newest - timedelta(minutes=15)}
+    assert got == closed and 3 < len(closed) < len(want)
+    assert max(n for _, n, _ in closed.values()) > 2 and {service for service, _ in closed} == {"api", "db", None}
+
+
+def test_complete_output_without_input(spark, tmp_path):
+    from scorewright.streaming import alerts as streaming
+
+    schema = "ts TIMESTAMP_NTZ, failed BOOLEAN"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = streaming.windowed_errors(stream, F.col("failed"), width="5 minutes", delay="1 minute").drop("window")
+    assert streaming.run_to_end(windows, "none", mode="complete").count() == 0

@@ -297,8 +297,31 @@ def test_feed_and_report(spark):
     )
     row = report.synthesis_feed(df, "run", "pos", "agent", "output").first()
     assert row["feed"] == "Task 0 (a):\nfirst\n\nTask 1 (b):\nsecond\n\nTask 4 (e):\nlast"
-    parts = report.synthesis_feed(df, "run", "pos", "agent", "output", per_part=2).orderBy("part").collect()
-    assert "\n\n".join(p["feed"] for p in parts) == row["feed"] and len(parts) == 2
+    parts = report.synthesis_feed(df, "run", "pos", "agent", "output", max_bytes=45).orderBy("part").collect()
+    assert "\n\n".join(p["feed"] for p in parts) == row["feed"] and [p["n_outputs"] for p in parts] == [2, 1]
+
+
+def test_runs_in_the_order_of_time(spark):
+    """Run names that sort the other way, two models, a category that a run lacks, runs that begin at once."""
+    rows = []
+    for run, model, begin, passes in [
+        ("z-first", "m", 100, {"a": (1, 4), "b": (1, 2)}), ("k-second", "m", 200, {"a": (3, 4)}), ("a-third", "m", 300, {"a": (2, 4), "b": (2, 2)}),
+        ("b-third", "m", 300, {"b": (0, 2)}), ("z-first", "n", 250, {"a": (4, 4)}),
+    ]:
+        for category, (good, of) in passes.items():
+            rows += [(run, model, category, begin + 10 * i + (category == "b"), i < good, 1.0 if i < good else 0.0) for i in range(of)]
+    df = spark.createDataFrame(rows, "run STRING, model STRING, category STRING, at BIGINT, success BOOLEAN, score DOUBLE")
+    full = df.withColumns({"escalated": F.lit(False), "local_score": F.lit(None).cast("double"), "cost_usd": F.lit(0.5)})
+    got = {(r["run"], r["model"], r["category"]): r for r in report.compare_runs(full, "run", "model", "category", "at").collect()}
+    assert len(got) == 7 + 5 and sum(r["is_total"] for r in got.values()) == 5
+    assert got["z-first", "m", "a"]["previous_run"] is None and got["z-first", "n", "a"]["pass_rate_change"] is None
+    assert (got["k-second", "m", "a"]["previous_run"], got["k-second", "m", "a"]["pass_rate_change"]) == ("z-first", 50.0)
+    assert (got["a-third", "m", "a"]["previous_run"], got["a-third", "m", "a"]["pass_rate_change"]) == ("k-second", -25.0)
+    assert (got["a-third", "m", "b"]["previous_run"], got["a-third", "m", "b"]["pass_rate_change"]) == ("z-first", 50.0)
+    assert (got["b-third", "m", "b"]["previous_run"], got["b-third", "m", None]["previous_run"]) == ("a-third", "a-third")
+    assert got["a-third", "m", None]["n_tasks"] == 6 and got["a-third", "m", None]["pass_rate_change"] == -8.333
+    assert got["z-first", "n", "a"]["rank_in_category"] == 1 and got["k-second", "m", "a"]["rank_in_category"] == 2
+    assert got["z-first", "m", "b"]["run_began"] == 100 and got["z-first", "m", None]["cost_per_pass"] == 1.5
 
 
 def test_report_rows(spark):

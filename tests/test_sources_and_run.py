@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import random
+from collections import Counter
 from datetime import datetime
 from decimal import Decimal
 
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorewright import schemas
-from scorewright.operators import inference, report
+from scorewright.operators import inference, packing, report
 from scorewright.plans.run import evaluate
 from scorewright.sources import files, history, tasks
 
@@ -83,10 +85,58 @@ def test_concat_in_parts(spark):
     pieces = spark.createDataFrame([("g", i, f"n{i}", f"t{i}") for i in (2, 0, 1)], "g STRING, pos BIGINT, name STRING, text STRING")
     whole = tasks.concat_labelled(pieces, "g", "pos", "name", "text").first()["text"]
     assert whole == "\n\n".join(f"=== FILE: n{i} ===\nt{i}" for i in range(3))
-    parts = tasks.concat_labelled(pieces, "g", "pos", "name", "text", per_part=2).orderBy("part").collect()
+    parts = tasks.concat_labelled(pieces, "g", "pos", "name", "text", max_bytes=2 * len("=== FILE: n0 ===\nt0\n\n")).orderBy("part").collect()
     assert len(parts) == 2 and "\n\n".join(p["text"] for p in parts) == whole
 
 
+def test_packing_bounds_every_part(spark):
+    """Sizes that fit exactly, are longer than a part, zero or unknown; a group that holds most pieces."""
+    chance = random.Random(8)
+    rows = [(g, i, chance.choice([0, 1, 3, 10, 25, 40, 41, 100, None])) for g, n in (("hot", 900), ("b", 40), (None, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g STRING, at INT, size INT")
+    packed = packing.pack(df, ["g"], ["at"], "size", max_bytes=40).collect()
+    assert sorted((str(r["g"]), r["at"], str(r["size"])) for r in packed) == sorted((str(g), at, str(size)) for g, at, size in rows)
+    for group in ("hot", "b", None):
+        own = sorted((r["at"], r["part"], r["size"] or 0) for r in packed if r["g"] == group)
+        assert [part for _, part, _ in own] == sorted(part for _, part, _ in own)
+        for part in {part for _, part, _ in own}:
+            sizes = [size for _, p, size in own if p == part]
+            assert sum(sizes) <= 40 or len([s for s in sizes if s]) == 1
+    with pytest.raises(ValueError):
+        packing.pack(df, ["g"], ["at"], "size", max_bytes=0)
+
+
+def test_killed_run_repeats_one_bucket(spark, tmp_path):
+    store, calls = str(tmp_path / "r"), tmp_path / "calls"
+    prompts = spark.createDataFrame([(f"s{i}", "m", f"p{i}") for i in range(60)], "prompt_sha STRING, model STRING, prompt STRING")
+    bucket = {r["prompt"]: r["b"] for r in prompts.select("prompt", F.pmod(F.xxhash64("prompt_sha", "model"), F.lit(6)).alias("b")).collect()}
+    doomed = max(p for p, b in bucket.items() if b == 3)
+
+    class Killed(BaseException):
+        pass
+
+    def model(die):
+        def call(prompt, name):
+            if die and prompt == doomed:
+                raise Killed("machine lost")
+            with open(calls, "a") as out:
+                out.write(prompt + "\n")
+            return prompt.upper(), 1
+
+        return call
+
+    with pytest.raises(Exception, match="machine lost"):
+        inference.call_model(prompts, model(True), store, parallel_calls=2, rounds=6)
+    done = {r["prompt_sha"].replace("s", "p") for r in spark.read.parquet(store).collect()}
+    assert done == {p for p, b in bucket.items() if b < 3}
+    got = inference.call_model(prompts, model(False), store, parallel_calls=2, rounds=6)
+    assert {r["output"] for r in got.collect()} == {f"P{i}" for i in range(60)}
+    made = Counter(calls.read_text().split())
+    assert {p for p, n in made.items() if n > 1} <= {p for p, b in bucket.items() if b == 3} and max(made.values()) <= 2
+    before = calls.read_text()
+    assert inference.call_model(prompts, model(False), store, parallel_calls=2, rounds=6).count() == 60 and calls.read_text() == before
+
+
 def test_run_end_to_end(spark, folder, tmp_path_factory):
     store = str(tmp_path_factory.mktemp("store"))
 
@@ -205,14 +255,43 @@ def test_history_layouts(spark, tmp_path):
         ",".join(history.COLUMNS) + "\n"
         '2025-02-02 03:04:05,hybrid,large,A1,A - File/Log Analysis,file_agent,False,0.1,False,,0.5,0,0.0,0.0,judge (0.1),"weak, ""vague"""\n'
     )
-    got = history.read_history(spark, [str(tmp_path / "now")], early=[str(tmp_path / "early")]).orderBy("run_time", "task_id").collect()
+    got = history.read_history(spark, [str(tmp_path / "now"), str(tmp_path / "early")]).orderBy("run_time", "task_id").collect()
     assert [r["category"] for r in got] == ["A - File/Log Analysis", "G - Complex Multi-Step", "A - File/Log Analysis"]
     assert {r["agent"] for r in got} == {"file_agent"}
     assert got[0]["cost_usd"] == Decimal("0.000336") and got[0]["local_score"] == 0.2 and got[0]["judge_reason"] is None
     assert got[1]["success"] is None and got[1]["score"] is None
     assert got[2]["judge_reason"] == 'weak, "vague"' and got[2]["run_time"] == datetime(2025, 2, 2, 3, 4, 5)
     assert history.read_history(spark, []).count() == 0
-    assert history.read_history(spark, [], early=[str(tmp_path / "early")]).where("judge_reason IS NULL").count() == 2
+    assert history.read_history(spark, [str(tmp_path / "early")]).where("judge_reason IS NULL").count() == 2
+
+
+def test_mixed_history_file(spark, tmp_path):
+    """One file: early header, early and current records, a later header, and lines that are no record."""
+    start = "2025-03-01 10:00:00,swarm,tiny,"
+    (tmp_path / "r.csv").write_text(
+        ",".join(history.EARLY_COLUMNS) + "\n"
+        + start + "A1,A-File/Log,file_agent [LOCAL],True,0.9,False,,0.5,0,0.0,0.0,keyword\n"
+        + start + 'A2,B-Code,code_agent,False,0.1,True,0.05,1.5,1,0.25,2.5,"judge, strict","says ""no"", twice"\r\n'
+        + "\n" + ",".join(history.COLUMNS) + "\n"
+        + start + "A3,C,planner,True,high,False,,0.5,0,0.0,0.0,keyword,kept nowhere\n"
+        + start + "A4,C,planner,True,0.5,False,,0.5,0,0.0,0.0,keyword,fine,one too many\n"
+        + "garbage\n"
+        + "yesterday,swarm,tiny,A5,C,planner,True,0.5,False,,0.5,0,0.0,0.0,keyword,bad time\n"
+        + start + "A6,C,planner,,,False,,0.5,0,0.0,0.0,,\n"
+        + start + 'A7,C,planner,True,0.5,False,,0.5,0,0.0,0.0,"key ""word""","' + 'a long, ""quoted"" reason, ' * 20_000 + '"\n'
+    )
+    lines = history.read_history_lines(spark, [str(tmp_path / "r.csv")])
+    got = {r["task_id"]: r for r in history.history_records(lines).collect()}
+    assert set(got) == {"A1", "A2", "A6", "A7"}
+    assert got["A7"]["judge_reason"] == 'a long, "quoted" reason, ' * 20_000 and got["A7"]["score_method"] == 'key "word"'
+    assert got["A1"]["judge_reason"] is None and got["A1"]["agent"] == "file_agent"
+    assert got["A2"]["judge_reason"] == 'says "no", twice' and got["A2"]["score_method"] == "judge, strict"
+    assert got["A2"]["cost_usd"] == Decimal("0.25") and got["A6"]["success"] is None
+    bad = {r["line"].split(",")[3] if "," in r["line"] else r["line"]: r for r in files.quarantine(lines).collect()}
+    assert {k: r["reason"] for k, r in bad.items()} == {
+        "A3": "unreadable value", "A4": "17 fields", "garbage": "1 fields", "A5": "unreadable value"
+    }
+    assert all(r["path"].endswith("/r.csv") for r in bad.values()) and bad["A4"]["line"].endswith("one too many")
 
 
 def test_tag_keeps_whole_reasons_on_one_line(spark):

@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
+from scorewright import scale
 from scorewright.operators import text as ops
 
 RECIPE = """\
@@ -105,7 +108,7 @@ def test_classify(spark):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_retrieval_against_brute_force(spark, monkeypatch, k, seed):
     """Common words in nearly all passages, rare ones in few; many ties; some questions find little."""
-    monkeypatch.setattr(ops, "SEED_PASSAGES", 1)
+    monkeypatch.setattr(ops, "PASSAGES_AT_ONCE", 7)
     chance = random.Random(seed)
     common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(40)]
 
@@ -117,7 +120,7 @@ def test_retrieval_against_brute_force(spark, monkeypatch, k, seed):
     questions = [(i, twin if i % 3 == 0 else text()) for i in range(15)]
     questions += [(15, "unseen words"), (16, ""), (17, "r1 unseen"), (18, "c0"), (19, copy)]
     got = ops.retrieve_passages(
-        spark.createDataFrame(questions, "q INT, text STRING"), "q", spark.createDataFrame(passages, "p INT, text STRING"), "p", "text", k=k
+        spark.createDataFrame(questions, "q INT, text STRING"), "q", spark.createDataFrame(passages, "p INT, text STRING"), "p", "text", k=k, block_words=100_000 if seed == 1 else 30
     )
     found = {(r["q"], r["rank"]): (r["p"], r["n_shared"]) for r in got.collect()}
     want = {}
@@ -126,3 +129,36 @@ def test_retrieval_against_brute_force(spark, monkeypatch, k, seed):
         for rank, (score, p) in enumerate(sorted(s for s in scored if s[0] < 0)[:k], 1):
             want[q, rank] = (p, -score)
     assert found == want
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_dictionary_against_brute_force(spark, monkeypatch, broadcast):
+    """Names that begin alike, overlap, repeat, stand at the ends, have marks inside or no words at all."""
+    if not broadcast:
+        monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    chance = random.Random(12)
+    words = ["Ada", "ada", "Van", "der", "Berg", "O", "Neil", "Zoë", "7"]
+    names = {" ".join(chance.choices(words, k=chance.randrange(1, 5))) for _ in range(25)} | {"O'Neil", "Van-der Berg", "...", ""}
+    docs = [(i, chance.choice([" ", ", ", "\n"]).join(chance.choices(words + ["the"] * 9, k=chance.randrange(0, 30)))) for i in range(120)]
+    docs += [(500, None), (501, ""), (502, "Ada"), (502, "Ada"), (503, "Ada " * 3000)]
+    table = spark.createDataFrame([(n,) for n in sorted(names)] * 2 + [(None,)], "name STRING")
+    got = ops.dictionary_entities(spark.createDataFrame(docs, "id INT, body STRING"), "id", "body", table).collect()
+
+    def tokens(text):
+        return [w for w in regex.split(r"[^\p{L}\p{N}]+", text or "") if w]
+
+    want = set()
+    for i, body in docs:
+        held = tokens(body)
+        for name in names:
+            own = tokens(name)
+            if own and any(held[k : k + len(own)] == own for k in range(len(held))):
+                want.add((i, "person", name))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_dictionary_of_a_million_names(spark):
+    names = spark.range(1_000_000).select(F.concat(F.lit("n"), F.col("id") % 5000, F.lit(" of m"), F.col("id")).alias("name"))
+    docs = spark.createDataFrame([(1, "so n7 of m7, n7 of m8 and n9 of"), (2, "n4999 of m999999"), (3, "nobody")], "id INT, body STRING")
+    got = ops.dictionary_entities(docs, "id", "body", names)
+    assert sorted((r["id"], r["entity"]) for r in got.collect()) == [(1, "n7 of m7"), (2, "n4999 of m999999")]
