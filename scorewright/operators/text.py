@@ -208,7 +208,7 @@ def retrieve_passages(
     asked = materialize(asked, "asked")
     total = asked.agg(F.coalesce(F.sum(F.size("_texts")), F.lit(0))).first()[0]
     blocks = -(-max(1, total) // block_words)
-    worded = passages.select(passage_id, F.array_distinct(T.words(F.col(text))).alias("_words"))
+    worded = passages.select(passage_id, F.split(F.lower(text), T.NON_WORD).alias("_words"))
     kind = worded.schema[passage_id].dataType.simpleString()
     schema = f"_question BIGINT, {passage_id} {kind}, n_shared BIGINT"
 
@@ -227,7 +227,7 @@ def retrieve_passages(
 
 
 def _best_of_task(asked, k: int):
-    """A task's best ``k`` passages per question, from batches of (passage id, distinct words)."""
+    """A task's best ``k`` passages per question, from batches of (passage id, words)."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [number for number, _ in asked.value]
@@ -235,38 +235,54 @@ def _best_of_task(asked, k: int):
         for place, (_, words) in enumerate(asked.value):
             for word in words:
                 postings.setdefault(word, []).append(place)
-        asking = {word: np.array(places) for word, places in postings.items()}
+        known = {word: number for number, word in enumerate(postings)}
+        sizes = np.array([len(places) for places in postings.values()], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.concatenate([np.array(held, np.int64) for held in postings.values()])
         found: list[list[tuple]] = [[] for _ in names]
         least = np.ones(len(names), np.int64)
-        types = None
+        kind = None
         for batch in batches:
-            types = batch.schema
+            kind = batch.schema.field(0)
             for start in range(0, len(batch), PASSAGES_AT_ONCE):
                 part = batch.slice(start, PASSAGES_AT_ONCE)
+                shared = _shared_words(part.column(1), known, starts, places, len(names))
+                if not (shared >= least).any():
+                    continue
                 ids = part.column(0).to_pylist()
-                shared = np.zeros((len(ids), len(names)), np.int32)
-                for row, words in enumerate(part.column(1).to_pylist()):
-                    known = [asking[word] for word in words or () if word in asking]
-                    if len(known) >= least.min():
-                        shared[row] = np.bincount(np.concatenate(known), minlength=len(names))
                 for row, place in np.argwhere(shared >= least).tolist():
                     found[place].append((-int(shared[row, place]), ids[row] is None, ids[row]))
                 for place in np.flatnonzero((shared >= least).any(axis=0)).tolist():
                     kept = found[place] = heapq.nsmallest(k, found[place], key=lambda one: (one[0], one[1], one[2] or 0))
                     if len(kept) == k:
                         least[place] = -kept[-1][0]
-        if types is not None:
+        if kind is not None:
             rows = [(names[place], name, -score) for place, kept in enumerate(found) for score, _, name in kept]
             columns = list(zip(*rows)) or [(), (), ()]
-            kinds = [pa.int64(), types.field(0).type, pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(column), type_) for column, type_ in zip(columns, kinds)],
-                ["_question", types.field(0).name, "n_shared"],
-            )
+            arrays = [pa.array(list(column), type_) for column, type_ in zip(columns, [pa.int64(), kind.type, pa.int64()])]
+            yield pa.RecordBatch.from_arrays(arrays, ["_question", kind.name, "n_shared"])
 
     return best
 
 
+def _shared_words(words: pa.Array, known: dict[str, int], starts: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """How many distinct words each passage (row) shares with each of ``n`` questions (column).
+
+    ``known`` numbers the asked words; the questions that ask for word w are ``places[starts[w]:starts[w + 1]]``.
+    """
+    coded = words.flatten().dictionary_encode()
+    number = np.array([known.get(word, -1) for word in coded.dictionary.to_pylist()] or [-1], np.int64)
+    lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(words)), lengths)
+    held = number[coded.indices.to_numpy(zero_copy_only=False)]
+    pairs = np.unique((rows * len(known) + held)[held >= 0])
+    row, word = np.divmod(pairs, len(known))
+    times = starts[word + 1] - starts[word]
+    within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    asking = places[np.repeat(starts[word], times) + within]
+    return np.bincount(np.repeat(row, times) * n + asking, minlength=len(words) * n).reshape(len(words), n)
+
+
 def classify(docs: DataFrame, text: str, labels: Mapping[str, Sequence[str]]) -> DataFrame:
     """Add ``predicted``: the label most of whose words occur; ties alphabetical, else ``unknown``.
 
