@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions import numbers as N
+from scorewright.scale import lookup_join
 
 
 def price_calls(
@@ -16,10 +17,24 @@ def price_calls(
     *,
     tokens: str = "tokens",
     model: str = "model",
-    prices: Mapping[str, tuple[Decimal, Decimal]] = N.PRICES,
+    prices: Mapping[str, tuple[Decimal, Decimal]] | DataFrame = N.PRICES,
+    spread: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``cost_usd`` to each call, by the model that really ran."""
-    return calls.withColumn("cost_usd", N.call_cost(F.col(tokens), F.col(model), prices))
+    """Add ``cost_usd`` to each call, by the model that really ran.
+
+    ``prices`` maps models to dollars per 1,000 tokens of input and output, or is a table
+    ``model, price_in, price_out`` of any size, looked up with a size check; ``spread`` then names columns
+    that tell calls of one model apart. A model without a price costs nothing.
+    """
+    if not isinstance(prices, DataFrame):
+        return calls.withColumn("cost_usd", N.call_cost(F.col(tokens), F.col(model), prices))
+    share = F.lit(N.INPUT_SHARE).cast("decimal(2,1)")
+    blended = share * F.col("price_in").cast("decimal(12,6)") + (1 - share) * F.col("price_out").cast("decimal(12,6)")
+    per_token = (blended / 1000).cast("decimal(18,12)")
+    table = prices.groupBy(F.col("model").alias(model)).agg(F.max(per_token).alias("_price"))
+    priced = lookup_join(calls, table, [model], spread=spread or calls.columns[:1])
+    amount = F.round(F.col(tokens).cast("decimal(18,0)") * F.col("_price"), 6)
+    return priced.withColumn("cost_usd", F.coalesce(amount, F.lit(0)).cast("decimal(18,6)")).drop("_price")
 
 
 def size_payloads(calls: DataFrame, text: str) -> DataFrame:

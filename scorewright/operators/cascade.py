@@ -78,17 +78,18 @@ def merge_tiers(
 def last_reply(asked: DataFrame, conversations: DataFrame) -> DataFrame:
     """Add ``fallback``: the last assistant turn of the conversation, if it comes after the user's.
 
-    One row per conversation is formed by partial aggregation; the join back spreads conversations
-    that hold a large share of the turns.
+    The last turn's number is found first, and its text joined by (conversation, turn) only then, so no text
+    is aggregated. Both joins spread conversations that hold a large share of the turns.
     """
-    last = (
-        conversations.where(F.col("role") == "assistant")
-        .groupBy("conv_id")
-        .agg(F.max_by("text", "turn").alias("_last_text"), F.max("turn").alias("_last_turn"))
+    replies = conversations.where(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("_last_turn"), F.col("text").alias("fallback"))
+    last = replies.groupBy("conv_id").agg(F.max("_last_turn").alias("_last_turn"))
+    numbered = lookup_join(asked, last, ["conv_id"], spread=["turn"])
+    later = F.when(F.col("_last_turn") > F.col("turn"), F.col("_last_turn"))
+    ended = replies.join(last, ["conv_id", "_last_turn"], "left_semi")
+    joined = lookup_join(
+        numbered.withColumn("_last_turn", later), ended, ["conv_id", "_last_turn"], spread=["turn"], may_broadcast=False
     )
-    joined = lookup_join(asked, last, ["conv_id"], spread=["turn"], may_broadcast=False)
-    later = F.col("_last_turn") > F.col("turn")
-    return joined.withColumn("fallback", F.when(later, F.col("_last_text"))).drop("_last_text", "_last_turn")
+    return joined.drop("_last_turn")
 
 
 def compare_modes(

@@ -74,6 +74,24 @@ def heuristic_score(answers: DataFrame, output: str, keywords: Column, **lengths
     return answers.withColumns({"passed": passed, "score_method": method})
 
 
+def judge_inputs(answers: DataFrame, ids: Sequence[str] = ("task_id", "model")) -> DataFrame:
+    """What a judge gets to see of each answer it has to score: ``criteria, input, actual_output, expected_output``.
+
+    The expected output is shown in the mode ``expected`` only: a task scored by criteria alone has no single
+    right answer, and the judge must not hold one against it. Answers of code tasks, blank ones, and those
+    of tasks without criteria are no case for a judge (see :func:`judge_gate`) and are left out.
+    """
+    mode = F.coalesce("scoring_mode", F.lit("expected"))
+    cases = answers.where((mode != "execution") & (F.coalesce("criteria", F.lit("")) != "") & ~T.is_blank(F.col("output")))
+    return cases.select(
+        *ids,
+        "criteria",
+        F.col("description").alias("input"),
+        F.col("output").alias("actual_output"),
+        F.when(mode == "expected", F.col("expected_output")).alias("expected_output"),
+    )
+
+
 def judge_gate(
     answers: DataFrame,
     *,
@@ -81,17 +99,19 @@ def judge_gate(
     criteria: Column,
     raw_score: Column,
     reason: Column | None = None,
+    mode: Column | None = None,
     threshold: float = schemas.PASS_THRESHOLD,
 ) -> DataFrame:
     """Turn a recorded judge score into ``raw_score, score, passed, judge_reason``.
 
     Without criteria there is no score; blank output scores 0.0 and fails. The pass test uses the
-    raw score, the stored score has three places.
+    raw score, the stored score has three places. ``mode`` is the scoring mode: code tasks have no judge.
     """
+    by_code = F.lit(False) if mode is None else F.coalesce(mode == "execution", F.lit(False))
     no_criteria = criteria.isNull() | (criteria == "")
     blank = T.is_blank(output)
-    raw = F.when(no_criteria, F.lit(None).cast("double")).when(blank, F.lit(0.0)).otherwise(raw_score)
-    why = F.when(no_criteria, F.lit("no criteria")).when(blank, F.lit(NO_OUTPUT)).otherwise(
+    raw = F.when(by_code | no_criteria, F.lit(None).cast("double")).when(blank, F.lit(0.0)).otherwise(raw_score)
+    why = F.when(by_code, F.lit(None).cast("string")).when(no_criteria, F.lit("no criteria")).when(blank, F.lit(NO_OUTPUT)).otherwise(
         reason if reason is not None else F.lit(None).cast("string")
     )
     return answers.withColumns(

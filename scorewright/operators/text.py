@@ -289,11 +289,14 @@ def classify(docs: DataFrame, text: str, labels: Mapping[str, Sequence[str]]) ->
     Votes are counted inside each row, so nothing is shuffled.
     """
     names = sorted(labels)
+    voting = sorted({word for words in labels.values() for word in words})
 
     def votes(label: str) -> Column:
         return F.size(F.filter("_words", lambda word: word.isin(*labels[label])))
 
-    counted = docs.withColumn("_words", T.words(F.col(text))).withColumns(
+    # One pass over all words leaves the few that vote.
+    few = F.filter(F.split(F.lower(text), T.NON_WORD), lambda word: word.isin(*voting))
+    counted = docs.withColumn("_words", few).withColumns(
         {f"_votes_{i}": votes(name) for i, name in enumerate(names)}
     )
     most = F.greatest(*[F.col(f"_votes_{i}") for i in range(len(names))]) if len(names) > 1 else F.col("_votes_0")

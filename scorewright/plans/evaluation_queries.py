@@ -16,7 +16,7 @@ from scorewright.functions import numbers as N
 from scorewright.functions import text as T
 from scorewright.operators import accounting, cascade, inference, report, routing, scoring
 from scorewright.operators import text as documents_ops
-from scorewright.plans import sql
+from scorewright.plans import run, sql
 from scorewright.plans.registry import Tables, query
 from scorewright.scale import materialize, scratch_path
 from scorewright.sources import files, history, tasks
@@ -168,6 +168,55 @@ def missing_input_skip(spark: SparkSession, folder: str) -> DataFrame:
     return tasks.mark_skipped(found, "found", "output").select("conv_id", "turn", "skipped", F.md5("output").alias("output_md5"))
 
 
+def _files(t: Tables) -> DataFrame:
+    """Documents as input files; every fourth one is missing."""
+    held = t.documents.where(F.col("doc_id") % 4 != 0)
+    return held.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("ref"), "text", F.octet_length("text").cast("bigint").alias("n_bytes")
+    )
+
+
+_SQL_FILES = "files AS (SELECT 'doc-' || doc_id AS ref, text FROM documents WHERE doc_id % 4 <> 0)"
+
+
+@query(
+    "resolve_inputs",
+    f"""
+    WITH {_SQL_FILES},
+    bank AS (
+      SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN ['doc-' || (conv_id % 60), 'doc-' || (7 * turn % 60), 'doc-' || (conv_id % 13)]
+        WHEN role = 'assistant' THEN ['doc-' || (conv_id % 60)] END AS refs FROM conversations),
+    wanted AS (SELECT conv_id, turn, unnest(refs) AS ref, generate_subscripts(refs, 1) AS pos FROM bank),
+    found AS (
+      SELECT conv_id, turn, count(*) = count(text) AS complete, arg_min(ref, pos) FILTER (text IS NULL) AS missing_ref,
+        string_agg('=== FILE: ' || ref || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY pos) AS combined, arg_min(text, pos) AS first_text
+      FROM wanted LEFT JOIN files USING (ref) GROUP BY ALL),
+    resolved AS (
+      SELECT b.conv_id, b.turn, coalesce(complete, TRUE) AS input_found, missing_ref,
+        CASE WHEN refs IS NULL THEN b.text WHEN complete AND role = 'user' THEN combined WHEN complete THEN first_text END AS input_text
+      FROM bank b LEFT JOIN found USING (conv_id, turn))
+    SELECT conv_id || '-' || turn AS task_id, input_found, missing_ref, CAST(strlen(input_text) AS BIGINT) AS input_bytes, md5(input_text) AS input_md5
+    FROM resolved
+    """,
+)
+def resolve_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Tasks with several files, one file or their own text; a missing file leaves a task without input."""
+    t = Tables(spark, folder)
+
+    def ref(number: Column) -> Column:
+        return F.concat(F.lit("doc-"), number.cast("string"))
+
+    several = F.array(ref(F.col("conv_id") % 60), ref(7 * F.col("turn") % 60), ref(F.col("conv_id") % 13))
+    bank = t.conversations.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("task_id"),
+        F.when(F.col("role") == "user", F.lit("multi")).otherwise(F.lit("document")).alias("input_type"),
+        F.when(F.col("role") == "user", several).when(F.col("role") == "assistant", F.array(ref(F.col("conv_id") % 60))).alias("input_refs"),
+        F.col("text").alias("inline_input"),
+    )
+    found = tasks.resolve_inputs(bank, _files(t))
+    return found.select("task_id", "input_found", "missing_ref", "input_bytes", F.md5("input_text").alias("input_md5"))
+
+
 _SQL_ROUTES = """
 routes(agent, tier, model) AS (VALUES ('view', 'local', 'qwen2.5:3b'), ('click', 'local', 'qwen2.5:3b'),
   ('error', 'local', 'qwen2.5:0.5b'), ('multimodal_agent', 'cloud', 'gpt-4o'), ('purchase', 'cloud', 'gpt-4o'))
@@ -237,6 +286,43 @@ def render_prompts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_TEMPLATES = [
+    ("document_agent", "local", "Read:\n{question}\nThen answer."),
+    ("document_agent", None, "A second look at turn {turn}: {question}"),
+    ("planning_agent", "cloud", "{question}{question} in steps"),
+    ("planning_agent", "cloud", "~ never taken, as it sorts behind the other"),
+    ("other_agent", "local", "never asked for"),
+]
+_SQL_TIERED = """
+tiered AS (
+  SELECT conv_id, turn, question, CASE WHEN turn = 0 THEN 'document_agent' ELSE 'planning_agent' END AS agent,
+    CASE conv_id % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'cloud' ELSE 'second' END AS tier FROM pairs),
+texts AS (
+  SELECT conv_id, turn, CASE
+    WHEN agent = 'document_agent' AND tier = 'local' THEN 'Read:' || chr(10) || question || chr(10) || 'Then answer.'
+    WHEN agent = 'document_agent' THEN 'A second look at turn ' || turn || ': ' || question
+    WHEN tier = 'cloud' THEN question || question || ' in steps'
+    WHEN tier = 'second' THEN 'Again: ' || question ELSE 'First: ' || question END AS prompt FROM tiered)
+"""
+
+
+@query(
+    "prompts_by_tier",
+    f"WITH {sql.PAIRS}, {_SQL_TIERED} SELECT conv_id, turn, CAST(length(prompt) AS BIGINT) AS prompt_chars, sha256(prompt) AS prompt_sha FROM texts",
+)
+def prompts_by_tier(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates from a table by agent and tier, others by tier alone."""
+    tier = F.when(F.col("conv_id") % 3 == 0, F.lit("local")).when(F.col("conv_id") % 3 == 1, F.lit("cloud")).otherwise(F.lit("second"))
+    agent = F.when(F.col("turn") == 0, F.lit("document_agent")).otherwise(F.lit("planning_agent"))
+    asked = tasks.pair_turns(Tables(spark, folder).conversations).withColumns({"agent": agent, "tier": tier})
+    table = spark.createDataFrame(_TEMPLATES, "agent STRING, tier STRING, template STRING")
+    prompted = routing.render_prompts(
+        asked, table, default={"local": ["First: ", F.col("question")], "second": ["Again: ", F.col("question")]},
+        fields=["question", "turn"], spread=["conv_id", "turn"],
+    )
+    return prompted.select("conv_id", "turn", F.length("prompt").cast("bigint").alias("prompt_chars"), "prompt_sha")
+
+
 def _measured(prompt: str, model: str) -> tuple[str, int]:
     """Stands in for a model: an answer that follows from the prompt alone."""
     return f"{model}: {len(prompt)} characters", len(prompt) // 4
@@ -665,6 +751,113 @@ def mode_compare(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _run_bank(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """User turns as tasks, with their reply and the conversation's last one: a file each fifth, an unknown agent each tenth."""
+    asked = cascade.last_reply(tasks.pair_turns(t.conversations), t.conversations)
+    from_file = F.col("conv_id") % 5 == 1
+    named = asked.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("task_id"),
+        F.lit("D - Document Processing").alias("category"),
+        F.when(F.col("conv_id") % 10 == 3, F.lit("ghost_agent")).otherwise(F.lit("document_agent")).alias("agent"),
+        F.lit("Reply to the user.").alias("description"),
+        F.when(from_file, F.lit("document")).otherwise(F.lit("text")).alias("input_type"),
+        F.when(from_file, F.array(F.concat(F.lit("doc-"), (F.col("conv_id") % 40).cast("string")))).alias("input_refs"),
+        F.when(~from_file, F.col("question")).alias("inline_input"),
+        F.lit("expected").alias("scoring_mode"),
+        F.lit("is it a reply").alias("criteria"),
+        F.col("question").alias("expected_output"),
+        "conv_id", "turn", "reply", "fallback",
+    )
+    return named.drop("conv_id", "turn", "reply", "fallback"), named
+
+
+_SQL_RUN = f"""
+{sql.PAIRS}, {_SQL_FILES},
+last_reply AS (
+  SELECT conv_id, arg_max(text, turn) AS text, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+asked AS (
+  SELECT p.*, CASE WHEN l.turn > p.turn THEN l.text END AS fallback, CASE WHEN p.conv_id % 5 = 1 THEN 'doc-' || (p.conv_id % 40) END AS ref,
+    p.conv_id % 10 = 3 AS ghost
+  FROM pairs p LEFT JOIN last_reply l USING (conv_id)),
+inputs AS (SELECT a.*, CASE WHEN a.ref IS NULL THEN question ELSE f.text END AS input FROM asked a LEFT JOIN files f ON f.ref = a.ref),
+ones AS (SELECT input, arg_min(reply, conv_id * 1000000 + turn) AS answer1 FROM inputs WHERE reply IS NOT NULL AND input IS NOT NULL GROUP BY input),
+twos AS (SELECT input, arg_min(fallback, conv_id * 1000000 + turn) AS answer2 FROM inputs WHERE fallback IS NOT NULL AND input IS NOT NULL GROUP BY input),
+answered AS (
+  SELECT i.*, answer1 IS NULL AS silent, coalesce(answer1, '') AS one, answer2 AS two
+  FROM inputs i LEFT JOIN ones USING (input) LEFT JOIN twos USING (input) WHERE NOT ghost AND input IS NOT NULL),
+{sql.f1('f', 'answered', 'one', 'question')}, {sql.f1('g', 'answered', 'two', 'question')},
+tiers AS (
+  SELECT a.*, {sql.f1_score('f')} AS s1, {sql.f1_raw('f')} AS r1, {sql.f1_score('g')} AS s2, {sql.f1_raw('g')} AS r2,
+    CAST(len({sql.words('a.two')}) AS BIGINT) AS tokens2, s1 < 0.5 AND two IS NOT NULL AS e
+  FROM answered a JOIN f USING (conv_id, turn) JOIN g USING (conv_id, turn))
+"""
+
+
+@query(
+    "evaluate_run",
+    f"""
+    WITH {_SQL_RUN}
+    SELECT conv_id || '-' || turn AS task_id, CASE WHEN e THEN r2 >= 0.5 ELSE r1 >= 0.5 END AS success, CASE WHEN e THEN s2 ELSE s1 END AS score,
+      e AS escalated, CASE WHEN e THEN s1 END AS local_score, CAST(e AS INTEGER) AS cloud_calls,
+      CASE WHEN e THEN CAST((tokens2 * 33 + 50) // 100 AS DOUBLE) / 1000000 ELSE 0.0 END AS cost_usd,
+      CASE WHEN e THEN {sql.kb('input')} ELSE 0.0 END AS data_kb, 'judge (expected)' AS score_method,
+      md5(CASE WHEN e THEN two ELSE one END) AS output_md5,
+      CASE WHEN silent THEN 'no recorded response' WHEN s1 < 0.5 AND NOT e THEN 'no second-tier answer' END AS error
+    FROM tiers
+    UNION ALL
+    SELECT conv_id || '-' || turn, NULL, NULL, FALSE, NULL, 0, 0.0, 0.0, '', md5('[SKIPPED] ' || why), why FROM (
+      SELECT *, CASE WHEN input IS NULL THEN 'missing input file: ' || ref ELSE 'unknown agent: ghost_agent' END AS why
+      FROM inputs WHERE ghost OR input IS NULL)
+    """,
+)
+def evaluate_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole run in hybrid mode: inputs, routing, prompts of both models, recorded answers, scores, cascade, cost."""
+    t = Tables(spark, folder)
+    bank, asked = _run_bank(t)
+    held = _files(t)
+    given = materialize(tasks.resolve_inputs(asked, held).where("input_found"), "given")
+
+    def recorded(tier: str, column: str):
+        """The first of the recorded answers of one prompt, as a model's."""
+        by_prompt = given.where(F.col(column).isNotNull()).select(
+            F.sha2(routing.render(run.default_templates()[tier]), 256).alias("prompt_sha"), column, "conv_id", "turn"
+        )
+        one = by_prompt.groupBy("prompt_sha").agg(F.min_by(column, F.struct("conv_id", "turn")).alias("output"))
+
+        def answer(prompts: DataFrame) -> DataFrame:
+            models = prompts.select("model").distinct()
+            return one.join(F.broadcast(models)).select(
+                "prompt_sha", "model", "output", F.size(T.words(F.col("output"))).cast("bigint").alias("tokens"),
+                F.lit(0.25).alias("latency_s"), F.lit(None).cast("string").alias("error"),
+            )
+
+        return answer
+
+    results = run.evaluate(bank, held, answer=recorded("local", "reply"), escalate=recorded(run.SECOND, "fallback"))
+    return results.select(
+        "task_id", "success", "score", "escalated", "local_score", "cloud_calls", F.col("cost_usd").cast("double").alias("cost_usd"),
+        F.col("data_kb").cast("double").alias("data_kb"), "score_method", F.md5("output").alias("output_md5"), "error",
+    )
+
+
+@query(
+    "judge_inputs",
+    f"""
+    SELECT doc_id, source AS input, md5(text) AS actual_md5, CASE WHEN lang = 'en' THEN lang END AS expected_output
+    FROM documents WHERE lang NOT IN ('de', 'es') AND {sql.strip('text')} <> ''
+    """,
+)
+def judge_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """What a judge is shown: German documents are code, Spanish ones without criteria, French ones scored by criteria alone."""
+    mode = F.when(F.col("lang") == "de", F.lit("execution")).when(F.col("lang") == "fr", F.lit("criteria_only")).otherwise(F.lit("expected"))
+    answers = Tables(spark, folder).documents.select(
+        "doc_id", mode.alias("scoring_mode"), F.when(F.col("lang") != "es", F.lit("is it good")).alias("criteria"),
+        F.col("source").alias("description"), F.col("text").alias("output"), F.col("lang").alias("expected_output"),
+    )
+    cases = scoring.judge_inputs(answers, ["doc_id"])
+    return cases.select("doc_id", "input", F.md5("actual_output").alias("actual_md5"), "expected_output")
+
+
 _SQL_FED = """
 (SELECT conv_id, turn, 'Task ' || turn || ' (' || role || '):' || chr(10) || text AS block
  FROM conversations WHERE text <> '' AND NOT contains(text, '[SKIPPED]'))

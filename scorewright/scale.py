@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -22,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     Where the setting is missing, a temporary folder is used, and only on a local master: a
-    machine-local folder on a cluster would be lost with its machine.
+    machine-local folder on a cluster would be lost with its machine. It is removed when the program ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -33,6 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="scorewright-")
+        atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
     return _local_folders[app]
 
 

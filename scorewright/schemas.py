@@ -23,7 +23,7 @@ RESULT = (
     "run_time TIMESTAMP, system STRING, model STRING, task_id STRING, category STRING, agent STRING, "
     "success BOOLEAN, score DOUBLE, escalated BOOLEAN, local_score DOUBLE, latency_s DOUBLE, "
     "cloud_calls INT, cost_usd DECIMAL(18,6), data_kb DECIMAL(18,3), score_method STRING, "
-    "judge_reason STRING"
+    "judge_reason STRING, total_latency_s DOUBLE"
 )
 LOG_EVENT = (
     "ts TIMESTAMP_NTZ, level STRING, component STRING, message STRING, is_continuation BOOLEAN"

@@ -42,12 +42,18 @@ def mime_type(path: Column, kind: str = "image") -> Column:
     return F.concat(F.lit(f"{kind}/"), F.when(extension == "jpg", F.lit("jpeg")).otherwise(extension))
 
 
-def binary_manifest(spark: SparkSession, path: str, *, kind: str = "image") -> DataFrame:
-    """One row per file: ``path, n_bytes, mime, base64``.
+def _any_case(extensions: Sequence[str]) -> str:
+    """A glob for file names that end in one of the extensions, in either case."""
+    return "{" + ",".join("*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name) for name in extensions) + "}"
+
+
+def binary_manifest(spark: SparkSession, path: str, *, kind: str = "image", extensions: Sequence[str] = ()) -> DataFrame:
+    """One row per file: ``path, n_bytes, mime, base64``. Only files with one of ``extensions`` are opened, if given.
 
     Every file is read whole; one above Spark's bound for binary files fails the job.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", _any_case(extensions)) if extensions else reader).load(path)
     named = [F.col("path"), F.col("length").alias("n_bytes"), mime_type(F.col("path"), kind).alias("mime")]
     return files.select(*named, F.base64("content").alias("base64"))
 
@@ -55,11 +61,13 @@ def binary_manifest(spark: SparkSession, path: str, *, kind: str = "image") -> D
 def read_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """Task inputs below ``folder``: ``ref, text, n_bytes``, images as data URLs.
 
-    ``n_bytes`` is the size of the file itself, which is what sending an image is counted as.
+    ``n_bytes`` is the size of the file itself, which is what sending an image is counted as. Either kind
+    of file is opened once: images are listed by their names, and for texts the test of the path prunes files
+    before they are read.
     """
     is_image = F.rlike(F.lower("path"), F.lit(r"\.(" + "|".join(IMAGE_EXTENSIONS) + r")$"))
     texts = read_whole_texts(spark, folder).where(~is_image)
-    images = binary_manifest(spark, folder).where(is_image)
+    images = binary_manifest(spark, folder, extensions=IMAGE_EXTENSIONS)
     url = F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.col("base64"))
     loaded = texts.unionByName(images.select(_plain_path(F.col("path")).alias("path"), "n_bytes", url.alias("text")))
     return loaded.select(relative_ref(F.col("path"), folder).alias("ref"), "text", "n_bytes")

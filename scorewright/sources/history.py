@@ -65,21 +65,26 @@ def read_history(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Lines that cannot be read are left out here: :func:`read_history_lines` and ``files.quarantine`` have them.
     """
     if not paths:
-        return spark.createDataFrame([], schemas.RESULT)
+        return spark.createDataFrame([], schemas.RESULT).select(*COLUMNS)
     return history_records(read_history_lines(spark, paths))
 
 
 def tag_run(results: DataFrame, system: str, model: str) -> DataFrame:
-    """Give all rows of a run one time, system and model, and put the judge's reason on one line."""
+    """Give all rows of a run one time, system and model, and put the judge's reason on one line.
+
+    ``total_latency_s``, both tiers together, is that of the first answer where the results have no such column.
+    """
     reason = F.regexp_replace(F.coalesce("judge_reason", F.lit("")), "\n", " ")
+    total = F.col("total_latency_s") if "total_latency_s" in results.columns else F.col("latency_s")
     return results.withColumns(
         {
             "run_time": F.current_timestamp(),
             "system": F.lit(system),
             "model": F.lit(model),
             "judge_reason": reason,
+            "total_latency_s": total,
         }
-    ).select(*[F.col(name).cast(_TYPES[name]).alias(name) for name in COLUMNS])
+    ).select(*[F.col(name).cast(kind).alias(name) for name, kind in _TYPES.items()])
 
 
 def append_results(tagged: DataFrame, path: str) -> None:
@@ -100,8 +105,9 @@ def export_csv(tagged: DataFrame, path: str, *, reason_chars: int | None = schem
     """Append a run as CSV with a header in every file and NULL as an empty field.
 
     Reasons are cut to ``reason_chars`` here, as readers of these files expect; None keeps them whole.
-    The history table always has them whole.
+    The history table always has them whole, and the latency of both tiers, which has no column in these files.
     """
+    tagged = tagged.drop("total_latency_s")
     if reason_chars is not None and "judge_reason" in tagged.columns:
         tagged = tagged.withColumn("judge_reason", F.left("judge_reason", F.lit(reason_chars)))
     tagged.write.mode("append").csv(path, header=True, nullValue="", escape='"', timestampFormat="yyyy-MM-dd HH:mm:ss")

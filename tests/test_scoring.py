@@ -336,3 +336,45 @@ def test_report_rows(spark):
     assert got[1]["preview"] == "x" * 300 + "..." and got[2]["preview"] == "short"
     assert got[1]["output"] == "x" * 301
     assert (got[2]["result"], got[2]["score"], got[2]["escalated"]) == ("SKIP", "-", "no") and got[3]["result"] == "FAIL"
+
+
+def test_templates_of_a_table(spark):
+    """Values that look like places, NULL values, a template of the tier before one of the agent."""
+    bank = spark.createDataFrame(
+        [(1, "a", "local", "sum {input_text}", "1 2"), (2, "a", "cloud", "x", None), (3, "b", "local", "y", "z"), (4, "c", "second", "w", "{description}")],
+        "id INT, agent STRING, tier STRING, description STRING, input_text STRING",
+    )
+    table = spark.createDataFrame(
+        [("a", "local", "{description}|{input_text}|{unknown}"), ("a", None, "any {description}{input_text}."), ("b", "cloud", "no"), ("c", None, "{input_text}")],
+        "agent STRING, tier STRING, template STRING",
+    )
+    got = routing.render_prompts(bank, table, default={"local": ["mine: ", F.col("description")]}, spread=["id"])
+    assert {r["id"]: r["prompt"] for r in got.collect()} == {1: "sum {input_text}|1 2|{unknown}", 2: "any x.", 3: "mine: y", 4: "{description}"}
+    assert "_exact" not in got.columns and got.where(F.col("prompt_sha") != F.sha2("prompt", 256)).count() == 0
+
+
+def test_routes_and_prices_as_tables(spark):
+    bank = spark.createDataFrame([(1, "a"), (2, "b"), (3, "nobody"), (4, None)], "id INT, agent STRING")
+    routes = spark.range(3000).select(F.concat(F.lit("r"), "id").alias("agent"), F.lit("local").alias("tier"), F.lit("m").alias("model"))
+    routes = routes.unionAll(spark.createDataFrame([("a", "local", "m1"), ("b", "cloud", "m2"), ("b", "local", "m3")], routes.schema))
+    got = {r["id"]: (r["tier"], r["model"]) for r in routing.route(bank, routes=routes, spread=["id"]).collect()}
+    assert got == {1: ("local", "m1"), 2: ("cloud", "m2"), 3: (routing.QUARANTINE, None), 4: (routing.QUARANTINE, None)}
+    calls = spark.createDataFrame([(1, "gpt-4o-mini", 1000), (2, "gpt-4o", 333), (3, "free", 9), (4, None, 9), (5, "gpt-4o", None)], "id INT, model STRING, tokens BIGINT")
+    prices = spark.createDataFrame([(m, *pair) for m, pair in N.PRICES.items()], "model STRING, price_in DECIMAL(12,6), price_out DECIMAL(12,6)")
+    listed = {r["id"]: r["cost_usd"] for r in accounting.price_calls(calls).collect()}
+    assert {r["id"]: r["cost_usd"] for r in accounting.price_calls(calls, prices=prices, spread=["id"]).collect()} == listed
+
+
+def test_judge_sees_what_the_mode_allows(spark):
+    rows = [
+        ("e", "m", "expected", "c", "task", "out", "ref"), ("o", "m", "criteria_only", "c", "task", "out", "ref"),
+        ("x", "m", "execution", "c", "task", "out", "ref"), ("b", "m", "expected", "c", "task", " \t", "ref"),
+        ("n", "m", "expected", "", "task", "out", "ref"), ("u", "m", None, "c", "task", "out", None),
+    ]
+    answers = spark.createDataFrame(rows, "task_id STRING, model STRING, scoring_mode STRING, criteria STRING, description STRING, output STRING, expected_output STRING")
+    got = {r["task_id"]: r for r in scoring.judge_inputs(answers).collect()}
+    assert set(got) == {"e", "o", "u"}
+    assert got["e"]["expected_output"] == "ref" and got["o"]["expected_output"] is None and got["e"]["input"] == "task"
+    gated = scoring.judge_gate(answers, output=F.col("output"), criteria=F.col("criteria"), raw_score=F.lit(0.7), mode=F.col("scoring_mode"))
+    scores = {r["task_id"]: (r["score"], r["judge_reason"]) for r in gated.collect()}
+    assert scores["x"] == (None, None) and scores["b"] == (0.0, "no output") and scores["n"] == (None, "no criteria") and scores["o"] == (0.7, None)

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 from datetime import datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,6 +244,56 @@ def test_failed_second_call_takes_time(spark, folder):
     assert got["T6"]["score_method"] == "heuristic (keyword match)"
 
 
+def test_second_model_has_its_own_prompt(spark, folder):
+    """Prompts by tier, a judge that is shown what the mode allows, criteria scored by their terms."""
+    seen = []
+
+    def replies(prompts):
+        seen.extend((r["model"], r["prompt"]) for r in prompts.collect())
+        return prompts.select(
+            "prompt_sha", "model", F.lit("pack first, then carry the boxes out").alias("output"), F.lit(10).cast("bigint").alias("tokens"),
+            F.lit(0.5).alias("latency_s"), F.lit(None).cast("string").alias("error"))
+
+    shown = []
+
+    def judge(cases):
+        shown.extend(cases.collect())
+        return cases.select("task_id", "model", F.lit(0.3).alias("raw_score"), F.lit("thin").alias("reason"))
+
+    with_criteria = bank(spark).withColumn("criteria", F.coalesce("criteria", F.when(F.col("task_id") == "T6", F.lit("has steps"))))
+    got = {r["task_id"]: r for r in evaluate(with_criteria, found_files(spark, folder), answer=replies, escalate=replies, judge=judge).collect()}
+    first = {p for m, p in seen if m == "qwen2.5:3b"}
+    second = {p for m, p in seen if m == "gpt-4o-mini"}
+    assert first and second and not first & second
+    assert any("smaller model" in p and "List the errors" in p and "relay refused" in p for p in second)
+    assert any("without explanation" in p and "Write a sorter" in p for p in second) and not any("smaller model" in p for p in first)
+    assert got["T1"]["score"] == 0.3 and got["T1"]["judge_reason"] == "thin" and got["T1"]["escalated"]
+    modes = {(r["task_id"], r["expected_output"]) for r in shown}
+    assert ("T1", "relay refused twice") in modes and ("T6", None) in modes and not any(i in ("T4", "T5") for i, _ in modes)
+    terms = spark.createDataFrame([("T6", ["pack", "carry", "sweep", "boxes"])], "key STRING, terms ARRAY<STRING>")
+    scored = evaluate(with_criteria, found_files(spark, folder), answer=replies, mode="local_only", criteria_terms=terms).collect()
+    plan = {r["task_id"]: r for r in scored}["T6"]
+    assert (plan["score"], plan["success"], plan["score_method"]) == (0.75, True, "judge (criteria_only)")
+
+
+def test_history_keeps_both_latencies(spark, tmp_path):
+    row = spark.createDataFrame([("t", 0.5, 2.25)], "task_id STRING, latency_s DOUBLE, total_latency_s DOUBLE")
+    full = row.withColumns({c: F.lit(None) for c in history.COLUMNS if c not in ("task_id", "latency_s", "run_time", "system", "model")})
+    tagged = history.tag_run(full, "s", "m")
+    history.append_results(tagged, str(tmp_path / "table"))
+    assert history.read_results(spark, str(tmp_path / "table")).first()["total_latency_s"] == 2.25
+    history.export_csv(tagged, str(tmp_path / "csv"))
+    assert history.read_history(spark, [str(tmp_path / "csv")]).first()["latency_s"] == 0.5
+    assert history.tag_run(full.drop("total_latency_s"), "s", "m").first()["total_latency_s"] == 0.5
+
+
+def test_inputs_are_listed_by_name(spark, folder):
+    (Path(folder) / "img" / "Y.JPeG").write_bytes(b"12")
+    (Path(folder) / "img" / "png").write_text("no extension")
+    got = {r["ref"]: r["text"] for r in files.read_inputs(spark, folder).collect()}
+    assert got["img/Y.JPeG"] == "data:image/jpeg;base64,MTI=" and got["img/png"] == "no extension" and len(got) == 5
+
+
 def test_history_layouts(spark, tmp_path):
     (tmp_path / "early").mkdir()
     (tmp_path / "now").mkdir()
