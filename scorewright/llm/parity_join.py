@@ -1,22 +1,15 @@
 """Jaccard self-join of shingle sets: candidates by a prefix filter, all kept ones verified.
 
-A set's sketch is a row of 2**44 words, nearly all of them empty. Every shingle picks a word by its
-hash and XORs its hash into it. With so many words nearly each one holds a single shingle and the XOR
-has nothing to fold: the candidate step is a prefix filter over shingle hashes in order of rarity. Two sets
-of a and b shingles whose intersection is at least t of the union
-share at least t / (1 + t) * (a + b) shingles, so at most a quarter (1 - t) of the one set's words
-differ, and any quarter and one more of its words hold a common one, as
-long as both sets choose in the same order. Each set hands out that many of its rarest words (rarity
+Two sets of a and b shingles whose intersection is at least t of the union
+share at least t / (1 + t) * (a + b) shingles, so at most a quarter (1 - t) of the one set's shingles
+differ, and any quarter and one more of them hold a common one, as
+long as both sets choose in the same order. Each set hands out the hashes of that many of its rarest shingles,
+called words below (rarity
 is counted over all documents in a histogram of fixed size; it is the order only, so any counts give
 whole results), and sets that share enough of them (``_needed``) are candidates. The words go by size
 band, the bands' bounds being powers of eight; a set whose partners may lie in the next band hands
 out its words there too.
 
-Where a shingle that only one set has falls on a word of the other, that word differs although its other
-shingle is common, and a pair exactly at the threshold may be missed. For two similar sets of n shingles the
-odds of any such word are about 2 / 7 * n * n / 2**44: below 1e-7 for 2,000 shingles, 6.5e-6 for 20,000, about
-1.6 per cent for 1,000,000.
-
 Candidates are held against each other by bit sketches next: the parities of the shingles in a few
 times as many cells as there are shingles. Each shingle that only one set has flips one cell, so the
 Hamming distance is at most the symmetric difference, which is at most (1 - t) / (1 + t) * (a + b) for
@@ -25,8 +18,10 @@ similar sets. Pairs that are too far apart are dropped without their texts.
 Candidates are not all paired. A bucket is the list of documents that share a word. First, and
 ``STARS`` times, each document is held against one that stands for the largest component of its
 buckets; the verified links are joined to components. Copies, in groups of any size, are then one
-component. After that only pairs of different components within a bucket are open, and all of those are verified, so no
-link between components is lost. Verification is on the whole shingle sets.
+component. What is left are documents outside of the largest component of a bucket. Where that one is a family of
+more than ``FAMILY`` members, they are held against all of it at once, by their deviations from what most members
+have in common (see ``families``). All other pairs of different components within a bucket are verified one
+by one, so no link between components is lost. Verification is on the whole shingle sets.
 
 A word that is in very many documents is spread over several tasks by document; see ``salt_at``.
 
@@ -48,8 +43,9 @@ from pyspark.sql import functions as F
 
 from scorewright.llm.common import map_arrow, utf8
 from scorewright.llm.components import components
+from scorewright.llm.families import family_links
 from scorewright.llm.shingles import mix, shingle_set, similar
-from scorewright.scale import fits_broadcast, materialize
+from scorewright.scale import fits_broadcast, lookup_join, materialize
 
 SIZE = 5
 PERCENT = 75
@@ -60,29 +56,27 @@ GROUPS_PER_PARTITION = 8
 SALT_AT = 4_000_000
 STARS = 2
 SETS_KEPT = 500
+#: Members from which on a component is no longer held against others member by member.
+FAMILY = 16
 
 BAND = 8
-PLACE_BITS = 44
 SLICES = 64
 
 
 def sketch(hashes: np.ndarray, percent: int) -> tuple[list[np.ndarray], int, int]:
-    """The words of a set that are not empty, as keys for each of its bands, and how many to hand out.
+    """The words of a set, as keys for each of its bands, and how many to hand out.
 
     The last number is how many of those are enough towards partners that are not smaller.
     """
     n = len(hashes)
     if not n:
         return [], 0, 0
-    place = hashes >> np.uint64(64 - PLACE_BITS)  # ascending, as the hashes are
-    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    words = hashes if len(first) == n else np.bitwise_xor.reduceat(hashes, first)
     top = BAND
     while top < n:
         top *= BAND
     bands = [top, top * BAND] if 100 * n // percent > top else [top]
     few = (100 - percent) * n // (100 + percent) + 1
-    return [mix(words + np.uint64(width)) for width in bands], (100 - percent) * n // 100 + 1, few
+    return [mix(hashes + np.uint64(width)) for width in bands], (100 - percent) * n // 100 + 1, few
 
 
 def _profile(size: int, percent: int, bits: int):
@@ -302,15 +296,20 @@ def _on_both(pairs: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
     return joined.select("a", "b", *[f"{name}_{side}" for name in names for side in ("a", "b")])
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of the document ids, written to the shared folder."""
+    needed = materialize(ids.distinct(), "needed")
+    wanted = F.broadcast(needed) if fits_broadcast(needed) else needed
+    return materialize(docs.join(wanted, "doc_id", "left_semi"), "texts")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose shingle sets are similar; written to the shared folder.
 
     Pairs whose bit sketches differ in too many cells are dropped before any text is joined to them.
     """
     pairs = materialize(pairs, "pairs")
-    needed = materialize(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "needed")
-    wanted = F.broadcast(needed) if fits_broadcast(needed) else needed
-    texts = materialize(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    texts = _texts_of(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")))
     sketches = materialize(map_arrow(texts, _sketches(size), "doc_id bigint, n bigint, bits binary"), "sketches")
     close = map_arrow(_on_both(pairs, sketches, ["n", "bits"]), _close(percent), "a bigint, b bigint")
     close = materialize(close.distinct(), "close")
@@ -369,23 +368,39 @@ def _star_pairs(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select((-F.col("best.minus")).alias("a"), "b")
 
 
-def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """All pairs in different components that share a word which the smaller set has marked as rare.
+def _open_pairs(mixed: DataFrame, labels: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that share a word which the smaller set has marked as rare.
 
     Of two similar sets, at most a seventh (1 - t) / (1 + t) of the smaller one's words differ, so fewer
     of its words are enough. In a bucket, the members outside its largest component are held against
-    all others, so a large component is not paired with itself.
+    all others; not against those inside where that was one of the ``families``, since what links they have
+    to these is settled. ``labels`` are the components by now.
     """
-    few = mixed.where("label <> largest").select("bucket", F.col("own").alias("x"), F.col("label").alias("lx"), F.col("rare").alias("rx"))
-    many = mixed.select("bucket", F.col("own").alias("y"), F.col("label").alias("ly"), F.col("rare").alias("ry"), "largest")
-    once = (F.col("ly") == F.col("largest")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    now = labels.select(F.col("node"), F.col("label").alias("by_now"))
+    settled = families.select(F.col("family").alias("largest"), F.lit(True).alias("settled"))
+    marked = mixed.join(settled, "largest", "left").join(now, F.col("own.doc_id") == F.col("node"), "left")
+    marked = marked.withColumn("now", F.coalesce("by_now", "own.doc_id"))
+    few = marked.where("label <> largest").select("bucket", F.col("own").alias("x"), F.col("now").alias("lx"), F.col("rare").alias("rx"))
+    many = marked.where("label <> largest OR settled IS NULL").select(
+        "bucket", F.col("own").alias("y"), F.col("now").alias("ly"), F.col("rare").alias("ry"), (F.col("label") == F.col("largest")).alias("inside")
+    )
+    once = F.col("inside") | (F.col("x.doc_id") < F.col("y.doc_id"))
     smaller = F.struct("x.most", "x.doc_id") < F.struct("y.most", "y.doc_id")
     plain = (F.col("x.least") == F.col("x.most")) & (F.col("y.least") == F.col("y.most"))
-    marked = F.when(plain, F.when(smaller, F.col("rx")).otherwise(F.col("ry"))).otherwise(F.lit(True))
-    met = few.join(many, "bucket").where((F.col("lx") != F.col("ly")) & once & marked & _can_link("x", "y", percent))
+    rare = F.when(plain, F.when(smaller, F.col("rx")).otherwise(F.col("ry"))).otherwise(F.lit(True))
+    met = few.join(many, "bucket").where((F.col("lx") != F.col("ly")) & once & rare & _can_link("x", "y", percent))
     return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
+def _families(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components to settle as a whole (family), and (family, doc_id, inside) of all documents that meet them."""
+    met = mixed.select(F.col("largest").alias("family"), F.col("own.doc_id").alias("doc_id"), (F.col("label") == F.col("largest")).alias("inside"))
+    members = materialize(met.distinct(), "met")
+    sizes = members.groupBy("family").agg(F.count_if("inside").alias("n")).where(F.col("n") > FAMILY).select("family")
+    families = materialize(sizes, "families")
+    return families, lookup_join(members, families, ["family"], spread=["doc_id"], how="left_semi", stored=True)
+
+
 def join_near(
     docs: DataFrame,
     *,
@@ -433,7 +448,12 @@ def join_near(
         found = verified(named, _star_pairs(_open_buckets(buckets, labels), turn, percent), size, percent)
         links = found if links is None else links.unionAll(found)
         labels = components(links)
-    links = links.unionAll(verified(named, _open_pairs(_open_buckets(buckets, labels), percent), size, percent))
+    mixed = _open_buckets(buckets, labels)
+    families, members = _families(mixed)
+    of_families = _texts_of(named, members.select("doc_id"))
+    links = links.unionAll(materialize(family_links(members, of_families, size=size, percent=percent), "settled"))
+    by_now = materialize(components(links), "labels")
+    links = links.unionAll(verified(named, _open_pairs(mixed, by_now, families, percent), size, percent))
     labels = components(links)
     return (
         rows.join(labels, rows["doc_id"] == labels["node"], "left").select(
