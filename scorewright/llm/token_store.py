@@ -21,8 +21,10 @@ text longer than ``segment`` ids makes one longer segment. Extra columns are ign
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +46,34 @@ SEGMENT = (
     "part int, seq int, start bigint, doc_ids array<bigint>, doc_sizes array<bigint>, block int, planes int, "
     "lengths array<int>, chunks binary"
 )
+#: Bytes of text whose unseen words are encoded in one call.
+TEXT_BYTES = 1 << 22
 TAIL = b".,!?;:*$%#&|-_()[]{}<>/\\@+=~^\"`"
 
 
+def _plain_letters() -> frozenset[bytes]:
+    """Two-byte letters that are one letter before and after composition and lower-casing."""
+    kept = []
+    for letter in map(chr, range(0x80, 0x250)):
+        lowered = unicodedata.normalize("NFC", letter).lower()
+        if letter.isalpha() and unicodedata.normalize("NFC", letter) == letter and len(lowered) == 1 and lowered.isalpha():
+            kept.append(letter.encode())
+    return frozenset(kept)
+
+
+PLAIN = _plain_letters()
+
+
 class WordIds(dict):
     """Ids of words between ASCII white space, as little-endian 32-bit integers.
 
-    The vocabulary splits at white space, so a text's ids are those of its words in order. A word of
-    a letter core and an ASCII punctuation tail is split there too, so both parts are kept apart.
-    Holds at most ``CACHED_WORDS`` entries, then starts anew.
+    The vocabulary splits at white space, so a text's ids are those of its words in order. It also splits
+    between a letter and punctuation; where both are ASCII the word is taken apart there, and both parts are
+    kept. Behind other letters it is not: the tokenizer normalises first, and some letters then end in a mark, which
+    goes with the punctuation. Only letters of ``PLAIN``, which stay letters, count as ASCII ones do.
+
+    Words not met before are encoded together, those of many texts in one call. Holds about
+    ``CACHED_WORDS`` entries, then starts anew.
     """
 
     def __init__(self, vocabulary: str):
@@ -61,34 +82,50 @@ class WordIds(dict):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(vocabulary)
 
-    def _encode(self, word: bytes) -> bytes:
-        ids = self._tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _part(self, word: bytes) -> bytes:
-        found = self.get(word)
-        if found is None:
-            found = self[word] = self._encode(word)
-        return found
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
         core = word.rstrip(TAIL)
+        tail = word[len(core) :]
         if core.isalpha():
-            lowered = core.lower()
-            found = self._part(lowered)
-            if len(core) < len(word):
-                found = found + self._part(word[len(core) :])
-        elif core and len(core) < len(word) and core.decode()[-1].isalpha() and b"<" not in word:
-            found = self._part(core) + self._part(word[len(core) :])
-        else:
-            found = self._encode(word)
-        self[word] = found
-        return found
-
-    def text(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+            return (core.lower(), tail) if tail else (core.lower(),)
+        if core and tail and b"<" not in word and (core[-1:].isalpha() or core[-2:] in PLAIN):
+            return core, tail
+        return (word,)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode words that are not held yet."""
+        if len(self) + len(words) > CACHED_WORDS:
+            self.clear()
+        parts = {word: self._parts(word) for word in words}
+        unseen = list({part for held in parts.values() for part in held if part not in self})
+        found = self._tokenizer.encode_batch_fast([part.decode() for part in unseen], add_special_tokens=False)
+        ids = [one.ids for one in found]
+        run = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = list(accumulate((4 * len(one) for one in ids)))
+        for part, start, stop in zip(unseen, [0, *ends], ends):
+            self[part] = run[start:stop]
+        for word, held in parts.items():
+            self[word] = b"".join(map(self.__getitem__, held))
+
+    def texts(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text, in order, a few megabytes of text at a time."""
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TEXT_BYTES):
+                size += len(texts[stop])
+                stop += 1
+            split = [text.split() for text in texts[at:stop]]
+            held = [list(map(self.get, words)) for words in split]
+            unseen = {word for words, ids in zip(split, held) if None in ids for word, one in zip(words, ids) if one is None}
+            if unseen:
+                self.learn(unseen)
+            for words, ids in zip(split, held):
+                if None in ids:
+                    # Learning may have emptied the cache of words found before.
+                    ids = [self.get(word) if one is None else one for word, one in zip(words, ids)]
+                yield b"".join(ids)
+            at = stop
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -165,8 +202,9 @@ def _segments(vocabulary: str, end_id: int, block: int, segment: int, kind: str)
 
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                ids = ids_of.text(text or b"") + end
+            texts = [text or b"" for text in utf8(batch.column(1))]
+            for doc_id, found in zip(batch.column(0).to_pylist(), ids_of.texts(texts)):
+                ids = found + end
                 held.append(ids)
                 doc_ids.append(doc_id)
                 sizes.append(len(ids) // 4)
