@@ -5,11 +5,13 @@ Base spans come from patterns alone: ``assign`` (a value given to a password-lik
 decode to has the structure they claim:
 
 * ``jwt``: three base64url parts, the first a JSON object with an ``alg`` text, the second a JSON object,
-* ``pem``: a key block between BEGIN and END lines whose base64 body is nested DER; line ends and signs
+* ``pem``: a key block between BEGIN and END lines whose base64 body is a private key as below; line ends and signs
   may be escaped as in JSON texts,
-* ``der``: base64 (40 characters or more) or hexadecimal (80 or more, in any case) that decodes to a DER sequence
-  of a key: an integer or a sequence first, all nested lengths filling their frames exactly,
-* ``openssh``: base64 of an OpenSSH private key or of a length-prefixed public key.
+* ``der``: base64 or base64url (40 characters or more, also cut into lines) or hexadecimal (80 or more, in any case) that
+  decodes to a private key: one of the sequences of ``private_der``, all nested lengths filling their frames exactly,
+* ``openssh``: base64, also cut into lines, of an OpenSSH private key, whose fields are read to the end.
+
+Certificates and public keys have other structures and are no secrets; they are not reported.
 
 Rows: one output row per input row; a null text has no spans. Patterns are tried on the whole text;
 spans of one kind do not overlap, those of different kinds may. Positions are code points, end
@@ -52,7 +54,12 @@ NAMED = ("password", "passwd", "secret", "token", "api")
 
 
 MAGIC = b"openssh-key-v1\0"
-PUBLIC = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
+#: The same in base64, less the last character, which depends on what follows.
+MAGIC_CODED = "b3BlbnNzaC1rZXktdjEA"
+#: Where base64 goes on: the rest of a line, or a line end between two lines.
+LINE = re.compile(r"[A-Za-z0-9+/]+")
+LINE_END = re.compile(r"[ \t]*(?:\r?\n|\\+r\\+n|\\+n)[ \t]*(?=[A-Za-z0-9+/=])")
+CODED_URL = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9_-]{40,}(?![A-Za-z0-9+/_-])={0,2}")
 
 
 def der_length(data: bytes, at: int) -> tuple[int, int] | None:
@@ -82,26 +89,89 @@ def nested(data: bytes, at: int, end: int, depth: int = 0) -> bool:
     return at == end
 
 
-def key_der(data: bytes) -> bool:
-    """A DER sequence over all of ``data`` that starts as keys do: version or algorithm first."""
+def children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    """Tag, start and end of each value in ``data[at:end]``, which is known to be nested well."""
+    found = []
+    while at < end:
+        start, stop = der_length(data, at + 1)
+        found.append((data[at], start, stop))
+        at = stop
+    return found
+
+
+def private_der(data: bytes) -> bool:
+    """A DER sequence over all of ``data`` with the fields of a private key, encrypted or not.
+
+    In tags: 2 is an integer, 4 an octet string, 6 an object identifier, 0x30 a sequence. A key begins with
+    version 0 or 1 (3 at most, later ones do not exist), then come
+
+    * integers alone: five numbers (DSA), or eight and possibly a sequence of more primes (RSA),
+    * a sequence that begins with an identifier, an octet string, attributes (PKCS 8),
+    * an octet string, curve and public key (elliptic curves).
+
+    An encrypted key is a sequence that begins with an identifier, and an octet string.
+    """
     if len(data) < 24 or data[0] != 0x30:
         return False
     found = der_length(data, 1)
-    if found is None or found[1] != len(data) or data[found[0]] not in (0x02, 0x30):
+    if found is None or found[1] != len(data) or not nested(data, *found):
         return False
-    return nested(data, *found)
+    fields = children(data, *found)
+    tags = [tag for tag, _, _ in fields]
 
+    def named(place: int) -> bool:
+        return tags[place] == 0x30 and [tag for tag, _, _ in children(data, *fields[place][1:])][:1] == [0x06]
 
-def key_ssh(data: bytes) -> bool:
-    """An OpenSSH private key, or a public key whose length-prefixed fields fill ``data``."""
-    if data.startswith(MAGIC):
-        return True
-    if not data[4:].startswith(PUBLIC):
+    if tags == [0x30, 0x04]:
+        return named(0) and fields[1][2] > fields[1][1]
+    if len(tags) < 3 or tags[0] != 0x02 or data[fields[0][1] : fields[0][2]] not in (b"\0", b"\1", b"\2", b"\3"):
         return False
-    at = 0
-    while at + 4 <= len(data):
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+    rest = tags[1:]
+    if rest[0] == 0x30:
+        return named(1) and rest[1] == 0x04 and set(rest[2:]) <= {0xA0, 0xA1, 0x81}
+    if rest[0] == 0x04:
+        return set(rest[1:]) <= {0xA0, 0xA1}
+    return rest == [0x02] * 5 or rest[:8] == [0x02] * 8 and rest[8:] in ([], [0x30])
+
+
+def private_ssh(data: bytes) -> int | None:
+    """Length of the OpenSSH private key at the start of ``data``, read field by field; None if there is none."""
+    if not data.startswith(MAGIC):
+        return None
+    at = len(MAGIC)
+
+    def field() -> bytes | None:
+        nonlocal at
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return None
+        at += 4 + size
+        return data[at - size : at]
+
+    cipher, derivation, options = field(), field(), field()
+    if not cipher or not derivation or options is None or not (cipher + derivation).isascii():
+        return None
+    plain = cipher == b"none"
+    if plain != (derivation == b"none") or plain == bool(options):
+        return None
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= 16:
+        return None
+    public = [field() for _ in range(keys)]
+    secret = field()
+    if secret is None or len(secret) % 8 or not all(public):
+        return None
+    if plain and (len(secret) < 16 or secret[:4] != secret[4:8] or not public[0].startswith(secret[8 : 12 + int.from_bytes(secret[8:12], "big")])):
+        return None  # two equal check numbers, then the key's kind, as in its public part
+    return at
+
+
+def private_key(data: bytes) -> str | None:
+    """What kind of private key fills ``data``."""
+    if private_der(data):
+        return "der"
+    return "openssh" if private_ssh(data) == len(data) else None
 
 
 def decoded(text: str, alphabet: bytes | None = None) -> bytes | None:
@@ -141,8 +211,8 @@ def _unescaped(match: re.Match) -> str:
     return chr(int(match[1], 16)) if match[1] else "/" if match[2] == "/" else " "
 
 
-def _coded(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of base64, less the letter of an escaped line end before them."""
+def _starts(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of runs of base64, less the letter of an escaped line end before them."""
     for m in CODED.finditer(text):
         start, end = m.span()
         yield start, end
@@ -150,28 +220,87 @@ def _coded(text: str) -> Iterator[tuple[int, int]]:
             yield start + 1, end
 
 
+def _lines(text: str, start: int) -> Iterator[tuple[str, int]]:
+    """Base64 from ``start`` on, line by line, each with the place behind it."""
+    while found := LINE.match(text, start):
+        yield found[0], found.end()
+        end = LINE_END.match(text, found.end())
+        if end is None:
+            return
+        start = end.end()
+
+
+def _wrapped(text: str, start: int) -> tuple[str, int] | None:
+    """Kind and end of the private key whose base64 begins at ``start`` and may go on over line ends.
+
+    How long it is follows from the key itself: from the first length of a DER sequence, or from all
+    fields of an OpenSSH key. It has to end where a run of base64 ends.
+    """
+    lines = _lines(text, start)
+    coded, places = "", []
+    size = None
+    is_ssh = text.startswith(MAGIC_CODED, start)
+    for line, end in lines:
+        places.append((len(coded), end - len(line), end))
+        coded += line
+        if not is_ssh and size is None:
+            head = decoded(coded[:12])
+            found = der_length(head, 1) if head and head[0] == 0x30 else None
+            if found is None:
+                return None
+            size = found[1]
+        if size is not None and 4 * size <= 3 * len(coded):
+            break
+    if is_ssh:
+        whole = decoded(coded[: len(coded) // 4 * 4]) or b""
+        whole += decoded(coded[len(coded) // 4 * 4 :]) or b""
+        size = private_ssh(whole)
+    if size is None:
+        return None
+    needed = -(-4 * size // 3)
+    if needed > len(coded):
+        return None
+    body = decoded(coded[:needed])
+    kind = private_key(body) if body is not None and len(body) == size else None
+    if kind is None:
+        return None
+    at, first, last = next(place for place in reversed(places) if place[0] < needed)
+    end = first + needed - at
+    if end != last:
+        return None
+    padding = -needed % 4
+    return kind, end + (padding if text[end : end + padding] == "=" * padding else 0)
+
+
 def confirmed_spans(text: str, hex_spans: list[Span]) -> list[Span]:
-    """Spans whose decoded content is a key or a signed token."""
+    """Spans whose decoded content is a private key or a signed token."""
     spans: list[Span] = []
     if "." in text:
         spans += [("jwt", *m.span()) for m in JWT.finditer(text) if _signed(m)]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
             body = decoded("".join(ESCAPED.sub(_unescaped, m[2]).split()))
-            if body is not None and (key_der(body) or key_ssh(body)):
+            if body is not None and private_key(body):
                 spans.append(("pem", *m.span()))
-    for start, end in _coded(text):
-        body = decoded(text[start:end])
-        if body is None:
+    upto = 0
+    for start, end in _starts(text):
+        if start < upto:
             continue
-        if key_der(body):
-            spans.append(("der", start, end))
-        elif key_ssh(body):
-            spans.append(("openssh", start, end))
+        found = _wrapped(text, start)
+        if found is not None:
+            spans.append((found[0], start, found[1]))
+            upto = found[1]
+    if "-" in text or "_" in text:
+        for m in CODED_URL.finditer(text):
+            if "-" in m[0] or "_" in m[0]:
+                body = decoded(m[0], b"-_")
+                kind = private_key(body) if body is not None else None
+                if kind:
+                    spans.append((kind, *m.span()))
     whole = [m.span() for m in HEX_DATA.finditer(text)]
     lower = [(start, end) for _, start, end in hex_spans if end - start >= 80]  # inside longer runs, too
     for start, end in dict.fromkeys(whole + lower):
-        if (end - start) % 2 == 0 and key_der(bytes.fromhex(text[start:end])):
+        if (end - start) % 2 == 0 and private_der(bytes.fromhex(text[start:end])):
             spans.append(("der", start, end))
     return spans
 

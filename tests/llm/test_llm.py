@@ -318,7 +318,8 @@ def test_toxicity_without_labels(edges):
 
 
 def der(n):
-    body = b"\x02\x01\x00\x02\x20" + bytes(range(1, 33)) + b"\x04" + bytes([n]) + bytes(n)
+    """An elliptic-curve key of ``n`` bytes, with a public part."""
+    body = b"\x02\x01\x01\x04" + bytes([n]) + bytes(n) + b"\xa1\x22\x03\x20" + bytes(range(1, 33))
     return b"\x30" + bytes([len(body)]) + body
 
 
