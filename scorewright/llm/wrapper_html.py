@@ -12,7 +12,8 @@ headings beside the path are kept and ``article`` elements beside a heavier elem
 and ``main`` by their names decide only where no element holds nearly all, or where most of the page's text
 lies at paths of fewer than ``LEAST_PAGES`` pages. Left out are regions of other use (by tag, role, class or id:
 menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments),
-blocks of links, and the template's texts. What is left is put together block by block.
+blocks of links outside of ``article`` and ``main``, and the template's texts. A class or id counts only if all of its
+words are known. What is left is put together block by block.
 
 The wrappers are joined to the pages by host: broadcast if they are few, else with hot hosts spread.
 
@@ -74,15 +75,35 @@ MAIN = ("article", "main")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # What regions of other use are called.
 OTHER_TAGS = frozenset(
-    "nav footer aside form button select menu dialog head svg canvas object audio video label fieldset".split()
+    "nav footer aside form button select menu dialog head svg canvas object audio video fieldset".split()
 )
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|side|footer|header|masthead|topbar|toolbar|ad|ads|advert|advertisement|"
-    r"adverts|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|comment|comments|"
-    r"commentlist|respond|disqus|replies|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe|"
-    r"popup|modal|overlay|widget|login|signup|search|pager|pagination|skip|copyright)s?(?=$|[\s_-])"
+OTHER_NAMES = frozenset(
+    "nav navbar navigation menu menubar sidebar side footer header masthead topbar toolbar ad ads advert advertisement "
+    "adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert comment comments "
+    "commentlist respond disqus replies share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe "
+    "popup modal overlay widget login signup search pager pagination skip copyright".split()
 )
+# Words that go with those without changing what they say.
+BESIDE_NAMES = frozenset(
+    "site page main top bottom left right first last inner outer primary secondary global local list item items box bar block "
+    "container wrapper wrap section area zone region column col row content text link links button buttons icon icons form "
+    "post posts article articles entry story stories blog reader readers user more header title small large mobile desktop "
+    "fixed sticky slot unit cell group panel pane body js ui is has the of to and in for".split()
+)
+
+
+def of_other_names(names: str) -> bool:
+    """Do class and id name a use other than the main text?
+
+    A name does if all its words are known and one of them says so: ``cookie-notice`` and ``site-footer``, not
+    ``ad-hoc-networks`` or ``related-work``, in which a word that is not known makes another thing of it.
+    """
+    for name in names.split():
+        parts = [part.removesuffix("s") if part not in OTHER_NAMES and part not in BESIDE_NAMES else part for part in re.split(r"[_-]+", re.sub("[0-9]+", "", name)) if part]
+        if any(part in OTHER_NAMES for part in parts) and all(part in OTHER_NAMES or part in BESIDE_NAMES for part in parts):
+            return True
+    return False
 
 
 Path = tuple[str, ...]
@@ -158,7 +179,7 @@ def of_other_use(node: Node, inside: bool) -> bool:
         return True
     if node.tag == "header" and not inside:
         return True
-    return bool(node.names) and node.tag not in ("body", "html", "article", "main") and bool(OTHER_NAMES.search(node.names))
+    return bool(node.names) and node.tag not in ("body", "html", "article", "main") and of_other_names(node.names)
 
 
 def _sizes(node: Node) -> tuple[int, int, int]:
@@ -195,7 +216,7 @@ def blocks(root: Node, inside: bool) -> list[tuple[Path, str]]:
                     walk(child, path, inside)
                     continue
                 flush(path)
-                if child.tag in ("ul", "ol", "div", "section", "table"):
+                if not inside and child.tag in ("ul", "ol", "div", "section", "table"):
                     chars, linked, links = _sizes(child)
                     if links >= 3 and linked >= LINKED * chars:
                         continue

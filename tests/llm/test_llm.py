@@ -254,6 +254,50 @@ def test_pages_give_back_their_documents(spark):
     assert sum(body in texts for body in bodies) > 0.95 * len(bodies)
 
 
+NAMED = ["ad-hoc-networks", "social-policy", "share-price", "search-engines-explained", "side-effects", "notice-period", "login-howto"]
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_names_do_not_beat_the_text(spark, name):
+    """A class that sounds like another use on the element with the main text, on all pages of a host or on one page alone."""
+
+    def page(k):
+        return (
+            f"<body><div class='site-header'>Our site</div><div class='{name}'><h1>Title {k}</h1><p>{STORY.format(k)}</p><p>End {k}</p></div>"
+            f"<div class='cookie-notice'>We use cookies</div><div class='comments-area'>{'<p>I liked it a lot, and more than that</p>' * 9}</div>"
+            "<div class='page-footer'>Bye</div></body>"
+        )
+
+    want = [f"Title {k}\n{STORY.format(k)}\nEnd {k}" for k in range(8)]
+    assert texts_of(spark, [page(k) for k in range(8)]) == want and texts_of(spark, [page(3)]) == want[3:4]
+
+
+def test_parts_of_an_article(spark):
+    """Sections with names of their own, sources as a list of links, inline labels; not the menus around it."""
+
+    def page(k):
+        links = "".join(f"<li><a href='/s{j}'>Source {k + j} of it</a></li>" for j in range(4))
+        menu = "".join(f"<li><a href='/{j}'>Go {j}</a></li>" for j in range(4))
+        return (
+            f"<body><ul>{menu}</ul><article><h1>Title {k}</h1><p>{STORY.format(k)} <label>so it says {k}</label></p>"
+            f"<section class='related-work'><p>Work {k} before it</p></section><ul>{links}</ul>"
+            f"<div class='share-buttons'>Tell others</div></article><nav>Menu</nav></body>"
+        )
+
+    sources = lambda k: "\n".join(f"Source {k + j} of it" for j in range(4))
+    assert texts_of(spark, [page(k) for k in range(6)]) == [
+        f"Title {k}\n{STORY.format(k)} so it says {k}\nWork {k} before it\n{sources(k)}" for k in range(6)
+    ]
+
+
+def test_pages_without_rows_and_with_more_columns(spark):
+    schema = "page_id bigint, url string, html string, host string, wrapper int, text string"
+    assert wrapper_html.main_texts(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, None, None, "h", 1, "t"), (None, "x", "", "h", 1, "t"), (1, "https://a/b", "<p>Hi</p>", None, None, None), (1, "https://a/b", "<p>Hi</p>", None, None, None)]
+    found = wrapper_html.main_texts(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.text, r.n_chars) for r in found) == [("", 0), ("", 0), ("Hi", 2), ("Hi", 2)]
+
+
 STORY = "Story {0} begins on a cold morning near river {0} and goes on for a good while until evening {0}"
 
 
