@@ -7,6 +7,7 @@ of its known sentences, and rules are matched against it in order: a rule is a l
 sequence of identifiers that names it. What a rule matches is taken out before the next rule, so the
 rules of longer sequences come first. A licence is found if either cut finds it. The normal form has no
 ``+``, so the old SPDX names GPL-2.0 and GPL-2.0+ (and so on) are one sentence, and are not in the table.
+Numbers of a list are no sentences; they may stand between those of a rule.
 
 All of it are expressions of one row, with no shuffle; the table of sentences and the rules are
 bounded by ``MOST_SENTENCES`` and ``MOST_RULES``, since they are part of the plan.
@@ -38,6 +39,15 @@ SENTENCES: dict[str, str] = {
     "apache_use": "you may not use this file except in compliance with the License",
     "apache_copy": "You may obtain a copy of the License at",
     "apache_place": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache_title": "Apache License",
+    "apache_dated": "Version 2.0, January 2004",
+    "gpl_title": "GNU GENERAL PUBLIC LICENSE",
+    "lgpl_title": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "agpl_title": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "gnu3_dated": "Version 3, 29 June 2007",
+    "gnu2_dated": "Version 2, June 1991",
+    "lgpl21_dated": "Version 2.1, February 1999",
+    "agpl3_dated": "Version 3, 19 November 2007",
     "as_is_unless": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
     "mit_short": "Released under the MIT License",
     "mit_under": "Licensed under the MIT License",
@@ -47,9 +57,6 @@ SENTENCES: dict[str, str] = {
     "mit_notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mit_warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
     "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "bsd_list": "1",
-    "bsd_second": "2",
-    "bsd_third": "3",
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd_names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
@@ -92,8 +99,8 @@ SENTENCES: dict[str, str] = {
 
 # Licences that one sentence of their own names.
 ONE_SENTENCE: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Released under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "This project is licensed under the Apache License 2.0"),
-    "MIT": ("This project is licensed under the MIT License", "This work is licensed under the MIT License", "Licensed under MIT"),
+    "Apache-2.0": ("Released under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "This project is licensed under the Apache License 2.0", "Licensed under the Apache License, Version 2.0 (see LICENSE)", "This code is released under the Apache License, Version 2.0"),
+    "MIT": ("This project is licensed under the MIT License", "This work is licensed under the MIT License", "Licensed under MIT", "Licensed under the MIT License (see LICENSE)", "This code is released under the MIT License"),
     "BSD": ("Licensed under the BSD License",),
     "BSD-2-Clause": ("Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License"),
@@ -103,11 +110,13 @@ ONE_SENTENCE: dict[str, tuple[str, ...]] = {
     "LGPL-2.1-only": ("Licensed under the GNU Lesser General Public License, version 2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
     "LGPL-3.0-only": ("Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"),
     "AGPL-3.0-only": ("Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"),
-    "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0", "Licensed under the Mozilla Public License 2.0", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "EPL-2.0": ("Eclipse Public License - v 2.0", "SPDX-License-Identifier: EPL-2.0"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "SPDX-License-Identifier: BSL-1.0"),
     "CC0-1.0": ("Licensed under CC0 1.0", "CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
     **{name: (f"SPDX-License-Identifier: {name}",) for name in (
         "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later",
-        "AGPL-3.0-or-later", "Unlicense", "EPL-2.0", "BSL-1.0", "Zlib",
+        "AGPL-3.0-or-later", "Unlicense", "Zlib",
     )},
 }
 
@@ -146,10 +155,14 @@ SENTENCES |= {name: form for name, (_, form) in _SINGLE.items()}
 
 # Licences and the sentence sequences that name them, the longer ones first.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("BSD-3-Clause", ("bsd_grant", "bsd_list", "bsd_source", "bsd_second", "bsd_binary", "bsd_third", "bsd_names")),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")),
+    ("Apache-2.0", ("apache_title", "apache_dated")),
+    ("GPL-3.0-only", ("gpl_title", "gnu3_dated")),
+    ("GPL-2.0-only", ("gpl_title", "gnu2_dated")),
+    ("LGPL-3.0-only", ("lgpl_title", "gnu3_dated")),
+    ("LGPL-2.1-only", ("lgpl_title", "lgpl21_dated")),
+    ("AGPL-3.0-only", ("agpl_title", "agpl3_dated")),
     ("Apache-2.0", ("apache_head", "apache_use", "apache_copy", "apache_place", "as_is_unless")),
-    ("BSD-2-Clause", ("bsd_grant", "bsd_list", "bsd_source", "bsd_second", "bsd_binary")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("GPL-2.0-or-later", ("gpl2_free", "gpl2_or_later", "gpl2_version")),
     ("GPL-3.0-or-later", ("gpl2_free", "gpl2_or_later", "gpl3_version")),

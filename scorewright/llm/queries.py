@@ -220,34 +220,36 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """The rules as a chain of columns: what is left of the sequence, and whether the rule matched."""
+    """The rules as a list, folded over the sequence: what is left of it, and the licences found."""
 
     def text(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
 
     forms = {license_scan.normal(sentence): name for name, sentence in license_scan.SENTENCES.items()}
     pairs = ", ".join(f"{text(form)}: {text(name)}" for form, name in forms.items())
+    rules = ", ".join(
+        "{'rest': '', 'part': " + text("|" + "||".join(part) + "|") + ", 'found': [" + text(licence) + "]}"
+        for licence, part in license_scan.RULES
+    )
 
     def names(cut: str) -> str:
         lowered = "translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
         form = f"trim(regexp_replace({lowered}, '[^a-z0-9]+', ' ', 'g'))"
-        return f"list_filter(list_transform(regexp_split_to_array(t, {text(cut)}), lambda part: MAP {{{pairs}}}[{form}]), lambda x: x IS NOT NULL)"
-
-    chain, hits = [], []
-    for side in "ab":
-        chain.append(f"'|' || array_to_string(list_transform({side}, lambda x: x || '|'), '|') AS {side}0")
-        for k, (licence, part) in enumerate(license_scan.RULES):
-            rule = text("|" + "||".join(part) + "|")
-            chain.append(f"CASE WHEN contains({side}{k}, {rule}) THEN {text(licence)} END AS f{side}{k}")
-            chain.append(f"replace({side}{k}, {rule}, '|*|') AS {side}{k + 1}")
-            hits.append(f"f{side}{k}")
+        return f"list_filter(list_transform(regexp_split_to_array(t, {text(cut)}), lambda part: forms[{form}]), lambda x: x IS NOT NULL)"
+
+    def found(side: str) -> str:
+        start = "{'rest': '|' || array_to_string(list_transform(" + side + ", lambda x: x || '|'), '|'), 'part': '', 'found': []::VARCHAR[]}"
+        step = "{'rest': replace(s.rest, rule.part, '|*|'), 'part': '', 'found': list_concat(s.found, rule.found)}"
+        return f"list_reduce(list_concat([{start}], rules), lambda s, rule: CASE WHEN contains(s.rest, rule.part) THEN {step} ELSE s END).found"
+
     return f"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-known AS (SELECT doc_id, {names(license_scan.LINES)} AS a, {names(license_scan.PARAGRAPHS)} AS b FROM docs),
-chain AS (SELECT doc_id, a, {", ".join(chain)} FROM known)
+WITH fixed AS (SELECT MAP {{{pairs}}} AS forms, [{rules}] AS rules),
+known AS (
+  SELECT doc_id, {names(license_scan.LINES)} AS a, {names(license_scan.PARAGRAPHS)} AS b, rules
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), fixed)
 SELECT doc_id, len(a)::BIGINT AS n_sentences,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{", ".join(hits)}], lambda x: x IS NOT NULL))), ','), '') AS licenses
-FROM chain
+  CASE WHEN len(a) + len(b) = 0 THEN '' ELSE coalesce(array_to_string(list_sort(list_distinct(list_concat({found("a")}, {found("b")}))), ','), '') END AS licenses
+FROM known
 """
 
 

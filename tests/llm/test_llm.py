@@ -404,6 +404,30 @@ def test_secret_digest(edges):
     assert found[1].base_sha256 == hashlib.sha256(b"").hexdigest() and found[1].spans == ""
 
 
+def test_licence_heads_and_lists(spark):
+    texts = {
+        1: "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n",
+        2: "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright",
+        3: "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n",
+        4: "Licensed under the MIT license (see LICENSE).", 5: "This code is released under the MIT license.",
+        6: "1. milk\n2. eggs\n3. flour\n1. again", 7: "Version 3, 29 June 2007 was a good day",
+        8: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+           "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation"
+           " and/or other materials provided with the distribution.\n",
+        9: "", 10: None, 11: "MIT License. " * 20_000,
+    }
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()] + [(None, "MIT License", "x", 1), (4, texts[4], "x", 1)], "doc_id bigint, text string, licenses string, a int")
+    rows = license_scan.scan_licenses(docs).collect()
+    found = {r.doc_id: (r.n_sentences, r.licenses) for r in rows}
+    assert len(rows) == len(texts) + 2
+    assert {i: r[1] for i, r in found.items() if r[1]} == {
+        1: ["Apache-2.0"], 2: ["GPL-3.0-only"], 3: ["LGPL-2.1-only"], 4: ["MIT"], 5: ["MIT"], 8: ["BSD-2-Clause"]
+    }
+    assert found[6][0] == found[7][0] == found[9][0] == found[10][0] == 0 and found[8][0] == 3 and found[11][0] == 20_000
+    assert license_scan.scan_licenses(docs.limit(0)).count() == 0
+
+
 # Token store
 
 
