@@ -13,10 +13,10 @@ hold. Any B gives the same links, a good one gives them with little work:
 
 1. A set outside whose slack and the least slack inside add up to zero or less is linked to that member for
    certain, whatever they share.
-2. Any other needs a number of shared deviations that is known from its own slack and the least inside. Only
-   deviations that some member has can be shared; a set with fewer of them than it needs has no link. Else
-   one of its rarest ones, all but as many as it needs and one, must be shared (prefix filter), and members
-   that share one of these are counted out exactly.
+2. Any other needs a number of shared deviations that is known from its own slack and the least inside, and so does
+   a member from its slack and the least outside. Only deviations that occur on both sides can be shared; a set with
+   fewer of them than it needs has no link. Else the rarest shared one is among all but as many as it needs and one of
+   either, in order of rarity (prefix filter on both sides), and pairs that meet there are counted out exactly.
 
 Members of near copies deviate in few shingles and hardly ever in the same ones, so a set outside meets few of
 them, where plain verification would have to hold it against every single one.
@@ -70,8 +70,24 @@ def _deviations(size: int, percent: int):
     return run
 
 
+def _enough(rows: DataFrame, label: str) -> DataFrame:
+    """Rows (one per set and shingle) of sets that have as many as they need, stored."""
+    rows = materialize(rows, label)
+    held = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.max("needs").alias("least")).where("n >= least")
+    return rows.join(held.select("row", "n"), "row")
+
+
+def _prefix(rows: DataFrame, uses: DataFrame, label: str) -> DataFrame:
+    """Of each set its rarest shingles in ``uses``, all but as many as it needs and one."""
+    met = lookup_join(rows.drop("n"), uses, ["family", "shingle"], spread=["row"], how="inner", stored=True)
+    by_rarity = Window.partitionBy("row").orderBy("uses", "shingle")
+    nth, n = F.row_number().over(by_rarity), F.count(F.lit(1)).over(Window.partitionBy("row"))
+    ranked = met.withColumns({"nth": nth, "all": n}).where("nth <= all - needs + 1")
+    return materialize(ranked.drop("nth", "all", "uses"), label)
+
+
 def family_links(members: DataFrame, texts: DataFrame, *, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between members and others: for each one outside, all it has to members, or a certain one.
+    """Links (a, b) between members and others: for each one outside, all it has to members, or a certain one alone.
 
     ``members`` has ``family``, ``doc_id`` and ``inside``, once per family and document; ``texts`` the texts of
     all these documents, several rows for one doc_id if it has several texts. Sets without shingles link
@@ -105,20 +121,20 @@ def family_links(members: DataFrame, texts: DataFrame, *, size: int, percent: in
     open_ = open_.where((F.col("needs") <= F.col("widest")) & (F.col("needs") <= F.size("deviations")))
     open_ = materialize(open_.withColumn("row", F.monotonically_increasing_id()), "outside")
 
+    # A member needs as many as the least slack outside asks of it.
+    least = open_.groupBy("family").agg(F.min("slack").alias("least"))
+    able = lookup_join(inside, least, ["family"], spread=["doc_id"], how="inner")
+    able = able.withColumn("needs", F.greatest(F.ceil((F.col("slack") + F.col("least")) / F.lit(unit)), F.lit(1)).cast("int"))
+    able = able.where(F.col("needs") <= F.size("deviations")).withColumn("row", F.monotonically_increasing_id())
     asked = open_.select("family", "row", "doc_id", "needs", F.explode("deviations").alias("shingle"))
+    offered = able.select("family", "row", "doc_id", "needs", F.explode("deviations").alias("shingle"))
     wanted = asked.select("family", "shingle").distinct()
-    own = inside.select("family", "doc_id", "slack", F.explode("deviations").alias("shingle"))
-    known = materialize(lookup_join(own, wanted, ["family", "shingle"], spread=["doc_id"], how="left_semi"), "shared")
-    uses = known.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("uses"))
-    met = lookup_join(asked, uses, ["family", "shingle"], spread=["row"], how="inner")
-    by_rarity = Window.partitionBy("row").orderBy("uses", "shingle")
-    ranked = met.select(
-        "family", "row", "shingle", "needs", F.row_number().over(by_rarity).alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("row")).alias("all")
-    )
-    prefix = materialize(ranked.where("nth <= all - needs + 1").select("family", "row", "shingle"), "prefix")
-
-    reached = lookup_join(known.select("family", "shingle", "doc_id"), prefix, ["family", "shingle"], spread=["doc_id"], how="inner")
-    pairs = materialize(reached.select("family", "row", F.col("doc_id").alias("y")).distinct(), "reached")
+    offered = _enough(lookup_join(offered, wanted, ["family", "shingle"], spread=["row"], how="left_semi"), "offered")
+    uses = materialize(offered.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("uses")), "uses")
+    first = _prefix(asked, uses, "asked").select("family", "shingle", "row")
+    second = _prefix(offered, uses, "given").select("family", "shingle", F.col("doc_id").alias("y"))
+    reached = lookup_join(second, first, ["family", "shingle"], spread=["y"], how="inner", stored=True)
+    pairs = materialize(reached.select("family", "row", "y").distinct(), "reached")
     left = lookup_join(
         pairs, open_.select("row", F.col("doc_id").alias("x"), F.col("slack").alias("slack_x"), F.col("deviations").alias("one")), ["row"],
         spread=["y"], how="inner", may_broadcast=False,

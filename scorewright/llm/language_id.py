@@ -131,9 +131,12 @@ def _has_letter(text: bytes) -> bool:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns and text; the text goes) with lang_pred and score, the chance of the language."""
+    """``docs`` (any columns and text; the text goes) with lang_pred and score, the chance of the language.
+
+    Columns of these two names are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [name for name in docs.columns if name != "text"]
+    others = [name for name in docs.columns if name not in ("text", *NAMES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

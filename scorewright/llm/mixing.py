@@ -30,6 +30,8 @@ from scorewright.scale import lookup_join, materialize
 MAX_EPOCHS = 3
 BINS = 4096
 SEED = 7
+ADDED = ("source_size", "target", "repeats", "taken")
+HELPERS = ("_order", "_bin", "_whole", "_want", "_cut", "_before", "_more", "_sum")
 
 
 def size_of(text: Column) -> Column:
@@ -79,8 +81,10 @@ def mix_sources(
     """``docs`` with size, source_size, target (of its source), repeats and taken (repeats * size).
 
     ``docs`` has doc_id, source and size. ``weights`` (source, weight) must name every source once;
-    without it the weights are those of ``ranked_weights``.
+    without it the weights are those of ``ranked_weights``. Columns of ``docs`` named like added ones are
+    replaced, those named like ``HELPERS`` go.
     """
+    docs = docs.drop(*ADDED, *HELPERS)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_order")
     rows = materialize(docs.select("*", key), "sized")
     rows = rows.withColumn("_bin", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))

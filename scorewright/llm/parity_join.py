@@ -16,7 +16,7 @@ Hamming distance is at most the symmetric difference, which is at most (1 - t) /
 similar sets. Pairs that are too far apart are dropped without their texts.
 
 Candidates are not all paired. A bucket is the list of documents that share a word. First, and
-``STARS`` times, each document is held against one that stands for the largest component of its
+``STARS`` times (once is enough), each document is held against one that stands for the largest component of its
 buckets; the verified links are joined to components. Copies, in groups of any size, are then one
 component. What is left are documents outside of the largest component of a bucket. Where that one is a family of
 more than ``FAMILY`` members, they are held against all of it at once, by their deviations from what most members
@@ -38,7 +38,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import map_arrow, utf8
@@ -54,7 +54,7 @@ RANKS_PER_DOUBLING = 6
 KEYS_PER_GROUP = 4_000_000
 GROUPS_PER_PARTITION = 8
 SALT_AT = 4_000_000
-STARS = 2
+STARS = 1
 SETS_KEPT = 500
 #: Members from which on a component is no longer held against others member by member.
 FAMILY = 16
@@ -412,8 +412,7 @@ def join_near(
 ) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, component_id), and the verified links (a, b) that join them.
 
-    Links are whole between components as they stood after the stars: enough to give the
-    components of all links. ``rarity_bits``: the histogram has that power of two of one-byte cells;
+    The links are enough to give the components of all links, but they are not all of them. ``rarity_bits``: the histogram has that power of two of one-byte cells;
     more of them tell more words apart in a larger corpus. ``salt_at``: uses of a sketch word from which on it is spread.
     """
     spark = docs.sparkSession
@@ -461,3 +460,26 @@ def join_near(
         ),
         links,
     )
+
+
+def first_of_groups(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (doc_id, text and any columns) with one row of each group of near duplicates: that of the smallest doc_id.
+
+    Rows that share a doc_id and a text are one document; those of unlike texts are one each, named by a hash
+    of both. Documents without words, and those without doc_id, are in no group and stay. Columns named like
+    those made on the way go.
+    """
+    docs = docs.drop("_hash", "_node", "_unlike", "_row", "component_id", "least")
+    columns = docs.columns
+    named = docs.where("doc_id IS NOT NULL").select("*", F.xxhash64("text").alias("_hash"))
+    sizes = named.groupBy("doc_id").agg((F.min("_hash") != F.max("_hash")).alias("_unlike"))
+    known = lookup_join(named, sizes.where("_unlike"), ["doc_id"], spread=["_hash"])
+    own = F.xxhash64("doc_id", "text")
+    keyed = known.withColumn("_node", F.when(F.col("_unlike"), own).otherwise(F.col("doc_id").cast("bigint")))
+    found = join_near(keyed.select(F.col("_node").alias("doc_id"), "text"), **options)[0]
+    groups = found.select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    members = keyed.select("_node", "doc_id", "_hash").distinct().join(groups, "_node")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", "_node")).alias("least"))
+    once = Window.partitionBy("_node").orderBy("_hash")
+    kept = keyed.join(first.select("least._node"), "_node").withColumn("_row", F.row_number().over(once)).where("_row = 1")
+    return kept.select(columns).unionByName(docs.where("doc_id IS NULL"))

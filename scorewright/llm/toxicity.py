@@ -39,6 +39,8 @@ MIN_DOCS = 5
 MIN_ODDS = 4.0
 NEAR = 3
 CACHED_WORDS = 1_000_000
+#: Names of columns made while scoring.
+USED = ("score", "predicted", "features", "_dense", "_chance", "_score", "rawPrediction", "probability", "prediction")
 TREES = 15
 DEPTH = 4
 
@@ -179,8 +181,9 @@ class Model:
         self.lexicon, self.trees, self.curve, self.rate = lexicon, trees, curve, rate
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` without its text, with ``score`` and ``predicted``."""
-        others = [name for name in docs.columns if name != "text"]
+        """``docs`` without its text, with ``score`` and ``predicted``; columns of names used on the way are replaced or go."""
+        others = [name for name in docs.columns if name not in ("text", *USED)]
+        docs = docs.select(*others, "text")
         if self.trees is None:
             scored = docs.select(*others, F.lit(self.rate).alias("score"))
         else:

@@ -92,17 +92,18 @@ def test_search_over_many_tasks(spark):
 @pytest.mark.parametrize("seed", range(4))
 def test_ball_bounds_hold_and_prune(seed):
     rng = np.random.default_rng(seed)
-    rows = (rng.random((500, 40)) < 0.15) * rng.integers(1, 10**10, (500, 40))
+    rows = (rng.random((500, 40)) < 0.15) * rng.integers(1, 10**6, (500, 40))
     rows[100:300] = rows[7]
-    asked = (rng.random((40, 9)) < 0.3).astype(float)
+    weights = rng.integers(0, 20_000, 40)
+    asked = (rng.random((40, 9)) < 0.3) * weights[:, None]
     tree = lexical_search.BallTree(rows, leaf=8)
     assert sorted(tree.order.tolist()) == list(range(500)) and (tree.rows == rows[tree.order]).all()
-    scores, bounds = tree.rows @ asked, tree.bounds(asked)
+    scores, bounds = tree.rows @ asked, tree.bounds(asked.astype(float))
     for (start, stop), bound in zip(tree.spans, bounds):
         assert (scores[start:stop].max(axis=0) <= bound).all()
     leaves = sum(children is None for children in tree.children)
     best = [lexical_search._Best(5, 1) for _ in range(9)]
-    opened = lexical_search._search_tree(tree, tree.order.tolist(), [np.flatnonzero(q) for q in asked.T], best)
+    opened = lexical_search._search_tree(tree, tree.order.tolist(), [np.flatnonzero(q) for q in asked.T], weights, best)
     assert 0 < opened < 9 * leaves
     for held, q in zip(best, asked.T):
         want = sorted((-int(s), i) for i, s in zip(tree.order.tolist(), tree.rows @ q) if s > 0)[:5]
