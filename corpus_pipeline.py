@@ -6,11 +6,11 @@ last one writes them as token ids and returns one row per stored document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm import decontaminate, mixing, parity_join, quality, queries, token_store
-from scorewright.scale import lookup_join, materialize
+from scorewright.scale import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,23 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group the document with the smallest doc_id, once.
-
-    Rows that share a doc_id and a text are one document; those of unlike texts are one each, named by a hash
-    of both. Documents without words, and those without doc_id, are in no group and stay.
-    """
-    named = docs.where("doc_id IS NOT NULL").select(*COLUMNS, F.xxhash64("text").alias("_hash"))
-    sizes = named.groupBy("doc_id").agg((F.min("_hash") != F.max("_hash")).alias("_unlike"))
-    known = lookup_join(named, sizes.where("_unlike"), ["doc_id"], spread=["_hash"])
-    own = F.xxhash64("doc_id", "text")
-    keyed = known.withColumn("_node", F.when(F.col("_unlike"), own).otherwise(F.col("doc_id").cast("bigint")))
-    found = parity_join.join_near(keyed.select(F.col("_node").alias("doc_id"), "text"))[0]
-    groups = found.select(F.col("doc_id").alias("_node"), "component_id").distinct()
-    members = keyed.select("_node", "doc_id", "_hash").distinct().join(groups, "_node")
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", "_node")).alias("least"))
-    once = Window.partitionBy("_node").orderBy("_hash")
-    kept = keyed.join(first.select("least._node"), "_node").withColumn("_row", F.row_number().over(once)).where("_row = 1")
-    return kept.select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+    """N-gram Jaccard join: of each group the document with the smallest doc_id, once."""
+    return parity_join.first_of_groups(docs.select(COLUMNS))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
