@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1_000
+BATCH_BYTES = 8 * 1024 * 1024
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -18,10 +19,13 @@ PIECE = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand Python at most ``BATCH_ROWS`` rows at a time, so long texts stay within memory."""
+    """Hand Python at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` at a time, so long texts stay within memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:

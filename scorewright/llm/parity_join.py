@@ -55,7 +55,7 @@ KEYS_PER_GROUP = 4_000_000
 GROUPS_PER_PARTITION = 8
 SALT_AT = 4_000_000
 STARS = 1
-SETS_KEPT = 500
+SETS_KEPT = 200
 #: Members from which on a component is no longer held against others member by member.
 FAMILY = 16
 
