@@ -21,6 +21,7 @@ text longer than ``segment`` ids makes one longer segment. Extra columns are ign
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -77,6 +78,8 @@ class WordIds(dict):
     """
 
     def __init__(self, vocabulary: str):
+        # Spark runs tasks side by side; threads of the library would only compete with them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
