@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 import regex
@@ -93,6 +94,27 @@ def test_summary_is_verbatim_and_in_order(spark):
     assert set(rows) == {0, 1, 2, 3}
 
 
+def test_summary_against_brute_force(spark):
+    """Ids that are missing or shared, sentences without words, ties, no words at all; no word leaves its row."""
+    chance = random.Random(4)
+    words = ["a", "B", "c", "É", "é", "dd", "7", "--", "..."]
+    texts = ["".join(chance.choice(words) + chance.choice([" ", ", ", ". ", "! ", "?\n"]) for _ in range(chance.randrange(60))) for _ in range(150)]
+    rows = [(chance.choice([None, 1, 1, i]), text) for i, text in enumerate([*texts, None, "", "- ... -"])]
+    frame = spark.createDataFrame(rows, "id INT, body STRING")
+    got = ops.extractive_summary(frame, "id", "body", k=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for i, body in rows:
+        sentences = [s.strip() for s in regex.split(r"(?<=[.!?])\s+", body or "") if s.strip()]
+        held = [[w for w in regex.split(r"[^\p{L}\p{N}]+", s.lower()) if w] for s in sentences]
+        tf = Counter(w for own in held for w in own)
+        best = sorted((-sum(tf[w] for w in own) / len(own), at) for at, own in enumerate(held) if own)[:2]
+        chosen = [sentences[at] for at in sorted(at for _, at in best)]
+        want.append((i, None if body is None else len(sentences), len(chosen), " ".join(chosen)))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert plan.count("Exchange") == 1 and not any(step in plan for step in ("Join", "Aggregate", "Generate", "Sort "))
+
+
 def test_word_frequency(spark):
     got = {r["word"]: r["n"] for r in ops.word_frequency(docs(spark, "It's  it, IT!", "été-ÉTÉ 42", None), "text").collect()}
     assert got == {"it": 3, "s": 1, "été": 2, "42": 1}
