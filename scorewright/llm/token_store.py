@@ -22,10 +22,12 @@ text longer than ``segment`` ids makes one longer segment. Extra columns are ign
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
-from itertools import accumulate, chain
+from collections.abc import Iterable, Iterator
+from string import ascii_letters
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import map_arrow, utf8
+from scorewright.llm.common import map_arrow, pieces, utf8
 from scorewright.scale import scratch_path
 
 BLOCK_IDS = 65_536
@@ -47,7 +49,7 @@ SEGMENT = (
     "part int, seq int, start bigint, doc_ids array<bigint>, doc_sizes array<bigint>, block int, planes int, "
     "lengths array<int>, chunks binary"
 )
-#: Bytes of text whose unseen words are encoded in one call.
+#: Bytes of text that are split into words at once.
 TEXT_BYTES = 1 << 22
 TAIL = b".,!?;:*$%#&|-_()[]{}<>/\\@+=~^\"`"
 
@@ -73,8 +75,9 @@ class WordIds(dict):
     kept. Behind other letters it is not: the tokenizer normalises first, and some letters then end in a mark, which
     goes with the punctuation. Only letters of ``PLAIN``, which stay letters, count as ASCII ones do.
 
-    Words not met before are encoded together, those of many texts in one call. Holds about
-    ``CACHED_WORDS`` entries, then starts anew.
+    A run of such letters is one piece for the tokenizer, and what it makes of each letter does not hang on
+    the others: these words go straight to its model, letter by letter as it writes them. It sees all others
+    whole. Holds about ``CACHED_WORDS`` entries, then starts anew.
     """
 
     def __init__(self, vocabulary: str):
@@ -84,51 +87,46 @@ class WordIds(dict):
 
         super().__init__()
         self._tokenizer = Tokenizer.from_file(vocabulary)
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
+        self._pieces = self._tokenizer.model.tokenize
+        letters = [*ascii_letters, *map(bytes.decode, PLAIN)]
+        self._written = {ord(letter): self._write(letter) for letter in letters}
+        self._plain = re.compile(f"[{''.join(letters)}]+").fullmatch
+
+    def _write(self, letter: str) -> str:
+        """A letter in the alphabet of the model."""
+        normal = self._tokenizer.normalizer.normalize_str(letter)
+        return "".join(piece for piece, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(normal))
+
+    def _encode(self, part: bytes) -> bytes:
+        text = part.decode()
+        if self._plain(text):
+            ids = [piece.id for piece in self._pieces(text.translate(self._written))]
+        else:
+            ids = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(TAIL)
         tail = word[len(core) :]
         if core.isalpha():
-            return (core.lower(), tail) if tail else (core.lower(),)
-        if core and tail and b"<" not in word and (core[-1:].isalpha() or core[-2:] in PLAIN):
-            return core, tail
-        return (word,)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that are not held yet."""
-        if len(self) + len(words) > CACHED_WORDS:
+            core = core.lower()
+            if core == word:
+                found = self._encode(word)
+            else:
+                found = self[core] + self[tail] if tail else self[core]
+        elif core and tail and b"<" not in word and (core[-1:].isalpha() or core[-2:] in PLAIN):
+            found = self[core] + self[tail]
+        else:
+            found = self._encode(word)
+        if len(self) >= CACHED_WORDS:
             self.clear()
-        parts = {word: self._parts(word) for word in words}
-        unseen = list({part for held in parts.values() for part in held if part not in self})
-        found = self._tokenizer.encode_batch_fast([part.decode() for part in unseen], add_special_tokens=False)
-        ids = [one.ids for one in found]
-        run = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = list(accumulate((4 * len(one) for one in ids)))
-        for part, start, stop in zip(unseen, [0, *ends], ends):
-            self[part] = run[start:stop]
-        for word, held in parts.items():
-            self[word] = b"".join(map(self.__getitem__, held))
-
-    def texts(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text, in order, a few megabytes of text at a time."""
-        at = 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TEXT_BYTES):
-                size += len(texts[stop])
-                stop += 1
-            split = [text.split() for text in texts[at:stop]]
-            held = [list(map(self.get, words)) for words in split]
-            unseen = {word for words, ids in zip(split, held) if None in ids for word, one in zip(words, ids) if one is None}
-            if unseen:
-                self.learn(unseen)
-            for words, ids in zip(split, held):
-                if None in ids:
-                    # Learning may have emptied the cache of words found before.
-                    ids = [self.get(word) if one is None else one for word, one in zip(words, ids)]
-                yield b"".join(ids)
-            at = stop
+        self[word] = found
+        return found
+
+    def texts(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """The ids of each text, in order; a long text is split into words a few megabytes at a time."""
+        for text in texts:
+            yield b"".join([b"".join(map(self.__getitem__, piece.split())) for piece in pieces(text, size=TEXT_BYTES)])
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -205,7 +203,7 @@ def _segments(vocabulary: str, end_id: int, block: int, segment: int, kind: str)
 
         size = 0
         for batch in batches:
-            texts = [text or b"" for text in utf8(batch.column(1))]
+            texts = (text or b"" for text in utf8(batch.column(1)))
             for doc_id, found in zip(batch.column(0).to_pylist(), ids_of.texts(texts)):
                 ids = found + end
                 held.append(ids)

@@ -43,3 +43,22 @@ def test_texts_in_any_company(tokenizer, monkeypatch, cached):
     bits = ["a", "Ab", "don't", "I'll", "1", "²", "İ", "क़", "ড়", "é", "é", "ß", "ﬁ", "Σ", "ς", ".", ",", "--", "<|endoftext|>", "<", "|>", " ", "  ", "\t", "\n", " ", " ", "日本", "🙂", "́", "_", "'s"]
     texts = ["".join(rng.choice(bits, int(rng.integers(0, 25)))) for _ in range(3000)] + ["", " ", "word " * 500]
     assert put_together(texts) == whole(tokenizer, texts)
+
+
+def test_plain_words_go_to_the_model_alone(tokenizer, monkeypatch):
+    """Words of plain letters, in either case and before punctuation, cost the whole tokenizer nothing."""
+    rng = np.random.default_rng(7)
+    letters = [letter.decode() for letter in sorted(token_store.PLAIN)] + list("abcdeEThion") * 30
+    words = ["".join(rng.choice(letters, int(rng.integers(1, 14)))) + str(rng.choice(["", "", ".", ",", "!?"])) for _ in range(20_000)]
+    texts = [" ".join(words[at : at + 40]) for at in range(0, len(words), 40)]
+    want, ids = whole(tokenizer, texts), token_store.WordIds(vocabulary())
+    asked = []
+
+    class Watched:
+        def encode_batch_fast(self, parts, **options):
+            asked.extend(parts)
+            return tokenizer.encode_batch_fast(parts, **options)
+
+    monkeypatch.setattr(ids, "_tokenizer", Watched())
+    assert list(ids.texts([text.encode() for text in texts])) == want
+    assert set(asked) <= {".", ",", "!?"}
