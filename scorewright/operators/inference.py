@@ -7,15 +7,19 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright import schemas
 from scorewright.functions import text as T
-from scorewright.scale import lookup_join, materialize
+from scorewright.scale import bounded_batches, lookup_join, materialize
 
 ModelCall = Callable[[str, str], tuple[str, int]]
 
+#: Bytes of code that a task of the syntax check holds at once.
+CODE_BYTES = 2 * 1024 * 1024
+
 
 def one_per_key(responses: DataFrame, keys: Iterable[str]) -> DataFrame:
     """One response per key: one without error first, then by output, tokens, latency and error text."""
@@ -115,18 +119,16 @@ def code_gate(answers: DataFrame, id_column: str, code: str) -> DataFrame:
     """
     schema = f"{id_column} {answers.schema[id_column].dataType.simpleString()}, passed BOOLEAN, method STRING"
 
-    def check(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdicts = [_syntax_verdict(code_text) for code_text in batch[code]]
-            yield pd.DataFrame(
-                {
-                    id_column: batch[id_column],
-                    "passed": [passed for passed, _ in verdicts],
-                    "method": [method for _, method in verdicts],
-                }
-            )
-
-    return answers.select(id_column, code).mapInPandas(check, schema)
+            # One text at a time is a Python string; the batch stays as it came.
+            verdicts = [_syntax_verdict(code_text.as_py()) for code_text in batch.column(1)]
+            passed = pa.array([passed for passed, _ in verdicts], pa.bool_())
+            method = pa.array([method for _, method in verdicts], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), passed, method], [id_column, "passed", "method"])
+
+    bounded_batches(answers.sparkSession, CODE_BYTES)
+    return answers.select(id_column, code).mapInArrow(check, schema)
 
 
 def parse_items(answers: DataFrame, raw: str, item_schema: str = schemas.PLAN_ITEM) -> DataFrame:

@@ -57,11 +57,11 @@ def materialize(df: DataFrame, label: str, *, by: Sequence[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Hand Python tasks at most ``BATCH_BYTES`` at a time, so that long texts stay within their memory."""
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Hand Python tasks at most ``most`` bytes at a time, so that long texts stay within their memory."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if int(spark.conf.get(name).rstrip("b")) > most:
+        spark.conf.set(name, str(most))
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
