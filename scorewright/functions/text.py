@@ -34,7 +34,7 @@ def is_blank(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased words in text order; everything but letters and digits separates."""
-    return F.filter(F.split(F.lower(text), NON_WORD), lambda word: word != "")
+    return F.array_remove(F.split(F.lower(text), NON_WORD), "")
 
 
 def sentences(text: Column) -> Column:

@@ -167,16 +167,14 @@ def token_f1(pairs: DataFrame, ids: Sequence[str], sides: Mapping[str, str], ref
     empty word marks which sides are there, so rows without any word need no join to come back.
     """
     columns = {"_ref": reference, **sides}
-    item = "array<struct<side:string,word:string>>"
 
     def tag(side: str, source: str) -> Column:
         present = F.array_append(T.words(F.col(source)), F.lit(""))
-        tagged = F.transform(present, lambda word: F.struct(F.lit(side).alias("side"), word.alias("word")))
-        return F.coalesce(tagged, F.array(F.struct(F.lit("").alias("side"), F.lit("").alias("word"))).cast(item))
+        return F.struct(F.lit(side).alias("side"), F.coalesce(present, F.array(F.lit(""))).alias("words"), F.col(source).isNotNull().alias("there"))
 
-    exploded = pairs.select(
-        *ids, F.explode(F.concat(*[tag(side, source) for side, source in columns.items()])).alias("t")
-    ).select(*ids, "t.side", "t.word")
+    # Two explodes: no word needs a struct of its own. What is not there has an empty word of no side.
+    tagged = pairs.select(*ids, F.inline(F.array(*[tag(side, source) for side, source in columns.items()])))
+    exploded = tagged.select(*ids, F.when(F.col("there"), F.col("side")).otherwise(F.lit("")).alias("side"), F.explode("words").alias("word"))
     counts = exploded.groupBy(*ids, "word").agg(
         *[F.count(F.when(F.col("side") == side, F.lit(1))).alias(f"_n_{side}") for side in columns]
     )

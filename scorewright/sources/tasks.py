@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorewright import schemas
 from scorewright.operators.packing import PART_BYTES, pack
-from scorewright.scale import lookup_join
+from scorewright.scale import fits_broadcast, lookup_join, materialize
 
 # Mark of a skipped task, line above each input file, gap between two of them.
 SKIP_MARK = "[SKIPPED]"
@@ -64,11 +64,16 @@ def resolve_inputs(tasks: DataFrame, files: DataFrame) -> DataFrame:
     ``n_bytes``. Inline tasks keep ``inline_input``. ``input_bytes`` is the UTF-8 size of the text,
     for images that of the file. ``input_found`` is false for tasks to be skipped, whose
     ``missing_ref`` names the first file that is absent.
+
+    References are stored first: while the files they name fit a broadcast, the texts of all others stay
+    where they are.
     """
-    wanted = tasks.select("task_id", F.posexplode("input_refs").alias("pos", "ref"))
-    found = lookup_join(
-        wanted, files.select("ref", "text", "n_bytes"), ["ref"], spread=["task_id", "pos"], may_broadcast=False
-    )
+    wanted = materialize(tasks.select("task_id", F.posexplode("input_refs").alias("pos", "ref")), "wanted")
+    held = files.select("ref", "text", "n_bytes")
+    named = materialize(wanted.select("ref").distinct(), "named")
+    if fits_broadcast(named):
+        held = held.join(F.broadcast(named), "ref", "left_semi")
+    found = lookup_join(wanted, held, ["ref"], spread=["task_id", "pos"], may_broadcast=False)
     per_task = found.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("n_refs"),
         F.count("text").alias("n_found"),
